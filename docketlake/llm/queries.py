@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe
+from docketlake.llm import bpe, packing
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op5_packing": packing.op5_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
