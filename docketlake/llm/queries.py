@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, lines, packing
+from docketlake.llm import bpe, lines, packing, simhash
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_packing": packing.op5_packing,
+    "op6_simhash": simhash.op6_simhash,
     "op7_lines": lines.op7_lines,
 }
 
