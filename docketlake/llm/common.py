@@ -89,3 +89,17 @@ class WordIds(dict):
 
 
 WORD_IDS = WordIds()
+
+
+#: Labels that a broadcast may carry: 12 bytes each, so 24 MB.
+BROADCAST_LABELS = 2_000_000
+
+
+def with_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``docs`` (doc_id, text) with ``label``: null without a label, the smallest if there are several.
+
+    The labels are broadcast only if there are at most ``BROADCAST_LABELS``; beyond that the join shuffles."""
+    side = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias(label))
+    if labels.count() <= BROADCAST_LABELS:
+        side = F.broadcast(side)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left")

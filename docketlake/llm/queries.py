@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, lines, packing, simhash
+from docketlake.llm import bpe, lines, packing, quality, rules, simhash
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_bpe": bpe.op3_bpe,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_lines": lines.op7_lines,
+    "op10_rules": rules.op10_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
