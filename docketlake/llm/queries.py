@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, lines, packing, quality, rules, simhash
+from docketlake.llm import bpe, lines, packing, quality, rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_bpe": bpe.op3_bpe,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
