@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, lines, packing, quality, rules, simhash, toxicity
+from docketlake.llm import bpe, lines, packing, pii, quality, rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_lines": lines.op7_lines,
+    "op9_pii": pii.op9_pii,
     "op10_rules": rules.op10_rules,
 }
 
