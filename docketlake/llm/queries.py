@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, lines, packing, pii, quality, rules, simhash, toxicity
+from docketlake.llm import bpe, lines, neighbours, packing, pii, quality, rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_bpe": bpe.op3_bpe,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_lines": lines.op7_lines,
