@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from docketlake.llm.common import BLANKS, map_batches, table, texts
+from docketlake.llm.common import BLANKS, chunks, map_batches, table, texts
 
 WORD_END = "</w>"
 #: Pre-tokens of word_bpe_49k.json (fixed value).
@@ -454,19 +454,6 @@ class Texts:
         return out
 
 
-def chunks(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
-    """Groups of texts of about ``size`` bytes."""
-    group, held = [], 0
-    for t in texts:
-        group.append(t)
-        held += len(t)
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
 _MERGES: dict[str, MergeList] = {}
 _TEXTS: dict[str, Texts] = {}
 

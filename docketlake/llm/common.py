@@ -64,6 +64,19 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def chunks(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
+    """Groups of texts of about ``size`` bytes."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def n_points(text: bytes) -> int:
     """Code points of valid UTF-8."""
     return len(text) if text.isascii() else len(text.decode("utf-8", "replace"))

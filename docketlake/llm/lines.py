@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketlake.llm.common import BLANKS, map_batches, n_points, ship_package, table, texts
+from docketlake.llm.common import BLANKS, chunks, map_batches, n_points, ship_package, table, texts
 
 SEGMENT_BITS = 16
 MIN_BITS, MAX_BITS, BITS_PER_DOC = 22, 29, 128
@@ -78,27 +79,31 @@ class SeenFilters:
         self.put(self.twice, at[:, again])
         self.put(self.once, at[:, ~again])
 
-    def segments(self) -> list[tuple[int, bytes, bytes]]:
+    def segments(self):
         """Per segment with bits set: its number, and the set bits of both filters as 16-bit numbers."""
-        cut = []
-        for held in (self.once, self.twice):
-            at = np.flatnonzero(np.unpackbits(held, bitorder="little")) if held.any() else np.zeros(0, np.int64)
-            bounds = np.searchsorted(at >> SEGMENT_BITS, np.arange(max(1, 1 << self.bits >> SEGMENT_BITS) + 1))
-            cut.append([(at[a:b] & ((1 << SEGMENT_BITS) - 1)).astype("<u2").tobytes() for a, b in zip(bounds, bounds[1:])])
-        return [(i, once, twice) for i, (once, twice) in enumerate(zip(*cut)) if once or twice]
+        step = 1 << SEGMENT_BITS >> 3
 
+        def bits_of(held: np.ndarray) -> bytes:
+            return np.flatnonzero(np.unpackbits(held, bitorder="little")).astype("<u2").tobytes() if held.any() else b""
 
-def twice_seen(docs: DataFrame, bits: int, min_points: int) -> bytes:
-    """The twice-seen filter over all documents: ``2 ** bits`` bits, so at most 2 ** (MAX_BITS - 3) bytes."""
+        for i in range(len(self.once) // step):
+            once, twice = (bits_of(x[i * step : (i + 1) * step]) for x in (self.once, self.twice))
+            if once or twice:
+                yield i, once, twice
+
+
+def twice_seen(docs: DataFrame, bits: int, hashes_of) -> bytes:
+    """The twice-seen filter over all documents: ``2 ** bits`` bits, so at most 2 ** (MAX_BITS - 3) bytes.
+
+    hashes_of: from a text to the hashes that it adds."""
 
     def note(batches):
         seen = SeenFilters(bits)
         for b in batches:
-            found = [hash_keys(document_keys(t, min_points)) for t in texts(b)]
-            if found:
-                seen.add(np.concatenate(found))
-        for i in (rows := seen.segments()) and range(0, len(rows), 512):
-            number, once, twice = zip(*rows[i : i + 512])
+            for group in chunks(texts(b)):
+                seen.add(np.concatenate([hashes_of(t) for t in group]))
+        for rows in batched(seen.segments(), 512):
+            number, once, twice = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["segment", "once", "twice"])
 
     def meet(batches):
@@ -127,7 +132,7 @@ def frequent_keys(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> D
     """Digest (SHA-256), number of documents and smallest doc_id of every line key found in ``min_docs`` documents."""
     bits = min(MAX_BITS, max(MIN_BITS, (docs.count() * BITS_PER_DOC).bit_length()))
     ship_package(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_points))
+    known = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, lambda t: hash_keys(document_keys(t, min_points))))
 
     def suspects(batches):
         held = np.frombuffer(known.value, np.uint8)

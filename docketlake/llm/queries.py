@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, lines, neighbours, packing, pii, quality, rules, simhash, toxicity
+from docketlake.llm import bpe, lines, neighbours, packing, pii, quality, rules, simhash, substring, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_lines": lines.op7_lines,
+    "op8_substring": substring.op8_substring,
     "op9_pii": pii.op9_pii,
     "op10_rules": rules.op10_rules,
 }

@@ -202,6 +202,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def component_ids(marked: DataFrame, budget: int) -> DataFrame:
+    """(_fp, component_id) for the fingerprints of ``marked`` (doc_id, _fp)."""
+    nodes = marked.groupBy("_fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes.select("_fp"), budget))
+    of = nodes.join(roots, nodes["_fp"] == roots["node"], "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
+    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return of.join(ids, "root").select("_fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable
     by links of at most ``budget`` differing bits.
@@ -211,13 +220,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataF
     columns are not read."""
     shared_folder(docs.sparkSession)
     marked = fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), shingle).select("doc_id", "_fp").checkpoint()
-    nodes = marked.groupBy("_fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("_fp"), budget))
-    of = nodes.join(roots, nodes["_fp"] == roots["node"], "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = of.join(ids, "root").select("_fp", "component_id")
+    found = component_ids(marked, budget)
     return marked.join(found, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one of smallest doc_id (of rows that repeat it, one).
+    Rows without a doc_id stay. Columns stay as they are."""
+    shared_folder(docs.sparkSession)
+    whole = fingerprints(docs.drop("_fp"), shingle)
+    marked = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "_fp").where(F.col("doc_id").isNotNull()).checkpoint()
+    of = marked.join(component_ids(marked, budget), "_fp")
+    kept = of.groupBy("component_id").agg(F.min(F.struct("doc_id", "_fp")).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k._fp").alias("_fp"))
+    stay = whole.where(F.col("doc_id").isNotNull()).join(kept, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"])
+    return stay.unionByName(whole.where(F.col("doc_id").isNull())).drop("_fp").select(*docs.drop("_fp").columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, budget=2)
