@@ -77,19 +77,23 @@ def class_counts(marked: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
 
 
-def shared_model(counts: DataFrame) -> DataFrame:
-    """(g, p): interpolated Kneser-Ney over both classes. Orders below the highest count distinct left neighbours."""
+#: Rows of a count table that make a partition.
+PARTITION_ROWS = 500_000
+
+
+def shared_model(counts: DataFrame, n_parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(g, p), and what to unpersist after use: interpolated Kneser-Ney over both classes. Orders below the highest count distinct left neighbours."""
     levels = {ORDER: counts.select("g", (F.col("tox") + F.col("ord")).alias("c"))}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * k) - 1).alias("g")).agg(F.count("*").alias("c"))
+        levels[k] = levels[k + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * k) - 1).alias("g")).agg(F.count("*").alias("c")).coalesce(n_parts).persist()
     total = levels[1].agg(F.sum("c")).first()[0] or 1
     lower = levels[1].select("g", ((F.col("c") + 0.5) / F.lit(total + 128.0)).alias("p"))
     for k in range(2, ORDER + 1):
         level = levels[k].withColumn("h", F.shiftright("g", 8)).withColumn("rest", F.col("g").bitwiseAND((1 << 8 * (k - 1)) - 1))
         contexts = level.groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
-        joined = level.join(contexts, "h").join(lower.withColumnRenamed("g", "rest").withColumnRenamed("p", "below"), "rest")
-        lower = joined.select("g", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("all")).alias("p"))
-    return lower
+        joined = level.join(contexts, "h").coalesce(n_parts).join(lower.withColumnRenamed("g", "rest").withColumnRenamed("p", "below"), "rest")
+        lower = joined.select("g", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("all")).alias("p")).coalesce(n_parts)
+    return lower, [levels[k] for k in range(1, ORDER)]
 
 
 class ToxicityModel:
@@ -120,13 +124,16 @@ class ToxicityModel:
 def ratio_array(counts: DataFrame) -> np.ndarray:
     """log p(toxic) - log p(ordinary) by bucket of the n-gram; 0 for those never met. Of n-grams that share a bucket
     the weighted mean holds; at most 2 ** GRAM_BITS rows reach the driver."""
+    n_parts = counts.count() // PARTITION_ROWS + 1
+    counts = counts.coalesce(n_parts)
     contexts = counts.groupBy(F.shiftright("g", 8).alias("h")).agg(
         F.sum("tox").alias("ct"), F.sum("ord").alias("co"), F.count_if(F.col("tox") > 0).alias("nt"), F.count_if(F.col("ord") > 0).alias("no"))
 
     def chance(c, kinds, total):
         return (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(kinds) + SHRINK) * F.col("p")) / (F.col(total) + SHRINK)
 
-    joined = counts.withColumn("h", F.shiftright("g", 8)).join(contexts, "h").join(shared_model(counts), "g")
+    shared, held = shared_model(counts, n_parts)
+    joined = counts.withColumn("h", F.shiftright("g", 8)).join(contexts, "h").coalesce(n_parts).join(shared, "g").coalesce(n_parts)
     seen = joined.select("g", (F.col("tox") + F.col("ord")).alias("n"), F.log(chance("tox", "nt", "ct") / chance("ord", "no", "co")).alias("r"))
 
     def run(batches):
@@ -136,6 +143,8 @@ def ratio_array(counts: DataFrame) -> np.ndarray:
 
     sums = map_batches(seen, run, "bucket long, n long, r double").groupBy("bucket").agg((F.sum("r") / F.sum("n")).cast("float").alias("r"))
     found = sums.toArrow()
+    for level in held:
+        level.unpersist()
     out = np.zeros(1 << GRAM_BITS, np.float32)
     out[found["bucket"].to_numpy()] = np.round(found["r"].to_numpy(), 4)
     return out
