@@ -6,13 +6,15 @@ How many are enough is measured: a bounded number of trial queries is compared w
 walk goes as deep as these need for the asked recall.
 
 Equal vectors are one entry with its smallest ids, as many as a query can use (equally near, smaller ids win), so a
-vector that a third of the rows share costs no more than another. Cells are cut into blocks of bounded size before
-they meet the queries that visit them; each block gives its nearest few per query, and a top-k over these ends it.
+vector that a third of the rows share costs no more than another. Cells are cut, or put together, into groups of
+bounded size before they meet the queries that visit them; each group gives its nearest few per query, from the cells
+that the query visits, and a top-k over these ends it.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,23 @@ class MultiIndex:
         return out
 
 
+def cell_groups(sizes: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """For each cell its first group and how many it is cut into; small cells share a group, up to ``block`` entries."""
+    out, group, held = {}, 0, 0
+    for cell in sorted(sizes):
+        n = sizes[cell]
+        if n > block:
+            group += held > 0
+            parts = -(-n // block)
+            out[cell], group, held = (group, parts), group + parts, 0
+            continue
+        if held + n > block:
+            group, held = group + 1, 0
+        out[cell] = group, 1
+        held += n
+    return out
+
+
 def enough(placed: DataFrame, asked: DataFrame, index: MultiIndex, dim: int, k: int, recall: float, trials: int) -> int:
     """Entries that the walk must have met to find the share ``recall`` of the trial queries' true neighbours."""
     rows = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(trials).toArrow()
@@ -164,38 +183,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     asked = usable(queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), dim).distinct()
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     wanted = max(CANDIDATES, k + 1, enough(placed, asked, index, dim, k, recall, TRIALS))
-    sizes = index.sizes
+    groups = cell_groups(index.sizes, CELL_BLOCK)
 
     def route(batches):
         for b in batches:
-            x, out = matrix(b.column(1), dim), [[], [], []]
-            for i, q in enumerate(x):
+            at, group, cells = [], [], []
+            for i, q in enumerate(matrix(b.column(1), dim)):
+                visits: dict[int, list[int]] = {}
                 for cell in index.visit(q, wanted):
-                    for part in range(-(-sizes[cell] // CELL_BLOCK)):
-                        for to, v in zip(out, (i, cell, part)):
-                            to.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0], pa.int64())), b.column(1).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["query_id", "query", "cell", "part"])
-
-    routed = map_batches(asked, route, "query_id long, query array<double>, cell long, part long").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    large = {c: -(-s // CELL_BLOCK) for c, s in sizes.items() if s > CELL_BLOCK}
-    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), "cell"), F.lit(1)) if large else F.lit(1)
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("embedding"), parts.cast("long"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+                    first, parts = groups[cell]
+                    for g in range(first, first + parts):
+                        visits.setdefault(g, []).append(cell)
+                at += [i] * len(visits)
+                group += visits.keys()
+                cells += visits.values()
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(group, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["query_id", "query", "group", "cells"])
+
+    def deal(batches):
+        for b in assign(batches):
+            x, cells = matrix(b.column(0), dim), b.column(2).to_pylist()
+            group = [groups[c][0] + (zlib.crc32(v.tobytes()) % groups[c][1]) for c, v in zip(cells, x)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(group, pa.int64())], names=["embedding", "ids", "cell", "group"])
+
+    routed = map_batches(asked, route, "query_id long, query array<double>, group long, cells array<long>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    dealt = map_batches(entries, deal, "embedding array<double>, ids array<long>, cell long, group long").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            x, ids = matrix(left["embedding"], dim), left["ids"].to_pylist()
-            for query_id, q in zip(right["query_id"].to_pylist(), matrix(right["query"], dim)):
-                far = np.sqrt(((x - q) ** 2).sum(1))
+            whole, whole_ids, cell = matrix(left["embedding"], dim), np.array(left["ids"].to_pylist() + [None], object)[:-1], left["cell"].to_numpy()
+            for query_id, cells, q in zip(right["query_id"].to_pylist(), right["cells"].to_pylist(), matrix(right["query"], dim)):
+                met = np.flatnonzero(np.isin(cell, cells))
+                far = np.sqrt(((whole[met] - q) ** 2).sum(1))
                 # entries up to the distance of the (k + 1)-th: ties stay
                 cut = np.partition(far, k)[k] if len(far) > k + 1 else np.inf
-                near = sorted((float(far[i]), v) for i in np.flatnonzero(far <= cut) for v in ids[i] if v != query_id)[:k]
+                near = sorted((float(far[i]), v) for i in np.flatnonzero(far <= cut) for v in whole_ids[met[i]] if v != query_id)[:k]
                 for d, v in near:
                     for to, value in zip(out, (query_id, v, d)):
                         to.append(value)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    keys = ("cell", "part", "block")
+    keys = ("group", "block")
     near = dealt.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
