@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from itertools import batched
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from docketlake.llm.common import BLANKS, chunks, map_batches, n_points, ship_pa
 SEGMENT_BITS = 16
 MIN_BITS, MAX_BITS, BITS_PER_DOC = 22, 29, 128
 BROADCAST_KEYS = 300_000
+#: A hash met so often in one call of add() is watched; of those met ``OFTEN`` times in a task the first are told.
+OFTEN_IN_GROUP, OFTEN, OFTEN_TOLD = 3, 32, 256
 TASK_KEYS = 100_000
 
 
@@ -59,7 +61,7 @@ class SeenFilters:
     """The once-seen and the twice-seen filter of a task."""
 
     def __init__(self, bits: int):
-        self.bits = bits
+        self.bits, self.often = bits, Counter()
         self.once, self.twice = np.zeros(1 << bits >> 3, np.uint8), np.zeros(1 << bits >> 3, np.uint8)
 
     @staticmethod
@@ -74,6 +76,8 @@ class SeenFilters:
     def add(self, hashes: np.ndarray) -> None:
         """Hashes of some documents, each once per document."""
         hashes, counts = np.unique(hashes, return_counts=True)
+        many = np.flatnonzero(counts >= OFTEN_IN_GROUP)
+        self.often.update(dict(zip(hashes[many].tolist(), counts[many].tolist())))
         at = positions(hashes, self.bits)
         again = (counts > 1) | self.has(self.once, at)
         self.put(self.twice, at[:, again])
@@ -92,8 +96,9 @@ class SeenFilters:
                 yield i, once, twice
 
 
-def twice_seen(docs: DataFrame, bits: int, hashes_of) -> bytes:
-    """The twice-seen filter over all documents: ``2 ** bits`` bits, so at most 2 ** (MAX_BITS - 3) bytes.
+def twice_seen(docs: DataFrame, bits: int, hashes_of) -> tuple[bytes, np.ndarray]:
+    """The twice-seen filter over all documents: ``2 ** bits`` bits, so at most 2 ** (MAX_BITS - 3) bytes. And the
+    hashes that tasks met very often (at most ``OFTEN_TOLD`` of each), by which callers split hot groups.
 
     hashes_of: from a text to the hashes that it adds."""
 
@@ -102,20 +107,27 @@ def twice_seen(docs: DataFrame, bits: int, hashes_of) -> bytes:
         for b in batches:
             for group in chunks(texts(b)):
                 seen.add(np.concatenate([hashes_of(t) for t in group]))
-        for rows in batched(seen.segments(), 512):
+        told = np.array([h for h, n in seen.often.most_common(OFTEN_TOLD) if n >= OFTEN], "<u8").tobytes()
+        for rows in batched(chain(seen.segments(), [(-1, told, b"")] if told else []), 512):
             number, once, twice = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["segment", "once", "twice"])
 
     def meet(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        told: set[int] = set()
         for b in batches:
             for number, once, twice in zip(*(c.to_pylist() for c in b.columns)):
+                if number < 0:
+                    told.update(np.frombuffer(once, "<u8").tolist())
+                    continue
                 one, two = held.setdefault(number, (np.zeros(1 << SEGMENT_BITS, bool), np.zeros(1 << SEGMENT_BITS, bool)))
                 once, twice = np.frombuffer(once, "<u2"), np.frombuffer(twice, "<u2")
                 two[once[one[once]]] = True
                 two[twice] = True
                 one[once] = True
                 one[twice] = True
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array(sorted(told), "<u8").tobytes()], pa.binary())], names=["segment", "twice"])
         for number, (_, two) in held.items():
             if two.any():
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())], names=["segment", "twice"])
@@ -123,16 +135,20 @@ def twice_seen(docs: DataFrame, bits: int, hashes_of) -> bytes:
     noted = map_batches(docs.select("text"), note, "segment int, once binary, twice binary")
     met = map_batches(noted.repartition("segment"), meet, "segment int, twice binary")
     out, step = bytearray(1 << bits >> 3), 1 << SEGMENT_BITS >> 3
+    often = np.zeros(0, np.uint64)
     for number, twice in met.toLocalIterator():
+        if number < 0:
+            often = np.frombuffer(bytes(twice), "<u8")
+            continue
         out[number * step : (number + 1) * step] = twice
-    return bytes(out)
+    return bytes(out), often
 
 
 def frequent_keys(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> DataFrame:
     """Digest (SHA-256), number of documents and smallest doc_id of every line key found in ``min_docs`` documents."""
     bits = min(MAX_BITS, max(MIN_BITS, (docs.count() * BITS_PER_DOC).bit_length()))
     ship_package(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, lambda t: hash_keys(document_keys(t, min_points))))
+    known = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, lambda t: hash_keys(document_keys(t, min_points)))[0])
 
     def suspects(batches):
         held = np.frombuffer(known.value, np.uint8)

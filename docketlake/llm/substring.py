@@ -1,10 +1,11 @@
 """Substring dedup: word windows that occur twice, found with compressed FM-indexes per shard.
 
-1. Every window of ``window`` words has two anchors: of its ``ANCHOR``-word sequences those of least and of greatest
-   hash. Equal windows have equal anchors, so a twice-seen filter over the least ones (see ``lines``) leaves the
-   windows that may repeat; nothing else leaves the map.
-2. Runs of such windows with the same anchors are segments. Equal segments are counted before and after the shuffle,
-   so a passage that a third of the documents share is one row. Segments go to shards by their anchors.
+1. Every window of ``window`` words has an anchor: of its ``ANCHOR``-word sequences that of least hash. Equal windows
+   have equal anchors, so a twice-seen filter over these (see ``lines``) leaves the windows that may repeat; nothing
+   else leaves the map.
+2. Runs of such windows with the same anchor are segments. Equal segments are counted before the shuffle and after it,
+   so a passage that a third of the documents share is a row per task. Segments go to shards by their anchor; hot
+   anchors are split by that of greatest hash.
 3. A shard builds an FM-index (wavelet matrix over the word numbers, bit-packed, with popcount ranks) over its
    segments, those that occur again twice, and streams them through backward search: matching statistics from the
    right, in lockstep over the segments, with at least two occurrences. Intervals of ``window`` words and more are
@@ -14,7 +15,7 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from docketlake.llm.common import map_batches, shared_folder, ship_package, tabl
 from docketlake.llm.lines import MAX_BITS, MIN_BITS, SeenFilters, positions, twice_seen
 
 WINDOW, ANCHOR = 35, 16
-BITS_PER_DOC, SHARD_WORDS = 1024, 400_000
+BITS_PER_DOC, SHARD_WORDS, TASK_BYTES = 1024, 400_000, 64_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,20 +84,39 @@ def least_anchors(text: bytes, window: int) -> np.ndarray:
     return grams[slide(padded, span, np.maximum) == grams]
 
 
-def suspect_runs(words: list[bytes], window: int, known: np.ndarray, bits: int):
-    """(first window, number of windows, shard key) of maximal runs that may repeat."""
+def suspect_runs(words: list[bytes], window: int, known: np.ndarray, bits: int, often: np.ndarray):
+    """(first window, number of windows, shard key) of maximal runs that may repeat. Their windows share the least
+    anchor, and the greatest one too where the least is hot."""
     _, least, greatest = anchors(words, window)
     if not len(least):
         return
     maybe = SeenFilters.has(known, positions(least, bits))
     if not maybe.any():
         return
-    new = np.r_[True, (least[1:] != least[:-1]) | (greatest[1:] != greatest[:-1])]
-    at = np.flatnonzero(new)
-    keys = (least[at] ^ greatest[at] * _BASE).view(np.int64)
-    for a, b, key in zip(at.tolist(), [*at[1:].tolist(), len(least)], keys.tolist()):
-        if maybe[a]:
-            yield a, b - a, key
+    keys = least
+    if len(often) and (hot := np.isin(least, often)).any():
+        keys = np.where(hot, least ^ greatest * _BASE, least)
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ends = np.r_[at[1:], len(least)]
+    on = maybe[at]
+    yield from zip(at[on].tolist(), (ends - at)[on].tolist(), keys[at[on]].view(np.int64).tolist())
+
+
+def depth(longest: int) -> int:
+    """How deep an index for patterns of ``longest`` numbers is sorted at least, if they are below 2 ** 21."""
+    size = 3
+    while size < longest:
+        size *= 2
+    return size
+
+
+def ranked(key: np.ndarray) -> np.ndarray:
+    """Dense ranks."""
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.r_[False, held[1:] != held[:-1]])
+    return rank
 
 
 class Bits:
@@ -114,16 +134,21 @@ class Bits:
 
 
 class FMIndex:
-    """FM-index over a sequence of positive numbers, for patterns of up to ``2 ** rounds`` of them."""
+    """FM-index over a sequence of numbers that ends with 0, for patterns of up to ``depth(longest)`` of them."""
 
     def __init__(self, text: np.ndarray, longest: int):
         n = len(text)
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        size = 1
+        padded = np.r_[text, 0, 0].astype(np.uint64)
+        # three numbers fit in one of 63 bits; then the ranks of neighbours double what is sorted
+        if int(text.max()) < 1 << 21:
+            key, size = padded[:-2] << np.uint64(42) | padded[1:-1] << np.uint64(21) | padded[2:], 3
+        else:
+            key, size = padded[:-2], 1
+        rank = ranked(key)
         while size < longest:
             key = rank * (n + 1)
             key[: n - size] += rank[size:] + 1
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            rank = ranked(key)
             size *= 2
         order = np.argsort(rank, kind="stable")
         last = text[order - 1]
@@ -160,7 +185,8 @@ def repeated_windows(segments: list[list[bytes]], counts: list[int], window: int
     ids = [np.fromiter((number.setdefault(w, len(number) + 1) for w in s), np.int64, len(s)) for s in segments]
     stop = np.zeros(1, np.int64)
     text = np.concatenate([x for s, n in zip(ids, counts) for x in (s, stop, s, stop)[: 4 if n > 1 else 2]])
-    index = FMIndex(text, window + max(map(len, ids)))
+    longest = depth(window + 1)  # longer matches are cut and go on from their left end
+    index = FMIndex(text, longest)
     flat, starts = np.concatenate(ids), np.r_[0, np.cumsum([len(s) for s in ids])]
     out: list[list[tuple[int, int]]] = [[] for _ in segments]
     seg = np.arange(len(ids))
@@ -170,7 +196,7 @@ def repeated_windows(segments: list[list[bytes]], counts: list[int], window: int
         can = p > first
         a, b = lo.copy(), hi.copy()
         a[can], b[can] = index.extend(flat[p[can] - 1], lo[can], hi[can])
-        on = can & (b - a >= 2)
+        on = can & (b - a >= 2) & (end - p < longest)
         p[on] -= 1
         lo[on], hi[on] = a[on], b[on]
         off = np.flatnonzero(~on)
@@ -186,8 +212,19 @@ def repeated_windows(segments: list[list[bytes]], counts: list[int], window: int
     return out
 
 
+def repeats_inside(words: list[bytes], window: int) -> bool:
+    """Whether a window of the segment occurs in it twice."""
+    n = len(words) - window + 1
+    return n > 1 and len({tuple(words[i : i + window]) for i in range(n)}) < n
+
+
+def document_key(doc_id, text: bytes) -> bytes:
+    """Tells rows apart by doc_id and text."""
+    return xxhash.xxh3_128_digest(b"%d:" % doc_id + text) if doc_id is not None else xxhash.xxh3_128_digest(b":" + text)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, spans): for documents with repeated windows, the intervals of words that they cover."""
+    """(document, spans): for documents with repeated windows, by ``document_key``, the intervals of words covered."""
     shared_folder(docs.sparkSession)
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -195,61 +232,83 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, lambda t: least_anchors(t, window)))
 
     def runs(b):
-        known = np.frombuffer(sent.value, np.uint8)
-        for doc_id, t in zip(b.column(0).to_pylist(), texts(b)):
+        """(number of the row, first window, segment, shard key)"""
+        known, often = np.frombuffer(sent.value[0], np.uint8), sent.value[1]
+        for i, t in enumerate(texts(b)):
             words = t.split()
-            th = None
-            for a, n, key in suspect_runs(words, window, known, bits):
-                th = xxhash.xxh3_128_digest(t) if th is None else th
-                yield doc_id, th, a, n, key, b" ".join(words[a : a + n + window - 1])
+            for a, n, key in suspect_runs(words, window, known, bits, often):
+                yield i, t, a, b" ".join(words[a : a + n + window - 1]), key
 
     def segments(batches):
+        """Each distinct segment of the task (of a bounded stretch of it) once, with its number."""
+        held: Counter = Counter()
+        size = 0
+
+        def flush():
+            keys, found = zip(*held) if held else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary()), pa.array(list(held.values()), pa.int64())], names=["shard", "segment", "n"])
+
         for b in batches:
-            keys, held = [], []
-            for _, _, _, _, key, segment in runs(b):
-                keys.append(key)
-                held.append(segment)
-                if len(keys) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.binary())], names=["shard", "segment"])
-                    keys, held = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.binary())], names=["shard", "segment"])
+            for _, _, _, segment, key in runs(b):
+                held[key, segment] += 1
+                size += len(segment)
+                if size >= TASK_BYTES:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        yield flush()
 
     def places(batches):
         for b in batches:
-            rows = [(d, th, a, hashlib.sha256(s).digest()) for d, th, a, _, _, s in runs(b)]
-            doc, th, at, digest = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.binary()), pa.array(at, pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "text_hash", "at", "digest"])
+            ids, rows, last, key = b.column(0).to_pylist(), [], None, None
+            for i, t, a, segment, _ in runs(b):
+                if i != last:
+                    last, key = i, document_key(ids[i], t)
+                rows.append((key, a, xxhash.xxh3_128_digest(segment)))
+            doc, at, digest = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), pa.array(at, pa.int32()), pa.array(digest, pa.binary())], names=["document", "at", "digest"])
 
     def search(batches):
-        """Shards' keys come in order; an index takes whole keys until it has enough words."""
-        held: list[tuple[bytes, int]] = []
+        """Shard keys come in order, a key's equal segments one after the other; an index takes whole keys until it has
+        enough words. A key whose only segment occurs once, without repeats inside, can't repeat."""
+        held: list[list] = []
+        group: list[list] = []
         size, last = 0, None
 
+        def close():
+            nonlocal size
+            if len(group) > 1 or group and (group[0][1] > 1 or repeats_inside(group[0][0].split(), window)):
+                held.extend(group)
+                size += sum((s.count(b" ") + 2) * min(n, 2) for s, n in group)
+            group.clear()
+
         def report():
-            split = [s.split() for s, _ in held]
-            found = repeated_windows(split, [n for _, n in held], window)
-            rows = [(hashlib.sha256(held[i][0]).digest(), a, e) for i, x in enumerate(found) for a, e in x]
+            found = repeated_windows([s.split() for s, _ in held], [n for _, n in held], window)
+            rows = [(xxhash.xxh3_128_digest(held[i][0]), a, e) for i, x in enumerate(found) for a, e in x]
             digest, a, e = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(a, pa.int64()), pa.array(e, pa.int64())], names=["digest", "first", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(a, pa.int32()), pa.array(e, pa.int32())], names=["digest", "first", "end"])
 
         for b in batches:
             for key, segment, n in zip(*(c.to_pylist() for c in b.columns)):
-                if size >= SHARD_WORDS and key != last:
-                    yield report()
-                    held, size = [], 0
-                held.append((segment, n))
-                size += (segment.count(b" ") + 1) * min(n, 2)
-                last = key
+                if key != last:
+                    close()
+                    if size >= SHARD_WORDS:
+                        yield report()
+                        held, size = [], 0
+                    last = key
+                if group and group[-1][0] == segment:
+                    group[-1][1] += n
+                else:
+                    group.append([segment, n])
+        close()
         if held:
             yield report()
 
-    counted = map_batches(docs, segments, "shard long, segment binary").groupBy("shard", "segment").count()
-    # a single segment that occurs once and is alone in its shard key repeats nothing, unless within itself
-    sharded = counted.repartition("shard").sortWithinPartitions("shard")
-    found = map_batches(sharded, search, "digest binary, first long, end long").groupBy("digest").agg(F.collect_list(F.struct("first", "end")).alias("found"))
-    at = map_batches(docs, places, "doc_id long, text_hash binary, at long, digest binary")
-    spans = at.join(found, "digest").select("doc_id", "text_hash", F.transform("found", lambda x: F.struct((F.col("at") + x["first"]).alias("a"), (F.col("at") + x["end"] - 1 + window).alias("b"))).alias("s"))
-    return spans.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
+    sharded = map_batches(docs, segments, "shard long, segment binary, n long").repartition("shard").sortWithinPartitions("shard", "segment")
+    found = map_batches(sharded, search, "digest binary, first int, end int").groupBy("digest").agg(F.collect_list(F.struct("first", "end")).alias("found"))
+    at = map_batches(docs, places, "document binary, at int, digest binary")
+    spans = at.join(found, "digest").select("document", F.transform("found", lambda x: F.struct((F.col("at") + x["first"]).alias("a"), (F.col("at") + x["end"] - 1 + window).alias("b"))).alias("s"))
+    return spans.groupBy("document").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -259,21 +318,21 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     else, in the same document or another. Null and empty texts have no words; texts of fewer words lose none;
     repeated rows are each other's repeats. Columns of the three names are replaced, others stay."""
     kept = docs.drop("n_words", "n_removed", "kept_text", "_spans", "_hash")
-    spans = repeated_spans(kept, window).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_th"), "spans")
+    spans = repeated_spans(kept, window).withColumnsRenamed({"document": "_doc", "spans": "_spans"})
     names = kept.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def mark(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(t) for t in texts(b)], pa.binary())], names=[*names, "_hash"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([document_key(i, t) for i, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), texts(b))], pa.binary())], names=[*names, "_hash"])
 
     marked = map_batches(kept, mark, f"{schema}, _hash binary")
-    joined = marked.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_th")), "left").drop("_doc", "_th", "_hash")
+    joined = marked.join(spans, F.col("_hash") == F.col("_doc"), "left").drop("_doc", "_hash")
 
     def cut(batches):
         for b in batches:
             n_words, n_removed, out = [], [], []
-            for t, found in zip(texts(b), b.column(b.schema.get_field_index("spans")).to_pylist()):
+            for t, found in zip(texts(b), b.column(b.schema.get_field_index("_spans")).to_pylist()):
                 words = t.split()
                 if found:
                     edge = np.zeros(len(words) + 1, np.int64)
