@@ -21,19 +21,17 @@ import codecs
 import hashlib
 import heapq
 import json
-import unicodedata
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from docketlake.llm.common import BLANKS, chunks, map_batches, table, texts
 
 WORD_END = "</w>"
-#: Pre-tokens of word_bpe_49k.json (fixed value).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_letters() -> list[str]:
@@ -60,8 +58,10 @@ class MergeList:
         self.rules: dict[tuple[int, int], tuple[int, int]] = {}
         self.sizes = dict.fromkeys(self.inner + self.final, 1)
         self.lookahead = self._lookahead(merges)
-        self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pre_token = regex.compile(PRE_TOKEN)
+        self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        # what the file says of letters, for texts that the byte rules of ``Texts`` don't cover
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+        self.cut = pre_tokenizers.Split(Regex(whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
         self.decimals = [str(i).encode() for i in range(max(self.tokens) + 1)]
         self.names = [self.tokens.get(i, "").encode() for i in range(max(self.tokens) + 1)]
         self.inner_of, self.final_of = np.array(self.inner), np.array(self.final)
@@ -437,10 +437,7 @@ class Texts:
         m, out, at = self.merges, [], 0
 
         def plain(x: str) -> None:
-            x = unicodedata.normalize("NFC", x)
-            # one letter at a time where the lower case depends on what stands around
-            x = "".join(c.lower() for c in x) if "Σ" in x else x.lower()
-            parts = [p.encode() for p in m.pre_token.findall(x)]
+            parts = [p.encode() for p, _ in m.cut.pre_tokenize_str(m.normal.normalize_str(x))]
             if parts:
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
                 ids, _ = self._encode(np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum(sizes)[:-1]])
