@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def change_status(snapshots: DataFrame, target: str, order: str, content: str) -> DataFrame:
@@ -17,7 +18,7 @@ def change_status(snapshots: DataFrame, target: str, order: str, content: str) -
     return hashed.withColumn("change", F.when(prev.isNull(), "baseline").when(prev == F.col("content_hash"), "unchanged").otherwise("modified"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Three lines of context around each change."""
     return pd.Series(["\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "previous", "current", lineterm="", n=3)) for a, b in zip(before, after)])

@@ -60,7 +60,8 @@ def sql_regex(patterns, c="text", flags="") -> str:
 
 SQL_WORDS = r"(CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) END)"
 PROBE = ["the", "er", "ing", "de", "ción"]
-ERROR = F.col("event_type") == "error"
+def failed():
+    return F.col("event_type") == "error"
 
 
 def documents(spark, d):
@@ -68,7 +69,7 @@ def documents(spark, d):
 
 
 def sessions(spark, d):
-    return read(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("source_id"), F.col("event_type").alias("method"), (~ERROR).alias("success"), F.col("value").alias("items"), F.col("props"))
+    return read(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("source_id"), F.col("event_type").alias("method"), (~failed()).alias("success"), F.col("value").alias("items"), F.col("props"))
 
 
 def last_time(events, column="ts"):
@@ -495,5 +496,5 @@ def positional_pairs(spark, d):
 @query(f"""WITH s AS (SELECT user_id AS source_id, count(*) AS sessions, count(*) FILTER (event_type <> 'error') / count(*) AS success_rate, count(*) FILTER (value < 1) AS weak_patterns FROM events GROUP BY 1)
     SELECT source_id, 'high' AS priority, 'data_collection' AS action FROM s WHERE sessions < 5 UNION ALL SELECT source_id, 'medium', 'optimisation' FROM s WHERE weak_patterns > 0 UNION ALL SELECT source_id, 'medium', 'opportunity' FROM s WHERE sessions >= 5 AND success_rate < 0.7""")
 def pattern_recommendations(spark, d):
-    s = read(spark, d, "events").groupBy(F.col("user_id").alias("source_id")).agg(F.count("*").alias("sessions"), (F.count_if(~ERROR) / F.count("*")).alias("success_rate"), F.count_if(F.col("value") < 1).alias("weak_patterns"))
+    s = read(spark, d, "events").groupBy(F.col("user_id").alias("source_id")).agg(F.count("*").alias("sessions"), (F.count_if(~failed()) / F.count("*")).alias("success_rate"), F.count_if(F.col("value") < 1).alias("weak_patterns"))
     return L.recommendations(s)
