@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketlake import dictionaries as D
+from docketlake.functions import model as N
 from docketlake.functions import scoring as S
 from docketlake.functions import text as X
 from docketlake.functions import urls as U
 from docketlake.functions import validate as V
 from docketlake.operators import changes as C
+from docketlake.operators import documents as P
 from docketlake.operators import learning as L
 from docketlake.operators import monitoring as M
 from docketlake.operators import search as Q
+from docketlake.operators import sinks as W
 from docketlake.operators import workflow as K
 from docketlake.sources import html as H
 from docketlake.sources.tables import read
@@ -498,3 +501,93 @@ def positional_pairs(spark, d):
 def pattern_recommendations(spark, d):
     s = read(spark, d, "events").groupBy(F.col("user_id").alias("source_id")).agg(F.count("*").alias("sessions"), (F.count_if(~failed()) / F.count("*")).alias("success_rate"), F.count_if(F.col("value") < 1).alias("weak_patterns"))
     return L.recommendations(s)
+
+
+PROBE_TYPES = {"a": ["the", "ing"], "b": ["de", "la"], "c": ["er"]}
+SQL_FRAMEWORKS = ", ".join(f"CASE WHEN {sql_present([w.lower() for w in ws], 'lower(html)')} > 0 THEN '{name}' END" for name, ws in D.FRAMEWORKS.items())
+
+
+@query(f"""SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'other' WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS label
+    FROM (SELECT doc_id, {sql_keywords(PROBE_TYPES['a'])} AS a, {sql_keywords(PROBE_TYPES['b'])} AS b, {sql_keywords(PROBE_TYPES['c'])} AS c FROM documents)""")
+def document_labels(spark, d):
+    return documents(spark, d).select("doc_id", X.best_label(F.col("text"), PROBE_TYPES, "other").alias("label"))
+
+
+@query(f"""SELECT page_id, array_to_string(list_filter([{SQL_FRAMEWORKS}], lambda x: x IS NOT NULL), ',') AS frameworks FROM pages""")
+def page_frameworks(spark, d):
+    return read(spark, d, "pages").select("page_id", F.array_join(X.labels_present(F.col("html"), D.FRAMEWORKS), ",").alias("frameworks"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(l, '\.pdf') THEN 'pdf' WHEN regexp_matches(l, '\.docx?') THEN 'word' WHEN regexp_matches(l, 'regulation|act|bill|law') THEN 'legal' WHEN regexp_matches(l, 'archive|historical|past') THEN 'archive' ELSE 'general' END AS type,
+    round(0.5 + CASE WHEN regexp_matches(l, '\.gov|\.europa\.eu|\.gc\.ca') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(l, 'parliament|legislation|regulation|law') THEN 0.2 ELSE 0 END, 6) AS complexity FROM (SELECT page_id, lower(url) AS l FROM pages)""")
+def url_types(spark, d):
+    u = F.col("url")
+    return read(spark, d, "pages").select("page_id", U.link_type(u).alias("type"), F.round(U.complexity(u), 6).alias("complexity"))
+
+
+@query(f"""SELECT doc_id, {SQL_WORDS}::BIGINT AS n_words, length(text) AS n_chars, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p) <> ''))::BIGINT AS n_paragraphs FROM documents""")
+def text_statistics(spark, d):
+    t = F.col("text")
+    return documents(spark, d).select("doc_id", X.word_count(t).alias("n_words"), F.length(t).alias("n_chars"), X.paragraph_count(t).alias("n_paragraphs"))
+
+
+@query("SELECT o_orderkey AS job_id FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n <= 7")
+def admitted_jobs(spark, d):
+    """Seven places are free (the operator's number)."""
+    return K.admitted(read(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created_at")), 7).select("job_id")
+
+
+@query("SELECT min(doc_id) AS item_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY text")
+def unseen_documents(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", F.sha2(F.col("text").cast("binary"), 256).alias("url"))
+    return M.unseen(docs, docs.where("source = 'src0'")).select("item_id")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+def upserted_customers(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return L.upsert(c, c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("new")), "c_custkey")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1")
+def cascaded_lines(spark, d):
+    """Line items that stay when finished orders go."""
+    gone = read(spark, d, "orders").where("o_orderstatus = 'F'")
+    return W.cascade(read(spark, d, "lineitem"), gone, "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE walk(start, url, n) AS (SELECT c_custkey, c_custkey, 1 FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT start, url + 7, n + 1 FROM walk WHERE n < 10 AND url + 7 <= (SELECT max(c_custkey) FROM customer))
+    SELECT start, url, n FROM walk""")
+def followed_pages(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("url"))
+    top = c.agg(F.max("url")).first()[0]
+    links = c.select("url", F.when(F.col("url") + 7 <= top, F.col("url") + 7).alias("next_url"))
+    return P.follow_pages(links, c.where("url % 50 = 0"), 10)
+
+
+@query("SELECT conv_id, count(*)::INT AS n_pages, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, coalesce(text, '')) AS text FROM conversations GROUP BY conv_id")
+def merged_turns(spark, d):
+    return P.merged_pages(read(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "n_pages", "text")
+
+
+@query()
+def document_identity(spark, d):
+    i = P.identity(F.lit(""), F.col("text"), F.col("source"))
+    return documents(spark, d).select("doc_id", i.alias("i")).select("doc_id", "i.*")
+
+
+@query()
+def rule_classification(spark, d):
+    c = N.classification(N.rule_scorer(F.col("text")))
+    return documents(spark, d).select("doc_id", c.alias("c")).groupBy("c.category", "c.impact").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, count(*) AS n, bool_and(lang IN ('en', 'es', 'fr', 'de')) AS known FROM documents GROUP BY lang")
+def languages(spark, d):
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.every(V.known_language(F.col("lang"))).alias("known"))
+
+
+@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 20 THEN 'fail' WHEN avg(value) >= 60 THEN 'complete' ELSE 'retry' END AS action FROM events GROUP BY user_id""")
+def source_actions(spark, d):
+    errors = F.count_if(failed())
+    return read(spark, d, "events").groupBy("user_id").agg(F.when(errors > 20, "fail").when(F.avg("value") >= 60, "complete").otherwise("retry").alias("action"))

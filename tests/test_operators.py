@@ -6,8 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docketlake.functions import model
 from docketlake.functions import text as X
-from docketlake.operators import changes, learning, monitoring, search, sinks, workflow
+from docketlake.operators import changes, documents, learning, monitoring, search, sinks, workflow
 from docketlake.sources import feeds, html, tables
 from docketlake.streaming import messages
 
@@ -167,3 +168,24 @@ def test_messages(spark, tmp_path):
 
 def test_micros(spark):
     assert spark.range(1).select(X.micros(F.lit("1970-01-01 00:00:01"))).first()[0] == 1_000_000
+
+
+def test_replies(spark):
+    good, bare, none = '```json\n{"category": "food", "confidence": 0.9, "impact": "high",}\n```', "{category: 'odd', impact: 'low'}", "no object"
+    got = [tuple(r["c"]) for r in spark.createDataFrame([(0, good), (1, bare), (2, none), (3, None)], "i int, t string").select("i", model.classification(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got == [("food", 0.9, "high"), ("not_product_compliance", 0.5, "low"), ("not_product_compliance", 0.5, "informational"), ("not_product_compliance", 0.5, "informational")]
+    reply = spark.range(1).select(model.rule_scorer(F.lit("Recall: food ban, immediate"))).first()[0]
+    assert json.loads(reply) == {"category": "food", "confidence": 0.8, "impact": "critical"}
+
+
+def test_documents(spark):
+    i = spark.range(1).select(documents.identity(F.lit("Act No. 12/2020"), F.lit("enacted 5 May 2020"), F.lit("https://a.gov/x")).alias("i")).first()["i"]
+    assert tuple(i) == ("12/2020", "5 May 2020", "us", "act", "enacted")
+    lacks = documents.issues(F.lit(10), F.lit(0), F.lit(5), F.lit(True), F.lit(False), F.lit(True))
+    assert spark.range(1).select(documents.advice(lacks)).first()[0] == ["follow links", "extract structure again", "look up metadata"]
+    assert spark.range(1).select(documents.plan_minutes(F.array(F.lit("pdf_extraction"), F.lit("odd")))).first()[0] == 11
+    assert spark.range(1).select(documents.document_estimate(F.lit(3), F.lit(7), F.lit(0))).first()[0] == 9
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "url string, next_url string")
+    assert values(documents.follow_pages(links, links.where("url = 'a'").select("url")), "url", "n") == [("a", 1), ("b", 2), ("c", 3)]
+    words = spark.createDataFrame([("i", 1, 2, "b", 90), ("i", 1, 1, "a", 80), ("i", 1, 3, " ", 99), ("i", 2, 1, "z", 0)], "image string, line_num int, word_num int, text string, conf int")
+    assert values(documents.ocr_lines(words), "line", "confidence") == [("a b", 85.0)]
