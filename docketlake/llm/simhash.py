@@ -25,18 +25,26 @@ BITS = 64
 CHANCE = 8
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """64-bit SimHash over the XXH64 (seed 42) of word shingles, repeats included; no words: zero."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included, as big-endian numbers; a text of fewer words is one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     n = max(1, len(words) - shingle + 1)
     starts = np.r_[0, ends[:-1]][:n].tolist()
     stops = (ends[-n:] - 1).tolist() if n > 1 or len(words) >= shingle else [len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops)), ">u8", n)
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops)), ">u8", n)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """64-bit SimHash over the shingle hashes, repeats included; no words: zero."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 4096):  # bounded memory for long texts
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -236,5 +244,117 @@ def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
     return stay.unionByName(whole.where(F.col("doc_id").isNull())).drop("_fp").select(*docs.drop("_fp").columns)
 
 
+#: Min-hashes of a band, and bands: all bands of a pair of similarity 0.8 differ with a chance of 0.02 %.
+ROWS, BANDS = 5, 22
+_RANDOM = np.random.default_rng(42)
+MASKS, ODD, MIX = (_RANDOM.integers(0, 1 << 64, n, np.uint64) | np.uint64(1) for n in (ROWS * BANDS, ROWS * BANDS, ROWS))
+BAND_SALT = _RANDOM.integers(0, 1 << 64, BANDS, np.uint64)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes, in order."""
+    return np.unique(shingle_hashes(text, shingle).astype(np.uint64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One number per band from the set's least values under ``ROWS`` hash functions; none for an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 512):
+        np.minimum(least, ((found[at : at + 512, None] ^ MASKS) * ODD).min(0), out=least)
+    return ((least.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) ^ BAND_SALT).view(np.int64)
+
+
+def set_keys(docs: DataFrame, shingle: int, bands: bool = False) -> DataFrame:
+    """``docs`` with ``_key``, a 64-bit hash of the shingle set; if asked, also ``_size`` of the set and its ``_bands``."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_key long", *(["_size long", "_bands array<long>"] if bands else [])])
+
+    def run(batches):
+        for b in batches:
+            keys, sizes, held = [], [], []
+            for at in range(0, b.num_rows, 256):
+                for t in texts(b.slice(at, 256)):
+                    found = shingle_set(t, shingle)
+                    keys.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                    if bands:
+                        sizes.append(len(found))
+                        held.append(band_keys(found))
+            more = [pa.array(np.array(keys, np.uint64).view(np.int64))]
+            if bands:
+                more += [pa.array(sizes, pa.int64()), pa.array(held, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "_key", "_size", "_bands"][: b.num_columns + len(more)])
+
+    return map_batches(docs, run, schema)
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have a Jaccard similarity of at least ``similarity``."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose shingle sets are similar enough, by the texts of the nodes' first documents."""
+    pairs = pairs.checkpoint()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct().join(nodes.select("_key", F.col("least").alias("doc_id")), "_key")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = set_keys(some, shingle).join(wanted, ["doc_id", "_key"], "left_semi").dropDuplicates(["_key"]).select("_key", "text").checkpoint()
+    joined = pairs.join(found.select(F.col("_key").alias("a"), F.col("text").alias("_a")), "a").join(found.select(F.col("_key").alias("b"), F.col("text").alias("_b")), "b")
+
+    def run(batches):
+        key, last = None, None
+        for b in batches:
+            keep = []
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for of, x, y in zip(part.column(1).to_pylist(), texts(part, "_a"), texts(part, "_b")):
+                    if of != key:  # pairs of a hub mostly come together
+                        key, last = of, shingle_set(y, shingle)
+                    keep.append(alike(shingle_set(x, shingle), last, similarity))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(joined.select("a", "b", "_a", "_b"), run, "a long, b long").checkpoint()
+
+
+def similar_sets(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of the ``nodes`` (_key, least, _size, _bands) that are linked to others: the components of all
+    pairs that share a band and are similar enough.
+
+    First each node is compared with the least of its band; then, of what shares a band, all pairs that this left
+    in different components. So a large group of near copies takes few comparisons, and no pair is left out."""
+    dealt = nodes.select("_key", "_size", F.explode("_bands").alias("band"))
+    hubs = dealt.groupBy("band").agg(F.min(F.struct("_key", "_size")).alias("h"), F.count("*").alias("n")).where("n > 1").select("band", F.col("h._key").alias("hub"), F.col("h._size").alias("hub_size"))
+    met = dealt.join(hubs, "band").checkpoint()
+
+    def fits(x: str, y: str):
+        return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+
+    to_hub = met.where((F.col("_key") != F.col("hub")) & fits("_size", "hub_size")).select(F.col("_key").alias("a"), F.col("hub").alias("b")).distinct()
+    roots = components(confirmed(to_hub, nodes, docs, shingle, similarity))
+    placed = met.join(roots, met["_key"] == roots["node"], "left").select("band", "_key", "_size", "hub", F.coalesce("root", "_key").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    placed = placed.where("_key != hub").join(mixed, "band").checkpoint()
+    other = placed.select("band", F.col("_key").alias("b"), F.col("_size").alias("b_size"), F.col("root").alias("b_root"))
+    rest = placed.join(other, "band").where((F.col("_key") < F.col("b")) & (F.col("root") != F.col("b_root")) & fits("_size", "b_size"))
+    more = confirmed(rest.select(F.col("_key").alias("a"), "b").distinct(), nodes, docs, shingle, similarity)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: of documents linked by a Jaccard similarity of at least ``similarity`` between
+    their shingle sets, the one of smallest doc_id (of rows that repeat it, one). Texts without words are alike. Rows
+    without a doc_id stay. Columns stay as they are."""
+    shared_folder(docs.sparkSession)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    nodes = set_keys(source, shingle, bands=True).drop("text").groupBy("_key").agg(F.min("doc_id").alias("least"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands")).checkpoint()
+    roots = similar_sets(nodes, docs, shingle, similarity)
+    of = nodes.join(roots, nodes["_key"] == roots["node"], "left").select("least", "_key", F.coalesce("root", "_key").alias("root"))
+    kept = of.groupBy("root").agg(F.min(F.struct("least", "_key")).alias("k")).select(F.col("k.least").alias("doc_id"), F.col("k._key").alias("_key"))
+    whole = set_keys(docs.drop("_key").where(F.col("doc_id").isNotNull()), shingle)
+    stay = whole.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return stay.unionByName(docs.drop("_key").where(F.col("doc_id").isNull())).select(*docs.drop("_key").columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, budget=2)

@@ -88,3 +88,19 @@ def base_rules(text):
     covered = {i + k for i, x in enumerate(tri) if n[x] > 1 for k in range(3)}
     lines = [x for x in t.split("\n") if WORDS.search(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def similar_roots(texts, k=5, least=0.8):
+    """texts: doc_id to text. Smallest doc_id reachable over exact Jaccard similarities of ``least`` or more."""
+    sets = {}
+    for i, t in texts.items():
+        w = words((t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+    for i, x in sets.items():
+        for j, y in sets.items():
+            both = len(x & y)
+            if i < j and root[i] != root[j] and both >= least * (len(x) + len(y) - both):
+                a, b = sorted((root[i], root[j]))
+                root = {n: a if r == b else r for n, r in root.items()}
+    return root

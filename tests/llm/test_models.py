@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 import corpus_pipeline
 from docketlake.llm import neighbours, quality, queries, toxicity
 
@@ -131,6 +132,24 @@ def test_near_duplicate_stage_keeps_one(spark, cluttered, sf_dir):
     assert sum(r["text"] == "exactly the same document text again" for r in kept) == 1
 
 
+def test_near_duplicate_stage_is_exact(spark, sf_dir):
+    r = random.Random(5)
+    docs = []
+    for _ in range(40):
+        base = [f"w{r.randrange(500)}" for _ in range(r.choice([8, 60, 300]))]
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(r.randrange(len(base) // 25 + 2)):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(500)}"
+            docs.append(" ".join(copy))
+    r.shuffle(docs)
+    table = dict(enumerate(docs)) | {1000: None, 1001: "", 1002: "two words", 1003: "Two  words"}
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(list(table.items()), "doc_id long, text string"), sf_dir)
+    roots = brute.similar_roots(table)
+    assert 40 < len(set(roots.values())) < 200
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(roots.values()))
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name):
     key = "query_id" if "neighbours" in name else "doc_id"
