@@ -9,7 +9,8 @@ towards it.
 
 A toxic text is ordinary text with some toxic words: a word's likelihood in it is ``1 - MIXED`` parts ordinary and
 ``MIXED`` parts toxic. The log ratio of both likelihoods, divided by the number of words, is the evidence; scoring
-looks up each n-gram's log p(toxic) - log p(ordinary) in an array of fixed size. The score is the probability that a
+looks up each n-gram's log p(toxic) - log p(ordinary) by its exact number. An n-gram never met takes the ratio of the
+back-off masses that the classes leave after its context, since both multiply one shared probability. The score is the probability that a
 logistic calibration gives, fitted on labelled documents that were not counted.
 """
 
@@ -26,8 +27,6 @@ from docketlake.llm.common import held_out, map_batches, shared_folder, table, t
 
 ORDER, DISCOUNT = 6, 0.75
 SHRINK, MIXED = 5.0, 0.001
-#: Buckets of the array that scoring looks into.
-GRAM_BITS = 22
 #: Labelled documents that the calibration reads at most, by the order of a hash of doc_id.
 CALIBRATED = 20_000
 SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
@@ -51,8 +50,14 @@ def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[word], (np.cumsum(begins & word) - 1)[word]
 
 
-def buckets(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+def look_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of ``keys`` in a table of sorted keys and values, 0 where there is none; and which are there."""
+    held, values = table
+    if not len(held):
+        return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    met = held[at] == keys
+    return np.where(met, values[at], np.float32(0)), met
 
 
 def class_counts(marked: DataFrame) -> DataFrame:
@@ -97,17 +102,20 @@ def shared_model(counts: DataFrame, n_parts: int) -> tuple[DataFrame, list[DataF
 
 
 class ToxicityModel:
-    """The array for scoring, and the calibration."""
+    """The tables for scoring, of n-grams and of contexts (sorted keys, log ratios), and the calibration."""
 
-    def __init__(self, ratios: np.ndarray, calibration: np.ndarray | None = None):
-        self.ratios, self.calibration = ratios, calibration
+    def __init__(self, ratios: tuple[np.ndarray, np.ndarray], backoff: tuple[np.ndarray, np.ndarray], calibration: np.ndarray | None = None):
+        self.ratios, self.backoff, self.calibration = ratios, backoff, calibration
 
     def evidence(self, text: bytes) -> tuple[float, int]:
         """Mean over the words of the log likelihood ratio, and the number of words."""
         g, word = grams(text)
         if not len(g):
             return 0.0, 0
-        ratio = np.bincount(word, self.ratios[buckets(g, GRAM_BITS)])
+        found, met = look_up(g, self.ratios)
+        if len(new := np.flatnonzero(~met)):
+            found[new] = look_up(g[new] >> 8, self.backoff)[0]
+        ratio = np.bincount(word, found)
         mixed = np.log1p(MIXED * np.expm1(np.minimum(ratio, 20)))
         return float(mixed.mean()), len(mixed)
 
@@ -121,9 +129,9 @@ class ToxicityModel:
         return np.where(x[:, 3] > 0, np.round(s, 9), 0.0)
 
 
-def ratio_array(counts: DataFrame) -> np.ndarray:
-    """log p(toxic) - log p(ordinary) by bucket of the n-gram; 0 for those never met. Of n-grams that share a bucket
-    the weighted mean holds; at most 2 ** GRAM_BITS rows reach the driver."""
+def ratio_tables(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """log p(toxic) - log p(ordinary) of each n-gram met, and of the back-off masses of each context: sorted keys and
+    values. All of both reach the driver, 12 bytes a row."""
     n_parts = counts.count() // PARTITION_ROWS + 1
     counts = counts.coalesce(n_parts)
     contexts = counts.groupBy(F.shiftright("g", 8).alias("h")).agg(
@@ -134,19 +142,22 @@ def ratio_array(counts: DataFrame) -> np.ndarray:
 
     shared, held = shared_model(counts, n_parts)
     joined = counts.withColumn("h", F.shiftright("g", 8)).join(contexts, "h").coalesce(n_parts).join(shared, "g").coalesce(n_parts)
-    seen = joined.select("g", (F.col("tox") + F.col("ord")).alias("n"), F.log(chance("tox", "nt", "ct") / chance("ord", "no", "co")).alias("r"))
+    seen = joined.select("g", F.log(chance("tox", "nt", "ct") / chance("ord", "no", "co")).cast("float").alias("r"))
 
-    def run(batches):
-        for b in batches:
-            g, n, r = (c.to_numpy() for c in b.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets(g, GRAM_BITS)), pa.array(n), pa.array(n * r)], names=["bucket", "n", "r"])
+    def mass(kinds, total):
+        return (DISCOUNT * F.col(kinds) + SHRINK) / (F.col(total) + SHRINK)
+
+    left = contexts.select(F.col("h").alias("g"), F.log(mass("nt", "ct") / mass("no", "co")).cast("float").alias("r"))
+
+    def sorted_table(rows):
+        found = rows.toArrow()
+        keys, values = found["g"].to_numpy(), np.round(found["r"].to_numpy(), 4).astype(np.float32)
+        order = np.argsort(keys)
+        return keys[order], values[order]
 
-    sums = map_batches(seen, run, "bucket long, n long, r double").groupBy("bucket").agg((F.sum("r") / F.sum("n")).cast("float").alias("r"))
-    found = sums.toArrow()
+    out = sorted_table(seen), sorted_table(left)
     for level in held:
         level.unpersist()
-    out = np.zeros(1 << GRAM_BITS, np.float32)
-    out[found["bucket"].to_numpy()] = np.round(found["r"].to_numpy(), 4)
     return out
 
 
@@ -168,7 +179,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, calibrated: int = CALIBRATE
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(4)) == 0
     marked = with_label(docs, labels.where(~part), "toxic").where(F.col("toxic").isNotNull())
     counts = class_counts(marked).checkpoint()
-    model = ToxicityModel(ratio_array(counts))
+    model = ToxicityModel(*ratio_tables(counts))
     chosen = labels.where(part).orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(calibrated)
 
     def inputs(batches):

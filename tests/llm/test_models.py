@@ -74,6 +74,22 @@ def test_shared_model_sums_to_one(spark):
     assert all(0 < r["p"] <= 1 for r in rows)
 
 
+def test_toxicity_ratios_are_exact(spark):
+    docs = spark.createDataFrame([("grukk grukk abra", 1), ("abra cadabra abra", 0)], "text string, toxic int")
+    rows = {r["g"]: (r["tox"], r["ord"]) for r in toxicity.class_counts(docs).collect()}
+    (keys, _), (contexts, left) = ratios = toxicity.ratio_tables(toxicity.class_counts(docs))
+    assert keys.tolist() == sorted(rows) and contexts.tolist() == sorted({g >> 8 for g in rows})
+    for h, r in zip(contexts.tolist(), left.tolist()):
+        t, o = ([c[k] for g, c in rows.items() if g >> 8 == h and c[k]] for k in (0, 1))
+        t, o = ((toxicity.DISCOUNT * len(c) + toxicity.SHRINK) / (sum(c) + toxicity.SHRINK) for c in (t, o))
+        assert r == pytest.approx(np.log(t / o), abs=1e-3)
+    # after the context of "gruk" an unseen byte takes the context's back-off, not a stranger's ratio
+    unseen = toxicity.grams(b"grukz")[0][4:5]
+    model = toxicity.ToxicityModel(*ratios)
+    assert not toxicity.look_up(unseen, model.ratios)[1].any() and toxicity.look_up(unseen >> 8, model.backoff)[0][0] != 0
+    assert model.evidence(b"gruk")[0] > model.evidence(b"zzzz")[0]
+
+
 def exact(rows, k):
     ok = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = []
