@@ -43,10 +43,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the one the session names, or a temporary one in tests."""
+    """Make sure that checkpoint() has a folder: the one the session names, or, in local mode alone, a temporary one.
+    What is written there stays until the session's owner clears it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "docketlake-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "docketlake-checkpoints"))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -64,6 +68,18 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores before each, as many as it takes to differ from all of ``names``."""
+    held, out = {n.lower() for n in names}, []
+    for w in wanted:
+        w = f"_{w}"
+        while w.lower() in held:
+            w = f"_{w}"
+        held.add(w.lower())
+        out.append(w)
+    return out
+
+
 def chunks(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
     """Groups of texts of about ``size`` bytes."""
     group, held = [], 0

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketlake.llm.common import BLANKS, chunks, map_batches, n_points, ship_package, table, texts
+from docketlake.llm.common import BLANKS, chunks, map_batches, n_points, shared_folder, ship_package, table, texts, unused
 
 SEGMENT_BITS = 16
 MIN_BITS, MAX_BITS, BITS_PER_DOC = 22, 29, 128
 BROADCAST_KEYS = 300_000
 #: A hash met so often in one call of add() is watched; of those met ``OFTEN`` times in a task the first are told.
 OFTEN_IN_GROUP, OFTEN, OFTEN_TOLD = 3, 32, 256
+#: Told hashes are added up in so many deals, which keep so many of them together.
+OFTEN_DEALS, OFTEN_KEPT = 1024, 65_536
 TASK_KEYS = 100_000
 
 
@@ -98,27 +100,32 @@ class SeenFilters:
 
 def twice_seen(docs: DataFrame, bits: int, hashes_of) -> tuple[bytes, np.ndarray]:
     """The twice-seen filter over all documents: ``2 ** bits`` bits, so at most 2 ** (MAX_BITS - 3) bytes. And the
-    hashes that tasks met very often (at most ``OFTEN_TOLD`` of each), by which callers split hot groups.
+    hashes that tasks met very often, by which callers split hot groups: each task tells at most ``OFTEN_TOLD``, their
+    counts are added up by hash, and the most frequent ``OFTEN_KEPT`` reach the driver.
 
-    hashes_of: from a text to the hashes that it adds."""
+    hashes_of: from some texts to the hashes that they add."""
 
     def note(batches):
         seen = SeenFilters(bits)
         for b in batches:
             for group in chunks(texts(b)):
-                seen.add(np.concatenate([hashes_of(t) for t in group]))
-        told = np.array([h for h, n in seen.often.most_common(OFTEN_TOLD) if n >= OFTEN], "<u8").tobytes()
-        for rows in batched(chain(seen.segments(), [(-1, told, b"")] if told else []), 512):
+                seen.add(hashes_of(group))
+        told: dict[int, list] = {}
+        for h, n in seen.often.most_common(OFTEN_TOLD):
+            if n >= OFTEN:
+                told.setdefault(-1 - h % OFTEN_DEALS, []).append((h, n))
+        for rows in batched(chain(seen.segments(), ((k, np.array(x, "<u8").tobytes(), b"") for k, x in told.items())), 512):
             number, once, twice = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["segment", "once", "twice"])
 
     def meet(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        told: set[int] = set()
+        told: dict[int, Counter] = {}
         for b in batches:
             for number, once, twice in zip(*(c.to_pylist() for c in b.columns)):
                 if number < 0:
-                    told.update(np.frombuffer(once, "<u8").tolist())
+                    for h, n in np.frombuffer(once, "<u8").reshape(-1, 2).tolist():
+                        told.setdefault(number, Counter())[h] += n
                     continue
                 one, two = held.setdefault(number, (np.zeros(1 << SEGMENT_BITS, bool), np.zeros(1 << SEGMENT_BITS, bool)))
                 once, twice = np.frombuffer(once, "<u2"), np.frombuffer(twice, "<u2")
@@ -126,8 +133,9 @@ def twice_seen(docs: DataFrame, bits: int, hashes_of) -> tuple[bytes, np.ndarray
                 two[twice] = True
                 one[once] = True
                 one[twice] = True
-        if told:
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array(sorted(told), "<u8").tobytes()], pa.binary())], names=["segment", "twice"])
+        for number, found in told.items():
+            most = [h for h, _ in found.most_common(OFTEN_KEPT // OFTEN_DEALS)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.array(most, "<u8").tobytes()], pa.binary())], names=["segment", "twice"])
         for number, (_, two) in held.items():
             if two.any():
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())], names=["segment", "twice"])
@@ -135,20 +143,20 @@ def twice_seen(docs: DataFrame, bits: int, hashes_of) -> tuple[bytes, np.ndarray
     noted = map_batches(docs.select("text"), note, "segment int, once binary, twice binary")
     met = map_batches(noted.repartition("segment"), meet, "segment int, twice binary")
     out, step = bytearray(1 << bits >> 3), 1 << SEGMENT_BITS >> 3
-    often = np.zeros(0, np.uint64)
+    often = [np.zeros(0, np.uint64)]
     for number, twice in met.toLocalIterator():
         if number < 0:
-            often = np.frombuffer(bytes(twice), "<u8")
+            often.append(np.frombuffer(bytes(twice), "<u8"))
             continue
         out[number * step : (number + 1) * step] = twice
-    return bytes(out), often
+    return bytes(out), np.concatenate(often)
 
 
 def frequent_keys(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> DataFrame:
     """Digest (SHA-256), number of documents and smallest doc_id of every line key found in ``min_docs`` documents."""
     bits = min(MAX_BITS, max(MIN_BITS, (docs.count() * BITS_PER_DOC).bit_length()))
     ship_package(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, lambda t: hash_keys(document_keys(t, min_points)))[0])
+    known = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, lambda group: hash_keys(k for t in group for k in document_keys(t, min_points)))[0])
 
     def suspects(batches):
         held = np.frombuffer(known.value, np.uint8)
@@ -202,8 +210,9 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1
     is one empty line, and stays null or empty; repeated rows count as documents of their own."""
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.drop("n_lines", "n_dropped", "_frequent")
-    keys = frequent_keys(docs, min_docs, min_points).persist()
+    shared_folder(spark)
+    docs = docs.drop("n_lines", "n_dropped")
+    keys = frequent_keys(docs, min_docs, min_points).checkpoint()
     names = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long, n_dropped long"])
 
@@ -223,7 +232,6 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1
     if keys.count() <= broadcast_keys:
         rows = {bytes(k): d for k, _, d in keys.toLocalIterator()}
         sent = spark.sparkContext.broadcast(rows)
-        keys.unpersist()
 
         def by_broadcast(batches):
             frequent = sent.value
@@ -240,11 +248,13 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1
     has = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), held, "doc_id long, key binary")
     # the filter leaves few of the documents' lines; AQE splits the joins' hot keys
     has = has.join(keys, "key").select("doc_id", F.struct("key", "first_doc").alias("k")).groupBy("doc_id").agg(F.collect_set("k").alias("_frequent"))
-    joined = docs.join(has.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    document, frequent = unused(names, "doc", "frequent")
+    has = has.withColumnsRenamed({"doc_id": document, "_frequent": frequent})
+    joined = docs.join(has, F.col("doc_id").cast("long").eqNullSafe(F.col(document)), "left").drop(document)
 
     def by_join(batches):
         for b in batches:
-            sets = [{bytes(x["key"]): x["first_doc"] for x in k or ()} for k in b.column(b.schema.get_field_index("_frequent")).to_pylist()]
+            sets = [{bytes(x["key"]): x["first_doc"] for x in k or ()} for k in b.column(b.schema.get_field_index(frequent)).to_pylist()]
             yield rewrite(b, (lambda i, d: (sets[i], _FirstIn(sets[i], d))) if keep_first else (lambda i, d: (sets[i], ())))
 
     return map_batches(joined, by_join, schema)

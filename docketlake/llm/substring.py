@@ -2,20 +2,25 @@
 
 1. Every window of ``window`` words has an anchor: of its ``ANCHOR``-word sequences that of least hash. Equal windows
    have equal anchors, so a twice-seen filter over these (see ``lines``) leaves the windows that may repeat; nothing
-   else leaves the map.
-2. Runs of such windows with the same anchor are segments. Equal segments are counted before the shuffle and after it,
-   so a passage that a third of the documents share is a row per task. Segments go to shards by their anchor; hot
-   anchors are split by that of greatest hash.
-3. A shard builds an FM-index (wavelet matrix over the word numbers, bit-packed, with popcount ranks) over its
-   segments, those that occur again twice, and streams them through backward search: matching statistics from the
-   right, in lockstep over the segments, with at least two occurrences. Intervals of ``window`` words and more are
-   reported.
-4. Reports join the places of their segments and then the documents, which drop the covered words.
+   else leaves the map. Words are hashed and windows anchored as arrays, many documents at a time.
+2. Runs of such windows with the same anchor are segments. One pass writes each segment once per stretch of a task,
+   with its count, and the place of each run: a passage that a third of the documents share is a row per task.
+   Segments go to shards by their anchor; hot anchors are split by that of greatest hash.
+3. A shard's segments that occur twice are repeated from end to end. For the others it builds an FM-index (wavelet
+   matrix over the word numbers, bit-packed, with popcount ranks) over its distinct segments and streams them through
+   backward search: matching statistics from the right, in lockstep over the segments, with at least two occurrences.
+   Intervals of ``window`` words and more are reported. So the index decides every window of a segment that no other
+   place has whole.
+4. A shard key of over ``SHARD_WORDS`` words isn't indexed in one place: its windows are counted by digest over all
+   tasks (the ``HOT_KEYS`` largest keys; the rest then hold less than a ``HOT_KEYS``-th of all words each).
+5. Reports join the places of their segments, the most frequent ones by broadcast, and then the documents, which drop
+   the covered words.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +28,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import map_batches, shared_folder, ship_package, table, texts
+from docketlake.llm.common import chunks, map_batches, shared_folder, ship_package, table, texts, unused
 from docketlake.llm.lines import MAX_BITS, MIN_BITS, SeenFilters, positions, twice_seen
 
 WINDOW, ANCHOR = 35, 16
 BITS_PER_DOC, SHARD_WORDS, TASK_BYTES = 1024, 400_000, 64_000_000
+#: Shard keys that are counted by windows, and segments whose places are met by broadcast, at most; a segment found
+#: in fewer places than ``HOT_PLACES`` is dealt by its digest.
+HOT_KEYS, HOT_SEGMENTS, HOT_PLACES = 100_000, 100_000, 256
+CHUNK = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-WORD_HASHES = WordHashes()
+#: A number for each byte at each place in a word; bytes from ``_LONG`` on share the last place's.
+_LONG = 32
+_TABLE = np.random.default_rng(42).integers(1, 1 << 63, (256, _LONG), np.uint64, endpoint=True)
+_TABLE[[32, 10]] = 0  # what stands between words
+_TABLE = _TABLE.ravel()
 
 
 def slide(x: np.ndarray, n: int, take) -> np.ndarray:
@@ -55,51 +54,78 @@ def slide(x: np.ndarray, n: int, take) -> np.ndarray:
     return take(held[: len(held) - (n - size)], held[n - size :]) if n > size else held
 
 
-def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchor sequences; for each window the least and the greatest. Empty for fewer words."""
-    if len(words) < window:
-        none = np.zeros(0, np.uint64)
-        return none, none, none
-    size = min(ANCHOR, window)
-    w = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
-    n = len(w) - size + 1
-    grams = np.zeros(n, np.uint64)
-    for k in range(size):
-        grams *= _BASE
-        grams += w[k : k + n]
-    grams ^= grams >> np.uint64(29)
-    grams *= np.uint64(0xBF58476D1CE4E5B9)
-    grams ^= grams >> np.uint64(32)
-    span = window - size + 1
-    return grams, slide(grams, span, np.minimum), slide(grams, span, np.maximum)
-
-
-def least_anchors(text: bytes, window: int) -> np.ndarray:
+class Windows:
+    """The windows of some texts, as arrays. Texts of fewer words have none and are left out.
+
+    ``blob``: the texts, words joined by one space, each text ended by a line feed. ``starts`` and ``ends`` are of its
+    words, ``first`` is each text's first word, ``of`` the text's number among those given."""
+
+    def __init__(self, found: list[bytes], window: int):
+        whole = [(i, b" ".join(w)) for i, w in ((i, t.split()) for i, t in enumerate(found)) if len(w) >= window]
+        self.window, self.size = window, min(ANCHOR, window)
+        self.span = window - self.size + 1
+        self.of = [i for i, _ in whole]
+        self.blob = b"\n".join([*(x for _, x in whole), b""])
+        data = np.frombuffer(self.blob, np.uint8)
+        self.ends = np.flatnonzero((data == 32) | (data == 10))
+        self.starts = np.r_[0, self.ends[:-1] + 1] if len(self.ends) else self.ends
+        stops = np.flatnonzero(data[self.ends] == 10) + 1
+        self.first = np.r_[0, stops[:-1]] if len(stops) else stops
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(self.starts, self.ends + 1 - self.starts).astype(np.int32)
+        np.minimum(place, _LONG - 1, out=place)
+        place += data.astype(np.int32) * _LONG
+        self.words = np.add.reduceat(_TABLE[place], self.starts) if len(data) else np.zeros(0, np.uint64)
+        self.n = len(self.words) - window + 1 if len(data) else 0
+        self.inside = np.ones(max(self.n, 0), bool)  # windows that lie in one text
+        for stop in stops[:-1].tolist():
+            self.inside[max(0, stop - window + 1) : stop] = False
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the anchor sequences, and the least of each window (0 for a window that isn't inside)."""
+        if self.n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        n = len(self.words) - self.size + 1
+        grams = np.zeros(n, np.uint64)
+        for k in range(self.size):
+            grams *= _BASE
+            grams += self.words[k : k + n]
+        grams ^= grams >> np.uint64(29)
+        grams *= np.uint64(0xBF58476D1CE4E5B9)
+        grams ^= grams >> np.uint64(32)
+        return grams, np.where(self.inside, slide(grams, self.span, np.minimum), np.uint64(0))
+
+    def segment(self, first: int, n: int) -> bytes:
+        """The words of ``n`` windows from window ``first`` on."""
+        return self.blob[self.starts[first] : self.ends[first + n + self.window - 2]]
+
+
+def least_anchors(found: list[bytes], window: int) -> np.ndarray:
     """The hash of each place that is the least anchor of some window, once per place."""
-    grams, least, _ = anchors(text.split(), window)
+    w = Windows(found, window)
+    grams, least = w.anchors()
     if not len(grams):
         return grams
-    span = window - min(ANCHOR, window) + 1
-    padded = np.r_[np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)]
-    return grams[slide(padded, span, np.maximum) == grams]
+    none = np.zeros(w.span - 1, np.uint64)
+    return grams[slide(np.r_[none, least, none], w.span, np.maximum) == grams]
 
 
-def suspect_runs(words: list[bytes], window: int, known: np.ndarray, bits: int, often: np.ndarray):
-    """(first window, number of windows, shard key) of maximal runs that may repeat. Their windows share the least
+def suspect_runs(w: Windows, known: np.ndarray, bits: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and shard key of maximal runs that may repeat. Their windows share the least
     anchor, and the greatest one too where the least is hot."""
-    _, least, greatest = anchors(words, window)
-    if not len(least):
-        return
-    maybe = SeenFilters.has(known, positions(least, bits))
-    if not maybe.any():
-        return
+    grams, least = w.anchors()
+    if not len(grams):
+        return (np.zeros(0, np.int64),) * 3
     keys = least
     if len(often) and (hot := np.isin(least, often)).any():
-        keys = np.where(hot, least ^ greatest * _BASE, least)
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ends = np.r_[at[1:], len(least)]
-    on = maybe[at]
-    yield from zip(at[on].tolist(), (ends - at)[on].tolist(), keys[at[on]].view(np.int64).tolist())
+        keys = np.where(hot, least ^ slide(grams, w.span, np.maximum) * _BASE, least)
+    begins = np.r_[True, keys[1:] != keys[:-1]]
+    begins[w.first[w.first < w.n]] = True
+    begins[1:] |= w.inside[1:] != w.inside[:-1]
+    at = np.flatnonzero(begins)
+    sizes = np.diff(np.r_[at, w.n])
+    on = w.inside[at]
+    on[on] = SeenFilters.has(known, positions(least[at[on]], bits))
+    return at[on], sizes[on], keys[at[on]].view(np.int64)
 
 
 def depth(longest: int) -> int:
@@ -180,15 +206,18 @@ class FMIndex:
 
 
 def repeated_windows(segments: list[list[bytes]], counts: list[int], window: int) -> list[list[tuple[int, int]]]:
-    """For each segment the intervals (first, end) of its windows that occur twice or more in all segments."""
+    """For each of the distinct segments the intervals (first, end) of its windows that occur twice or more in all."""
+    out: list[list[tuple[int, int]]] = [[(0, len(s) - window + 1)] if n > 1 else [] for s, n in zip(segments, counts)]
+    asked = [i for i, n in enumerate(counts) if n == 1]
+    if not asked:
+        return out
     number: dict[bytes, int] = {}
     ids = [np.fromiter((number.setdefault(w, len(number) + 1) for w in s), np.int64, len(s)) for s in segments]
     stop = np.zeros(1, np.int64)
-    text = np.concatenate([x for s, n in zip(ids, counts) for x in (s, stop, s, stop)[: 4 if n > 1 else 2]])
     longest = depth(window + 1)  # longer matches are cut and go on from their left end
-    index = FMIndex(text, longest)
+    index = FMIndex(np.concatenate([x for s in ids for x in (s, stop)]), longest)
+    ids = [ids[i] for i in asked]
     flat, starts = np.concatenate(ids), np.r_[0, np.cumsum([len(s) for s in ids])]
-    out: list[list[tuple[int, int]]] = [[] for _ in segments]
     seg = np.arange(len(ids))
     first, end = starts[:-1].copy(), starts[1:].copy()  # words left of ``end`` are searched
     p, lo, hi = end.copy(), np.zeros(len(ids), np.int64), np.full(len(ids), index.n)
@@ -203,7 +232,7 @@ def repeated_windows(segments: list[list[bytes]], counts: list[int], window: int
         if len(off):
             for i in off[end[off] - p[off] >= window].tolist():
                 base = starts[seg[i]]
-                out[seg[i]].append((int(p[i] - base), int(end[i] - window + 1 - base)))
+                out[asked[seg[i]]].append((int(p[i] - base), int(end[i] - window + 1 - base)))
             # the next window to decide is the last one that begins left of p
             end[off] = np.minimum(end[off] - 1, p[off] - 1 + window)
             p[off], lo[off], hi[off] = end[off], 0, index.n
@@ -223,91 +252,164 @@ def document_key(doc_id, text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b"%d:" % doc_id + text) if doc_id is not None else xxhash.xxh3_128_digest(b":" + text)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(document, spans): for documents with repeated windows, by ``document_key``, the intervals of words covered."""
-    shared_folder(docs.sparkSession)
-    ship_package(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def digest_of(segment: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(segment)
+
+
+SUSPECTS = "document binary, at int, digest binary, shard long, words int, segment binary, n long"
+FOUND = "digest binary, n long, firsts array<int>, ends array<int>"
+
+
+def suspects(docs: DataFrame, window: int) -> DataFrame:
+    """Places of suspected runs (document, at, digest), and segments (digest, shard, words, segment, n), in one table:
+    a row that has no segment is a place."""
     bits = min(MAX_BITS, max(MIN_BITS, (docs.count() * BITS_PER_DOC).bit_length()))
-    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, lambda t: least_anchors(t, window)))
+    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, lambda g: least_anchors(g, window)))
 
-    def runs(b):
-        """(number of the row, first window, segment, shard key)"""
+    def run(batches) -> Iterator[pa.RecordBatch]:
         known, often = np.frombuffer(sent.value[0], np.uint8), sent.value[1]
-        for i, t in enumerate(texts(b)):
-            words = t.split()
-            for a, n, key in suspect_runs(words, window, known, bits, often):
-                yield i, t, a, b" ".join(words[a : a + n + window - 1]), key
-
-    def segments(batches):
-        """Each distinct segment of the task (of a bounded stretch of it) once, with its number."""
-        held: Counter = Counter()
+        held: dict[bytes, list] = {}
         size = 0
 
+        def batch(place, segment):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*place[0], *[None] * len(segment[0])], pa.binary()), pa.array([*place[1], *[None] * len(segment[0])], pa.int32()), pa.array([*place[2], *segment[0]], pa.binary()),
+                 *(pa.array([*[None] * len(place[0]), *x], kind) for x, kind in zip(segment[1:], (pa.int64(), pa.int32(), pa.binary(), pa.int64())))],
+                names=["document", "at", "digest", "shard", "words", "segment", "n"],
+            )
+
         def flush():
-            keys, found = zip(*held) if held else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary()), pa.array(list(held.values()), pa.int64())], names=["shard", "segment", "n"])
+            return batch([[], [], []], [list(held), *zip(*held.values())])
 
         for b in batches:
-            for _, _, _, segment, key in runs(b):
-                held[key, segment] += 1
-                size += len(segment)
+            ids, first = b.column(0).to_pylist(), 0
+            for group in chunks(texts(b), CHUNK):
+                w = Windows(group, window)
+                at, sizes, keys = suspect_runs(w, known, bits, often)
+                text_of = np.searchsorted(w.first, at, "right") - 1
+                place: list[list] = [[], [], []]
+                last = key = None
+                for a, n, shard, i in zip(at.tolist(), sizes.tolist(), keys.tolist(), text_of.tolist()):
+                    if i != last:
+                        last, key, base = i, document_key(ids[first + w.of[i]], group[w.of[i]]), int(w.first[i])
+                    segment = w.segment(a, n)
+                    digest = digest_of(segment)
+                    for to, x in zip(place, (key, a - base, digest)):
+                        to.append(x)
+                    if (known_one := held.get(digest)) is not None:
+                        known_one[3] += 1
+                    else:
+                        held[digest] = [shard, n + window - 1, segment, 1]
+                        size += len(segment)
+                first += len(group)
+                if place[0]:
+                    yield batch(place, [[], [], [], [], []])
                 if size >= TASK_BYTES:
                     yield flush()
                     held.clear()
                     size = 0
-        yield flush()
+        if held:
+            yield flush()
+
+    return map_batches(docs, run, SUSPECTS)
 
-    def places(batches):
-        for b in batches:
-            ids, rows, last, key = b.column(0).to_pylist(), [], None, None
-            for i, t, a, segment, _ in runs(b):
-                if i != last:
-                    last, key = i, document_key(ids[i], t)
-                rows.append((key, a, xxhash.xxh3_128_digest(segment)))
-            doc, at, digest = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), pa.array(at, pa.int32()), pa.array(digest, pa.binary())], names=["document", "at", "digest"])
+
+def found_batch(rows: list[tuple[bytes, int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    columns = [d for d, _, _ in rows], [n for _, n, _ in rows], [[a for a, _ in x] for *_, x in rows], [[e for _, e in x] for *_, x in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", "n", "firsts", "ends"])
+
+
+def indexed(segments: DataFrame, window: int) -> DataFrame:
+    """Repeated intervals of windows of ``segments`` (digest, shard, segment, n), by an index per shard."""
 
     def search(batches):
         """Shard keys come in order, a key's equal segments one after the other; an index takes whole keys until it has
-        enough words. A key whose only segment occurs once, without repeats inside, can't repeat."""
+        enough words. A key of one segment needs none, but where a window may occur in the segment twice."""
         held: list[list] = []
         group: list[list] = []
+        whole: list[tuple] = []
         size, last = 0, None
 
         def close():
             nonlocal size
-            if len(group) > 1 or group and (group[0][1] > 1 or repeats_inside(group[0][0].split(), window)):
+            if len(group) == 1 and group[0][2] > 1:
+                whole.append((group[0][0], group[0][2], [(0, group[0][1].count(b" ") + 2 - window)]))
+            elif len(group) > 1 or group and repeats_inside(group[0][1].split(), window):
                 held.extend(group)
-                size += sum((s.count(b" ") + 2) * min(n, 2) for s, n in group)
+                size += sum(s.count(b" ") + 2 for _, s, _ in group)
             group.clear()
 
         def report():
-            found = repeated_windows([s.split() for s, _ in held], [n for _, n in held], window)
-            rows = [(xxhash.xxh3_128_digest(held[i][0]), a, e) for i, x in enumerate(found) for a, e in x]
-            digest, a, e = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(a, pa.int32()), pa.array(e, pa.int32())], names=["digest", "first", "end"])
+            nonlocal held, size, whole
+            found = repeated_windows([s.split() for _, s, _ in held], [n for *_, n in held], window) if held else []
+            rows = whole + [(d, n, x) for (d, _, n), x in zip(held, found) if x]
+            held, size, whole = [], 0, []
+            return found_batch(rows)
 
         for b in batches:
-            for key, segment, n in zip(*(c.to_pylist() for c in b.columns)):
-                if key != last:
+            for shard, digest, segment, n in zip(*(c.to_pylist() for c in b.columns)):
+                if shard != last:
                     close()
-                    if size >= SHARD_WORDS:
+                    if size >= SHARD_WORDS or len(whole) >= 10_000:
                         yield report()
-                        held, size = [], 0
-                    last = key
-                if group and group[-1][0] == segment:
-                    group[-1][1] += n
+                    last = shard
+                if group and group[-1][0] == digest:
+                    group[-1][2] += n
                 else:
-                    group.append([segment, n])
+                    group.append([digest, segment, n])
         close()
-        if held:
-            yield report()
+        yield report()
+
+    dealt = segments.select("shard", "digest", "segment", "n").repartition("shard").sortWithinPartitions("shard", "digest")
+    return map_batches(dealt, search, FOUND)
+
+
+def counted(segments: DataFrame, window: int) -> DataFrame:
+    """As ``indexed``, for shard keys too large for one index: windows are counted by their digest."""
+
+    def windows(batches):
+        for b in batches:
+            for digest, segment, n in zip(*(c.to_pylist() for c in b.columns)):
+                words = segment.split()
+                found = [digest_of(b" ".join(words[i : i + window])) for i in range(len(words) - window + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([digest] * len(found), pa.binary()), pa.array(range(len(found)), pa.int32()), pa.array([n] * len(found), pa.int64())], names=["window", "digest", "at", "n"])
 
-    sharded = map_batches(docs, segments, "shard long, segment binary, n long").repartition("shard").sortWithinPartitions("shard", "segment")
-    found = map_batches(sharded, search, "digest binary, first int, end int").groupBy("digest").agg(F.collect_list(F.struct("first", "end")).alias("found"))
-    at = map_batches(docs, places, "document binary, at int, digest binary")
-    spans = at.join(found, "digest").select("document", F.transform("found", lambda x: F.struct((F.col("at") + x["first"]).alias("a"), (F.col("at") + x["end"] - 1 + window).alias("b"))).alias("s"))
+    whole = segments.groupBy("digest").agg(F.first("segment").alias("segment"), F.sum("n").alias("n"))
+    held = map_batches(whole.select("digest", "segment", "n"), windows, "window binary, digest binary, at int, n long")
+    twice = held.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
+    firsts = held.join(twice, "window").groupBy("digest").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("at")).alias("firsts"))
+    return firsts.select("digest", "n", "firsts", F.transform("firsts", lambda x: x + 1).alias("ends"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    spark = df.sparkSession
+    place = f"{spark.sparkContext.getCheckpointDir()}/substring_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(document, spans): for documents with repeated windows, by ``document_key``, the intervals of words covered."""
+    shared_folder(docs.sparkSession)
+    ship_package(docs.sparkSession)
+    held = written(suspects(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window))
+    places, segments = held.where("segment IS NULL").select("document", "at", "digest"), held.where("segment IS NOT NULL").select("digest", "shard", "segment", "n")
+    sizes = held.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("words").alias("words")).where(F.col("words") > SHARD_WORDS)
+    large = written(sizes.orderBy(F.desc("words"), "shard").limit(HOT_KEYS).select("shard"))
+    n_large = large.count()
+    if n_large:
+        few = F.broadcast(large)
+        found = indexed(segments.join(few, "shard", "left_anti"), window).unionByName(counted(segments.join(few, "shard", "left_semi"), window))
+    else:
+        found = indexed(segments, window)
+    found = written(found)
+    # a digest has one row in found; the most frequent meet their places where these are
+    hot = found.where(F.col("n") >= HOT_PLACES).orderBy(F.desc("n"), "digest").limit(HOT_SEGMENTS)
+    few = F.broadcast(hot.select("digest"))
+    met = places.join(F.broadcast(hot), "digest").unionByName(places.join(few, "digest", "left_anti").join(found.join(few, "digest", "left_anti"), "digest"))
+    spans = met.select("document", F.zip_with("firsts", "ends", lambda a, e: F.struct((F.col("at") + a).alias("a"), (F.col("at") + e - 1 + window).alias("b"))).alias("s"))
     return spans.groupBy("document").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
 
 
@@ -316,23 +418,25 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A window is ``window`` consecutive words of one document; it is repeated if its word sequence starts anywhere
     else, in the same document or another. Null and empty texts have no words; texts of fewer words lose none;
-    repeated rows are each other's repeats. Columns of the three names are replaced, others stay."""
-    kept = docs.drop("n_words", "n_removed", "kept_text", "_spans", "_hash")
-    spans = repeated_spans(kept, window).withColumnsRenamed({"document": "_doc", "spans": "_spans"})
+    repeated rows are each other's repeats. Columns of the three names are replaced, others stay, whatever their
+    names."""
+    kept = docs.drop("n_words", "n_removed", "kept_text")
     names = kept.columns
+    key, document, covered = unused(names, "key", "document", "covered")
+    spans = repeated_spans(kept, window).withColumnsRenamed({"document": document, "spans": covered})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def mark(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([document_key(i, t) for i, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), texts(b))], pa.binary())], names=[*names, "_hash"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([document_key(i, t) for i, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), texts(b))], pa.binary())], names=[*names, key])
 
-    marked = map_batches(kept, mark, f"{schema}, _hash binary")
-    joined = marked.join(spans, F.col("_hash") == F.col("_doc"), "left").drop("_doc", "_hash")
+    marked = map_batches(kept, mark, f"{schema}, `{key}` binary")
+    joined = marked.join(spans, F.col(key) == F.col(document), "left").drop(document, key)
 
     def cut(batches):
         for b in batches:
             n_words, n_removed, out = [], [], []
-            for t, found in zip(texts(b), b.column(b.schema.get_field_index("_spans")).to_pylist()):
+            for t, found in zip(texts(b), b.column(b.schema.get_field_index(covered)).to_pylist()):
                 words = t.split()
                 if found:
                     edge = np.zeros(len(words) + 1, np.int64)
