@@ -45,11 +45,11 @@ def sample_features(docs: DataFrame, positives: DataFrame, n_positive: int, n_ot
 
     def make(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in features(texts(b)).astype(np.float16)], pa.binary())], names=["kind", "row"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in features(texts(b)).astype(np.float16)], pa.binary())], names=["doc_id", "kind", "row"])
 
-    # at most n_positive + n_other ids are broadcast; repeated ids give few rows more, cut again below
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "kind")
-    rows = map_batches(picked, make, "kind int, row binary").orderBy("kind", "row").limit(4 * (n_positive + n_other)).collect()
+    # at most n_positive + n_other ids are broadcast; each gives one row, however many rows repeat it
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text")
+    rows = map_batches(picked, make, "doc_id long, kind int, row binary").groupBy("doc_id", "kind").agg(F.min("row").alias("row")).select("kind", "row").orderBy("kind", "row").collect()
     width = len(SHAPE) + (1 << BITS)
     cut = [np.array([np.frombuffer(r, np.float16) for k, r in rows if k == kind], np.float32).reshape(-1, width) for kind in (1, 0)]
     return cut[0], cut[1]

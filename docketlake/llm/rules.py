@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import held_out, map_batches, table, texts, with_label
+from docketlake.llm.common import held_out, map_batches, shared_folder, table, texts, with_label
 from docketlake.llm.measures import base_measures, gram_groups, mean_weights
 
 ORDER, BITS, SMOOTHING = 4, 16, 0.5
@@ -58,6 +58,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, lost_share: float = LOST_
     trusted: (doc_id) of the trusted target. A null or empty text has no words and fails the base rules. Without
     trusted documents the ratio is no judge and the base rules decide. Other columns are not read; a doc_id that
     repeats is judged row by row."""
+    shared_folder(docs.sparkSession)
     marked = with_label(docs, trusted.select("doc_id", F.lit(1).alias("_trusted")), "_trusted").select("doc_id", "text", F.col("_trusted").isNotNull().alias("trusted"), (F.xxhash64("doc_id") % 2 == 0).alias("counted"))
     target, raw = gram_counts(marked.select("text", (F.col("trusted") & F.col("counted")).alias("trusted")))
     weights = log_ratio(target, raw)
@@ -70,7 +71,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, lost_share: float = LOST_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(base[:, k]) for k in range(5)), pa.array(llr)], names=["doc_id", "trusted", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
 
     rows = map_batches(marked.select("doc_id", "text", (F.col("trusted") & ~F.col("counted")).alias("trusted")), measure, "doc_id long, trusted boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double")
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).persist()
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).checkpoint()
     steps = rows.where("trusted and not base_failed").groupBy(F.floor(F.col("llr") / STEP).cast("long").alias("step")).count().collect()
     threshold = threshold_of({s: n for s, n in steps}, lost_share)
     kept = ~F.col("base_failed") & (F.floor(F.col("llr") / STEP) >= threshold)
