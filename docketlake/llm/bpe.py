@@ -11,8 +11,15 @@ transducer keeps the symbols not yet emitted, runs the merges on them and emits
 each token that ends at least ``lookahead`` symbols before what has been read, so
 its memory does not depend on the length of a word.
 
+A pre-token's end settles all its tokens, since no rule joins across it. So the
+transducer of a text (``Stream``) reads pieces, emits up to the last place that
+ends a pre-token whatever follows, and keeps the rest. What it emits at once is
+encoded in lockstep as arrays, one transducer for each pre-token; those read so
+far without an end emit by the lookahead. Texts of up to a piece are one piece.
+
 Decoder. Token ids go to the bytes they stand for, and a state machine turns
-bytes into text as soon as a character is complete.
+bytes into text as soon as a character is complete; it reads the ids of a piece
+at a time and carries an unfinished character over.
 """
 
 from __future__ import annotations
@@ -23,13 +30,14 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from docketlake.llm.common import BLANKS, chunks, map_batches, table, texts
+from docketlake.llm.common import BLANKS, map_batches, table, texts
 
 WORD_END = "</w>"
 
@@ -249,7 +257,7 @@ class Decoder:
         self.byte = {c: b for b, c in enumerate(byte_letters())}
 
     def feed_all(self, tokens: list[int]) -> str:
-        """As feed() for each."""
+        """As feed() for each: one step of the state machine over the bytes of all."""
         if self.byte_level or not tokens:
             return "".join(map(self.feed, tokens))
         data = b" " * (not self.first) + b" ".join(map(self.merges.names.__getitem__, tokens))
@@ -272,14 +280,15 @@ class Decoder:
 
 
 class Texts:
-    """Encodes whole texts, many at a time, with one transducer for each pre-token in lockstep.
+    """Encodes stretches of text, many at a time, with one transducer for each pre-token in lockstep.
 
     Bytes are classed and lowered as arrays. A pre-token of up to ``LONGEST`` bytes is looked up among those met last
-    by a 64-bit tabulation hash; new ones run through ``MergeList.merge_all``; longer ones through the streaming
-    ``Encoder``. Texts with letters that these rules don't cover (``odd``) are cut by the pattern itself. At most
-    ``LIMIT`` pre-tokens are kept and about 4 MB of text is in work at a time."""
+    by a 64-bit tabulation hash, and its bytes are compared; new ones run through ``MergeList.merge_flat``, which ends
+    them all; longer ones through ``Encoder``, which emits by the lookahead before they end. Texts with letters that
+    these rules don't cover (``odd``) are cut by the pattern itself. At most ``LIMIT`` pre-tokens are kept; a group
+    holds less than two pieces of text, which have fewer distinct ones."""
 
-    LIMIT, LONGEST, BITS = 1_200_000, 48, 22
+    LIMIT, LONGEST, BITS, PIECE = 1_200_000, 48, 22, 1_000_000
 
     def __init__(self, merges: MergeList):
         self.merges = merges
@@ -303,11 +312,35 @@ class Texts:
         self.n, self.held = 0, 0
         self.at, self.size = np.zeros(self.LIMIT + 1, np.int64), np.zeros(self.LIMIT + 1, np.int32)
         self.ids = np.zeros(6 * self.LIMIT, np.uint32)
+        self.from_, self.length, self.bytes, self.n_bytes = np.zeros(self.LIMIT + 1, np.int64), np.zeros(self.LIMIT + 1, np.int32), np.zeros(8 * self.LIMIT, np.uint8), 0
+
+    def stream(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """The ids of each text, in order, as uint32: (number of the text, ids), at least one part of each text. A text
+        of more than a piece comes in parts of about a piece."""
+        group, first, held = [], 0, 0
+        for i, t in enumerate(texts):
+            long = len(t) > self.PIECE
+            if not long:
+                group.append(t)
+                held += len(t)
+            if group and (long or held >= self.PIECE):
+                yield from enumerate(self._group(group), first)
+                group, held = [], 0
+            if long:
+                s = Stream(self)
+                for at in range(0, len(t), self.PIECE):
+                    yield i, s.feed(t[at : at + self.PIECE])
+                yield i, s.close()
+            if not group:
+                first = i + 1
+        if group:
+            yield from enumerate(self._group(group), first)
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text, in order, as uint32."""
-        for group in chunks(texts):
-            yield from self._group(group)
+        for _, parts in groupby(self.stream(texts), lambda x: x[0]):
+            parts = [x for _, x in parts]
+            yield parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def _group(self, group: list[bytes]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, group), np.int64, len(group))
@@ -386,6 +419,19 @@ class Texts:
             self._add(keys[first], data, starts[first], sizes[first])
             entry = self._find(keys)
             entry[long] = 0
+        # pre-tokens whose bytes differ from those that their hash stands for are encoded on their own, as long ones
+        wrong = self.length[entry] != sizes
+        wrong[long] = False
+        entry[wrong] = 0
+        compared = self.length[entry].astype(np.int64)
+        ends = np.cumsum(compared)
+        index = np.arange(ends[-1])
+        same = self.bytes[np.repeat(self.from_[entry] - ends + compared, compared) + index] == data[np.repeat(starts - ends + compared, compared) + index]
+        if not same.all():
+            wrong[np.searchsorted(ends, np.flatnonzero(~same), "right")] = True
+            entry[wrong] = 0
+        if wrong.any():
+            long = np.sort(np.r_[long, np.flatnonzero(wrong)])
         counts, at = self.size[entry].astype(np.int64), self.at[entry]
         source = self.ids
         if len(long):
@@ -423,6 +469,11 @@ class Texts:
         self.size[numbers] = counts
         self.at[numbers] = self.held + np.r_[0, np.cumsum(counts)[:-1]]
         self.held += len(ids)
+        while self.n_bytes + len(parts) > len(self.bytes):
+            self.bytes = np.r_[self.bytes, np.zeros(len(self.bytes), np.uint8)]
+        self.bytes[self.n_bytes : self.n_bytes + len(parts)] = parts
+        self.from_[numbers], self.length[numbers] = self.n_bytes + whole[:-1], sizes
+        self.n_bytes += len(parts)
         self.n += len(keys)
         slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
         while len(keys):
@@ -451,6 +502,64 @@ class Texts:
         return out
 
 
+class Stream:
+    """The transducer of a text: feed() takes bytes in pieces and gives the ids that are stable, close() the rest.
+
+    What is kept ends no pre-token for sure: it is shorter than a piece, but where a text has no white space, digit or
+    change between ASCII letters and marks for longer. Such a run of ASCII letters goes through ``Encoder``."""
+
+    #: After white space; before a digit; between an ASCII letter and a mark that no contraction or special token has.
+    SAFE = re.compile(rb"(?<=[\x20\t\n\r\x0b\x0c])|(?=[0-9])|(?<=[A-Za-z])(?=[#$%&()*+,./:;=?@\[\]^_{}~-])|(?<=[#$%&()*+,./:;=?@\[\]^_{}~-])(?=[A-Za-z])")
+    ENDS = re.compile(SAFE.pattern + rb"|(?=<)")
+    KEPT = 16
+
+    def __init__(self, texts: Texts):
+        self.texts, self.kept, self.run, self.searched = texts, b"", None, 0
+        self.digits = any(c.isdigit() for x in texts.merges.special for c in x)
+
+    def _stable(self) -> int:
+        """Where the last pre-token ends that what follows can't change; 0 if none does. Read from the end, in steps."""
+        kept, step = self.kept, 4096
+        for end in range(len(kept) - 1, self.searched, -step):
+            begin = max(0, end - step)
+            found = [m.start() for m in self.SAFE.finditer(kept, begin, end + 1) if begin < m.start() <= end and not (self.digits and kept[m.start() : m.start() + 1].isdigit())]
+            if found:
+                return found[-1]
+        self.searched = max(0, len(kept) - 1)
+        return 0
+
+    def _emit(self, stretch: bytes) -> np.ndarray:
+        """Ids of a stretch that ends a pre-token; its beginning goes on with the open run, if there is one."""
+        if self.run is None:
+            return self.texts._group([stretch])[0]
+        m, run, self.run = self.texts.merges, self.run, None
+        end = self.ENDS.search(stretch, 1)
+        head = stretch[: end.start()] if end else stretch
+        parts = [p.encode() for p, _ in m.cut.pre_tokenize_str(m.normal.normalize_str(head.decode("utf-8", "replace")))]
+        out = [*run.feed(parts[0]), *run.close()]
+        if len(parts) > 1:
+            sizes = np.fromiter(map(len, parts[1:]), np.int64, len(parts) - 1)
+            out += self.texts._encode(np.frombuffer(b"".join(parts[1:]), np.uint8), np.r_[0, np.cumsum(sizes)[:-1]])[0].tolist()
+        return np.concatenate([np.array(out, np.uint32), self.texts._group([stretch[len(head) :]])[0]])
+
+    def feed(self, piece: bytes) -> np.ndarray:
+        self.kept += piece
+        cut = self._stable()
+        out = []
+        if cut:
+            out.append(self._emit(self.kept[:cut]))
+            self.kept, self.searched = self.kept[cut:], 0
+        if len(self.kept) >= Texts.PIECE // 2 and self.kept.isascii() and self.kept.isalpha():
+            self.run = self.run or Encoder(self.texts.merges)
+            out.append(np.fromiter(self.run.feed(self.kept[: -self.KEPT].lower()), np.uint32))
+            self.kept, self.searched = self.kept[-self.KEPT :], 0
+        return np.concatenate([np.zeros(0, np.uint32), *out])
+
+    def close(self) -> np.ndarray:
+        kept, self.kept = self.kept, b""
+        return self._emit(kept) if kept else np.zeros(0, np.uint32)
+
+
 _MERGES: dict[str, MergeList] = {}
 _TEXTS: dict[str, Texts] = {}
 
@@ -528,12 +637,19 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         m = merges(path)
         for b in batches:
             counts, ids_hash, text_hash = [], [], []
-            for found in encoder(path).of(texts(b)):
-                ids = found.tolist()
-                counts.append(len(ids))
-                ids_hash.append(hashlib.sha256(b" ".join(map(m.decimals.__getitem__, ids))).hexdigest())
-                decoder = Decoder(m)
-                text_hash.append(hashlib.sha256((decoder.feed_all(ids) + decoder.close()).encode()).hexdigest())
+            for _, parts in groupby(encoder(path).stream(texts(b)), lambda x: x[0]):
+                n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(m)
+                for _, part in parts:
+                    ids = part.tolist()
+                    if n and ids:
+                        ids_sha.update(b" ")
+                    n += len(ids)
+                    ids_sha.update(b" ".join(map(m.decimals.__getitem__, ids)))
+                    text_sha.update(decoder.feed_all(ids).encode())
+                text_sha.update(decoder.close().encode())
+                counts.append(n)
+                ids_hash.append(ids_sha.hexdigest())
+                text_hash.append(text_sha.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
