@@ -1,9 +1,11 @@
 """Packing documents into sequences: online best fit with a fixed number of open bins.
 
 The map encodes each document, ends it with the end id, cuts only what is longer than a sequence, and sends on
-one small row per piece, never texts or ids. The pieces are dealt evenly over partitions and come longest first
-within each; a partition packs them with ``BestFit``, whose memory is fixed. Lost tasks give the same rows when
-they run again, since the order within a partition is total.
+one small row per piece, never texts or ids. The pieces are dealt evenly over partitions, and there, by a hash, over
+rounds of about as many documents as there are open bins. Rounds come one after the other, each with its longest pieces
+first: what opens bins comes before what fills them, and few bins close for lack of space. A partition packs its
+pieces with ``BestFit``, whose memory is fixed. Lost tasks give the same rows when they run again: rows that tie in all
+columns of the order are alike.
 """
 
 from __future__ import annotations
@@ -75,9 +77,10 @@ def document_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, n_partitions: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``pieces`` (doc_id, piece, length of 1 to ``capacity``, ...) with sequence_id and offset."""
-    dealt = pieces.repartition(n_partitions, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+def pack(pieces: DataFrame, n_partitions: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, rounds: int = 1) -> DataFrame:
+    """``pieces`` (as of ``document_pieces``, lengths of 1 to ``capacity``) with sequence_id and offset."""
+    turn = F.pmod(F.xxhash64("ids_crc32", "doc_id", "piece", "start", "length"), F.lit(max(1, rounds)))
+    dealt = pieces.repartition(n_partitions, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(turn, F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
 
     def run(batches):
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 32
@@ -92,8 +95,9 @@ def pack(pieces: DataFrame, n_partitions: int, capacity: int = CAPACITY, open_bi
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, path: str | None = None) -> DataFrame:
     """Pack whole documents; see ``document_pieces`` for odd rows. An empty table gives no rows."""
-    n = max(1, -(-docs.count() // DOCS_PER_PARTITION))
-    return pack(document_pieces(docs, capacity, end_id, path), n, capacity, open_bins)
+    n_docs = docs.count()
+    n = max(1, -(-n_docs // DOCS_PER_PARTITION))
+    return pack(document_pieces(docs, capacity, end_id, path), n, capacity, open_bins, -(-n_docs // n // open_bins))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,29 @@
 """Personal data: base patterns, and further spans chosen by boosted trees. Column expressions only.
 
-Spans come from ``split`` (the texts between the matches) and ``regexp_extract_all`` (the matches), whose lengths add
-up to places in code points. Patterns are possessive and start a run of characters only at its beginning, which finds
-the same matches in time linear in the text.
+Spans come from ``split`` (the texts between the matches) and ``regexp_extract_all`` (the matches), whose running
+lengths are places in code points. Patterns are possessive and start a run of characters only at its beginning, which
+finds the same matches in time linear in the text.
 
 High-recall generators propose numbers and opaque strings, which may overlap each other and base spans. Their format
 and context are cut into a few bins, so that one aggregation over all candidates of the corpus gives a table of
-bounded size: counts by bins and weak label (a base span confirms the candidate, or a secret is assigned by name).
-Trees of depth two are boosted on this table, written as CASE expressions, and a candidate is taken if its score is
-above its kind's threshold: the lowest score above which the table has the asked precision.
+bounded size: counts by bins and weak label. The label comes from what the trees don't see: a base span confirms the
+candidate, or a name before it says that it is a secret. Trees of depth two are boosted on three quarters of the
+documents (by a hash of the text) and written as CASE expressions. The other quarter calibrates: a candidate is taken
+if its score is at least its kind's threshold, the lowest score above which these held-out documents have the asked
+precision, and every score from there on has it among all. Texts are searched once: spans and candidates are written to the shared folder, and the table and the
+result are read from there.
 """
 
 from __future__ import annotations
 
 import math
-
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import table
+from docketlake.llm.common import shared_folder, table, unused
 
 #: The base kinds in the order of the output, and their patterns.
 BASE = {
@@ -38,26 +42,58 @@ MORE = {
 PLACE = "array<struct<start:bigint,end:bigint,text:string,left:string,right:string>>"
 PRECISION, ROUNDS, RATE, RIDGE, MIN_SUPPORT = 0.95, 30, 0.3, 1.0, 5
 CONTEXT = 24
-BINS = {"kind": 2, "digits": 4, "letters": 3, "varied": 3, "size": 3, "groups": 3, "named": 3, "quoted": 2, "joined": 2}
+BINS = {"kind": 2, "digits": 4, "letters": 3, "varied": 3, "size": 3, "groups": 3, "turns": 3, "called": 2, "quoted": 2, "joined": 2}
+#: What says, before a candidate, that it is a secret: the weak label, which no bin tells.
+SECRET_NAME = r"(?i)(token|secret|passw|api.?key|credential)\w*\s*[:=]?\s*[\"']?$"
+CALLED = r"(?i)(phone|tel|call|fax|mobil|card|account|ssn|iban)\w*\W{0,3}$"
+#: Documents of which the hash leaves 0 modulo this set the thresholds.
+PARTS = 4
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> tuple[Column, Callable[[Column], Callable[[Column], Column]]]:
+    """Folds of blocks of ``values``, and from these (as a variable) what ``add``, a sum or a maximum from 0, makes of
+    the first i numbers. Blocks of about the root of their number keep the work at n ** 1.5; no array grows."""
+    n = F.size(values)
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+
+    def fold(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0).cast("bigint"), add)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int")), lambda k: fold(F.slice(values, k * size + 1, size)))
+
+    def first(b: Column) -> Callable[[Column], Column]:
+        return lambda i: add(fold(F.slice(b, F.lit(1), F.floor(i / size).cast("int"))), fold(F.slice(values, F.floor(i / size).cast("int") * size + 1, (i % size).cast("int"))))
+
+    return blocks, first
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def prefixes(values: Column, add: Callable[[Column, Column], Column], f: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``f`` of the function that folds the first i of ``values``."""
+    blocks, first = running(values, add)
+    return once(blocks, lambda b: f(first(b)))
 
 
 def found(text: Column, pattern: str) -> Column:
     """The pattern's matches in order: start, end (code points, exclusive), text, what stands left and right."""
-    both = F.array(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")))
 
     def places(z: Column) -> Column:
-        rows = F.transform(z["m"], lambda m, i: F.struct(m.alias("m"), F.get(z["p"], i).alias("before"), F.get(z["p"], i + 1).alias("after")))
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(PLACE).alias("out"))
+        sizes = F.transform(z["m"], lambda m, i: (F.length(F.get(z["p"], i)) + F.length(m)).cast("bigint"))
+
+        def place(end_of: Callable[[Column], Column]) -> Column:
+            def of(m: Column, i: Column) -> Column:
+                before = F.get(z["p"], i)
+                return once(end_of(i), lambda at: F.struct((at + F.length(before)).alias("start"), (at + F.length(before) + F.length(m)).alias("end"), m.alias("text"), F.right(before, F.lit(CONTEXT)).alias("left"), F.left(F.get(z["p"], i + 1), F.lit(1)).alias("right")))
 
-        def add(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + F.length(x["before"])
-            end = begin + F.length(x["m"])
-            place = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("text"), F.right(x["before"], F.lit(CONTEXT)).alias("left"), F.left(x["after"], F.lit(1)).alias("right"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))
+            return F.transform(z["m"], of)
 
-        return F.aggregate(rows, start, add, lambda acc: acc["out"])
+        return once(sizes, lambda x: prefixes(x, lambda a, c: a + c, place))
 
-    return F.get(F.transform(both, places), 0)
+    return once(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), places)
 
 
 def digits(x: Column) -> Column:
@@ -86,15 +122,14 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column of places for each base kind, failing matches dropped."""
-    held = F.coalesce(F.col(text), F.lit(""))
+def base_places(text: Column) -> dict[str, Column]:
+    """The places of each base kind, failing matches dropped."""
     none = F.array().cast(PLACE)
-    columns = {}
+    out = {}
     for kind, pattern in BASE.items():
-        may = held.contains(NEEDS[kind]) if kind in NEEDS else held.rlike("[0-9][\\x20-]?[0-9]")
-        columns[kind] = F.filter(F.when(may, found(held, pattern)).otherwise(none), (lambda k: lambda x: valid(k, x))(kind))
-    return docs.withColumns(columns)
+        may = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9][\\x20-]?[0-9]")
+        out[kind] = F.filter(F.when(may, found(text, pattern)).otherwise(none), (lambda k: lambda x: valid(k, x))(kind))
+    return out
 
 
 def overlaps(x: Column, spans: Column) -> Column:
@@ -106,7 +141,7 @@ def bins(kind: str, x: Column) -> dict[str, Column]:
     t, n = x["text"], F.length(x["text"])
     n_digits = F.length(digits(t))
     n_letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
-    named = F.when(x["left"].rlike(r"(?i)(token|secret|passw|api.?key|credential)\w*\s*[:=]?\s*[\"']?$"), 2).when(x["left"].rlike(r"(?i)(phone|tel|call|fax|mobil|card|account|ssn|iban)\w*\W{0,3}$"), 1).otherwise(0)
+    n_turns = F.size(F.split(t, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])")) - 1
     return {
         "kind": F.lit(list(MORE).index(kind)),
         "digits": F.when(n_digits < 4, 0).when(n_digits < 9, 1).when(n_digits < 13, 2).otherwise(3),
@@ -114,35 +149,32 @@ def bins(kind: str, x: Column) -> dict[str, Column]:
         "varied": F.least(F.floor(F.size(F.array_distinct(F.split(F.left(t, F.lit(40)), ""))) / 5), F.lit(2)).cast("int"),
         "size": F.when(n < 16, 0).when(n < 32, 1).otherwise(2),
         "groups": F.least(F.size(F.split(t, "[^0-9A-Za-z]+")) - 1, F.lit(2)),
-        "named": named,
+        "turns": F.when(n_turns == 0, 0).when(n_turns < 4, 1).otherwise(2),
+        "called": x["left"].rlike(CALLED).cast("int"),
         "quoted": x["left"].rlike("[\"'`]$").cast("int"),
         "joined": x["left"].rlike(r"[\p{L}@/:.+]$").cast("int"),
     }
 
 
-def with_candidates(spans: DataFrame, text: str = "text") -> DataFrame:
-    """Further candidates as ``_candidates``: start, end, bins, whether a base span confirms it (``hit``), and whether
-    the span is new."""
-    held = F.coalesce(F.col(text), F.lit(""))
-    every = F.concat(*BASE)
+def candidates(text: Column, base: Column) -> Column:
+    """Further candidates: start, end, bins, the weak label (``good``), and whether no base span meets it (``new``)."""
     lists = []
     for kind, pattern in MORE.items():
         def row(x: Column) -> Column:
-            b = bins(kind, x)
-            hit = overlaps(x, F.col("_base"))
-            good = (hit | ((b["named"] == 2) & (b["digits"] > 0) & (b["letters"] > 0))).cast("int")
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.struct(*(v.cast("int").alias(k) for k, v in b.items())).alias("bins"), good.alias("good"), (~hit).alias("new"))
+            hit = overlaps(x, base)
+            good = (hit | x["left"].rlike(SECRET_NAME)).cast("int")
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.struct(*(v.cast("int").alias(k) for k, v in bins(kind, x).items())).alias("bins"), good.alias("good"), (~hit).alias("new"))
 
-        may = held.rlike("[0-9]") if kind == "number" else held.rlike("[A-Za-z0-9_-]{20}")
-        lists.append(F.transform(F.when(may, found(held, pattern)).otherwise(F.array().cast(PLACE)), row))
-    return spans.withColumn("_base", every).withColumn("_candidates", F.concat(*lists))
+        may = text.rlike("[0-9]") if kind == "number" else text.rlike("[A-Za-z0-9_-]{20}")
+        lists.append(F.transform(F.when(may, found(text, pattern)).otherwise(F.array().cast(PLACE)), row))
+    return F.concat(*lists)
 
 
 class Trees:
     """Boosted trees of depth two over bins, with a threshold for each kind."""
 
-    def __init__(self, table_rows: list[tuple[dict[str, int], int, int]], precision: float = PRECISION):
-        """table_rows: bins, confirmed candidates, all candidates."""
+    def __init__(self, table_rows: list[tuple[dict[str, int], int, int]], judged: list[tuple[dict[str, int], int, int]], precision: float = PRECISION):
+        """table_rows: bins, confirmed candidates, all candidates; judged: the same of held-out documents."""
         self.trees: list[tuple[str, int, list[tuple[str, int, float, float]]]] = []
         self.prior, self.thresholds = 0.0, [math.inf] * len(MORE)
         good, every = sum(r[1] for r in table_rows), sum(r[2] for r in table_rows)
@@ -182,13 +214,27 @@ class Trees:
                     score[i] += high if table_rows[i][0][leaves[-1][0]] >= leaves[-1][1] else low
             self.trees.append((name, c, leaves))
         for kind in range(len(MORE)):
-            ranked = sorted(((round(s, 6), r[1], r[2]) for s, r in zip(score, table_rows) if r[0]["kind"] == kind), reverse=True)
+            levels: dict[float, list[int]] = {}  # score: confirmed and all, held out, then of all documents
+            for rows, out in ((table_rows, False), (judged, True)):
+                for b, n_good, n in rows:
+                    if b["kind"] == kind:
+                        level = levels.setdefault(round(self.score_of(b), 6), [0, 0, 0, 0])
+                        for i, x in enumerate((n_good * out, n * out, n_good, n)):
+                            level[i] += x
             good = every = 0
-            for i, (s, a, b) in enumerate(ranked):
+            for s in sorted(levels, reverse=True):
+                a, b, c, d = levels[s]
                 good, every = good + a, every + b
-                if (i + 1 == len(ranked) or ranked[i + 1][0] < s) and every >= MIN_SUPPORT and good >= precision * every:
+                if c < precision * d:
+                    break
+                if every >= MIN_SUPPORT and good >= precision * every:
                     self.thresholds[kind] = s
 
+    def quality(self, judged: list[tuple[dict[str, int], int, int]]) -> tuple[int, int, int]:
+        """Confirmed among the taken, taken, confirmed."""
+        taken = [r for r in judged if round(self.score_of(r[0]), 6) >= self.thresholds[r[0]["kind"]]]
+        return sum(r[1] for r in taken), sum(r[2] for r in taken), sum(r[1] for r in judged)
+
     def score_of(self, b: dict[str, int]) -> float:
         s = self.prior
         for name, c, leaves in self.trees:
@@ -206,11 +252,13 @@ class Trees:
         return F.round(s, 6) >= F.get(F.array(*least), b["kind"])
 
 
-def fit_trees(candidates: DataFrame, precision: float = PRECISION) -> Trees:
-    """Boost on the table of all candidates; it has at most the product of ``BINS`` rows."""
-    rows = candidates.select(F.explode("_candidates").alias("c")).groupBy("c.bins").agg(F.sum("c.good"), F.count("*")).collect()
+def count_table(held: DataFrame, column: str, part: str) -> tuple[list, list]:
+    """Counts by bins of the candidates in ``column``: of the fitted and of the held-out documents. At most twice the
+    product of ``BINS`` rows."""
+    rows = held.select(F.explode(column).alias("c"), (F.col(part) == 0).alias("out")).groupBy("out", "c.bins").agg(F.sum("c.good"), F.count("*")).collect()
     names = list(BINS)
-    return Trees(sorted(((r[0].asDict(), r[1], r[2]) for r in rows), key=lambda r: [r[0][n] for n in names]), precision)
+    found_rows = sorted(((r[0], r[1].asDict(), r[2], r[3]) for r in rows), key=lambda r: (r[0], [r[1][n] for n in names]))
+    return [r[1:] for r in found_rows if not r[0]], [r[1:] for r in found_rows if r[0]]
 
 
 def joined(spans: Column) -> Column:
@@ -225,43 +273,63 @@ def of_kind(number: int):
     return lambda c: c["bins"]["kind"] == number
 
 
-def personal_data(docs: DataFrame, precision: float = PRECISION, text: str = "text") -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone, base_spans and all_spans: arrays of (kind, start, end) by kind,
-    then start. Columns of these names are replaced.
+def searched(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, list[str]]:
+    """Columns ``keep`` of ``docs``, then places by kind, candidates and part under unused names (which are given),
+    written to the shared folder."""
+    spark = docs.sparkSession
+    shared_folder(spark)
+    whole, base, every, part = names = unused(docs.columns, "whole", "base", "candidates", "part")
+    held = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    held = held.withColumn(base, F.struct(*(v.alias(k) for k, v in base_places(F.col(whole)).items())))
+    found_all = candidates(F.col(whole), F.concat(*(F.col(base)[k] for k in BASE)))
+    held = held.withColumn(every, found_all).withColumn(part, F.pmod(F.xxhash64(whole), F.lit(PARTS)))
+    spans = F.struct(*(F.transform(F.col(base)[k], named(k)).alias(k) for k in BASE)).alias(base)
+    place = f"{spark.sparkContext.getCheckpointDir()}/pii_{uuid.uuid4().hex}"
+    out = held.select(*(F.col(f"`{k}`") for k in keep), spans, every, part)
+    out.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(out.schema).parquet(place), names[1:]
+
+
+def personal_data(docs: DataFrame, precision: float = PRECISION, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with n_email, n_ip, n_card, n_phone, base_spans and all_spans: arrays of
+    (kind, start, end) by kind, then start. Columns of these six names are replaced; others stay, whatever their names.
 
     A null or empty text has no spans. Every row is searched on its own, so repeated rows repeat their spans. The
     trees learn from all rows; without candidates, or without a precise enough kind, only base spans are given."""
-    new = {"n_email", "n_ip", "n_card", "n_phone", "base_spans", "all_spans", "_base", "_candidates", *BASE}
-    kept = docs.drop(*(c for c in docs.columns if c in new))
-    spans = with_candidates(base_spans(kept, text), text)
-    trees = fit_trees(spans, precision)
-    as_spans = [F.transform(F.col(k), named(k)) for k in BASE]
-    base = F.concat(*as_spans)
-    taken = F.filter("_candidates", lambda c: c["new"] & trees.taken(c["bins"]))
+    new = {"n_email", "n_ip", "n_card", "n_phone", "base_spans", "all_spans"}
+    docs = docs.drop(*(c for c in docs.columns if c in new))
+    kept = docs.columns if keep is None else keep
+    held, (base_name, every, part) = searched(docs, kept, text)
+    trees = Trees(*count_table(held, every, part), precision)
+    base = F.concat(*(F.col(base_name)[k] for k in BASE))
+    taken = F.filter(every, lambda c: c["new"] & trees.taken(c["bins"]))
     more = [F.transform(F.filter(taken, of_kind(i)), named(kind)) for i, kind in enumerate(MORE)]
-    counts = {f"n_{k}": F.size(k).cast("bigint") for k in BASE}
-    return spans.withColumns(counts | {"base_spans": base, "all_spans": F.concat(base, *more)}).drop("_base", "_candidates", *BASE)
+    counts = [F.size(F.col(base_name)[k]).cast("bigint").alias(f"n_{k}") for k in BASE]
+    return held.select(*(F.col(f"`{k}`") for k in kept), *counts, base.alias("base_spans"), F.concat(base, *more).alias("all_spans"))
 
 
 def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; a null text stays null."""
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; spans that overlap are replaced
+    together, by the kind of the first. A null text stays null; all other columns stay as they are."""
     columns = docs.columns
-    found_spans = personal_data(docs.select(*columns), precision)
-    order = F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+    spans_name, rows_name = unused(columns, "spans", "row")
+    # the row goes along as one column, so that its names meet no others
+    alone = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias(rows_name), F.col("text").alias("text"))
+    marked = personal_data(alone, precision).select(rows_name, "text", F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias(spans_name))
+    spans = F.col(spans_name)
 
-    def rest(acc: Column) -> Column:
-        tail = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))
-        return F.concat(F.array_join(acc["out"], ""), tail)
+    def replaced(end_of: Callable[[Column], Column]) -> Column:
+        """end_of: where the first i spans end, of all."""
+        places = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), end_of(i).alias("after")))
+        heads = F.filter(places, lambda p: p["start"] >= p["after"])
+        pieces = F.transform(heads, lambda p: F.concat(F.substring("text", (p["after"] + 1).cast("int"), (p["start"] - p["after"]).cast("int")), F.lit("<"), p["kind"], F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), F.substring("text", (end_of(F.size(spans)) + 1).cast("int"), F.length("text")))
 
-    redacted = F.when(F.size(order) > 0, F.aggregate(order, start, add, rest)).otherwise(F.col("text"))
-    return found_spans.withColumn("text", redacted).select(*columns)
+    ends = F.transform(spans, lambda s: s["end"])
+    redacted = F.when(F.size(spans) > 0, once(ends, lambda e: prefixes(e, lambda a, c: F.greatest(a, c), replaced))).otherwise(F.col("text"))
+    return marked.withColumn("text", redacted).select(*(F.col("text") if c == "text" else F.col(rows_name)[c].alias(c) for c in columns))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"))

@@ -19,16 +19,17 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_lines": """
-        WITH lines AS (
-            SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i
-            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+        WITH whole AS (
+            SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents
+        ), lines AS (
+            SELECT row, doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM whole
         ), keyed AS (
             SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
             FROM lines
         ), frequent AS (
-            SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+            SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10
         )
         SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
-        FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id""",
+        FROM keyed LEFT JOIN frequent f USING (key) GROUP BY row, doc_id""",
 }

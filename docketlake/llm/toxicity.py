@@ -7,17 +7,18 @@ to one shared model: interpolated Kneser-Ney, whose lower orders count distinct
 that a rare expression gets much the same estimate on both sides. ``SHRINK`` pseudo-counts pull each class further
 towards it.
 
-A toxic text is ordinary text with some toxic words: a word's likelihood in it is ``1 - MIXED`` parts ordinary and
-``MIXED`` parts toxic. The log ratio of both likelihoods, divided by the number of words, is the evidence; scoring
-looks up each n-gram's log p(toxic) - log p(ordinary) by its exact number. An n-gram never met takes the ratio of the
-back-off masses that the classes leave after its context, since both multiply one shared probability. The score is the probability that a
-logistic calibration gives, fitted on labelled documents that were not counted.
+A toxic text is ordinary text with some toxic words. So the toxic model is re-estimated ``ROUNDS`` times: a word of a
+toxic document counts by the probability that it is a toxic one (``SHARE`` of them are, before the word is seen).
+The toxic likelihood of a word then is ``1 - m`` parts ordinary and ``m`` parts toxic, for each m of ``MIXED``. The log
+ratio of both likelihoods, divided by the number of words, is the evidence. Scoring looks up each n-gram's
+log p(toxic) - log p(ordinary) by its exact number. An n-gram never met has in each class the back-off mass after its
+context times the probability of the shared lower order, which is the same on both sides and so leaves the
+difference: the ratio of the masses. The score is the probability that a logistic calibration gives, fitted on
+labelled documents that were not counted.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.common import held_out, map_batches, shared_folder, table, texts, with_label
 
-ORDER, DISCOUNT = 6, 0.75
-SHRINK, MIXED = 5.0, 0.001
+ORDER, DISCOUNT = 7, 0.75
+SHRINK, MIXED = 5.0, (0.001, 0.02)
+#: Rounds of re-estimation, the share of toxic words that they begin with, and the fixed-point unit of counts.
+ROUNDS, SHARE, UNIT = 2, 0.03, 1 << 16
 #: Labelled documents that the calibration reads at most, by the order of a hash of doc_id.
 CALIBRATED = 20_000
 SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
@@ -60,21 +63,31 @@ def look_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.
     return np.where(met, values[at], np.float32(0)), met
 
 
-def class_counts(marked: DataFrame) -> DataFrame:
-    """(g, tox, ord): how often each n-gram stands in toxic and in ordinary documents of ``marked`` (text, toxic)."""
+def class_counts(marked: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
+    """(g, tox, ord): how often each n-gram stands in toxic and in ordinary documents of ``marked`` (text, toxic), in
+    ``UNIT``-ths. With a model, words of toxic documents count by their probability of being toxic ones."""
+
+    def weights(text: bytes, word: np.ndarray) -> np.ndarray:
+        if model is None:
+            return np.full(len(word), UNIT, np.int64)
+        odds = SHARE * np.exp(np.minimum(model.words(text), 30))
+        return np.rint(odds / (odds + 1 - SHARE) * UNIT).astype(np.int64)[word]
 
     def count(batches):
         for b in batches:
+            labels = b.column(1).to_pylist()
             for wanted, column in ((1, 0), (0, 1)):
-                labels = b.column(1).to_pylist()
-                held, n = [], 0
+                held: list[tuple[np.ndarray, np.ndarray]] = []
+                n = 0
                 chosen = [t for t, x in zip(texts(b), labels) if x == wanted]
                 for i, t in enumerate(chosen):
-                    held.append(grams(t)[0])
-                    n += len(held[-1])
+                    g, word = grams(t)
+                    held.append((g, weights(t, word) if wanted else np.full(len(g), UNIT, np.int64)))
+                    n += len(g)
                     if n > 4_000_000 or i == len(chosen) - 1:
-                        g, c = np.unique(np.concatenate(held), return_counts=True)
-                        none = np.zeros(len(g), np.int64)
+                        g, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+                        c, none = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+                        np.add.at(c, at, np.concatenate([x for _, x in held]))
                         yield pa.RecordBatch.from_arrays([pa.array(g), *(map(pa.array, (c, none) if column == 0 else (none, c)))], names=["g", "tox", "ord"])
                         held, n = [], 0
 
@@ -86,18 +99,23 @@ def class_counts(marked: DataFrame) -> DataFrame:
 PARTITION_ROWS = 500_000
 
 
+def kept(c: str):
+    """What the discount leaves of a count."""
+    return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+
+
 def shared_model(counts: DataFrame, n_parts: int) -> tuple[DataFrame, list[DataFrame]]:
     """(g, p), and what to unpersist after use: interpolated Kneser-Ney over both classes. Orders below the highest count distinct left neighbours."""
-    levels = {ORDER: counts.select("g", (F.col("tox") + F.col("ord")).alias("c"))}
+    levels = {ORDER: counts.select("g", ((F.col("tox") + F.col("ord")) / UNIT).alias("c"))}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * k) - 1).alias("g")).agg(F.count("*").alias("c")).coalesce(n_parts).persist()
+        levels[k] = levels[k + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * k) - 1).alias("g")).agg(F.count("*").cast("double").alias("c")).coalesce(n_parts).persist()
     total = levels[1].agg(F.sum("c")).first()[0] or 1
     lower = levels[1].select("g", ((F.col("c") + 0.5) / F.lit(total + 128.0)).alias("p"))
     for k in range(2, ORDER + 1):
         level = levels[k].withColumn("h", F.shiftright("g", 8)).withColumn("rest", F.col("g").bitwiseAND((1 << 8 * (k - 1)) - 1))
-        contexts = level.groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
+        contexts = level.groupBy("h").agg(F.sum("c").alias("all"), (F.sum("c") - F.sum(kept("c"))).alias("left"))
         joined = level.join(contexts, "h").coalesce(n_parts).join(lower.withColumnRenamed("g", "rest").withColumnRenamed("p", "below"), "rest")
-        lower = joined.select("g", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("all")).alias("p")).coalesce(n_parts)
+        lower = joined.select("g", ((kept("c") + F.col("left") * F.col("below")) / F.col("all")).alias("p")).coalesce(n_parts)
     return lower, [levels[k] for k in range(1, ORDER)]
 
 
@@ -107,26 +125,33 @@ class ToxicityModel:
     def __init__(self, ratios: tuple[np.ndarray, np.ndarray], backoff: tuple[np.ndarray, np.ndarray], calibration: np.ndarray | None = None):
         self.ratios, self.backoff, self.calibration = ratios, backoff, calibration
 
-    def evidence(self, text: bytes) -> tuple[float, int]:
-        """Mean over the words of the log likelihood ratio, and the number of words."""
+    def words(self, text: bytes) -> np.ndarray:
+        """Each word's log p(toxic) - log p(ordinary)."""
         g, word = grams(text)
         if not len(g):
-            return 0.0, 0
+            return np.zeros(0)
         found, met = look_up(g, self.ratios)
         if len(new := np.flatnonzero(~met)):
             found[new] = look_up(g[new] >> 8, self.backoff)[0]
-        ratio = np.bincount(word, found)
-        mixed = np.log1p(MIXED * np.expm1(np.minimum(ratio, 20)))
-        return float(mixed.mean()), len(mixed)
+        return np.bincount(word, found)
+
+    def evidence(self, text: bytes) -> tuple[list[float], int]:
+        """Mean over the words of the log likelihood ratio for each mixture, and the number of words."""
+        ratio = np.minimum(self.words(text), 20)
+        if not len(ratio):
+            return [0.0] * len(MIXED), 0
+        return [float(np.log1p(m * np.expm1(ratio)).mean()) for m in MIXED], len(ratio)
 
     def inputs(self, found: list[bytes]) -> np.ndarray:
-        mean, n = np.array([self.evidence(t) for t in found], float).reshape(-1, 2).T
-        return np.stack([np.ones(len(mean)), 10 * mean, np.sign(mean) * np.log1p(np.abs(mean * n)), np.log1p(n) / 10], 1)
+        """What the calibration sees: for each mixture the mean and the size of the sum, and the number of words."""
+        met = [self.evidence(t) for t in found]
+        mean, n = np.array([x for x, _ in met], float).reshape(-1, len(MIXED)), np.array([k for _, k in met], float)[:, None]
+        return np.concatenate([np.ones_like(n), 10 * mean, np.sign(mean) * np.log1p(np.abs(mean * n)), np.log1p(n) / 10], 1)
 
     def score(self, found: list[bytes]) -> np.ndarray:
         x = self.inputs(found)
         s = 1 / (1 + np.exp(-np.clip(x @ self.calibration, -40, 40)))
-        return np.where(x[:, 3] > 0, np.round(s, 9), 0.0)
+        return np.where(x[:, -1] > 0, np.round(s, 9), 0.0)
 
 
 def ratio_tables(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -134,20 +159,21 @@ def ratio_tables(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tupl
     values. All of both reach the driver, 12 bytes a row."""
     n_parts = counts.count() // PARTITION_ROWS + 1
     counts = counts.coalesce(n_parts)
-    contexts = counts.groupBy(F.shiftright("g", 8).alias("h")).agg(
-        F.sum("tox").alias("ct"), F.sum("ord").alias("co"), F.count_if(F.col("tox") > 0).alias("nt"), F.count_if(F.col("ord") > 0).alias("no"))
+    shared, held = shared_model(counts, n_parts)
+    units = counts.select("g", F.shiftright("g", 8).alias("h"), (F.col("tox") / UNIT).alias("tox"), (F.col("ord") / UNIT).alias("ord"))
+    contexts = units.groupBy("h").agg(
+        F.sum("tox").alias("ct"), F.sum("ord").alias("co"), (F.sum("tox") - F.sum(kept("tox"))).alias("lt"), (F.sum("ord") - F.sum(kept("ord"))).alias("lo"))
 
-    def chance(c, kinds, total):
-        return (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(kinds) + SHRINK) * F.col("p")) / (F.col(total) + SHRINK)
+    def chance(c, left, total):
+        return (kept(c) + (F.col(left) + SHRINK) * F.col("p")) / (F.col(total) + SHRINK)
 
-    shared, held = shared_model(counts, n_parts)
-    joined = counts.withColumn("h", F.shiftright("g", 8)).join(contexts, "h").coalesce(n_parts).join(shared, "g").coalesce(n_parts)
-    seen = joined.select("g", F.log(chance("tox", "nt", "ct") / chance("ord", "no", "co")).cast("float").alias("r"))
+    joined = units.join(contexts, "h").coalesce(n_parts).join(shared, "g").coalesce(n_parts)
+    seen = joined.select("g", F.log(chance("tox", "lt", "ct") / chance("ord", "lo", "co")).cast("float").alias("r"))
 
-    def mass(kinds, total):
-        return (DISCOUNT * F.col(kinds) + SHRINK) / (F.col(total) + SHRINK)
+    def mass(left, total):
+        return (F.col(left) + SHRINK) / (F.col(total) + SHRINK)
 
-    left = contexts.select(F.col("h").alias("g"), F.log(mass("nt", "ct") / mass("no", "co")).cast("float").alias("r"))
+    left = contexts.select(F.col("h").alias("g"), F.log(mass("lt", "ct") / mass("lo", "co")).cast("float").alias("r"))
 
     def sorted_table(rows):
         found = rows.toArrow()
@@ -178,17 +204,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, calibrated: int = CALIBRATE
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(4)) == 0
     marked = with_label(docs, labels.where(~part), "toxic").where(F.col("toxic").isNotNull())
-    counts = class_counts(marked).checkpoint()
-    model = ToxicityModel(*ratio_tables(counts))
-    chosen = labels.where(part).orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(calibrated)
+    ordinary = class_counts(marked.where("toxic = 0")).checkpoint()
+    model = None
+    for _ in range(1 + ROUNDS):
+        toxic = class_counts(marked.where("toxic = 1"), model)
+        counts = ordinary.unionByName(toxic).groupBy("g").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord")).checkpoint()
+        model = ToxicityModel(*ratio_tables(counts))
+    chosen = labels.where(part).groupBy("doc_id").agg(F.min("toxic").alias("toxic")).orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(calibrated)
 
     def inputs(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in model.inputs(texts(b))], pa.binary())], names=["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in model.inputs(texts(b))], pa.binary())], names=["doc_id", "toxic", "x"])
 
-    rest = with_label(docs, chosen, "toxic").where(F.col("toxic").isNotNull()).select("text", F.col("toxic").cast("int"))
-    rows = map_batches(rest, inputs, "toxic int, x binary").orderBy("toxic", "x").limit(2 * calibrated).collect()
-    x = np.array([np.frombuffer(r[1]) for r in rows]).reshape(-1, 4)
+    rest = with_label(docs, chosen, "toxic").where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int"), "text")
+    # one row for each of the chosen ids, however many rows repeat it
+    rows = map_batches(rest, inputs, "doc_id long, toxic int, x binary").groupBy("doc_id").agg(F.min(F.struct("toxic", "x")).alias("r")).select("r.*").orderBy("toxic", "x").collect()
+    x = np.array([np.frombuffer(r[1]) for r in rows]).reshape(-1, 2 + 2 * len(MIXED))
     model.calibration = calibrate(x, np.array([r[0] for r in rows], float))
     return model
 

@@ -104,3 +104,32 @@ def similar_roots(texts, k=5, least=0.8):
                 a, b = sorted((root[i], root[j]))
                 root = {n: a if r == b else r for n, r in root.items()}
     return root
+
+
+class KneserNey:
+    """Two class models over n-grams (tuples of bytes with their context), backing off to one shared model."""
+
+    def __init__(self, toxic, ordinary, discount, shrink):
+        """toxic, ordinary: n-gram to count, all of one order."""
+        self.classes, self.discount, self.shrink = (toxic, ordinary), discount, shrink
+        order = len(next(iter({**toxic, **ordinary})))
+        self.levels = {order: {g: toxic.get(g, 0) + ordinary.get(g, 0) for g in {**toxic, **ordinary}}}
+        for k in range(order - 1, 0, -1):
+            self.levels[k] = dict(Counter(g[1:] for g in self.levels[k + 1]))
+
+    def _parts(self, counts, context):
+        own = [c for g, c in counts.items() if g[:-1] == context]
+        return sum(own), sum(own) - sum(max(c - self.discount, 0) for c in own)
+
+    def shared(self, g):
+        counts = self.levels[len(g)]
+        if len(g) == 1:
+            return (counts.get(g, 0) + 0.5) / (sum(counts.values()) + 128)
+        total, left = self._parts(counts, g[:-1])
+        return self.shared(g[1:]) if not total else (max(counts.get(g, 0) - self.discount, 0) + left * self.shared(g[1:])) / total
+
+    def log_p(self, g, ordinary):
+        """The class's log-likelihood of the last byte after the others."""
+        counts = self.classes[ordinary]
+        total, left = self._parts(counts, g[:-1])
+        return float(np.log((max(counts.get(g, 0) - self.discount, 0) + (left + self.shrink) * self.shared(g)) / (total + self.shrink)))

@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
-CLASHING = ["score", "ids", "decoded", "_fp", "n_lines", "n_dropped", "_frequent", "n_words", "n_removed", "kept_text", "_spans", "_hash", "email", "ip", "card", "phone", "_base", "_candidates", "n_email", "base_spans", "all_spans", "sequence_id", "offset", "length", "piece", "toxic", "trusted", "_trusted"]
+CLASHING = ["score", "ids", "decoded", "_fp", "n_lines", "n_dropped", "_frequent", "n_words", "n_removed", "kept_text", "_spans", "_hash", "email", "ip", "card", "phone", "_base", "_candidates", "n_email", "base_spans", "all_spans", "sequence_id", "offset", "length", "piece", "toxic", "trusted", "_trusted", "_doc", "_document", "_key", "_covered", "_whole", "_part", "_spans_", "_row", "_bands", "_size", "kind", "row", "spans", "whole", "base", "candidates", "n_ip", "n_card", "n_phone", "document", "digest", "segment", "at", "shard"]
 
 
 def edge_texts():

@@ -1,6 +1,8 @@
 """Classifiers, nearest neighbours, the pipeline and the registered queries."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from docketlake.llm import neighbours, quality, queries, toxicity
+from docketlake.llm import bpe, measures, neighbours, quality, queries, rules, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -74,20 +76,43 @@ def test_shared_model_sums_to_one(spark):
     assert all(0 < r["p"] <= 1 for r in rows)
 
 
-def test_toxicity_ratios_are_exact(spark):
-    docs = spark.createDataFrame([("grukk grukk abra", 1), ("abra cadabra abra", 0)], "text string, toxic int")
-    rows = {r["g"]: (r["tox"], r["ord"]) for r in toxicity.class_counts(docs).collect()}
-    (keys, _), (contexts, left) = ratios = toxicity.ratio_tables(toxicity.class_counts(docs))
-    assert keys.tolist() == sorted(rows) and contexts.tolist() == sorted({g >> 8 for g in rows})
-    for h, r in zip(contexts.tolist(), left.tolist()):
-        t, o = ([c[k] for g, c in rows.items() if g >> 8 == h and c[k]] for k in (0, 1))
-        t, o = ((toxicity.DISCOUNT * len(c) + toxicity.SHRINK) / (sum(c) + toxicity.SHRINK) for c in (t, o))
-        assert r == pytest.approx(np.log(t / o), abs=1e-3)
-    # after the context of "gruk" an unseen byte takes the context's back-off, not a stranger's ratio
-    unseen = toxicity.grams(b"grukz")[0][4:5]
-    model = toxicity.ToxicityModel(*ratios)
-    assert not toxicity.look_up(unseen, model.ratios)[1].any() and toxicity.look_up(unseen >> 8, model.backoff)[0][0] != 0
-    assert model.evidence(b"gruk")[0] > model.evidence(b"zzzz")[0]
+def test_toxicity_is_the_difference_of_two_likelihoods(spark):
+    """Against plain Kneser-Ney models that back off for n-grams never met, in all words of a text."""
+    docs = [("grukk grukk abra cadabra", 1), ("abra cadabra abra gruft", 0), ("cad grumm", 1)]
+    counts = toxicity.class_counts(spark.createDataFrame(docs, "text string, toxic int"))
+    model = toxicity.ToxicityModel(*toxicity.ratio_tables(counts))
+    as_tuple = lambda g: tuple(int(g).to_bytes(8, "big")[-toxicity.ORDER :])
+    plain = [Counter(as_tuple(g) for t, x in docs if x == wanted for g in toxicity.grams(t.encode())[0].tolist()) for wanted in (1, 0)]
+    both = brute.KneserNey(*plain, toxicity.DISCOUNT, toxicity.SHRINK)
+    for text in ("grukk abra", "abrakadabra grumz gru", "zzz cadgrukk"):
+        g, word = toxicity.grams(text.encode())
+        want = np.bincount(word, [both.log_p(as_tuple(x), 0) - both.log_p(as_tuple(x), 1) for x in g.tolist()])
+        assert model.words(text.encode()) == pytest.approx(want, abs=2e-3)
+    assert model.evidence(b"grukk")[0][0] > model.evidence(b"zzzz")[0][0]
+
+
+def test_shared_model_is_kneser_ney(spark):
+    docs = [("abra cadabra", 1), ("abra abra cad", 0)]
+    counts = toxicity.class_counts(spark.createDataFrame(docs, "text string, toxic int"))
+    as_tuple = lambda g: tuple(int(g).to_bytes(8, "big")[-toxicity.ORDER :])
+    whole = Counter(as_tuple(g) for t, _ in docs for g in toxicity.grams(t.encode())[0].tolist())
+    plain = brute.KneserNey(whole, {}, toxicity.DISCOUNT, toxicity.SHRINK)
+    for r in toxicity.shared_model(counts, 1)[0].collect():
+        assert r["p"] == pytest.approx(plain.shared(as_tuple(r["g"])))
+
+
+def test_repeated_ids_displace_no_sample(spark, labelled):
+    """One id on a thousand rows is one row of a sample."""
+    docs, labels = labelled
+    positives = labels.where("quality = 1").select("doc_id")
+    first = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(1)
+    many = docs.unionByName(first.crossJoin(spark.range(1000)).select("doc_id", "text"))
+    a, b = quality.sample_features(docs, positives, 20, 20), quality.sample_features(many, positives, 20, 20)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b)) and len(a[0]) == 20
+    marks = labels.select("doc_id", "toxic")
+    repeated = marks.unionByName(marks.limit(1).crossJoin(spark.range(1000)).select("doc_id", "toxic"))
+    want, got = (toxicity.fit_toxicity(docs, x, 50).calibration for x in (marks, repeated))
+    assert got == pytest.approx(want)
 
 
 def exact(rows, k):
@@ -166,6 +191,99 @@ def test_near_duplicate_stage_is_exact(spark, sf_dir):
     assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(roots.values()))
 
 
+@pytest.fixture(scope="module")
+def rows_of(spark, sf_dir):
+    held = {}
+
+    def get(name):
+        if name not in held:
+            held[name] = queries.QUERIES[name](spark, sf_dir).collect()
+        return held[name]
+
+    return get
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+@pytest.mark.parametrize(("name", "cut"), [("op1_quality", 0.5), ("op2_toxicity", 0.7)])
+def test_score_queries(rows_of, documents, name, cut):
+    rows = rows_of(name)
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    for r in rows:
+        assert r["held_out"] == held_out(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
+
+
+def test_bpe_query(rows_of, documents):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary())
+    for r in rows_of("op3_bpe"):
+        ids = library.encode(documents[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_simhash_query(rows_of, documents):
+    fps = {i: brute.fingerprint(t) for i, t in documents.items()}
+    roots = brute.components(fps)
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows_of("op6_simhash")} == {i: (f"{x:016x}", roots[i]) for i, x in fps.items()}
+
+
+def test_substring_query(rows_of, documents):
+    want = sorted((i, n, gone, brute.sha(kept)) for i, n, gone, kept in brute.substring_dedup(list(documents.items())))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of("op8_substring")) == want
+
+
+def test_pii_query(rows_of, documents):
+    for r in rows_of("op9_pii"):
+        want = brute.pii(documents[r["doc_id"]])
+        line = ",".join(f"{k}:{a}:{e}" for k, a, e in want)
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x[0] == k for x in want) for k in ("email", "ip", "card", "phone")]
+        assert r["base_sha256"] == brute.sha(line) and r["spans"].startswith(line)
+
+
+def test_rules_query(spark, sf_dir, rows_of, documents):
+    """The verdict against plain counts, ratios and threshold over all documents."""
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["quality"] == 1 and not held_out(r["doc_id"])}
+    half = {r["doc_id"]: r["h"] % 2 == 0 for r in spark.createDataFrame([(i,) for i in documents], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    target, raw, held = Counter(), Counter(), {}
+    for i, t in documents.items():
+        data = np.frombuffer((t or "").encode() + b"\n" * (rules.ORDER - 1), np.uint8)
+        held[i] = measures.gram_buckets(data, rules.ORDER, rules.BITS).tolist() if t else []
+        raw.update(held[i])
+        if i in trusted and half[i]:
+            target.update(held[i])
+    size = 1 << rules.BITS
+    weight = lambda b: np.log(target[b] + 0.5) - np.log(sum(target.values()) + 0.5 * size) - np.log(raw[b] + 0.5) + np.log(sum(raw.values()) + 0.5 * size)
+    llr = {i: float(np.mean([weight(b) for b in x])) if x else 0.0 for i, x in held.items()}
+    got = {r["doc_id"]: r for r in rows_of("op10_rules")}
+    steps = Counter(int(np.floor(got[i]["llr"] / rules.STEP)) for i in trusted if i in got and not half[i] and not got[i]["base_failed"])
+    threshold = rules.threshold_of(steps, rules.LOST_SHARE)
+    for i, r in got.items():
+        assert r["llr"] == pytest.approx(llr[i], abs=1e-4) and r["kept"] == (not r["base_failed"] and int(np.floor(r["llr"] / rules.STEP)) >= threshold)
+
+
+def test_pipeline_removes_what_it_should(spark, sf_dir, documents):
+    """The stages before packing, one after the other, against plain versions of each on its own input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, sf_dir).collect()}
+    scores = {r["doc_id"]: r["predicted"] for r in queries.QUERIES["op1_quality"](spark, sf_dir).collect()}
+    assert kept == {i for i, p in scores.items() if p}
+    lines_out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, sf_dir).collect()}
+    for (i, _, n, text) in brute.line_dedup(list(documents.items())):
+        assert n == 0 and (lines_out[i] or "") == text or n and len(lines_out[i]) >= len(text)
+    roots = brute.similar_roots(documents)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()} == set(roots.values())
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {p["doc_id"] for p in pieces} <= kept and all(0 < p["length"] <= 4096 for p in pieces)
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name):
     key = "query_id" if "neighbours" in name else "doc_id"

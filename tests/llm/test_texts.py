@@ -49,6 +49,54 @@ def test_encode_long_words(library):
         assert out + encoder.close() == ids_of(library, t)
 
 
+def test_streams_emit_what_is_stable(library):
+    """Whatever the pieces, what a stream has given is a beginning of the library's ids, and little is kept."""
+    r = random.Random(1)
+    parts = ["hello", "World", "it's", "''s", "'", "élan", "z" * 50, "123", "4", "+", "<|endoftext|>", "<|start", "\u0301", "é", "İ", "日本", " ", "  ", "\n", "a_b", ",", "'ll", "'Re"]
+    for _ in range(150):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(1, 60)))
+        want = ids_of(library, t)
+        for size in (1, 5, 40):
+            s, out, data = bpe.Stream(bpe.encoder()), [], t.encode()
+            for at in range(0, len(data), size):
+                out += s.feed(data[at : at + size]).tolist()
+                assert out == want[: len(out)]
+            assert out + s.close().tolist() == want
+
+
+def test_long_runs_stream(library, monkeypatch):
+    monkeypatch.setattr(bpe.Texts, "PIECE", 100)
+    r = random.Random(2)
+    for _ in range(60):
+        t = "".join(r.choice(["q" * 150, "Hello" * 60, "a", "\u0301", "é", " ", "<|endoftext|>", "'s", "1", "+", "日", "zx" * 70]) for _ in range(r.randrange(1, 10)))
+        assert bpe.encode(t) == ids_of(library, t)
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    r = random.Random(3)
+    data = " ".join(r.choice(["alpha", "beta", f"gamma{i}"]) for i in range(6_000_000)).encode()[:40_000_000]
+    coder = bpe.encoder()
+    coder.of([b"warm up"])
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    n = largest = 0
+    for _, ids in coder.stream([data]):
+        n, largest = n + len(ids), max(largest, len(ids))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert n > 10_000_000 and largest < 2 * bpe.Texts.PIECE and peak < 150_000_000
+
+
+def test_equal_hashes_are_told_apart(library, monkeypatch):
+    coder = bpe.Texts(bpe.merges())
+    coder.table[:] = 1  # every pre-token of a length has one hash
+    words = ["alpha", "gamma", "delta", "ab", "cd", "regulation"]
+    for w in (*words, *words[::-1]):
+        assert next(coder.of([f"{w} {words[0]} {words[3]}".encode()])).tolist() == ids_of(library, f"{w} {words[0]} {words[3]}")
+
+
 def test_encode_documents_keep_other_columns(cluttered, library):
     out = bpe.encode_documents(cluttered)
     rows = out.collect()
@@ -86,6 +134,36 @@ def test_packing(docs, empty, library):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_repeated_ids(spark):
+    rows = [(1, "a b c"), (1, "d e f g"), (1, "a b c"), (None, "x"), (2, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=8).collect()
+    assert sorted(p["length"] for p in got) == sorted(len(bpe.encode(t)) + 1 for _, t in rows)
+    again = packing.pack_documents(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5), capacity=8).collect()
+    key = lambda p: (p["ids_crc32"], p["sequence_id"], p["offset"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+@pytest.mark.parametrize("open_bins", [2, 16, 4096])
+def test_placement_is_that_of_a_plain_best_fit(open_bins):
+    r = random.Random(open_bins)
+    bins, plain, closed = packing.BestFit(64, open_bins), {}, 0
+    for _ in range(2000):
+        n = r.randrange(1, 65)
+        fits = [x for x in plain.values() if x >= n]
+        number, at = bins.place(n)
+        if fits:
+            assert plain[number] == min(fits) and at == 64 - plain[number]
+            plain[number] -= n
+        else:
+            assert number not in plain and at == 0
+            if len(plain) >= open_bins:  # the fullest has gone
+                plain.pop(next(k for k, x in plain.items() if x == min(plain.values()) and not any(k in b for b in bins.by_space)))
+            plain[number] = 64 - n
+        if not plain[number]:
+            del plain[number]
+        assert sorted(plain) == sorted(k for b in bins.by_space for k in b)
+
+
 def test_best_fit_is_best():
     bins = packing.BestFit(10, 3)
     assert [bins.place(n)[0] for n in (6, 5, 7, 4, 3)] == [0, 1, 2, 0, 2]
@@ -146,6 +224,15 @@ def test_line_dedup(cluttered, empty, limit):
     assert lines.drop_frequent_lines(empty, broadcast_keys=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_line_dedup_counts_rows(spark, limit):
+    rows = [(1, "same\nown")] * 6 + [(2, "same")] * 4 + [(None, "x\nsame"), (3, None)]
+    out = lines.drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_keys=limit).collect()
+    if limit:  # rows without a doc_id are told apart by the broadcast path alone
+        assert sorted((r["n_dropped"], r["text"] or "") for r in out) == sorted([(1, "own")] * 6 + [(1, "")] * 4 + [(1, "x"), (0, "")])
+    assert len(out) == len(rows)
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_line_dedup_keeps_the_first(docs, limit):
     out = {r["doc_id"]: r["text"] for r in lines.drop_frequent_lines(docs, keep_first=True, broadcast_keys=limit).collect()}
@@ -167,6 +254,15 @@ def test_substring_windows(spark, window):
     assert got == sorted(brute.substring_dedup(rows, window))
 
 
+def test_large_shard_keys_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_WORDS", 300)
+    monkeypatch.setattr(substring, "HOT_PLACES", 3)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, f"{' '.join(f'a{i % 9}x{k}' for k in range(9))} {shared} {' '.join(f'b{i % 7}x{k}' for k in range(20))}") for i in range(90)] + [(1000, "the " * 90)]
+    got = sorted((x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"]) for x in substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute.substring_dedup(rows))
+
+
 def test_fm_index_counts():
     r = np.random.default_rng(5)
     text = np.r_[r.integers(1, 5, 500), 0]
@@ -216,11 +312,59 @@ def test_redaction(spark):
     assert out == {1: "write to <email> or <phone> 😀 from <ip>", 2: None, 3: ""}
 
 
+def test_redaction_of_many_spans(spark):
+    texts = {0: " ".join(f"a{i}@b.org" for i in range(700)), 1: "+49 (0)30 4111 1111 1111 1111 x 10.0.0.1, 4111 1111 1111 1111", 2: "é" * 50 + "10.0.0.1😀10.0.0.2", 3: "no one"}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0] == " ".join(["<email>"] * 700) and got[2] == "é" * 50 + "<ip>😀<ip>" and got[3] == "no one" and got[1].endswith(" x <ip>, <card>")
+
+
+def test_redact_keeps_columns(cluttered):
+    rows = {r["doc_id"]: r for r in cluttered.collect()}
+    out = pii.redact(cluttered)
+    assert out.columns == cluttered.columns
+    for r in out.collect():
+        assert [r[c] for c in cluttered.columns if c != "text"] == [rows[r["doc_id"]][c] for c in cluttered.columns if c != "text"]
+        assert (r["text"] == rows[r["doc_id"]]["text"]) or "<" in r["text"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
+def test_running_sums_and_maxima(spark, n):
+    r = random.Random(n)
+    x = [r.randrange(100) for _ in range(n)]
+    row = spark.createDataFrame([(x,)], "x array<bigint>")
+    at = F.sequence(F.lit(0), F.lit(n))
+    got = row.select(pii.prefixes(F.col("x"), lambda a, c: a + c, lambda f: F.transform(at, f)).alias("s"), pii.prefixes(F.col("x"), lambda a, c: F.greatest(a, c), lambda f: F.transform(at, f)).alias("m")).first()
+    assert got["s"] == [sum(x[:i]) for i in range(n + 1)] and got["m"] == [max([0, *x[:i]]) for i in range(n + 1)]
+
+
 def test_trees_keep_what_is_precise():
     zero = dict.fromkeys(pii.BINS, 0)
-    rows = [({**zero, "kind": 1, "named": 2}, 40, 40), ({**zero, "kind": 1}, 0, 60), ({**zero, "kind": 0}, 3, 30)]
-    trees = pii.Trees(rows)
+    rows = [({**zero, "kind": 1, "digits": 3}, 40, 40), ({**zero, "kind": 1}, 0, 60), ({**zero, "kind": 0}, 3, 30)]
+    trees = pii.Trees(rows, rows)
     assert trees.score_of(rows[0][0]) >= trees.thresholds[1] > trees.score_of(rows[1][0]) and trees.thresholds[0] == float("inf")
+    assert pii.Trees(rows, []).thresholds == [float("inf")] * 2  # without held-out documents nothing is taken
+    assert trees.quality(rows) == (40, 40, 43)
+
+
+def test_trees_table_is_that_of_the_candidates(spark, docs):
+    held, (_, every, part) = pii.searched(docs, ["doc_id"], "text")
+    fitted, judged = pii.count_table(held, every, part)
+    plain = {}
+    for r in held.select(every, part).collect():
+        for c in r[0]:
+            cell = plain.setdefault((r[1] == 0, tuple(c["bins"])), [0, 0])
+            cell[0] += c["good"]
+            cell[1] += 1
+    assert plain == {(out, tuple(b.values())): [g, n] for out, rows in ((False, fitted), (True, judged)) for b, g, n in rows}
+    assert not {"named"} & set(pii.BINS)  # the label's own words are no feature
+
+
+def test_secrets_are_learnt_from_their_format(spark):
+    r = random.Random(9)
+    secret = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    docs = [(i, f'text {i} api_key = "{secret()}"') for i in range(200)] + [(1000 + i, f'plain "{secret()}" {i}') for i in range(4)] + [(2000 + i, f"a-very-long-hyphenated-word-{'xyz'[i % 3]} {i}") for i in range(80)]
+    got = {x["doc_id"]: [s["kind"] for s in x["all_spans"]] for x in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i] == ["secret"] for i, _ in docs if i < 2000) and not any(got[i] for i, _ in docs if i >= 2000)
 
 
 def test_rules(cluttered, empty):
