@@ -39,15 +39,36 @@ def presence_count(c: Column, words: list[str]) -> Column:
     return total([low.contains(w).cast("long") for w in words])
 
 
+def engine_form(pattern: str, ignore_case: bool = False) -> str:
+    """A pattern of Python's re for the engine: classes and word boundaries mean Unicode there, as they do in Python."""
+    return ("(?iuU)" if ignore_case else "(?U)") + pattern
+
+
 def regex_total(c: Column, patterns: list[str], ignore_case: bool = False) -> Column:
-    """Matches of all patterns."""
-    return total([F.regexp_count(c, F.lit(("(?i)" if ignore_case else "") + p)).cast("long") for p in patterns])
+    """Matches of all patterns. A text without a digit isn't searched for a pattern that needs one."""
+    digit = c.rlike(r"\p{Nd}")
+
+    def matches(p: str) -> Column:
+        n = F.regexp_count(c, F.lit(engine_form(p, ignore_case))).cast("long")
+        return F.when(digit, n).otherwise(F.lit(0).cast("long")) if needs_digit(p) else n
+
+    return total([matches(p) for p in patterns])
+
+
+def needs_digit(pattern: str) -> bool:
+    """Whether every branch of the pattern holds a digit (no text matches it without)."""
+    return all("\\d" in branch.replace("\\d*", "") for branch in pattern.split("|"))
+
+
+def broken_references(c: Column, refs: Column) -> Column:
+    """References (names of sections) that the text has no section for, whatever the case."""
+    low = F.lower(c)
+    return F.filter(refs, lambda r: ~F.rlike(low, F.concat(F.lit("(?U)section\\s+\\Q"), F.lower(r), F.lit("\\E"))))
 
 
 def word_count(c: Column) -> Column:
     """Words between white space; 0 for a blank text."""
-    t = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+"))).cast("long")
+    return F.regexp_count(c, F.lit(r"\S+")).cast("long")
 
 
 def paragraph_count(c: Column) -> Column:

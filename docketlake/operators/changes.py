@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docketlake.shipping import ship_package
+
 
 def change_status(snapshots: DataFrame, target: str, order: str, content: str) -> DataFrame:
     """Each snapshot's hash against the one before it of its target: baseline, unchanged or modified."""
@@ -25,9 +27,15 @@ def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
 
 
 def changes(snapshots: DataFrame, target: str, order: str, content: str, preview: int = 1000) -> DataFrame:
-    """The modified snapshots with the head of their diff."""
-    prev = F.lag(content).over(Window.partitionBy(target).orderBy(order))
-    return change_status(snapshots.withColumn("_before", prev), target, order, content).where("change = 'modified'").withColumn("diff", F.substring(unified_diff("_before", content), 1, preview)).drop("_before")
+    """The modified snapshots with the head of their diff. (target, order) tells snapshots apart. Hashes alone go
+    through the window; texts are joined to what changed."""
+    before = F.lag(order).over(Window.partitionBy(target).orderBy(order))
+    status = change_status(snapshots.select(target, order, content), target, order, content).withColumn("_from", before)
+    modified = status.where("change = 'modified'").drop(content)
+    texts = snapshots.select(F.col(target).alias("_target"), F.col(order).alias("_order"), F.col(content).alias("_before"))
+    ship_package(snapshots.sparkSession)
+    joined = modified.join(snapshots, [target, order]).join(texts, (F.col(target) == F.col("_target")) & (F.col("_from") == F.col("_order")))
+    return joined.withColumn("diff", F.substring(unified_diff("_before", content), 1, preview)).drop("_before", "_from", "_target", "_order")
 
 
 def significance(reply: Column) -> Column:

@@ -39,20 +39,16 @@ def running_confidence(events: DataFrame, key: str, order: list[str]) -> DataFra
 def reinforced(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Confidence after all uses in order. A success sets s / (s + f), adds min(.05, .003 * items) from 10 items on,
     (10 - t) / 100 below 10 s, and .01, up to 1. A failure sets s / (s + f) and, from 5 attempts on with over half
-    failed, takes min(.1, .1 * rate), down to 0."""
-    uses = F.array_sort(F.collect_list(F.struct(*order, "success", "items", "seconds")))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("f"), F.lit(0.5).alias("c"))
-
-    def step(a: Column, x: Column) -> Column:
-        s, f = a["s"] + x["success"].cast("double"), a["f"] + (~x["success"]).cast("double")
-        base = s / (s + f)
-        up = base + F.when(x["items"] >= 10, F.least(F.lit(0.05), 0.003 * x["items"])).otherwise(0.0) + F.when((x["seconds"] > 0) & (x["seconds"] < 10), (10 - x["seconds"]) / 100).otherwise(0.0) + 0.01
-        rate = f / (s + f)
-        down = base - F.when((s + f >= 5) & (rate > 0.5), F.least(F.lit(0.1), 0.1 * rate)).otherwise(0.0)
-        return F.struct(s.alias("s"), f.alias("f"), F.when(x["success"], F.least(F.lit(1.0), up)).otherwise(F.greatest(F.lit(0.0), down)).alias("c"))
-
-    end = F.aggregate(uses, start, step)
-    return events.groupBy(key).agg(end.alias("e")).select(key, F.col("e.s").cast("long").alias("success_count"), F.col("e.f").cast("long").alias("failure_count"), F.round("e.c", 6).alias("confidence"))
+    failed, takes min(.1, .1 * rate), down to 0. Since every use starts from s / (s + f), the totals and the last use
+    tell the end."""
+    s, f = F.count_if("success"), F.count_if(~F.col("success"))
+    held = events.groupBy(key).agg(s.alias("success_count"), f.alias("failure_count"), F.max_by(F.struct("success", "items", "seconds"), F.struct(*order)).alias("last"))
+    n, x = F.col("success_count") + F.col("failure_count"), F.col("last")
+    base, rate = F.col("success_count") / n, F.col("failure_count") / n
+    up = base + F.when(x["items"] >= 10, F.least(F.lit(0.05), 0.003 * x["items"])).otherwise(0.0) + F.when((x["seconds"] > 0) & (x["seconds"] < 10), (10 - x["seconds"]) / 100).otherwise(0.0) + 0.01
+    down = base - F.when((n >= 5) & (rate > 0.5), F.least(F.lit(0.1), 0.1 * rate)).otherwise(0.0)
+    confidence = F.when(x["success"], F.least(F.lit(1.0), up)).otherwise(F.greatest(F.lit(0.0), down))
+    return held.select(key, "success_count", "failure_count", F.round(confidence, 6).alias("confidence"))
 
 
 def best(df: DataFrame, by: str, score: str, least: float, tie: str, n: int = 1) -> DataFrame:

@@ -37,9 +37,10 @@ def retries(steps: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def available(agents: DataFrame, tasks: DataFrame) -> DataFrame:
-    """For each task the idle agent of its role with the shortest queue, then fewest errors, then id."""
-    order = Window.partitionBy("task_id").orderBy("queue_length", "error_count", "agent_id")
-    return tasks.join(agents.where("status = 'idle'"), "role").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """For each task the idle agent of its role with the shortest queue, then fewest errors, then id. One agent per role
+    is chosen before the join; a task whose role has none is left out."""
+    best = agents.where("status = 'idle'").groupBy("role").agg(F.min(F.struct("queue_length", "error_count", "agent_id")).alias("b")).select("role", "b.*")
+    return tasks.join(F.broadcast(best), "role")  # as many rows as there are roles
 
 
 def admitted(jobs: DataFrame, free: int) -> DataFrame:
@@ -58,7 +59,8 @@ def route(message_type: Column, recipient: Column, queues: list[str], routes: di
 def dispatch(messages: DataFrame, capacity: int) -> DataFrame:
     """Messages (message_id, queue, ts) with ``outcome``: queued while the queue has room, in order; else a dead letter with its reason."""
     place = F.row_number().over(Window.partitionBy("queue").orderBy("ts", "message_id"))
-    return messages.withColumn("_n", place).withColumn("outcome", F.when(F.col("queue").isNull(), "no_route").when(F.col("_n") > capacity, "queue_full").otherwise("queued")).drop("_n")
+    routed = messages.where("queue IS NOT NULL").withColumn("outcome", F.when(place > capacity, "queue_full").otherwise("queued"))
+    return routed.unionByName(messages.where("queue IS NULL").withColumn("outcome", F.lit("no_route")))
 
 
 def utilisation(messages: DataFrame, sizes: dict[str, int], alert: float = 0.8) -> DataFrame:
@@ -92,9 +94,11 @@ def last_hundred(values: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 
 def smoothed(values: DataFrame, by: str, order: list[str], keep: float = 0.9) -> DataFrame:
-    """Exponential mean in order, from zero; and the greatest value."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, "value")))
-    return values.groupBy(by).agg(F.round(F.aggregate(rows, F.lit(0.0), lambda a, x: a * keep + x["value"] * (1 - keep)), 6).alias("smoothed"), F.max("value").alias("peak"))
+    """Exponential mean in order, from zero; and the greatest value. Each value weighs ``keep`` to the power of how many
+    came after it, so it is a plain sum."""
+    later = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(o) for o in order])) - 1
+    weighed = values.withColumn("_w", F.col("value") * (1 - keep) * F.pow(F.lit(keep), later))
+    return weighed.groupBy(by).agg(F.round(F.sum("_w"), 6).alias("smoothed"), F.max("value").alias("peak"))
 
 
 def glob(c: Column, pattern: str) -> Column:

@@ -57,7 +57,11 @@ def sql_present(words, c="lower(text)") -> str:
     return f"len(list_filter({sql_list(words)}, lambda w: contains({c}, w)))::BIGINT"
 
 
-def sql_regex(patterns, c="text", flags="") -> str:
+#: Letters beyond ASCII as a letter that no pattern names, since the SQL engine's word boundaries know ASCII alone.
+SQL_ASCII = r"regexp_replace(coalesce(text, ''), '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]', '_', 'g')"
+
+
+def sql_regex(patterns, c=SQL_ASCII, flags="") -> str:
     return " + ".join(f"len(regexp_extract_all({c}, '{flags}{p}'))" for p in patterns)
 
 
@@ -76,7 +80,8 @@ def sessions(spark, d):
 
 
 def last_time(events, column="ts"):
-    return events.agg(F.max(column)).first()[0]
+    """The last time as a value of the query itself: no job runs while the plan is made."""
+    return events.agg(F.max(column)).scalar()
 
 
 CONTENT_ERROR = """CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) < 10 THEN 'too short' WHEN length(trim(text)) > 10000000 THEN 'too long'
@@ -86,9 +91,10 @@ DOC_SCORE = f"""(CASE WHEN {SQL_WORDS} > 1000 THEN 0.3 WHEN {SQL_WORDS} > 500 TH
 
 
 def doc_score(c="text"):
+    """The score; its words are counted once, though it compares them more often."""
     t = F.col(c)
     lines = F.size(F.split(t, "\n"))
-    return S.content_quality(X.word_count(t), F.least(lines / 10.0, F.lit(1.0)), X.keyword_total(t, D.LEGAL_KEYWORDS), F.lit(0.0))
+    return N.once(X.word_count(t), lambda words: S.content_quality(words, F.least(lines / 10.0, F.lit(1.0)), X.keyword_total(t, D.LEGAL_KEYWORDS), F.lit(0.0)))
 
 
 @query(f"""SELECT source, lang, count(*) AS n_docs, count(*) FILTER (({CONTENT_ERROR}) IS NULL) AS n_valid, round(avg({DOC_SCORE}), 6) AS mean_score
@@ -132,11 +138,16 @@ def keyword_presence_flags(spark, d):
     return documents(spark, d).select("doc_id", X.presence_count(t, D.STATUS_PHRASES).alias("status_phrases"), X.presence_count(t, D.GOVERNMENT_TERMS).alias("government_terms"), (X.presence_count(t, D.FORMAL_TERMS) >= 3).alias("official_language"), (X.presence_count(t, D.INDICATOR_KEYWORDS) >= 3).alias("has_legal_indicators"), (X.presence_count(t, PROBE) >= 3).alias("probe"))
 
 
-@query(f"""SELECT doc_id, {sql_regex(D.DATE_PATTERNS)} AS dates, {sql_regex(D.ID_PATTERNS)} AS ids, {sql_regex(D.NUMBERED_PATTERNS)} AS numbered, {sql_regex(D.CITATION_PATTERNS)} AS citations,
-    {sql_regex(D.VERSION_PATTERNS, 'lower(text)')} AS versions FROM documents""")
+REGEX_MEASURES = {
+    "dates": (D.DATE_PATTERNS, False), "ids": (D.ID_PATTERNS, True), "numbered": (D.NUMBERED_PATTERNS, True), "numbered_text": (D.NUMBERED_TEXT_PATTERNS, True), "citations": (D.CITATION_PATTERNS, True),
+    "page_citations": (D.PAGE_CITATION_PATTERNS, False), "content_citations": (D.CONTENT_CITATION_PATTERNS, True), "text_citations": (D.TEXT_CITATION_PATTERNS, True),
+}
+
+
+@query(f"""SELECT doc_id, {", ".join(f"({sql_regex(ps, 'a', '(?i)' if i else '')})::BIGINT AS {k}" for k, (ps, i) in REGEX_MEASURES.items())}, ({sql_regex(D.VERSION_PATTERNS, 'lower(a)')})::BIGINT AS versions FROM (SELECT doc_id, {SQL_ASCII} AS a FROM documents)""")
 def regex_totals(spark, d):
     t = F.col("text")
-    return documents(spark, d).select("doc_id", X.regex_total(t, D.DATE_PATTERNS).alias("dates"), X.regex_total(t, D.ID_PATTERNS).alias("ids"), X.regex_total(t, D.NUMBERED_PATTERNS).alias("numbered"), X.regex_total(t, D.CITATION_PATTERNS).alias("citations"), X.regex_total(F.lower(t), D.VERSION_PATTERNS).alias("versions"))
+    return documents(spark, d).select("doc_id", *(X.regex_total(t, ps, i).alias(k) for k, (ps, i) in REGEX_MEASURES.items()), X.regex_total(F.lower(t), D.VERSION_PATTERNS).alias("versions"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN s >= .9 THEN 'excellent' WHEN s >= .7 THEN 'good' WHEN s >= .5 THEN 'fair' WHEN s >= .3 THEN 'poor' ELSE 'unacceptable' END AS quality,
@@ -153,9 +164,15 @@ def completeness_score(spark, d):
     return documents(spark, d).select("doc_id", F.round(S.completeness(F.length("text"), n, F.lit(0), F.col("source").isNotNull(), F.col("lang") != "en"), 6).alias("completeness"))
 
 
-@query(f"SELECT doc_id, round(greatest(0.0, 1.0 - 0.1 * ({sql_regex(D.CITATION_PATTERNS)})), 6) AS citation_score FROM documents")
+@query(rf"""WITH t AS (SELECT doc_id, {SQL_ASCII} AS a FROM documents), r AS (SELECT doc_id, a, unnest(regexp_extract_all(a, '(?i){D.INTERNAL_REFERENCE}', 1)) AS ref FROM t),
+    b AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT regexp_matches(a, '(?i)Section\s+' || regexp_escape(ref))) AS broken FROM r GROUP BY doc_id)
+    SELECT doc_id, ({sql_regex(D.CITATION_PATTERNS, 'a', '(?i)')})::BIGINT AS citations, coalesce(n, 0)::INT AS internal_references, coalesce(broken, 0)::INT AS broken, round(greatest(0.0, 1.0 - 0.1 * coalesce(broken, 0)), 6) AS citation_score FROM t LEFT JOIN b USING (doc_id)""")
 def citation_score(spark, d):
-    return documents(spark, d).select("doc_id", F.round(S.issues_score(X.regex_total(F.col("text"), D.CITATION_PATTERNS)), 6).alias("citation_score"))
+    """Citations, references inside the text, those to sections that it doesn't have, and the score."""
+    t = F.col("text")
+    refs = F.regexp_extract_all(t, F.lit(X.engine_form(D.INTERNAL_REFERENCE, True)), F.lit(1))
+    rows = documents(spark, d).select("doc_id", X.regex_total(t, D.CITATION_PATTERNS, True).alias("citations"), refs.alias("refs"), X.broken_references(t, refs).alias("broken"))
+    return rows.select("doc_id", "citations", F.size("refs").alias("internal_references"), F.size("broken").alias("broken"), F.round(S.issues_score(F.size("broken")), 6).alias("citation_score"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
@@ -230,12 +247,11 @@ def pages_by_host(spark, d):
 
 @query(f"""SELECT page_id, {sql_present(D.API_TERMS, 'lower(html)')} AS api_terms, round(least(1.0, 0.2 * {sql_present(D.API_TERMS, 'lower(html)')}), 6) AS api_readiness,
     {sql_present(D.SPA_TERMS, 'lower(html)')} > 0 AS spa, {sql_present(D.SPA_FRAMEWORKS, 'lower(html)')} > 0 AS framework,
-    round((CASE WHEN len(regexp_extract_all(lower(html), '<script')) > 5 THEN .3 ELSE 0 END) + (CASE WHEN {sql_present(D.SPA_FRAMEWORKS, 'lower(html)')} > 0 THEN .4 ELSE 0 END) + (CASE WHEN contains(lower(html), 'loading') THEN .3 ELSE 0 END), 6) AS js_need FROM pages""")
+    round((CASE WHEN len(regexp_extract_all(lower(html), '<script')) > 5 THEN .3 ELSE 0 END) + (CASE WHEN {sql_present(D.SPA_FRAMEWORKS, 'lower(html)')} > 0 THEN .4 ELSE 0 END) + (CASE WHEN contains(lower(html), 'loading...') OR contains(lower(html), 'spinner') THEN .3 ELSE 0 END), 6) AS js_need FROM pages""")
 def page_technology(spark, d):
     t = F.col("html")
-    api, spa = X.presence_count(t, D.API_TERMS), X.presence_count(t, D.SPA_FRAMEWORKS) > 0
-    js = S.points((F.regexp_count(F.lower(t), F.lit("<script")) > 5, 0.3), (spa, 0.4), (F.lower(t).contains("loading"), 0.3))
-    return read(spark, d, "pages").select("page_id", api.alias("api_terms"), F.round(F.least(F.lit(1.0), 0.2 * api), 6).alias("api_readiness"), (X.presence_count(t, D.SPA_TERMS) > 0).alias("spa"), spa.alias("framework"), F.round(js, 6).alias("js_need"))
+    rows = read(spark, d, "pages").select("page_id", X.presence_count(t, D.API_TERMS).alias("api_terms"), (X.presence_count(t, D.SPA_TERMS) > 0).alias("spa"), (X.presence_count(t, D.SPA_FRAMEWORKS) > 0).alias("framework"), P.technology(t).alias("t"))
+    return rows.select("page_id", "api_terms", "t.api_readiness", "spa", "framework", F.col("t.needs_scripts").alias("js_need"))
 
 
 @query(r"""SELECT page_id, lower(regexp_extract(html, '<html lang="([a-zA-Z]+)', 1)) AS lang, len(regexp_extract_all(html, '<a '))::BIGINT AS n_anchors, len(regexp_extract_all(html, '<li>'))::BIGINT AS n_items,
@@ -249,7 +265,7 @@ def html_counts(spark, d):
 @query()
 def html_records(spark, d):
     p = F.col("page")
-    t = p["main_text"]
+    t = p["body_text"]
     return H.parsed(read(spark, d, "pages")).select("page_id", H.title(p).alias("title"), X.word_count(t).alias("n_words"), F.length(t).alias("n_chars"), H.headings_in_order(p).alias("headings_ok"), F.size(p["links"]).alias("n_links"), F.size(H.document_links(p)).alias("n_document_links"), p["depth"].alias("depth"), F.size(p["meta"]).alias("n_meta"))
 
 
@@ -556,13 +572,13 @@ def cascaded_lines(spark, d):
     return W.cascade(read(spark, d, "lineitem"), gone, "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE walk(start, url, n) AS (SELECT c_custkey, c_custkey, 1 FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT start, url + 7, n + 1 FROM walk WHERE n < 10 AND url + 7 <= (SELECT max(c_custkey) FROM customer))
+@query("""WITH RECURSIVE walk(start, url, n) AS (SELECT c_custkey, c_custkey, 1 FROM customer UNION ALL SELECT start, url + 7, n + 1 FROM walk WHERE n < 10 AND url + 7 <= (SELECT max(c_custkey) FROM customer))
     SELECT start, url, n FROM walk""")
 def followed_pages(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("url"))
-    top = c.agg(F.max("url")).first()[0]
-    links = c.select("url", F.when(F.col("url") + 7 <= top, F.col("url") + 7).alias("next_url"))
-    return P.follow_pages(links, c.where("url % 50 = 0"), 10)
+    top = c.agg(F.max("url").alias("top"))
+    links = c.join(F.broadcast(top), F.col("url") <= F.col("top")).select("url", F.when(F.col("url") + 7 <= F.col("top"), F.col("url") + 7).alias("next_url"))
+    return P.follow_pages(links, c, 10)
 
 
 @query("SELECT conv_id, count(*)::INT AS n_pages, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, coalesce(text, '')) AS text FROM conversations GROUP BY conv_id")
@@ -587,7 +603,11 @@ def languages(spark, d):
     return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.every(V.known_language(F.col("lang"))).alias("known"))
 
 
-@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 20 THEN 'fail' WHEN avg(value) >= 60 THEN 'complete' ELSE 'retry' END AS action FROM events GROUP BY user_id""")
+@query("""SELECT user_id, CASE WHEN q >= 0.8 AND e = 0 THEN 'complete' WHEN q < 0.5 AND e < 3 THEN 'retry' WHEN e >= 3 THEN 'fail' ELSE 'handoff_validation' END AS action FROM (SELECT user_id, round(avg(value) / 50, 6) AS q, count(*) FILTER (event_type = 'error') // 20 AS e FROM events GROUP BY user_id)""")
 def source_actions(spark, d):
-    errors = F.count_if(failed())
-    return read(spark, d, "events").groupBy("user_id").agg(F.when(errors > 20, "fail").when(F.avg("value") >= 60, "complete").otherwise("retry").alias("action"))
+    rows = read(spark, d, "events").groupBy("user_id").agg(F.round(F.avg("value") / 50, 6).alias("q"), F.floor(F.count_if(failed()) / 20).alias("e"))
+    return rows.select("user_id", S.stage_action(F.col("q"), F.col("e"), F.lit("validation")).alias("action"))
+
+
+# more queries register themselves
+from docketlake.plans import operations, scores  # noqa: E402, F401

@@ -1,4 +1,4 @@
-"""Items of fetched feeds (url, source_id, content_type, body): RSS, Atom, JSON; other bodies go to the page parser."""
+"""Items of fetched feeds (url, source_id, content_type, body): RSS, Atom, JSON; the links of other bodies, which are pages."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.functions.text import first_filled
+from docketlake.functions.urls import resolve
+from docketlake.sources.html import parsed
 from docketlake.sources.tables import timestamp
 
 RSS = "channel struct<item:array<struct<title:string,link:string,description:string,pubDate:string>>>"
@@ -33,8 +35,10 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     lists = [F.from_json("body", f"struct<{e}:array<{ENTRY}>>")[e] for e in ENVELOPES]
     bare = F.when(F.ltrim("body").startswith("["), F.from_json("body", f"array<{ENTRY}>"))
     js = marked.where("_kind = 'json'").select("*", F.explode(F.coalesce(*lists, bare)).alias("i"))
+    pages = parsed(marked.where("_kind = 'html'"), "body").select("*", F.explode("page.links").alias("i"))
     return (
-        _items(rss, F.col("i.title"), F.col("i.link"), F.col("i.description"), F.col("i.pubDate"))
+        _items(pages, F.col("i.text"), resolve(F.col("url"), F.col("i.href")), F.lit(None).cast("string"), F.lit(None).cast("string"))
+        .unionByName(_items(rss, F.col("i.title"), F.col("i.link"), F.col("i.description"), F.col("i.pubDate")))
         .unionByName(_items(atom, F.col("i.title"), F.get(F.col("i.link"), 0)["_href"], F.col("i.summary"), F.col("i.updated")))
         .unionByName(_items(js, first_filled(F.col("i.title"), F.col("i.name")), first_filled(F.col("i.url"), F.col("i.link"), F.col("i.html_url")), first_filled(F.col("i.description"), F.col("i.abstract"), F.col("i.summary")), first_filled(F.col("i.publication_date"), F.col("i.published_date"), F.col("i.date"))))
     )
@@ -47,7 +51,7 @@ def allowed_body(status: Column, body: Column) -> Column:
 
 def robots_rules(body: Column) -> Column:
     """(allow, path) of the group for every agent in a robots.txt, and the paths lower-cased."""
-    lines = F.transform(F.split(F.lower(F.coalesce(body, F.lit(""))), r"\r?\n"), F.trim)
+    lines = F.transform(F.split(F.lower(F.coalesce(body, F.lit(""))), r"\r?\n"), lambda x: F.trim(x))
     rules = F.filter(lines, lambda x: x.rlike("^(dis)?allow:"))
     return F.transform(rules, lambda x: F.struct(x.startswith("allow").alias("allow"), F.trim(F.regexp_replace(x, "^(dis)?allow:", "")).alias("path")))
 

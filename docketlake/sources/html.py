@@ -10,12 +10,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.shipping import ship_package
+
 RECORD = (
     "struct<title:string,lang:string,headings:array<struct<level:int,text:string>>,links:array<struct<href:string,text:string>>,"
     "meta:map<string,string>,tags:map<string,int>,classes:map<string,int>,paragraphs:array<string>,items:array<string>,"
     "tables:array<array<array<string>>>,terms:array<struct<term:string,text:string>>,main_text:string,body_text:string,"
-    "images:int,images_with_alt:int,aria:int,inline_script_chars:int,script_sources:array<string>,depth:int>"
+    "images:int,images_with_alt:int,aria:int,inline_script_chars:int,script_sources:array<string>,depth:int,"
+    "marked:array<struct<tag:string,classes:string>>,attributes:map<string,int>,ids:array<string>,inputs:array<struct<type:string,name:string>>,search_forms:int,"
+    "rels:array<string>,script_types:array<string>,grids:array<struct<rows:int,heads:int,parted:boolean,nested:boolean>>,flow:array<struct<tag:string,text:string>>,"
+    "blocks:array<struct<tag:string,classes:string,id:string,heading:string,text:string,links:array<struct<href:string,text:string>>>>,linked_items:int>"
 )
+BLOCKS = {"section", "article", "main", "nav", "header", "footer", "aside"}
+#: Elements of other names whose class or id holds one of these are blocks too.
+BLOCK_WORDS = ("section", "article", "part", "chapter", "abstract", "summary", "overview", "appendix", "annex", "schedule", "ref", "citation", "metadata", "info", "content", "document-body", "breadcrumb", "title")
+FLOW = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "div", "section"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "noscript", "template"}
 CHROME = {"nav", "footer"}
@@ -36,6 +45,10 @@ class Page(HTMLParser):
         self.open: list[tuple[str, int, list[str], dict]] = []  # elements whose text is wanted
         self.main, self.body, self.title = [], [], None
         self.lang, self.images, self.alts, self.aria, self.script, self.sources, self.depth = None, 0, 0, 0, 0, [], 0
+        self.marked, self.attributes, self.ids, self.inputs, self.rels, self.script_types = [], Counter(), [], [], [], []
+        self.search_forms, self.grids, self.flow, self.blocks, self.linked_items = 0, [], [], [], 0
+        self.forms: list[int] = []  # open forms: depth of each, negative once "search" was met
+        self.tables_open: list[dict] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         at = {k: v or "" for k, v in attrs}
@@ -44,6 +57,28 @@ class Page(HTMLParser):
         self.tags[tag] += 1
         self.classes.update(at.get("class", "").lower().split())
         self.aria += any(k.startswith("aria-") for k in at)
+        self.attributes.update(at.keys())
+        self.attributes.update(f"{k}={at[k].lower()}" for k in ("loading", "id") if at.get(k))
+        if at.get("class"):
+            self.marked.append({"tag": tag, "classes": at["class"].lower()})
+        if at.get("id"):
+            self.ids.append(at["id"])
+        if tag == "input":
+            self.inputs.append({"type": at.get("type", "").lower(), "name": at.get("name", "").lower()})
+        elif tag == "link":
+            self.rels.append(at.get("rel", "").lower())
+        elif tag == "script":
+            self.script_types.append(at.get("type", "").lower())
+        elif tag == "form":
+            self.forms.append(0)
+        if self.forms and "search" in (self.get_starttag_text() or "").lower():
+            self.forms[-1] = 1
+        if self.tables_open:
+            grid = self.tables_open[-1]
+            grid["rows"] += tag == "tr"
+            grid["heads"] += tag == "th"
+            grid["parts"] |= {tag} & {"thead", "tbody"}
+            grid["nested"] |= tag == "table"
         if tag == "html":
             self.lang = at.get("lang") or self.lang
         elif tag == "meta":
@@ -55,6 +90,8 @@ class Page(HTMLParser):
             self.sources.append(at["src"])
         elif tag == "table":
             self.tables.append([])
+            self.tables_open.append({"rows": 0, "heads": 0, "parts": set(), "nested": False})
+            self.grids.append(self.tables_open[-1])
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
         if tag in VOID:
@@ -63,6 +100,12 @@ class Page(HTMLParser):
         self.depth = max(self.depth, len(self.stack))
         if tag in {"title", "a", "p", "li", "dt", "dd", "td", "th"} | HEADINGS:
             self.open.append((tag, len(self.stack), [], at))
+        names = f"{at.get('class', '')} {at.get('id', '')}".lower()
+        if tag in BLOCKS or names.strip() and any(w in names for w in BLOCK_WORDS):
+            self.open.append(("block", len(self.stack), [], {"tag": tag, "classes": at.get("class", "").lower(), "id": at.get("id"), "heading": None, "links": []}))
+        if tag in FLOW:
+            self.open.append(("flow", len(self.stack), [], {"tag": tag, "at": len(self.flow)}))
+            self.flow.append({"tag": tag, "text": ""})
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.stack:
@@ -72,19 +115,34 @@ class Page(HTMLParser):
     def _close(self, tag: str) -> str:
         depth = len(self.stack)
         self.stack.pop()
-        if self.open and self.open[-1][1] == depth:
+        while self.open and self.open[-1][1] == depth:
             name, _, parts, at = self.open.pop()
             self._take(name, " ".join("".join(parts).split()), at)
+        if tag == "table" and self.tables_open:
+            self.tables_open.pop()
+        elif tag == "form" and self.forms:
+            self.search_forms += self.forms.pop()
         return tag
 
     def _take(self, name: str, text: str, at: dict) -> None:
         if name == "title":
             self.title = self.title or text
+        elif name == "block":
+            self.blocks.append({"tag": at["tag"], "classes": at["classes"], "id": at["id"], "heading": at["heading"], "text": text, "links": at["links"]})
+        elif name == "flow":
+            self.flow[at["at"]]["text"] = text
         elif name in HEADINGS:
             self.headings.append({"level": int(name[1]), "text": text})
+            for kind, _, _, block in self.open:
+                if kind == "block":
+                    block["heading"] = block["heading"] or text
         elif name == "a":
+            self.linked_items += "li" in self.stack
             if at.get("href"):
                 self.links.append({"href": at["href"], "text": text})
+                for kind, _, _, block in self.open:
+                    if kind == "block":
+                        block["links"].append(self.links[-1])
         elif name == "p":
             self.paragraphs.append(text)
         elif name == "li":
@@ -100,6 +158,8 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if "script" in self.stack:
             self.script += len(data)
+        if self.forms and "search" in data.lower():
+            self.forms[-1] = 1
         for _, _, parts, _ in self.open:
             parts.append(data)
         if HIDDEN.isdisjoint(self.stack) and "title" not in self.stack and CHROME.isdisjoint(self.stack):
@@ -110,12 +170,16 @@ class Page(HTMLParser):
     def record(self) -> dict:
         while self.stack:
             self._close(self.stack[-1])
+        for grid in self.grids:
+            grid["parted"] = len(grid.pop("parts")) == 2
         body = " ".join(" ".join(self.body).split())
         main = " ".join(" ".join(self.main).split())
         return {
             "title": self.title, "lang": self.lang, "headings": self.headings, "links": self.links, "meta": self.meta, "tags": dict(self.tags), "classes": dict(self.classes),
             "paragraphs": self.paragraphs, "items": self.items, "tables": self.tables, "terms": self.terms, "main_text": main or body[:BODY_CHARS], "body_text": body,
             "images": self.images, "images_with_alt": self.alts, "aria": self.aria, "inline_script_chars": self.script, "script_sources": self.sources, "depth": self.depth,
+            "marked": self.marked, "attributes": dict(self.attributes), "ids": self.ids, "inputs": self.inputs, "search_forms": self.search_forms, "rels": self.rels, "script_types": self.script_types,
+            "grids": self.grids, "flow": self.flow, "blocks": self.blocks, "linked_items": self.linked_items,
         }
 
 
@@ -128,6 +192,7 @@ def parse_page(html: str | None) -> dict:
 
 def parsed(pages: DataFrame, html: str = "html", to: str = "page") -> DataFrame:
     """``pages`` with the record of each page; Arrow batches, one parse."""
+    ship_package(pages.sparkSession)
 
     @F.pandas_udf(RECORD)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
