@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from docketlake.llm import bpe, measures, neighbours, quality, queries, rules, toxicity
+from docketlake.llm import bpe, common, measures, neighbours, quality, queries, rules, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -79,8 +79,9 @@ def test_shared_model_sums_to_one(spark):
 def test_toxicity_is_the_difference_of_two_likelihoods(spark):
     """Against plain Kneser-Ney models that back off for n-grams never met, in all words of a text."""
     docs = [("grukk grukk abra cadabra", 1), ("abra cadabra abra gruft", 0), ("cad grumm", 1)]
+    common.shared_folder(spark)
     counts = toxicity.class_counts(spark.createDataFrame(docs, "text string, toxic int"))
-    model = toxicity.ToxicityModel(*toxicity.ratio_tables(counts))
+    model = toxicity.ToxicityModel(*toxicity.ratio_tables(toxicity.with_shared(counts.checkpoint())))
     as_tuple = lambda g: tuple(int(g).to_bytes(8, "big")[-toxicity.ORDER :])
     plain = [Counter(as_tuple(g) for t, x in docs if x == wanted for g in toxicity.grams(t.encode())[0].tolist()) for wanted in (1, 0)]
     both = brute.KneserNey(*plain, toxicity.DISCOUNT, toxicity.SHRINK)
