@@ -117,7 +117,7 @@ class Page(HTMLParser):
         self.stack.pop()
         while self.open and self.open[-1][1] == depth:
             name, _, parts, at = self.open.pop()
-            self._take(name, " ".join("".join(parts).split()), at)
+            self._take(name, " ".join((" " if name == "block" else "").join(parts).split()), at)
         if tag == "table" and self.tables_open:
             self.tables_open.pop()
         elif tag == "form" and self.forms:
