@@ -26,7 +26,9 @@ from docketlake.llm.common import map_batches, ship_package, shared_folder, tabl
 #: Vectors that the centroids are fitted on at most, and steps of k-means.
 SAMPLE, STEPS = 20_000, 12
 #: How many entries a query's cells must hold is measured: enough for this recall on some queries, at least so many.
-RECALL, CANDIDATES, TRIALS = 0.96, 1_000, 128
+RECALL, CANDIDATES, TRIALS = 0.94, 1_000, 256
+#: Centroids of a half at most: the square of it is the number of cells, whose sizes reach the driver.
+SIDE_BITS = 10
 CELL_BLOCK, QUERY_BLOCK = 4_096, 20_000
 
 
@@ -169,7 +171,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     entries = rows.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).checkpoint()
     n = entries.count()
     chosen = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toArrow()
-    side = 2 ** int(np.clip(round(np.log2(max(1.0, np.sqrt(n / 64)))), 2, 8))
+    side = 2 ** int(np.clip(round(np.log2(max(1.0, np.sqrt(n / 64)))), 2, SIDE_BITS))
     index = MultiIndex(matrix(chosen["embedding"], dim), side)
 
     def assign(batches):

@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints, and a binary-trie self-join under a Hamming budget.
 
 Equal fingerprints are one node. A pair within the budget agrees on some blocks of its bits, so nodes are dealt by
-(which blocks, their bits); alone in their deal they have no partner there. What meets is joined by walking a binary
+(which blocks, their bits); alone in their deal they have no partner there. A deal of more than ``DEAL`` nodes is dealt
+again, by further blocks of the bits that it doesn't fix, of which the pair agrees on one too. What meets is joined by walking a binary
 trie against itself, all node pairs of one depth together: a pair of subtrees whose differing bits exceed the
 budget is pruned. Each deal emits a forest (at most one link per node), not its pairs, which keeps components
 exactly. Components over the whole table come from rounds of large-star and small-star over these links, written to
@@ -18,11 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import map_batches, shared_folder, table, texts
+from docketlake.llm.common import map_batches, shared_folder, table, texts, unused
 
 BITS = 64
 #: A deal should hold few unrelated nodes: blocks are added until this many would meet by chance.
 CHANCE = 8
+#: Nodes that a deal holds at most, if its bits can tell them apart, and that a task gets on average.
+DEAL, TASK_NODES = 50_000, 20_000
+#: How often a large deal is dealt again; nodes that agree on most bits stay together then, 8 bytes each.
+LEVELS = 2
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -141,13 +146,47 @@ def forest(n: int, pairs) -> np.ndarray:
     return root
 
 
+def finer_masks(mask: int, budget: int) -> list[int]:
+    """Masks that fix more bits than ``mask``: a pair within the budget that agrees on it agrees on one of them."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    n = budget + 1
+    cuts = [len(free) * i // n for i in range(n + 1)]
+    return sorted({mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:])})
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def deals(nodes: DataFrame, masks: list[int], budget: int) -> DataFrame:
+    """(_fp, mask, held) with every pair within the budget together in some deal (mask, held); large deals are split."""
+    done = None
+    rows = nodes.select("_fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    for level in range(LEVELS + 1):
+        rows = rows.withColumn("held", F.col("_fp").bitwiseAND(F.col("mask")))
+        if level == LEVELS:
+            break
+        # at most (rows / DEAL) of them
+        large = rows.groupBy("mask", "held").agg(F.count("*").alias("n")).where((F.col("n") > DEAL) & (F.col("mask") != -1)).drop("n").checkpoint()
+        finer = {m: finer_masks(m, budget) for m in masks}
+        if not large.count():
+            break
+        few = F.broadcast(large)
+        small = rows.join(few, ["mask", "held"], "left_anti").select("_fp", "mask", "held")
+        done = small if done is None else done.unionByName(small)
+        again = F.create_map(*[x for m, fs in finer.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(f)) for f in fs]))])
+        rows = rows.join(few, ["mask", "held"], "left_semi").select("_fp", F.explode(F.try_element_at(again, F.col("mask"))).alias("mask")).checkpoint()
+        masks = sorted({f for fs in finer.values() for f in fs})
+    rows = rows.select("_fp", "mask", "held")
+    return rows if done is None else done.unionByName(rows)
+
+
 def links(nodes: DataFrame, budget: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``_fp``, a forest per deal, that join just what lies within the budget."""
-    masks = block_masks(budget, nodes.count())
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    deals = F.explode(F.array(*[F.struct(F.lit(i).alias("deal"), F.col("_fp").bitwiseAND(F.lit(m)).alias("held")) for i, m in enumerate(signed)]))
-    dealt = nodes.select("_fp", deals.alias("d")).select("_fp", F.col("d.deal").alias("deal"), F.col("d.held").alias("held"))
-    dealt = dealt.repartition("deal", "held").sortWithinPartitions("deal", "held")
+    n_nodes = nodes.count()
+    masks = block_masks(budget, n_nodes)
+    dealt = deals(nodes.select("_fp"), masks, budget).select("_fp", F.col("mask").alias("deal"), "held")
+    dealt = dealt.repartition(max(1, len(masks) * n_nodes // TASK_NODES), "deal", "held").sortWithinPartitions("deal", "held")
 
     def join(batches):
         """Deals come one after the other."""
@@ -156,7 +195,7 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
         def close():
             if len(group) < 2:
                 return None
-            fps = np.sort(np.array(group, np.int64).view(np.uint64))
+            fps = np.unique(np.array(group, np.int64).view(np.uint64))  # finer deals may meet from two sides
             root = forest(len(fps), trie_pairs(fps, budget))
             child = np.flatnonzero(root != np.arange(len(fps)))
             return (fps[child].view(np.int64), fps[root[child]].view(np.int64)) if len(child) else None
@@ -232,16 +271,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataF
     return marked.join(found, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def apart(docs: DataFrame, row: str) -> DataFrame:
+    """doc_id (long), text, and the whole row as one column, whose names meet no others."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row))
+
+
+def together(rows: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col(row)[c].alias(c) for c in columns))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of smallest doc_id (of rows that repeat it, one).
     Rows without a doc_id stay. Columns stay as they are."""
     shared_folder(docs.sparkSession)
-    whole = fingerprints(docs.drop("_fp"), shingle)
-    marked = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "_fp").where(F.col("doc_id").isNotNull()).checkpoint()
+    row, = unused(["doc_id", "text", "_fp"], "row")
+    whole = fingerprints(apart(docs, row), shingle)
+    marked = whole.select("doc_id", "_fp").where(F.col("doc_id").isNotNull()).checkpoint()
     of = marked.join(component_ids(marked, budget), "_fp")
     kept = of.groupBy("component_id").agg(F.min(F.struct("doc_id", "_fp")).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k._fp").alias("_fp"))
     stay = whole.where(F.col("doc_id").isNotNull()).join(kept, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"])
-    return stay.unionByName(whole.where(F.col("doc_id").isNull())).drop("_fp").select(*docs.drop("_fp").columns)
+    return together(stay.unionByName(whole.where(F.col("doc_id").isNull())), row, docs.columns)
 
 
 #: Min-hashes of a band, and bands: all bands of a pair of similarity 0.8 differ with a chance of 0.02 %.
@@ -351,9 +400,11 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     roots = similar_sets(nodes, docs, shingle, similarity)
     of = nodes.join(roots, nodes["_key"] == roots["node"], "left").select("least", "_key", F.coalesce("root", "_key").alias("root"))
     kept = of.groupBy("root").agg(F.min(F.struct("least", "_key")).alias("k")).select(F.col("k.least").alias("doc_id"), F.col("k._key").alias("_key"))
-    whole = set_keys(docs.drop("_key").where(F.col("doc_id").isNotNull()), shingle)
+    row, = unused(["doc_id", "text", "_key"], "row")
+    rows = apart(docs, row)
+    whole = set_keys(rows.where(F.col("doc_id").isNotNull()), shingle)
     stay = whole.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return stay.unionByName(docs.drop("_key").where(F.col("doc_id").isNull())).select(*docs.drop("_key").columns)
+    return together(stay.unionByName(rows.where(F.col("doc_id").isNull())), row, docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

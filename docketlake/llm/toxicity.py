@@ -154,21 +154,27 @@ class ToxicityModel:
         return np.where(x[:, -1] > 0, np.round(s, 9), 0.0)
 
 
-def ratio_tables(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """log p(toxic) - log p(ordinary) of each n-gram met, and of the back-off masses of each context: sorted keys and
-    values. All of both reach the driver, 12 bytes a row."""
+def with_shared(counts: DataFrame) -> DataFrame:
+    """``counts`` with each n-gram's probability in the shared model: g, tox, ord, p; on disk."""
     n_parts = counts.count() // PARTITION_ROWS + 1
-    counts = counts.coalesce(n_parts)
-    shared, held = shared_model(counts, n_parts)
-    units = counts.select("g", F.shiftright("g", 8).alias("h"), (F.col("tox") / UNIT).alias("tox"), (F.col("ord") / UNIT).alias("ord"))
+    shared, held = shared_model(counts.coalesce(n_parts), n_parts)
+    out = counts.coalesce(n_parts).join(shared, "g").coalesce(n_parts).checkpoint()
+    for level in held:
+        level.unpersist()
+    return out
+
+
+def ratio_tables(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """From (g, tox, ord, p), log p(toxic) - log p(ordinary) of each n-gram met, and of the back-off masses of each
+    context: sorted keys and values. All of both reach the driver, 12 bytes a row."""
+    units = counts.select("g", F.shiftright("g", 8).alias("h"), (F.col("tox") / UNIT).alias("tox"), (F.col("ord") / UNIT).alias("ord"), "p")
     contexts = units.groupBy("h").agg(
-        F.sum("tox").alias("ct"), F.sum("ord").alias("co"), (F.sum("tox") - F.sum(kept("tox"))).alias("lt"), (F.sum("ord") - F.sum(kept("ord"))).alias("lo"))
+        F.sum("tox").alias("ct"), F.sum("ord").alias("co"), (F.sum("tox") - F.sum(kept("tox"))).alias("lt"), (F.sum("ord") - F.sum(kept("ord"))).alias("lo")).persist()
 
     def chance(c, left, total):
         return (kept(c) + (F.col(left) + SHRINK) * F.col("p")) / (F.col(total) + SHRINK)
 
-    joined = units.join(contexts, "h").coalesce(n_parts).join(shared, "g").coalesce(n_parts)
-    seen = joined.select("g", F.log(chance("tox", "lt", "ct") / chance("ord", "lo", "co")).cast("float").alias("r"))
+    seen = units.join(contexts, "h").select("g", F.log(chance("tox", "lt", "ct") / chance("ord", "lo", "co")).cast("float").alias("r"))
 
     def mass(left, total):
         return (F.col(left) + SHRINK) / (F.col(total) + SHRINK)
@@ -182,8 +188,7 @@ def ratio_tables(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tupl
         return keys[order], values[order]
 
     out = sorted_table(seen), sorted_table(left)
-    for level in held:
-        level.unpersist()
+    contexts.unpersist()
     return out
 
 
@@ -204,12 +209,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, calibrated: int = CALIBRATE
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(4)) == 0
     marked = with_label(docs, labels.where(~part), "toxic").where(F.col("toxic").isNotNull())
-    ordinary = class_counts(marked.where("toxic = 0")).checkpoint()
-    model = None
-    for _ in range(1 + ROUNDS):
-        toxic = class_counts(marked.where("toxic = 1"), model)
-        counts = ordinary.unionByName(toxic).groupBy("g").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord")).checkpoint()
-        model = ToxicityModel(*ratio_tables(counts))
+    # the shared model stays that of all counts; rounds change what toxic documents add to their class
+    counts = with_shared(class_counts(marked).checkpoint())
+    model = ToxicityModel(*ratio_tables(counts))
+    for _ in range(ROUNDS):
+        toxic = class_counts(marked.where("toxic = 1"), model).select("g", "tox")
+        model = ToxicityModel(*ratio_tables(counts.drop("tox").join(toxic, "g", "left").fillna(0, ["tox"])))
     chosen = labels.where(part).groupBy("doc_id").agg(F.min("toxic").alias("toxic")).orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(calibrated)
 
     def inputs(batches):

@@ -188,7 +188,7 @@ def test_near_duplicates(cluttered, empty):
     assert got == {i: (f"{fps[i]:016x}", roots[i]) for i in fps}
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_one(cluttered, 3, 2)
-    assert kept.columns == [c for c in cluttered.columns if c != "_fp"] and {r["doc_id"] for r in kept.collect()} == set(roots.values())
+    assert kept.columns == cluttered.columns and {r["doc_id"] for r in kept.collect()} == set(roots.values())
 
 
 @pytest.mark.parametrize("budget", [1, 2, 3])
@@ -210,6 +210,31 @@ def test_masks_cover_every_pair(n, budget):
         assert any(not flips & m for m in masks)
 
 
+@pytest.mark.parametrize("limit", [3, 40])
+def test_large_deals_are_split(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "DEAL", limit)
+    r = np.random.default_rng(limit)
+    base = r.integers(0, 1 << 20, 30, np.uint64)  # all agree on most of their bits
+    near = base[r.integers(0, 30, 200)] ^ (np.uint64(1) << r.integers(0, 64, 200, np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 200, np.uint64))
+    fps = dict(enumerate(np.unique(np.r_[base, near]).tolist()))
+    nodes = spark.createDataFrame([(np.uint64(x).astype(np.int64).item(), i) for i, x in fps.items()], "_fp long, doc_id long")
+    from docketlake.llm.common import shared_folder
+
+    shared_folder(spark)
+    roots = brute.components(fps)
+    got = {x["_fp"]: x["component_id"] for x in simhash.component_ids(nodes, 2).collect()}
+    assert {i: got[np.uint64(x).astype(np.int64).item()] for i, x in fps.items()} == roots
+
+
+def test_finer_masks_cover_every_pair():
+    r = random.Random(4)
+    for mask in simhash.block_masks(2, 1000):
+        for finer in (simhash.finer_masks(mask, 2), [m for f in simhash.finer_masks(mask, 2) for m in simhash.finer_masks(f, 2)]):
+            for _ in range(100):
+                flips = sum({1 << r.randrange(64) for _ in range(2)}) & ~mask
+                assert any(not flips & m for m in finer) and all(m & mask == mask for m in finer)
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(chain).collect()}
