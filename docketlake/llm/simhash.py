@@ -305,14 +305,19 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle).astype(np.uint64))
 
 
+def minima(found: np.ndarray) -> np.ndarray:
+    """The set's least value under each of the hash functions."""
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 512):
+        np.minimum(least, ((found[at : at + 512, None] ^ MASKS) * ODD).min(0), out=least)
+    return least
+
+
 def band_keys(found: np.ndarray) -> np.ndarray:
     """One number per band from the set's least values under ``ROWS`` hash functions; none for an empty set."""
     if not len(found):
         return np.zeros(0, np.int64)
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 512):
-        np.minimum(least, ((found[at : at + 512, None] ^ MASKS) * ODD).min(0), out=least)
-    return ((least.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) ^ BAND_SALT).view(np.int64)
+    return ((minima(found).reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) ^ BAND_SALT).view(np.int64)
 
 
 def set_keys(docs: DataFrame, shingle: int, bands: bool = False) -> DataFrame:
@@ -366,27 +371,90 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return map_batches(joined.select("a", "b", "_a", "_b"), run, "a long, b long").checkpoint()
 
 
+def linked(sets: list[np.ndarray], roots: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) between sets of different roots that are similar enough: a forest that joins what all such links
+    would. Sketches leave out pairs whose share of equal minima lies four standard errors below the similarity."""
+    number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    group = np.array([number[r] for r in roots])
+    if len(number) < 2:
+        return []
+    sketch = np.stack([(minima(x) * MIX[0] >> np.uint64(48)).astype(np.uint16) for x in sets])
+    least = similarity - 4 * np.sqrt(similarity * (1 - similarity) / sketch.shape[1])
+    out = []
+    for i in range(1, len(sets)):
+        other = np.flatnonzero(group[:i] != group[i])
+        if not len(other):
+            continue
+        for j in other[(sketch[other] == sketch[i]).mean(1) >= least].tolist():
+            if group[j] != group[i] and alike(sets[i], sets[j], similarity):
+                out.append((i, j))
+                group[group == group[i]] = group[j]
+    return out
+
+
+#: Bytes of sets that a block of a band's sets holds.
+BLOCK_BYTES = 32_000_000
+
+
+def links_in_bands(placed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between similar enough sets of different roots that share a band (``placed``: band, _key, _size, root).
+
+    Sets of a band meet by size, in steps of which similar ones are at most one apart, and in pairs of blocks of bounded
+    bytes. They are compared in the task, which gives a forest; pairs are no rows."""
+    step = np.log(1 / min(similarity, 0.999))
+    sized = placed.withColumn("bucket", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.floor(F.log("_size") / F.lit(float(step))).cast("int") + k)))
+    blocks = sized.groupBy("band", "bucket").agg((F.floor(F.sum("_size") * 8 / BLOCK_BYTES) + 1).cast("int").alias("blocks"), F.countDistinct("root").alias("roots")).where("roots > 1").drop("roots")
+    own = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")
+    dealt = sized.join(blocks, ["band", "bucket"]).withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "bucket", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "_key", "root").checkpoint()
+    wanted = dealt.select("_key").distinct().join(nodes.select("_key", F.col("least").alias("doc_id")), "_key")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def make(batches):
+        for b in batches:
+            found = [shingle_set(t, shingle).tobytes() for t in texts(b)]
+            keys = np.array([xxhash.xxh3_64_intdigest(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found, pa.binary())], names=["_key", "_set"])
+
+    sets = map_batches(some, make, "_key long, _set binary").join(wanted.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    keys = ("band", "bucket", "i", "j")
+    met = dealt.join(sets, "_key").select(*keys, "_key", "root", "_set").repartition(*keys).sortWithinPartitions(*keys, "_key")
+
+    def compare(batches):
+        last, group = None, []
+
+        def close():
+            found = linked([np.frombuffer(x, np.uint64) for *_, x in group], [r for _, r, _ in group], similarity) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([group[i][0] for i, _ in found], pa.int64()), pa.array([group[j][0] for _, j in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for band, bucket, i, j, key, root, held in zip(*(c.to_pylist() for c in b.columns)):
+                if (now := (band, bucket, i, j)) != last:
+                    yield close()
+                    last, group = now, []
+                group.append((key, root, held))
+        yield close()
+
+    return map_batches(met, compare, "a long, b long").distinct().checkpoint()
+
+
 def similar_sets(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the ``nodes`` (_key, least, _size, _bands) that are linked to others: the components of all
     pairs that share a band and are similar enough.
 
-    First each node is compared with the least of its band; then, of what shares a band, all pairs that this left
-    in different components. So a large group of near copies takes few comparisons, and no pair is left out."""
+    First each node is compared with the least of its band; then, of what shares a band, the sets that this left in
+    different components, in the tasks (``links_in_bands``). So a large group of near copies takes few comparisons, and
+    no pair is left out."""
     dealt = nodes.select("_key", "_size", F.explode("_bands").alias("band"))
     hubs = dealt.groupBy("band").agg(F.min(F.struct("_key", "_size")).alias("h"), F.count("*").alias("n")).where("n > 1").select("band", F.col("h._key").alias("hub"), F.col("h._size").alias("hub_size"))
     met = dealt.join(hubs, "band").checkpoint()
-
-    def fits(x: str, y: str):
-        return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-
-    to_hub = met.where((F.col("_key") != F.col("hub")) & fits("_size", "hub_size")).select(F.col("_key").alias("a"), F.col("hub").alias("b")).distinct()
+    fits = F.least("_size", "hub_size") >= similarity * F.greatest("_size", "hub_size") - 1e-9
+    to_hub = met.where((F.col("_key") != F.col("hub")) & fits).select(F.col("_key").alias("a"), F.col("hub").alias("b")).distinct()
     roots = components(confirmed(to_hub, nodes, docs, shingle, similarity))
     placed = met.join(roots, met["_key"] == roots["node"], "left").select("band", "_key", "_size", "hub", F.coalesce("root", "_key").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    placed = placed.where("_key != hub").join(mixed, "band").checkpoint()
-    other = placed.select("band", F.col("_key").alias("b"), F.col("_size").alias("b_size"), F.col("root").alias("b_root"))
-    rest = placed.join(other, "band").where((F.col("_key") < F.col("b")) & (F.col("root") != F.col("b_root")) & fits("_size", "b_size"))
-    more = confirmed(rest.select(F.col("_key").alias("a"), "b").distinct(), nodes, docs, shingle, similarity)
+    placed = placed.where("_key != hub").join(mixed, "band").select("band", "_key", "_size", "root").checkpoint()
+    more = links_in_bands(placed, nodes, docs, shingle, similarity)
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 

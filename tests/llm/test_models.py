@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from docketlake.llm import bpe, common, measures, neighbours, quality, queries, rules, toxicity
+from docketlake.llm import bpe, common, measures, neighbours, quality, queries, rules, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -285,7 +285,23 @@ def test_pipeline_removes_what_it_should(spark, sf_dir, documents):
     assert {p["doc_id"] for p in pieces} <= kept and all(0 < p["length"] <= 4096 for p in pieces)
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
-def test_queries_run(spark, sf_dir, name):
-    key = "query_id" if "neighbours" in name else "doc_id"
-    assert key in queries.QUERIES[name](spark, sf_dir).columns
+def test_links_in_a_group_join_what_all_links_would():
+    r = np.random.default_rng(7)
+    sets = []
+    for _ in range(12):
+        base = r.integers(0, 1 << 62, 80, np.uint64)
+        for _ in range(8):
+            copy = base.copy()
+            copy[r.integers(0, 80, r.integers(0, 14))] = r.integers(0, 1 << 62, 1, np.uint64)
+            sets.append(np.unique(copy))
+
+    def parts(pairs, n):
+        up = list(range(n))
+        for a, b in pairs:
+            up = [up[a] if x == up[b] else x for x in up]
+        return sorted(map(tuple, {x: [i for i in range(n) if up[i] == x] for x in up}.values()))
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.alike(sets[i], sets[j], 0.8)]
+    got = simhash.linked(sets, list(range(len(sets))), 0.8)
+    assert 0 < len(got) < len(every) and parts(got, len(sets)) == parts(every, len(sets))
+    assert simhash.linked(sets, [5] * len(sets), 0.8) == []
