@@ -143,3 +143,92 @@ def backed_up(df: DataFrame, folder: str, stamp: str) -> DataFrame:
     """Write a store beside itself before it is cleared; gives the cleared store."""
     df.write.mode("errorifexists").parquet(f"{folder}/backup_{stamp}")
     return df.limit(0)
+
+
+# lookups, states and reports
+def looked_up(rows: DataFrame, table: DataFrame, key: str, column: str, default: str = "unknown") -> DataFrame:
+    """``rows`` with a column of ``table``; the default where the key is missing there."""
+    side = table.select(key, F.col(column).alias("_found"))
+    return rows.join(side, key, "left").withColumn(column, F.coalesce("_found", F.lit(default))).drop("_found")
+
+
+def named_only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of the given ids; ids without a row are skipped."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def reinforced_patterns(patterns: DataFrame, used: DataFrame) -> DataFrame:
+    """Patterns (source_id, pattern_id, success_count) after their uses: those named gain one each."""
+    hits = used.groupBy("pattern_id").agg(F.count("*").alias("_n"))
+    return patterns.join(hits, "pattern_id", "left").withColumn("success_count", F.col("success_count") + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def fast_sessions(sessions: DataFrame, by: str, order: list[str], n: int = 5, least: int = 5, seconds: float = 30.0) -> DataFrame:
+    """Of each source's last ``n`` successful sessions those that found enough in time."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(o) for o in order]))
+    return sessions.where("success").withColumn("_n", place).where((F.col("_n") <= n) & (F.col("items") >= least) & (F.col("seconds") < seconds)).drop("_n")
+
+
+def manual_sources(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Sources added by hand: id of agency, type and the number of sources before them; full confidence."""
+    before = existing.agg(F.count("*").alias("_before"))
+    place = F.row_number().over(Window.orderBy("name")) - 1  # what is added by hand is little
+    numbered = rows.withColumn("_place", place).join(F.broadcast(before), F.lit(True))
+    return numbered.withColumn("source_id", F.concat_ws("_", F.lower("agency"), "source_type", (F.col("_before") + F.col("_place")).cast("string"))).withColumn("confidence", F.lit(1.0)).drop("_before", "_place")
+
+
+def validated_source(items: DataFrame, by: str) -> DataFrame:
+    """Per source, from its sampled items: the share that has a title and an address, and when it was checked."""
+    good = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")
+    return items.groupBy(by).agg(F.round(F.count_if(good) / F.count("*"), 6).alias("success_rate"), F.max("discovered_date").alias("last_checked"))
+
+
+def analysed(items: DataFrame, replies: DataFrame) -> DataFrame:
+    """Items with the scores of their analyses, as processed; those without one stay as they are."""
+    r = replies.select("item_id", F.from_json("reply", "struct<relevance:double,item_type:string>").alias("_r"))
+    rows = items.join(r, "item_id", "left")
+    found = F.col("_r").isNotNull()
+    return rows.withColumns({"relevance_score": F.coalesce(F.col("_r.relevance"), "relevance_score"), "item_type": F.coalesce(F.col("_r.item_type"), "item_type"), "status": F.when(found, "processed").otherwise(F.col("status"))}).drop("_r")
+
+
+def touched(before: DataFrame, after: DataFrame, key: str, now: Column) -> DataFrame:
+    """``after`` with updated_at: now for rows that are new or differ from ``before``, else the time that they had."""
+    columns = [c for c in after.columns if c not in (key, "updated_at")]
+    mark = lambda df: df.select(key, F.xxhash64(*columns).alias("_mark"), "updated_at")
+    old = mark(before).withColumnsRenamed({"_mark": "_old", "updated_at": "_was"})
+    rows = after.drop("updated_at").withColumn("_mark", F.xxhash64(*columns)).join(old, key, "left")
+    return rows.withColumn("updated_at", F.when(F.col("_old") == F.col("_mark"), F.col("_was")).otherwise(now)).drop("_mark", "_old", "_was")
+
+
+def category_counts(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """How many rows each value of a closed domain has; 0 where none."""
+    wanted = rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return wanted.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").fillna(0, ["n"])
+
+
+def image_sequence(pages: DataFrame, by: str, order: str) -> DataFrame:
+    """Recognised pages (text, confidence, success) of each document: merged text, success rate, level."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n")
+    rate = F.round(F.count_if("success") / F.count("*"), 6)
+    return pages.groupBy(by).agg(F.count("*").alias("n_pages"), text.alias("text"), rate.alias("success_rate"), F.round(F.avg("confidence"), 6).alias("confidence")).withColumn("quality", F.when(F.col("success_rate") > 0.9, "high").when(F.col("success_rate") > 0.7, "medium").otherwise("low"))
+
+
+def document_facts(text: Column) -> Column:
+    """Length, words, lines, and whether the text speaks of rules."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(F.length(t).alias("length"), F.regexp_count(t, F.lit(r"\S+")).alias("words"), F.size(F.split(t, "\n")).alias("lines"), F.lower(t).rlike("regulation|law|act|section|article").alias("regulatory"))
+
+
+def improvement_report(rows: DataFrame, n: int = 5, errors: int = 3) -> DataFrame:
+    """One row: extractions, successes, the first improvements and errors (the report's numbers)."""
+    better = rows.where("improvement IS NOT NULL").orderBy("place").limit(n).agg(F.array_sort(F.collect_list(F.struct("place", "improvement"))).alias("i"))
+    wrong = rows.where("error IS NOT NULL").orderBy("place").limit(errors).agg(F.array_sort(F.collect_list(F.struct("place", "error"))).alias("e"))
+    every = rows.agg(F.count("*").alias("extractions"), F.count_if("success").alias("successful"))
+    joined = every.join(F.broadcast(better), F.lit(True)).join(F.broadcast(wrong), F.lit(True))
+    return joined.select("extractions", "successful", F.transform("i", lambda x: x["improvement"]).alias("improvements"), F.transform("e", lambda x: x["error"]).alias("errors"))
+
+
+def extraction_text(title: Column, url: Column, content: Column, limit: int = 2000) -> Column:
+    """One extraction as text: title, address, and the head of its content."""
+    head = F.when(F.length(content) > limit, F.concat(F.left(content, F.lit(limit)), F.lit("..."))).otherwise(F.coalesce(content, F.lit("")))
+    return F.concat(F.lit("Title: "), F.coalesce(title, F.lit("")), F.lit("\nURL: "), F.coalesce(url, F.lit("")), F.lit("\n\n"), head)

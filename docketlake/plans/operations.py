@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketlake.functions import jobs as J
+from docketlake.functions import registry as G
+from docketlake.functions import validate as V
 from docketlake.operators import cache as C
 from docketlake.operators import coordination as O
 from docketlake.operators import records as R
@@ -326,3 +328,103 @@ def text_layout(spark, d):
 def target_ids(spark, d):
     s = read(spark, d, "supplier")
     return s.select(F.substring(F.md5(F.concat_ws("_", "s_name", F.col("s_suppkey").cast("string"))), 1, 12).alias("target_id"), "s_suppkey")
+
+
+# lookups, states and reports
+@query("SELECT o_orderkey, coalesce(c_mktsegment, 'unknown') AS segment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def looked_up_segments(spark, d):
+    """The customer's segment of each order; unknown where the customer is not listed."""
+    c = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    return R.looked_up(read(spark, d, "orders"), c, "o_custkey", "segment").select("o_orderkey", "segment")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+def named_customers(spark, d):
+    ids = read(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return R.named_only(read(spark, d, "customer"), ids, "c_custkey").select("c_custkey")
+
+
+@query("SELECT p_partkey AS pattern_id, p_size + (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS success_count FROM part")
+def reinforced_patterns(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("pattern_id"), F.col("p_size").cast("long").alias("success_count"))
+    return R.reinforced_patterns(p, read(spark, d, "lineitem").select(F.col("l_partkey").alias("pattern_id")))
+
+
+@query("""SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n <= 5 AND value >= 5 AND value / 2 < 30""")
+def fast_sessions(spark, d):
+    s = read(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("source_id"), (~failed()).alias("success"), F.col("value").alias("items"), (F.col("value") / 2).alias("seconds"))
+    return R.fast_sessions(s, "source_id", ["ts", "event_id"]).select("event_id")
+
+
+@query("SELECT lower(r_name) || '_' || 'region_' || ((SELECT count(*) FROM supplier) + row_number() OVER (ORDER BY r_name) - 1) AS source_id, r_name AS name, 1.0::DOUBLE AS confidence FROM region")
+def manual_sources(spark, d):
+    rows = read(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_name").alias("agency"), F.lit("region").alias("source_type"))
+    return R.manual_sources(rows, read(spark, d, "supplier")).select("source_id", "name", "confidence")
+
+
+@query("SELECT source, round(count(*) FILTER (coalesce(text, '') <> '' AND coalesce(lang, '') <> '')::DOUBLE / count(*), 6) AS success_rate, max(doc_id) AS last_checked FROM documents GROUP BY source")
+def validated_sources(spark, d):
+    items = read(spark, d, "documents").select("source", F.col("text").alias("title"), F.col("lang").alias("url"), F.col("doc_id").alias("discovered_date"))
+    return R.validated_source(items, "source")
+
+
+@query("""SELECT d.doc_id AS item_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality::DOUBLE ELSE 0.5 END AS relevance_score, CASE WHEN l.toxic = 1 THEN 'news' ELSE d.lang END AS item_type, CASE WHEN l.doc_id IS NOT NULL THEN 'processed' ELSE 'new' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def analysed_items(spark, d):
+    """Labels come in as replies of an analysis."""
+    items = read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.lit(0.5).alias("relevance_score"), F.col("lang").alias("item_type"), F.lit("new").alias("status"))
+    replies = read(spark, d, "labels").select(F.col("doc_id").alias("item_id"), F.to_json(F.struct(F.col("quality").cast("double").alias("relevance"), F.when(F.col("toxic") == 1, "news").alias("item_type"))).alias("reply"))
+    return R.analysed(items, replies).select("item_id", "relevance_score", "item_type", "status")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS updated_at FROM customer")
+def touched_rows(spark, d):
+    """Rows that an update changed (negative balances set to 0) get the new time."""
+    before = read(spark, d, "customer").select("c_custkey", "c_acctbal", F.lit(1).alias("updated_at"))
+    after = before.withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))
+    return R.touched(before, after, "c_custkey", F.lit(2)).select("c_custkey", "updated_at")
+
+
+@query("""WITH w AS (SELECT unnest(['view', 'signup', 'refund', 'critical']) AS event_type) SELECT w.event_type, count(e.event_id) AS n FROM w LEFT JOIN events e ON w.event_type = e.event_type GROUP BY 1""")
+def category_counts(spark, d):
+    return R.category_counts(read(spark, d, "events"), "event_type", ["view", "signup", "refund", "critical"])
+
+
+@query("""SELECT conv_id, count(*) AS n_pages, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, coalesce(text, '')) AS text, round(count(*) FILTER (length(text) > 100)::DOUBLE / count(*), 6) AS success_rate, round(avg(least(1.0::DOUBLE, length(text) / 1000.0)), 6) AS confidence,
+    CASE WHEN round(count(*) FILTER (length(text) > 100)::DOUBLE / count(*), 6) > 0.9 THEN 'high' WHEN round(count(*) FILTER (length(text) > 100)::DOUBLE / count(*), 6) > 0.7 THEN 'medium' ELSE 'low' END AS quality FROM conversations GROUP BY conv_id""")
+def image_sequences(spark, d):
+    """Turns stand for recognised pages."""
+    rows = read(spark, d, "conversations").withColumns({"success": F.length("text") > 100, "confidence": F.least(F.lit(1.0), F.length("text") / 1000.0)})
+    return R.image_sequence(rows, "conv_id", "turn")
+
+
+@query(r"""SELECT doc_id, length(text)::INT AS length, len(regexp_extract_all(text, '\S+'))::INT AS words, len(string_split(text, chr(10)))::INT AS lines, regexp_matches(lower(text), 'regulation|law|act|section|article') AS regulatory,
+    'Title: ' || source || chr(10) || 'URL: ' || lang || chr(10) || chr(10) || CASE WHEN length(text) > 2000 THEN substring(text, 1, 2000) || '...' ELSE text END AS shown, ceil(length(text) / 4.0)::BIGINT AS tokens FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)""")
+def document_facts(spark, d):
+    """Facts of a text, the extraction shown as text (its head, which is the listing's limit), and its estimated tokens."""
+    t = F.col("text")
+    rows = documents(spark, d).select("doc_id", R.document_facts(t).alias("f"), R.extraction_text(F.col("source"), F.col("lang"), t).alias("shown"), G.estimated_tokens(t).alias("tokens"))
+    return rows.select("doc_id", "f.length", "f.words", "f.lines", "f.regulatory", "shown", "tokens")
+
+
+@query("""SELECT count(*) AS extractions, count(*) FILTER (event_type <> 'error') AS successful, (SELECT string_agg(v, ',' ORDER BY event_id) FROM (SELECT event_id, value::VARCHAR AS v FROM events WHERE value > 90 ORDER BY event_id LIMIT 5)) AS improvements, (SELECT string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FROM (SELECT event_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 3)) AS errors FROM events""")
+def improvement_report(spark, d):
+    """Totals with the first five improvements and three errors (the report's numbers)."""
+    rows = read(spark, d, "events").select(F.col("event_id").alias("place"), (~failed()).alias("success"), F.when(F.col("value") > 90, F.col("value").cast("string")).alias("improvement"), F.when(failed(), F.col("event_id").cast("string")).alias("error"))
+    return R.improvement_report(rows).select("extractions", "successful", F.array_join("improvements", ",").alias("improvements"), F.array_join("errors", ",").alias("errors"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'success' WHEN lang = 'de' THEN 'success' ELSE 'error' END AS status, CASE lang WHEN 'en' THEN upper(source) WHEN 'de' THEN length(coalesce(text, ''))::VARCHAR END AS result FROM documents")
+def dispatched_tools(spark, d):
+    """A registered function by name for each row; a name that nobody registered is an error."""
+    tools = G.Registry()
+    tools.register("shout", lambda word: F.upper(word), {"word": "string"})
+    tools.register("measure", lambda text: F.length(text), {"text": "string"})
+    name = F.when(F.col("lang") == "en", "shout").when(F.col("lang") == "de", "measure").otherwise("none")
+    return documents(spark, d).select("doc_id", tools.dispatch(name, {"word": F.col("source"), "text": F.col("text")}).alias("o")).select("doc_id", "o.status", "o.result")
+
+
+@query("""SELECT user_id, array_to_string(list_filter([CASE WHEN NOT n BETWEEN 1 AND 10000 THEN 'max_pages out of range' END, CASE WHEN NOT m BETWEEN 0 AND 60 THEN 'delay out of range' END, CASE WHEN NOT e BETWEEN 0 AND 10 THEN 'retries out of range' END], lambda x: x IS NOT NULL), ';') AS errors FROM (SELECT user_id, count(*) * 20 AS n, avg(value) * 2 AS m, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1)""")
+def job_validation(spark, d):
+    """Jobs whose settings are out of range."""
+    rows = read(spark, d, "events").groupBy("user_id").agg((F.count("*") * 20).alias("n"), (F.avg("value") * 2).alias("m"), F.count_if(failed()).alias("e"))
+    return rows.select("user_id", F.array_join(V.errors(V.ranged("max_pages", F.col("n")), V.ranged("delay", F.col("m")), V.ranged("retries", F.col("e"))), ";").alias("errors"))

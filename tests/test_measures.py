@@ -211,3 +211,49 @@ def test_records(spark):
 def test_texts_lay_out(spark):
     x = value(spark, records.text_layout(F.lit("Name: Jo\n\n• one\n- two\na b c d\nkey:")))
     assert (x["table_rows"], x["fields"], x["items"]) == (1, 1, 2)
+
+
+def test_stores(spark, tmp_path):
+    from docketlake.sources import stores
+
+    (tmp_path / "s.json").write_text('[{"source_id": "a", "source_type": "RSS_feed", "last_checked": "2024-01-02T03:04:05", "update_frequency": "often"}]')
+    (tmp_path / "bad.json").write_text("[{")
+    (tmp_path / "seen.json").write_text('{"http://x": "1"}')
+    r = stores.store(spark, str(tmp_path / "s.json"), "publication_sources").first()
+    assert (r["source_type"], r["update_frequency"], r["last_checked"].year) == ("rss_feed", None, 2024)
+    assert stores.store(spark, str(tmp_path / "bad.json"), "change_history").count() == 0 == stores.store(spark, str(tmp_path / "none.json"), "feed_items").count()
+    assert [tuple(x) for x in stores.seen_items(spark, str(tmp_path / "seen.json")).collect()] == [("http://x", "1")]
+
+
+def test_settings():
+    from docketlake.sources import stores
+
+    text = "database:\n  host: h  # here\n  port: 99999\n  name: n\nredis:\n  host: r\nlist:\n  - a\n  - 2\nflag: true\n"
+    for read in (stores.settings, stores.plain_settings):
+        values = read(text)
+        assert values["database"] == {"host": "h", "port": 99999, "name": "n"} and values["list"] == ["a", 2] and values["flag"] is True
+        errors, warnings = stores.settings_report(values)
+        assert errors == ["openai.api_key is required", "database.port must be between 1 and 65535"] and "redis.port is not set" in warnings
+    assert stores.plain_settings(None) == {} == stores.plain_settings("- x") == stores.plain_settings("no colon")
+
+
+def test_registry(spark):
+    from docketlake.functions import registry as G
+
+    tools = G.Registry()
+
+    @tools.tool(x="int", y="int")
+    def plus(x, y):
+        """Adds."""
+        return x + y
+
+    assert [tuple(r) for r in tools.catalogue(spark).collect()] == [("plus", "Adds.", ["x int", "y int"])]
+    call = lambda **a: value(spark, tools.call("plus", **a))
+    assert call(x=F.lit("1"), y=F.lit(2))["result"] == "3" and call(x=F.lit("z"), y=F.lit(2))["error"] == "arguments of another type" and call(x=F.lit(1))["status"] == "error"
+    assert value(spark, tools.call("none"))["error"] == "unknown tool none"
+    reply = '{"choices": [{"message": {"content": "c", "tool_calls": [{"function": {"name": "plus", "arguments": "{}"}}]}}], "usage": {"total_tokens": 7}}'
+    parts = value(spark, G.reply_parts(F.lit(reply)))
+    assert (parts["content"], parts["tokens"], parts["calls"][0]["name"]) == ("c", 7, "plus") and value(spark, G.reply_parts(F.lit("x")))["calls"] == []
+    assert [r["a"] for r in value(spark, G.listed_rows(F.lit('Here: [{"a": 1}, {"a": 2}] ok'), "struct<a:int>"))] == [1, 2] and value(spark, G.listed_rows(F.lit("none"), "struct<a:int>")) == []
+    assert value(spark, G.chosen_ids(F.lit("- b\n1. a\nzz\nb"), F.array(F.lit("a"), F.lit("b")))) == ["b", "a"]
+    assert value(spark, G.guarded(F.lit(1), F.array(F.lit("bad")))) is None
