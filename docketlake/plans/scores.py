@@ -14,6 +14,7 @@ from docketlake.functions import pages as P
 from docketlake.functions import scoring as S
 from docketlake.functions import text as X
 from docketlake.operators import documents as O
+from docketlake.operators import profiles as W
 from docketlake.plans.catalogue import SQL_WORDS, documents, query, sql_keywords, sql_list, sql_present
 from docketlake.sources import html as H
 from docketlake.sources.tables import read
@@ -324,3 +325,28 @@ def legal_signs(spark, d):
     """Formal language, signs of a legal document, and the methods to read it with."""
     t = F.col("text")
     return doc_facts(spark, d).select("doc_id", (X.presence_count(t, D.TEXT_FORMAL_TERMS) >= 3).alias("official"), A.legal_structure(t, F.col("lines"), F.col("ats"), F.col("bars")).alias("legal_structure"), F.array_join(O.extraction_plan(F.col("lines") - 1, F.col("bars"), F.col("commas"), F.col("ats") / 10.0), ",").alias("plan"))
+
+
+@query(f"""SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:\\s]+)', 1)) AS domain, lower(regexp_extract(html, '<html lang="([a-zA-Z]+)', 1)) AS language, {SQL_CMS} AS cms, {sql_tag("script")} AS scripts, {sql_tag("nav")} AS navs, {sql_class("pag")} AS pagers, round({PAGE_READY}, 6) AS html_parsing,
+    {sql_keywords(D.LEGAL_KEYWORDS, "lower(html)")} AS legal_keywords, {sql_present(D.GOVERNMENT_TERMS, "lower(html)")} AS government, round(least(1.0::DOUBLE, 0.2 * {sql_present(D.API_TERMS, "lower(html)")}), 6) AS api_extraction FROM pages""")
+def page_profiles(spark, d):
+    """Fields of the whole profile of each page."""
+    none = F.create_map().cast("map<string,string>")
+    p = pages(spark, d).select("page_id", W.comprehensive(F.col("page"), F.col("html"), F.col("url"), none).alias("p"))
+    return p.select("page_id", "p.domain", "p.language", F.col("p.technical.cms").alias("cms"), F.col("p.technical.scripts").alias("scripts"), F.col("p.content.navigation.navs").alias("navs"), F.col("p.content.pagination.controls").alias("pagers"), r6(F.col("p.readiness.html_parsing")).alias("html_parsing"), F.col("p.indicators.legal_keywords").alias("legal_keywords"), F.col("p.indicators.government").alias("government"), r6(F.col("p.readiness.api_extraction")).alias("api_extraction"))
+
+
+@query(f"""SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, {sql_tag("section")} AS sections, 'html_parsing' || (CASE WHEN {sql_tag("section")} = 0 THEN ';javascript_execution' ELSE '' END) || (CASE WHEN {sql_tag("table")} > 0 THEN ';table_extraction' ELSE '' END) || (CASE WHEN len(list_filter({SQL_LINKS}, lambda x: NOT starts_with(x, 'http'))) > 10 THEN ';link_following' ELSE '' END) AS strategies,
+    round({sql_points((f"{sql_tag('h[1-6]')} > 0", 0.3), (f"{sql_tag('section')} > 0", 0.2), (f"{sql_class('toc|table.*content')} > 0", 0.2), (f"{sql_class('breadcrumb')} > 0", 0.15), (f"{sql_class('meta|info')} > 0", 0.15), cap=1.0)}, 6) AS clarity FROM pages""")
+def page_strategies(spark, d):
+    """Titles, structure and the strategies that it calls for."""
+    p = F.col("page")
+    rows = pages(spark, d).select("page_id", H.title(p).alias("title"), W.structure_analysis(p).alias("s"))
+    return rows.select("page_id", "title", F.col("s.organisation.sections").alias("sections"), joined(F.col("s.strategies")).alias("strategies"), r6(F.col("s.clarity")).alias("clarity"))
+
+
+@query()
+def page_regulations(spark, d):
+    """Records of regulations from pages (no SQL: the parse is the operator)."""
+    r = W.regulation_record(F.col("page"), F.col("url"), F.lit("regulation"))
+    return pages(spark, d).select("page_id", r.alias("r")).select("page_id", "r.title", "r.document_type", F.col("r.authority.name").alias("authority"), F.length("r.content").alias("n_chars"), r6(F.col("r.completeness")).alias("completeness"), joined(F.col("r.issues")).alias("issues"))

@@ -257,3 +257,22 @@ def test_registry(spark):
     assert [r["a"] for r in value(spark, G.listed_rows(F.lit('Here: [{"a": 1}, {"a": 2}] ok'), "struct<a:int>"))] == [1, 2] and value(spark, G.listed_rows(F.lit("none"), "struct<a:int>")) == []
     assert value(spark, G.chosen_ids(F.lit("- b\n1. a\nzz\nb"), F.array(F.lit("a"), F.lit("b")))) == ["b", "a"]
     assert value(spark, G.guarded(F.lit(1), F.array(F.lit("bad")))) is None
+
+
+def test_profiles(spark, page):
+    from docketlake.operators import profiles as W
+
+    p, u = F.col("page"), F.col("url")
+    assert first(page, W.next_page(p, u)) is None
+    listing = H.parsed(spark.createDataFrame([("http://h.org/l/", '<a href="x">1</a><a href="?page=2">2</a>')], "url string, html string"))
+    assert first(listing, W.next_page(p, u)).endswith("?page=2")
+    assert first(page, W.matching_links(p, u, [r"\.pdf$", "nothing"])) == ["http://x.org/b.pdf"]
+    r = first(page, W.regulation_record(p, u, F.lit("")))
+    assert r["title"] == "T" and r["document_type"] == "other" and r["dates"]["extracted"] == ["1 January 2020"] and "unknown_authority" in r["issues"]
+    s = first(page, W.structure_analysis(p))
+    assert s["strategies"] == ["html_parsing", "table_extraction"] and s["clarity"] == pytest.approx(0.65)
+    rows = spark.createDataFrame([("http://a.org/1", PAGE, {"server": "Apache"}), ("http://b.org/1", "", {})], "url string, html string, headers map<string,string>")
+    made = W.profiles(rows).persist()
+    assert {x["domain"]: x["profile"]["technical"]["server"]["web_server"] for x in made.collect()} == {"a.org": "Apache", "b.org": None}
+    again = W.profiles(rows, made.where("domain = 'a.org'")).collect()
+    assert len(again) == 2 and all(x["profile"] is not None for x in again)
