@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketlake.shipping import ship_package
+
 #: The bytes that separate words, and that are stripped from lines.
 BLANKS = b" \t\n\r\x0b\x0c"
 
@@ -27,21 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that their Python workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_docketlake_sent", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    if root.is_dir():
-        to = Path(tempfile.mkdtemp()) / "docketlake_package.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(str(to))
-    context._docketlake_sent = True
-
-
 def shared_folder(spark: SparkSession) -> None:
     """Make sure that checkpoint() has a folder: the one the session names, or, in local mode alone, a temporary one.
     What is written there stays until the session's owner clears it."""
@@ -53,6 +39,15 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "docketlake-checkpoints"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder, packed, and read again: lineage ends there, in less room than a checkpoint."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with the package sent along."""
     ship_package(df.sparkSession)

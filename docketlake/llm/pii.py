@@ -17,13 +17,13 @@ result are read from there.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import shared_folder, table, unused
+from docketlake.functions.model import once
+from docketlake.llm.common import table, unused, written
 
 #: The base kinds in the order of the output, and their patterns.
 BASE = {
@@ -67,11 +67,6 @@ def running(values: Column, add: Callable[[Column, Column], Column]) -> tuple[Co
     return blocks, first
 
 
-def once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with the value worked out once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def prefixes(values: Column, add: Callable[[Column, Column], Column], f: Callable[[Callable[[Column], Column]], Column]) -> Column:
     """``f`` of the function that folds the first i of ``values``."""
     blocks, first = running(values, add)
@@ -276,18 +271,13 @@ def of_kind(number: int):
 def searched(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, list[str]]:
     """Columns ``keep`` of ``docs``, then places by kind, candidates and part under unused names (which are given),
     written to the shared folder."""
-    spark = docs.sparkSession
-    shared_folder(spark)
     whole, base, every, part = names = unused(docs.columns, "whole", "base", "candidates", "part")
     held = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     held = held.withColumn(base, F.struct(*(v.alias(k) for k, v in base_places(F.col(whole)).items())))
     found_all = candidates(F.col(whole), F.concat(*(F.col(base)[k] for k in BASE)))
     held = held.withColumn(every, found_all).withColumn(part, F.pmod(F.xxhash64(whole), F.lit(PARTS)))
     spans = F.struct(*(F.transform(F.col(base)[k], named(k)).alias(k) for k in BASE)).alias(base)
-    place = f"{spark.sparkContext.getCheckpointDir()}/pii_{uuid.uuid4().hex}"
-    out = held.select(*(F.col(f"`{k}`") for k in keep), spans, every, part)
-    out.write.option("compression", "zstd").parquet(place)
-    return spark.read.schema(out.schema).parquet(place), names[1:]
+    return written(held.select(*(F.col(f"`{k}`") for k in keep), spans, every, part), "pii"), names[1:]
 
 
 def personal_data(docs: DataFrame, precision: float = PRECISION, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -19,7 +19,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import chunks, map_batches, shared_folder, ship_package, table, texts, unused
+from docketlake.llm.common import chunks, map_batches, shared_folder, ship_package, table, texts, unused, written
 from docketlake.llm.lines import MAX_BITS, MIN_BITS, SeenFilters, positions, twice_seen
 
 WINDOW, ANCHOR = 35, 16
@@ -382,29 +381,21 @@ def counted(segments: DataFrame, window: int) -> DataFrame:
     return firsts.select("digest", "n", "firsts", F.transform("firsts", lambda x: x + 1).alias("ends"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    spark = df.sparkSession
-    place = f"{spark.sparkContext.getCheckpointDir()}/substring_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(document, spans): for documents with repeated windows, by ``document_key``, the intervals of words covered."""
     shared_folder(docs.sparkSession)
     ship_package(docs.sparkSession)
-    held = written(suspects(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window))
+    held = written(suspects(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window), "substring")
     places, segments = held.where("segment IS NULL").select("document", "at", "digest"), held.where("segment IS NOT NULL").select("digest", "shard", "segment", "n")
     sizes = held.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("words").alias("words")).where(F.col("words") > SHARD_WORDS)
-    large = written(sizes.orderBy(F.desc("words"), "shard").limit(HOT_KEYS).select("shard"))
+    large = written(sizes.orderBy(F.desc("words"), "shard").limit(HOT_KEYS).select("shard"), "substring")
     n_large = large.count()
     if n_large:
         few = F.broadcast(large)
         found = indexed(segments.join(few, "shard", "left_anti"), window).unionByName(counted(segments.join(few, "shard", "left_semi"), window))
     else:
         found = indexed(segments, window)
-    found = written(found)
+    found = written(found, "substring")
     # a digest has one row in found; the most frequent meet their places where these are
     hot = found.where(F.col("n") >= HOT_PLACES).orderBy(F.desc("n"), "digest").limit(HOT_SEGMENTS)
     few = F.broadcast(hot.select("digest"))

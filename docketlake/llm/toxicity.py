@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import held_out, map_batches, shared_folder, table, texts, with_label
+from docketlake.llm.common import held_out, map_batches, table, texts, with_label, written
 
 ORDER, DISCOUNT = 7, 0.75
 SHRINK, MIXED = 5.0, (0.001, 0.02)
@@ -158,7 +158,7 @@ def with_shared(counts: DataFrame) -> DataFrame:
     """``counts`` with each n-gram's probability in the shared model: g, tox, ord, p; on disk."""
     n_parts = counts.count() // PARTITION_ROWS + 1
     shared, held = shared_model(counts.coalesce(n_parts), n_parts)
-    out = counts.coalesce(n_parts).join(shared, "g").coalesce(n_parts).checkpoint()
+    out = written(counts.coalesce(n_parts).join(shared, "g").coalesce(n_parts), "toxicity")
     for level in held:
         level.unpersist()
     return out
@@ -205,12 +205,11 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, calibrated: int = CALIBRATED) -> ToxicityModel:
     """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0/1). Three quarters of the labelled documents,
     by a hash of doc_id, are counted, all of them; the calibration reads at most ``calibrated`` of the others."""
-    shared_folder(docs.sparkSession)
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(4)) == 0
     marked = with_label(docs, labels.where(~part), "toxic").where(F.col("toxic").isNotNull())
     # the shared model stays that of all counts; rounds change what toxic documents add to their class
-    counts = with_shared(class_counts(marked).checkpoint())
+    counts = with_shared(written(class_counts(marked), "toxicity"))
     model = ToxicityModel(*ratio_tables(counts))
     for _ in range(ROUNDS):
         toxic = class_counts(marked.where("toxic = 1"), model).select("g", "tox")
