@@ -26,7 +26,7 @@ def url(c: Column) -> Column:
 
 def content(c: Column, least: int = 10, most: int = 10_000_000) -> Column:
     t = F.trim(c)
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))
     return F.when(F.coalesce(t, F.lit("")) == "", "empty").when(F.length(t) < least, "too short").when(F.length(t) > most, "too long").when(letters < 0.1 * F.length(t), "too few letters")
 
 

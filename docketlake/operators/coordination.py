@@ -24,8 +24,8 @@ def requeued(dead: DataFrame, queue: Column, limit: int = 100) -> DataFrame:
     """Of the first ``limit`` dead letters (message_id, ts) those that find a queue again, up to the first that doesn't."""
     rows = dead.orderBy("ts", "message_id").limit(limit).withColumn("queue", queue)
     numbered = rows.withColumn("n", F.row_number().over(Window.orderBy("ts", "message_id")))  # at most ``limit`` rows
-    failed = numbered.where("queue IS NULL").agg(F.min("n").alias("_stop"))
-    return numbered.join(F.broadcast(failed), F.coalesce(F.col("n") < F.col("_stop"), F.lit(True))).drop("_stop")
+    stop = numbered.where("queue IS NULL").agg(F.min("n")).scalar()
+    return numbered.where(F.coalesce(F.col("n") < stop, F.lit(True)))
 
 
 def purged(messages: DataFrame, queue: str) -> tuple[DataFrame, DataFrame]:

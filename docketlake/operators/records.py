@@ -171,10 +171,10 @@ def fast_sessions(sessions: DataFrame, by: str, order: list[str], n: int = 5, le
 
 def manual_sources(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Sources added by hand: id of agency, type and the number of sources before them; full confidence."""
-    before = existing.agg(F.count("*").alias("_before"))
+    before = existing.agg(F.count("*")).scalar()
     place = F.row_number().over(Window.orderBy("name")) - 1  # what is added by hand is little
-    numbered = rows.withColumn("_place", place).join(F.broadcast(before), F.lit(True))
-    return numbered.withColumn("source_id", F.concat_ws("_", F.lower("agency"), "source_type", (F.col("_before") + F.col("_place")).cast("string"))).withColumn("confidence", F.lit(1.0)).drop("_before", "_place")
+    numbered = rows.withColumn("_place", place)
+    return numbered.withColumn("source_id", F.concat_ws("_", F.lower("agency"), "source_type", (before + F.col("_place")).cast("string"))).withColumn("confidence", F.lit(1.0)).drop("_place")
 
 
 def validated_source(items: DataFrame, by: str) -> DataFrame:
@@ -221,11 +221,12 @@ def document_facts(text: Column) -> Column:
 
 def improvement_report(rows: DataFrame, n: int = 5, errors: int = 3) -> DataFrame:
     """One row: extractions, successes, the first improvements and errors (the report's numbers)."""
-    better = rows.where("improvement IS NOT NULL").orderBy("place").limit(n).agg(F.array_sort(F.collect_list(F.struct("place", "improvement"))).alias("i"))
-    wrong = rows.where("error IS NOT NULL").orderBy("place").limit(errors).agg(F.array_sort(F.collect_list(F.struct("place", "error"))).alias("e"))
+    def first_of(column: str, k: int) -> Column:
+        held = rows.where(F.col(column).isNotNull()).orderBy("place").limit(k).agg(F.array_sort(F.collect_list(F.struct("place", F.col(column).alias("t")))).alias("x"))
+        return held.select(F.transform("x", lambda x: x["t"])).scalar()
+
     every = rows.agg(F.count("*").alias("extractions"), F.count_if("success").alias("successful"))
-    joined = every.join(F.broadcast(better), F.lit(True)).join(F.broadcast(wrong), F.lit(True))
-    return joined.select("extractions", "successful", F.transform("i", lambda x: x["improvement"]).alias("improvements"), F.transform("e", lambda x: x["error"]).alias("errors"))
+    return every.withColumns({"improvements": first_of("improvement", n), "errors": first_of("error", errors)})
 
 
 def extraction_text(title: Column, url: Column, content: Column, limit: int = 2000) -> Column:

@@ -90,18 +90,19 @@ DOC_SCORE = f"""(CASE WHEN {SQL_WORDS} > 1000 THEN 0.3 WHEN {SQL_WORDS} > 500 TH
     + 0.25 * least(len(string_split(text, chr(10))) / 10.0, 1.0) + 0.25 * least(({sql_keywords(D.LEGAL_KEYWORDS)}) / 10.0, 1.0))"""
 
 
-def doc_score(c="text"):
-    """The score; its words are counted once, though it compares them more often."""
-    t = F.col(c)
-    lines = F.size(F.split(t, "\n"))
-    return N.once(X.word_count(t), lambda words: S.content_quality(words, F.least(lines / 10.0, F.lit(1.0)), X.keyword_total(t, D.LEGAL_KEYWORDS), F.lit(0.0)))
+def scored(docs):
+    """``docs`` with the score of their texts; what it counts is a projection of its own, made once."""
+    t = F.col("text")
+    held = docs.withColumns({"_words": X.word_count(t), "_lines": F.size(F.split(t, "\n")), "_legal": X.keyword_total(t, D.LEGAL_KEYWORDS)})
+    score = S.content_quality(F.col("_words"), F.least(F.col("_lines") / 10.0, F.lit(1.0)), F.col("_legal"), F.lit(0.0))
+    return held.withColumn("score", score).drop("_words", "_lines", "_legal")
 
 
 @query(f"""SELECT source, lang, count(*) AS n_docs, count(*) FILTER (({CONTENT_ERROR}) IS NULL) AS n_valid, round(avg({DOC_SCORE}), 6) AS mean_score
     FROM (SELECT source, lang, coalesce(text, '') AS text FROM documents) GROUP BY source, lang""")
 def doc_quality_by_source_lang(spark, d):
     """Flagship: per source and language the documents, the valid ones and their mean quality score."""
-    rows = documents(spark, d).select("source", "lang", V.content(F.col("text")).isNull().alias("ok"), doc_score().alias("score"))
+    rows = scored(documents(spark, d).withColumn("ok", V.content(F.col("text")).isNull()))
     return rows.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.count_if("ok").alias("n_valid"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
@@ -153,8 +154,8 @@ def regex_totals(spark, d):
 @query(f"""SELECT doc_id, CASE WHEN s >= .9 THEN 'excellent' WHEN s >= .7 THEN 'good' WHEN s >= .5 THEN 'fair' WHEN s >= .3 THEN 'poor' ELSE 'unacceptable' END AS quality,
     CASE WHEN s >= .9 THEN 'very_high' WHEN s >= .7 THEN 'high' WHEN s >= .5 THEN 'medium' WHEN s >= .3 THEN 'low' ELSE 'very_low' END AS confidence FROM (SELECT doc_id, round({DOC_SCORE}, 6) AS s FROM documents)""")
 def quality_tiers(spark, d):
-    s = F.round(doc_score(), 6)
-    return documents(spark, d).select("doc_id", S.quality_tier(s).alias("quality"), S.confidence_level(s).alias("confidence"))
+    s = F.round("score", 6)
+    return scored(documents(spark, d)).select("doc_id", S.quality_tier(s).alias("quality"), S.confidence_level(s).alias("confidence"))
 
 
 @query(r"""SELECT doc_id, round(least(1.0, (CASE WHEN length(text) > 1000 THEN .3 WHEN length(text) > 500 THEN .2 ELSE 0 END) + (CASE WHEN len(string_split(text, chr(10))) > 1 THEN .25 ELSE 0 END)
@@ -576,8 +577,7 @@ def cascaded_lines(spark, d):
     SELECT start, url, n FROM walk""")
 def followed_pages(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("url"))
-    top = c.agg(F.max("url").alias("top"))
-    links = c.join(F.broadcast(top), F.col("url") <= F.col("top")).select("url", F.when(F.col("url") + 7 <= F.col("top"), F.col("url") + 7).alias("next_url"))
+    links = c.select("url", F.when(F.col("url") + 7 <= last_time(c, "url"), F.col("url") + 7).alias("next_url"))
     return P.follow_pages(links, c, 10)
 
 

@@ -42,7 +42,7 @@ def dead_letters_requeued(spark, d):
 def queue_purged(spark, d):
     """Sizes of the queues after one was cleared, and how many messages went."""
     left, gone = O.purged(messages(spark, d), "validation")
-    return left.groupBy("queue").agg(F.count("*").alias("n")).join(F.broadcast(gone.select("purged")), F.lit(True))
+    return left.groupBy("queue").agg(F.count("*").alias("n")).withColumn("purged", gone.select("purged").scalar())
 
 
 @query(f"SELECT {SQL_QUEUE} AS queue, CASE WHEN value > 60 THEN 'processed' WHEN value > 5 THEN 'queued' ELSE 'failed' END AS action, count(*) AS n FROM events WHERE value <= 90 GROUP BY 1, 2")
