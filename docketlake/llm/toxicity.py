@@ -29,7 +29,7 @@ from docketlake.llm.common import held_out, map_batches, table, texts, with_labe
 ORDER, DISCOUNT = 7, 0.75
 SHRINK, MIXED = 5.0, (0.001, 0.02)
 #: Rounds of re-estimation, the share of toxic words that they begin with, and the fixed-point unit of counts.
-ROUNDS, SHARE, UNIT = 2, 0.03, 1 << 16
+ROUNDS, SHARE, UNIT = 1, 0.03, 1 << 16
 #: Labelled documents that the calibration reads at most, by the order of a hash of doc_id.
 CALIBRATED = 20_000
 SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
