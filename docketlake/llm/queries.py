@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, lines, neighbours, packing, pii, quality, rules, simhash, substring, toxicity
+from docketlake.llm import bpe, lines, neighbours, packing, pii, quality, rules, secrets, simhash, substring, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring": substring.op8_substring,
     "op9_pii": pii.op9_pii,
     "op10_rules": rules.op10_rules,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
