@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, lines, neighbours, packing, pii, quality, rules, secrets, simhash, substring, toxicity
+from docketlake.llm import bpe, conversations, lines, neighbours, packing, pii, quality, rules, secrets, simhash, substring, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring": substring.op8_substring,
     "op9_pii": pii.op9_pii,
     "op10_rules": rules.op10_rules,
+    "op11_conversations": conversations.op11_conversations,
     "op13_secrets": secrets.op13_secrets,
 }
 
@@ -33,4 +34,46 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
         FROM keyed LEFT JOIN frequent f USING (key) GROUP BY row, doc_id""",
+    "op11_conversations": """
+        WITH known AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, to_base64(unhex(sha256(strlen(role) || ':' || role || text)))) AS i FROM known
+        ), heads AS (
+            SELECT conv_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                   lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS state
+            FROM (SELECT DISTINCT conv_id FROM known)
+        ), convs AS (
+            SELECT conv_id, xor(state, 4294967295) % 4 AS h FROM heads
+        ), whole AS (
+            SELECT c.conv_id, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.i <= c.h
+            UNION ALL
+            SELECT c.conv_id, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h
+        ), placed AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, role, text FROM whole
+        ), prefixes AS (
+            SELECT conv_id, depth, sha256(list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY depth)::VARCHAR || '|' || string_agg(strlen(role) || ':' || strlen(text), ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS key,
+                   len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+            FROM placed
+            UNION ALL
+            SELECT conv_id, 0, 'root', 0 FROM convs
+        ), nodes AS (
+            SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM prefixes GROUP BY key, depth
+        ), parents AS (
+            SELECT DISTINCT a.key, b.key AS parent FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND b.depth = a.depth - 1
+        ), children AS (
+            SELECT parent, count(*) AS n FROM parents GROUP BY parent
+        ), below AS (
+            SELECT DISTINCT a.key AS top, b.key FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND b.depth >= a.depth
+        ), sums AS (
+            SELECT b.top, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+            FROM below b JOIN nodes n USING (key) LEFT JOIN children c ON c.parent = b.key GROUP BY b.top
+        ), ends AS (
+            SELECT p.key, sha256(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id)) AS digest
+            FROM prefixes p JOIN (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id) USING (conv_id, depth) GROUP BY p.key
+        )
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves,
+               s.saved::BIGINT AS saved_tokens, coalesce(e.digest, sha256('')) AS ends_sha256
+        FROM nodes n LEFT JOIN parents p USING (key) LEFT JOIN nodes u ON u.key = p.parent LEFT JOIN children c ON c.parent = n.key
+        JOIN sums s ON s.top = n.key LEFT JOIN ends e ON e.key = n.key""",
 }
