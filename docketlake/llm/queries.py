@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketlake.llm import bpe, conversations, lines, neighbours, packing, pii, quality, rules, secrets, simhash, substring, toxicity
+from docketlake.llm import bpe, conversations, lines, neighbours, packing, phrases, pii, quality, rules, secrets, simhash, substring, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_rules": rules.op10_rules,
     "op11_conversations": conversations.op11_conversations,
+    "op12_phrases": phrases.op12_phrases,
     "op13_secrets": secrets.op13_secrets,
 }
 
@@ -76,4 +77,37 @@ ORACLE_SQL: dict[str, str] = {
                s.saved::BIGINT AS saved_tokens, coalesce(e.digest, sha256('')) AS ends_sha256
         FROM nodes n LEFT JOIN parents p USING (key) LEFT JOIN nodes u ON u.key = p.parent LEFT JOIN children c ON c.parent = n.key
         JOIN sums s ON s.top = n.key LEFT JOIN ends e ON e.key = n.key""",
+    "op12_phrases": """
+        WITH whole AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents
+        ), pieces AS (
+            SELECT lang, regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') AS w FROM whole
+        ), totals AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+        ), starts AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+        ), grams AS (
+            SELECT lang, k, list_slice(w, i, i + k - 1) AS p FROM starts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)
+        ), counts AS (
+            SELECT lang, k, array_to_string(p, ' ') AS phrase, any_value(p) AS p, count(*) AS f FROM grams GROUP BY lang, k, array_to_string(p, ' ')
+        ), found AS (
+            SELECT * FROM counts WHERE k > 1 AND f >= 30
+        ), spans AS (
+            SELECT b.lang, b.f, x.k, array_to_string(list_slice(b.p, x.i, x.i + x.k - 1), ' ') AS phrase
+            FROM found b, (SELECT k, i FROM (SELECT unnest([2, 3]) AS k), (SELECT unnest([1, 2, 3]) AS i)) x WHERE x.k < b.k AND x.i + x.k - 1 <= b.k
+        ), longer AS (
+            SELECT lang, phrase, max(f) AS most FROM spans GROUP BY lang, phrase
+        ), cuts AS (
+            SELECT c.*, j, array_to_string(list_slice(c.p, 1, j), ' ') AS head, array_to_string(list_slice(c.p, j + 1, c.k), ' ') AS tail
+            FROM found c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < c.k
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.f AS a, c.j, h.f AS l, t.f AS r, ((2000000::HUGEINT * c.f) // (h.f + t.f))::BIGINT AS score
+            FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head AND h.k = c.j JOIN counts t ON t.lang = c.lang AND t.phrase = c.tail AND t.k = c.k - c.j
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+        ), ranked AS (
+            SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, s.score
+            FROM lowest s LEFT JOIN longer x ON x.lang = s.lang AND x.phrase = s.phrase WHERE x.most IS NULL OR 100::HUGEINT * x.most < 80::HUGEINT * s.a
+        )
+        SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000""",
 }
