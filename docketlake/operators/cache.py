@@ -10,7 +10,7 @@ from docketlake.functions.text import micros
 from docketlake.operators.workflow import glob
 
 #: Seconds that entries live, by kind (fixed values).
-TTL = {"llm_response": 86_400, "content_extraction": 604_800, "site_analysis": 86_400, "pdf_content": 2_592_000, "image_analysis": 604_800, "validation_result": 43_200, "workflow_state": 3_600}
+TTL = {"llm_response": 86_400, "extracted_content": 604_800, "website_analysis": 86_400, "pdf_content": 2_592_000, "image_analysis": 604_800, "validation_result": 43_200, "workflow_state": 3_600}
 
 
 def lookup(requests: DataFrame, tiers: dict[str, DataFrame], now: Column) -> DataFrame:

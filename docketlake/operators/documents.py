@@ -9,6 +9,7 @@ from docketlake import dictionaries as D
 from docketlake.functions import scoring as S
 from docketlake.functions import text as X
 from docketlake.functions import urls as U
+from docketlake.operators.records import record_status
 
 #: Minutes that a method takes.
 MINUTES = {"html_parsing": 3, "pdf_extraction": 8, "vision_processing": 12, "validation": 2}
@@ -18,11 +19,9 @@ def identity(title: Column, text: Column, url: Column) -> Column:
     """Number, first written date, jurisdiction by host else by phrases, type by address else by words, status."""
     low = F.lower(url)
     by_url = F.when(low.contains("regulation"), "regulation").when(low.contains("act"), "act").when(low.contains("bill"), "bill").when(low.contains("directive"), "directive")
-    t = F.lower(text)
-    status = F.when(t.contains("in force") | t.contains("effective"), "in_force").when(t.contains("draft") | t.contains("proposed"), "draft").when(t.contains("repealed"), "repealed").when(t.contains("enacted"), "enacted")
     return F.struct(
         X.first_group(F.concat_ws(" ", title, text), [X.engine_form(p, True) for p in D.NUMBER_PATTERNS]).alias("number"), X.first_group(text, [X.engine_form(p, True) for p in D.WRITTEN_DATES]).alias("date"),
-        F.coalesce(U.jurisdiction(url), X.best_label(text, D.JURISDICTION_PHRASES)).alias("jurisdiction"), F.coalesce(by_url, X.best_label(text, D.DOCUMENT_TYPES, "other")).alias("document_type"), status.alias("status"))
+        F.coalesce(U.jurisdiction(url), X.best_label(text, D.JURISDICTION_PHRASES)).alias("jurisdiction"), F.coalesce(by_url, X.best_label(text, D.DOCUMENT_TYPES, "other")).alias("document_type"), record_status(text).alias("status"))
 
 
 def issues(n_chars: Column, n_sections: Column, n_metadata: Column, has_title: Column, has_date: Column, has_authority: Column) -> Column:
@@ -60,17 +59,29 @@ def document_estimate(n_documents: Column, n_pages: Column, n_links: Column) ->
 
 
 def follow_pages(links: DataFrame, starts: DataFrame, max_pages: int = 10) -> DataFrame:
-    """Pages reached from each start over (url, next_url), up to ``max_pages``, each page once; a loop ends the walk."""
-    spark = links.sparkSession
-    links.createOrReplaceTempView("_links")
-    starts.createOrReplaceTempView("_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, url, n, seen) AS (
-            SELECT url, url, 1, array(url) FROM _starts
-            UNION ALL
-            SELECT w.start, l.next_url, w.n + 1, array_append(w.seen, l.next_url) FROM walk w JOIN _links l ON w.url = l.url
-            WHERE w.n < {int(max_pages)} AND l.next_url IS NOT NULL AND NOT array_contains(w.seen, l.next_url))
-        SELECT start, url, n FROM walk""")
+    """(start, url, n): the pages reached from each start (url) over (url, next_url), up to ``max_pages``; a page met
+    again ends the walk. Of several links of a page the least counts; a start that repeats is walked once.
+
+    By pointer doubling: each round joins, to the walks of a length, the walks of that length from their last page, so
+    that the number of joins is the logarithm of the pages. A walk is a row with its pages as an array."""
+    step = links.where("next_url IS NOT NULL AND url IS NOT NULL").groupBy("url").agg(F.min("next_url").alias("next_url"))
+    begin = starts.select("url").where("url IS NOT NULL").distinct()
+    # trail: the pages after ``url``; whole: it did not end within them
+    walks, length = step.select("url", F.array("next_url").alias("trail")), 1
+    rows = begin.select("url", F.array("url").alias("pages"))
+    left = max_pages - 1
+    while left > 0:
+        if left % (2 * length) >= length:  # this length is part of the sum
+            side = walks.select(F.col("url").alias("at"), "trail")
+            rows = rows.join(side, F.element_at("pages", -1) == F.col("at"), "left").select("url", F.concat("pages", F.coalesce("trail", F.array().cast(dict(walks.dtypes)["trail"]))).alias("pages"))
+            left -= length
+        if left:
+            side = walks.select(F.col("url").alias("at"), F.col("trail").alias("more"))
+            walks = walks.join(side, F.element_at("trail", -1) == F.col("at"), "left").select("url", F.concat("trail", F.coalesce("more", F.array().cast(dict(walks.dtypes)["trail"]))).alias("trail"))
+            length *= 2
+    seen = F.transform(F.col("pages"), lambda p, i: F.array_position("pages", p) == i + 1)
+    first_repeat = F.coalesce(F.nullif(F.array_position(seen, F.lit(False)), F.lit(0)), F.size("pages") + 1)
+    return rows.select(F.col("url").alias("start"), F.posexplode(F.slice("pages", F.lit(1), (first_repeat - 1).cast("int"))).alias("n", "url")).select("start", "url", (F.col("n") + 1).alias("n"))
 
 
 def merged_pages(pages: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -78,10 +78,9 @@ def zero_filled(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def discovery_statistics(sources: DataFrame) -> DataFrame:
     """Counts and mean confidence by jurisdiction, by agency, by type and in all, in one pass."""
-    sources.createOrReplaceTempView("_sources")
-    return sources.sparkSession.sql("""
-        SELECT grouping_id() AS level, jurisdiction, agency, source_type, count(*) AS n, count_if(is_active) AS n_active, round(avg(confidence), 6) AS avg_confidence
-        FROM _sources GROUP BY GROUPING SETS ((jurisdiction), (agency), (source_type), ())""")
+    keys = [F.col(c) for c in ("jurisdiction", "agency", "source_type")]
+    sums = [F.count("*").alias("n"), F.count_if("is_active").alias("n_active"), F.round(F.avg("confidence"), 6).alias("avg_confidence")]
+    return sources.groupingSets([[keys[0]], [keys[1]], [keys[2]], []], *keys).agg(F.grouping_id().alias("level"), *sums).select("level", "jurisdiction", "agency", "source_type", "n", "n_active", "avg_confidence")
 
 
 def feed_metrics(sessions: DataFrame) -> DataFrame:

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.text import first_group, engine_form
+from docketlake import dictionaries as D
+from docketlake.functions.text import engine_form
 
-#: Targets that monitoring begins with (fixed values): name, address, kind.
-COMMON_TARGETS = [("EU Official Journal", "https://eur-lex.europa.eu/oj/direct-access.html", "gazette"), ("UK Legislation", "https://www.legislation.gov.uk/new", "legislation"), ("US Federal Register", "https://www.federalregister.gov/documents/current", "register"), ("Canada Gazette", "https://gazette.gc.ca/rp-pr/publications-eng.html", "gazette")]
-TITLE_NUMBERS = [r"(\d{4}\s+No\.\s+\d+)", r"(No\.\s*\d+\s*of\s*\d{4})", r"(\d{4}/\d+)"]
+def targets(spark, entries: list[tuple[str, str, str, str]] = D.COMMON_TARGETS) -> DataFrame:
+    """Monitoring targets as they are set up: id, name, url, website_type, monitoring_frequency, not checked yet."""
+    return added_targets(spark.createDataFrame(entries, "name string, url string, website_type string, monitoring_frequency string"))
 
 
-def targets(spark, entries: list[tuple[str, str, str]] = COMMON_TARGETS) -> DataFrame:
-    """Monitoring targets with their ids."""
-    rows = spark.createDataFrame(entries, "name string, url string, website_type string")
-    return rows.select(F.substring(F.md5(F.concat_ws("_", "name", "url")), 1, 12).alias("target_id"), "*")
+def target_id(name: Column, url: Column) -> Column:
+    return F.substring(F.md5(F.concat_ws("_", name, url)), 1, 12)
+
+
+def added_targets(entries: DataFrame) -> DataFrame:
+    """New targets with their ids; how often, where it isn't said, is daily."""
+    often = F.coalesce(F.col("monitoring_frequency"), F.lit("daily"))
+    none = F.lit(None).cast("string")
+    return entries.select(
+        target_id(F.col("name"), F.col("url")).alias("id"), "name", "url", "website_type", often.alias("monitoring_frequency"), F.array().cast("array<string>").alias("change_indicators"),
+        F.lit(None).cast("timestamp").alias("last_checked"), none.alias("last_content_hash"), none.alias("baseline_content"), F.lit("content_hash").alias("change_detection_strategy"))
 
 
 def display_title(record_id: Column, title: Column) -> Column:
@@ -30,7 +38,7 @@ def keys_with(metadata: Column, *words: str) -> Column:
 def identifiers(metadata: Column, title: Column) -> Column:
     """Entries that name an identifier, and the title's number as primary_id."""
     named = keys_with(metadata, "id", "number", "identifier", "reference")
-    number = first_group(title, [engine_form(p, True) for p in TITLE_NUMBERS])
+    number = F.coalesce(*[F.nullif(F.regexp_extract(title, engine_form(p, True), 0), F.lit("")) for p in D.TITLE_NUMBERS])
     return F.when(number.isNotNull(), F.map_zip_with(named, F.create_map(F.lit("primary_id"), number), lambda k, a, b: F.coalesce(b, a))).otherwise(named)
 
 
@@ -46,9 +54,22 @@ def authority(metadata: Column, section_titles: Column) -> Column:
 
 
 def title_type(title: Column, hint: Column) -> Column:
-    """By the title's words, else the hint, else other."""
+    """By the title's words, in their order, else the hint, else other."""
     low = F.lower(title)
-    return F.when(low.contains("act"), "act").when(low.contains("regulation"), "regulation").when(low.contains("directive"), "directive").when(low.contains("bill"), "bill").otherwise(F.coalesce(F.nullif(hint, F.lit("")), F.lit("other")))
+    return F.coalesce(*[F.when(low.contains(k), k) for k in ("regulation", "act", "bill", "directive")], F.nullif(hint, F.lit("")), F.lit("other"))
+
+
+def record_jurisdiction(content: Column, hint: Column) -> Column:
+    """The hint, else by the content's phrases in their order, else other."""
+    low = F.lower(content)
+    by_phrase = [F.when(low.rlike("|".join(phrases)), k) for k, phrases in D.RECORD_JURISDICTIONS.items()]
+    return F.coalesce(F.nullif(hint, F.lit("")), *by_phrase, F.lit("other"))
+
+
+def record_status(content: Column) -> Column:
+    """By the content's words in their order, else enacted."""
+    low = F.lower(content)
+    return F.coalesce(*[F.when(low.rlike("|".join(words)), k) for k, words in D.RECORD_STATUS_WORDS.items()], F.lit("enacted"))
 
 
 def formatted(title: Column, abstract: Column, sections: Column) -> Column:
@@ -97,9 +118,9 @@ def current_status(dates: Column, check: Column) -> Column:
     return F.when(check >= end, "expired").when(check >= start, "in_force").when(start.isNotNull(), "not_yet_in_force").otherwise("unknown")
 
 
-def by_discovery(sources: DataFrame, since: Column) -> DataFrame:
-    """Sources found since a time, in the order of their discovery as it is shown."""
-    return sources.where(F.col("discovered_date") >= since).orderBy(F.date_format("discovered_date", "yyyy-MM-dd HH:mm"), "source_id")
+def by_discovery(sources: DataFrame, since: Column, limit: int = 50) -> DataFrame:
+    """The listing of sources found since a time: the newest first, as the time is shown; ``limit`` of them."""
+    return sources.where(F.col("discovered_date") >= since).orderBy(F.date_format("discovered_date", "yyyy-MM-dd HH:mm").desc(), "source_id").limit(limit)
 
 
 def newest_sources(sources: DataFrame, n: int = 10) -> DataFrame:

@@ -610,4 +610,4 @@ def source_actions(spark, d):
 
 
 # more queries register themselves
-from docketlake.plans import operations, scores  # noqa: E402, F401
+from docketlake.plans import operations, scores, stored  # noqa: E402, F401

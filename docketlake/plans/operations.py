@@ -262,7 +262,7 @@ def completed_steps(spark, d):
 
 
 # records
-@query("""SELECT p_partkey, CASE WHEN p_size > 10 THEN p_brand || ': ' || p_name ELSE p_name END AS title, CASE WHEN contains(lower(p_name), 'act') THEN 'act' ELSE coalesce(nullif(CASE WHEN p_size > 25 THEN 'bill' ELSE '' END, ''), 'other') END AS kind,
+@query("""SELECT p_partkey, CASE WHEN p_size > 10 THEN p_brand || ': ' || p_name ELSE p_name END AS title, CASE WHEN contains(lower(p_name), 'regulation') THEN 'regulation' WHEN contains(lower(p_name), 'act') THEN 'act' WHEN contains(lower(p_name), 'bill') THEN 'bill' WHEN contains(lower(p_name), 'directive') THEN 'directive' ELSE coalesce(nullif(CASE WHEN p_size > 25 THEN 'bill' ELSE '' END, ''), 'other') END AS kind,
     array_to_string(list_sort(list_distinct(list_filter([trim(p_brand), trim(p_name), trim(p_brand), 'xy'], lambda x: length(x) BETWEEN 3 AND 200))), ',') AS ids, p_size < 20 AS expired FROM part""")
 def record_titles(spark, d):
     """Titles with their id, types by title and hint, distinct ids, expiry."""
@@ -327,7 +327,7 @@ def text_layout(spark, d):
 @query("SELECT substring(md5(s_name || '_' || s_address_or), 1, 12) AS target_id, s_suppkey FROM (SELECT s_suppkey, s_name, s_suppkey::VARCHAR AS s_address_or FROM supplier)")
 def target_ids(spark, d):
     s = read(spark, d, "supplier")
-    return s.select(F.substring(F.md5(F.concat_ws("_", "s_name", F.col("s_suppkey").cast("string"))), 1, 12).alias("target_id"), "s_suppkey")
+    return s.select(R.target_id(F.col("s_name"), F.col("s_suppkey").cast("string")).alias("target_id"), "s_suppkey")
 
 
 # lookups, states and reports

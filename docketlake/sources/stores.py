@@ -1,55 +1,70 @@
 """Stored collections as tables: sources and discovery sessions, feed items and monitoring sessions, targets and changes.
 
-Each file is one JSON array; a missing or malformed file gives no rows, an unknown value of a closed domain is null."""
+Each file is one JSON array. A missing or malformed file gives no rows. Every element that is an object with a known
+field gives a row; what doesn't fit a field's type or closed domain is null there and stands, as it was, in ``unread``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docketlake import dictionaries as D
 from docketlake.sources.tables import timestamp
 
+#: Fields of the stored records (fixed values). Nested values stay JSON text.
 SCHEMAS = {
-    "publication_sources": "source_id string, name string, url string, source_type string, jurisdiction string, agency string, update_frequency string, feed_url string, description string, confidence double, is_active boolean, discovered_date string, last_checked string",
-    "discovery_sessions": "session_id string, timestamp string, jurisdictions array<string>, sources_found int, sources_added int, success boolean, error_message string",
-    "feed_items": "item_id string, title string, url string, source_id string, published_date string, discovered_date string, content_snippet string, item_type string, relevance_score double, status string",
-    "monitoring_sessions": "session_id string, timestamp string, sources int, feeds_ok int, new_items int, relevant int, errors array<string>",
-    "monitoring_targets": "target_id string, name string, url string, website_type string, monitoring_frequency string, last_checked string, content_hash string, status string",
-    "change_history": "change_id string, target_id string, change_date string, change_type string, impact string, significance double, summary string",
-}
-TIMES = ("timestamp", "discovered_date", "last_checked", "published_date", "change_date")
-#: Closed domains (fixed values).
-DOMAINS = {
-    "source_type": ["rss_feed", "api", "web_page", "gazette", "news_page", "database"],
-    "update_frequency": ["hourly", "daily", "weekly", "monthly", "irregular", "unknown"],
-    "item_type": ["regulation", "guidance", "notice", "consultation", "news", "unknown"],
-    "impact": ["critical", "high", "medium", "low", "informational", "unknown"],
+    "publication_sources": "source_id string, name string, url string, source_type string, jurisdiction string, agency string, discovered_date timestamp, discovery_method string, confidence_score double, update_frequency string, content_types array<string>, feed_url string, feed_format string, is_active boolean, last_checked timestamp, check_interval_hours int, publication_date_selectors array<string>, title_selectors array<string>, content_link_patterns array<string>, publications_found int, false_positive_rate double, extraction_success_rate double",
+    "discovery_sessions": "session_id string, start_time timestamp, target_jurisdictions array<string>, discovery_methods array<string>, sources_discovered array<string>, total_urls_scanned int, successful_discoveries int, session_notes array<string>",
+    "feed_items": "item_id string, source_id string, title string, url string, content_snippet string, published_date timestamp, discovered_date timestamp, item_type string, keywords array<string>, status string, extracted_content string, analysis_results string, relevance_score double, content_quality_score double, business_impact_score double",
+    "monitoring_sessions": "session_id string, start_time timestamp, sources_checked int, feeds_processed int, items_discovered int, new_items int, errors_encountered int, session_duration_seconds double, session_notes array<string>",
+    "monitoring_targets": "id string, name string, url string, website_type string, monitoring_frequency string, change_indicators array<string>, last_checked timestamp, last_content_hash string, baseline_content string, change_detection_strategy string",
+    "change_history": "document_id string, url string, change_type string, change_date timestamp, previous_content_hash string, current_content_hash string, diff_summary string, change_details string, significance_score double, affected_sections array<string>, compliance_impact string",
 }
+DOMAINS = {"source_type": D.SOURCE_TYPES, "update_frequency": D.UPDATE_FREQUENCIES, "status": D.ITEM_STATUSES}
 
 
 def in_domain(c: Column, values: list[str], default: str | None = None) -> Column:
     """The value if its domain has it, else the default."""
-    return F.when(F.lower(c).isin(values), F.lower(c)).otherwise(F.lit(default))
+    return F.when(c.isin(values), c).otherwise(F.lit(default))
+
+
+def fields(name: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(SCHEMAS[name]).fields
+
 
+def raw_schema(name: str) -> T.StructType:
+    """The collection's fields as text (lists as lists of text), so that no value is lost for its type."""
+    return T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, T.ArrayType) else T.StringType()) for f in fields(name)])
 
-def typed(rows: DataFrame) -> DataFrame:
-    """Times as timestamps, values of closed domains checked."""
-    for name in rows.columns:
-        if name in TIMES:
-            rows = rows.withColumn(name, timestamp(F.col(name)))
-        elif name in DOMAINS:
-            rows = rows.withColumn(name, in_domain(F.col(name), DOMAINS[name]))
-    return rows
+
+def typed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of text as the collection's types, with ``unread``: field and text of what doesn't fit."""
+    out, unread = [], []
+    for f in fields(name):
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.ArrayType) or isinstance(f.dataType, T.StringType) and f.name not in DOMAINS:
+            out.append(c)
+            continue
+        value = timestamp(c) if isinstance(f.dataType, T.TimestampType) else c.try_cast(f.dataType) if f.name not in DOMAINS else in_domain(c, DOMAINS[f.name])
+        out.append(value.alias(f.name))
+        unread.append(F.when(value.isNull() & (c != ""), F.struct(F.lit(f.name).alias("key"), c.alias("value"))))
+    left = F.map_from_entries(F.array_compact(F.array(*unread))) if unread else F.create_map().cast("map<string,string>")
+    return rows.where(F.coalesce(*[F.col(f.name).cast("string") for f in fields(name)]).isNotNull()).select(*out, left.alias("unread"))
 
 
 def store(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The collection ``name`` at ``path`` (a file, a folder or a pattern)."""
-    schema = SCHEMAS[name]
+    schema = raw_schema(name)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder):
-        return typed(spark.createDataFrame([], schema))
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return typed(rows.where(F.col(rows.columns[0]).isNotNull()))  # every row has its id
+        return typed(spark.createDataFrame([], schema), name)
+    return typed(spark.read.schema(schema).option("multiLine", True).json(path), name)
+
+
+def stored_records(texts: Column, name: str) -> Column:
+    """The collection's fields of one record's JSON text, to be typed by ``typed``."""
+    return F.from_json(texts, raw_schema(name))
 
 
 def seen_items(spark: SparkSession, path: str) -> DataFrame:
