@@ -1,29 +1,128 @@
-"""Full-text search: an inverted index, AND of the query's terms, rank by term frequency."""
+"""Full-text search over a stored inverted index: stems with their positions, AND of the query's stems, filters, rank.
+
+A text's words are runs of letters and digits, lower-cased; stop words keep their place but get no posting. Postings
+are stored in folders by the stem's bucket and sorted by stem, so that a query opens the asked buckets alone and skips,
+by the files' statistics, what lies outside the asked stems. Frequent stems spread over many files.
+
+Rank is that of the usual engine for words without weights: each pair of places of two different stems brings 0.1
+times the root of a weight that falls with their distance, and these join as chances do; a single stem counts its
+places, the k-th 1 / k ** 2. As there, places beyond 16,383 count as that, and a stem's first 256 places count."""
 
 from __future__ import annotations
 
 import re
+import zlib
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STOP_WORDS = frozenset("a an and are as at be by for from has he in is it its of on or that the this to was were will with".split())
+from docketlake.functions.stemming import STOP_WORDS, stem
+from docketlake.shipping import ship_package
+
+WORD = re.compile(r"[^\W_]+")
+BUCKETS = 64
+#: The last place, places of a stem, weight of a word, the sum of 1 / k ** 2, rank without a pair.
+LAST_PLACE, MOST_PLACES, WEIGHT, SQUARES, LOWEST = 16383, 256, 0.1, 1.64493406685, 1e-20
+
+
+def bucket(term: str, buckets: int = BUCKETS) -> int:
+    return zlib.crc32(term.encode()) % buckets
+
+
+def places(text: str) -> dict[str, list[int]]:
+    """Places (from 1) of each stem of a text."""
+    out: dict[str, list[int]] = {}
+    for i, m in enumerate(WORD.finditer(text.lower()), 1):
+        if m[0] not in STOP_WORDS:
+            held = out.setdefault(stem(m[0]), [])
+            at = min(i, LAST_PLACE)
+            if len(held) < MOST_PLACES and (not held or held[-1] != at):
+                held.append(at)
+    return out
+
+
+def terms_of(query: str) -> list[str]:
+    """The distinct stems of a query, without stop words."""
+    return [*places(query)]
+
+
+def index(docs: DataFrame, doc_id: str, *texts: str, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, term, doc_id, places) of each document's texts, one after the other; a null text is empty."""
+    ship_package(docs.sparkSession)
+
+    def postings(batches):
+        for b in batches:
+            rows = [(bucket(t, buckets), t, i, p) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t, p in places(text).items()]
+            for at in range(0, len(rows), 50_000):
+                columns = list(zip(*rows[at : at + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1]), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int32()))], names=["bucket", "term", "doc_id", "places"])
 
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts]).alias("text"))
+    return rows.mapInArrow(postings, "bucket int, term string, doc_id long, places array<int>")
 
-def terms_of(query: str, stop_words=STOP_WORDS) -> list[str]:
-    return [t for t in dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())) if t not in stop_words]
 
+def save_index(postings: DataFrame, path: str) -> None:
+    """Postings in folders by bucket, files of a range of stems each, sorted."""
+    postings.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.mode("errorifexists").partitionBy("bucket").parquet(path)
 
-def index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf): how often each ASCII word stands in each document."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, doc_id long, places array<int>, bucket int").parquet(path)
 
-def search(postings: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Documents that hold all terms, by the sum of their frequencies, then doc_id. A query without terms has none.
 
-    ``limit`` is the page's size, as asked."""
+def nearness(distance: Column) -> Column:
+    """The share that two places so far apart add to the rank."""
+    d = distance.cast("double")
+    return WEIGHT * F.sqrt(F.when(d > 100, 1e-30).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))))
+
+
+def rank_of(held: list[Column]) -> Column:
+    """Rank of a document by the places of each of the asked stems."""
+    if len(held) == 1:
+        return F.aggregate(F.transform(held[0], lambda p, i: WEIGHT / ((i + 1) * (i + 1))), F.lit(0.0), lambda a, x: a + x) / SQUARES
+
+    def missed(a: Column, b: Column) -> Column:
+        """The chance that no pair of places counts."""
+        return F.aggregate(a, F.lit(1.0), lambda m, x: m * F.aggregate(b, F.lit(1.0), lambda n, y: n * F.when(x == y, 1.0).otherwise(1 - nearness(F.abs(x - y)))))
+
+    rank = 1 - reduce(lambda x, y: x * y, [missed(held[i], held[k]) for i in range(len(held)) for k in range(i)])
+    return F.when(rank > 0, rank).otherwise(LOWEST)
+
+
+def covers_of(held: list[Column]) -> Column:
+    """Rank by cover density, for several stems: each least stretch that holds all of them adds 0.1 / (1 + words in it
+    that are none of them)."""
+    every = F.array_sort(F.flatten(F.array(*[F.transform(p, lambda x, k=k: F.struct(x.alias("at"), F.lit(k).alias("k"))) for k, p in enumerate(held)])))
+    # a stretch ends at a place; it begins at the earliest of the stems' last places so far
+    ends = F.transform(every, lambda e: F.struct(e["at"].alias("at"), F.array_min(F.array(*[F.coalesce(F.array_max(F.filter(p, lambda x: x <= e["at"])), F.lit(0)) for p in held])).alias("begin")))
+    least = F.filter(ends, lambda e, i: (e["begin"] > 0) & ((i == 0) | (F.get(ends, i - 1)["begin"] < e["begin"])))
+    others = lambda e: e["at"] - e["begin"] + 1 - F.size(F.filter(every, lambda x: x["at"].between(e["begin"], e["at"])))
+    return F.aggregate(F.transform(least, lambda e: WEIGHT / (1 + others(e))), F.lit(0.0), lambda a, x: a + x)
+
+
+def matches(postings: DataFrame, query: str, buckets: int = BUCKETS, cover: bool = False) -> DataFrame:
+    """(doc_id, rank) of the documents that hold all stems of the query; none for a query of stop words alone."""
     terms = terms_of(query)
-    hits = postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.sum("tf").alias("rank"), F.count("*").alias("_n")).where(F.col("_n") == len(terms)).drop("_n")
-    return hits.orderBy(F.desc("rank"), "doc_id").offset(offset).limit(limit)
+    asked = postings.where(F.col("bucket").isin(sorted({bucket(t, buckets) for t in terms})) & F.col("term").isin(terms))
+    found = [F.max(F.when(F.col("term") == t, F.col("places"))).alias(f"_{k}") for k, t in enumerate(terms)]
+    rows = asked.groupBy("doc_id").agg(F.count("*").alias("_n"), *found).where(F.col("_n") == max(len(terms), 1))
+    held = [F.col(f"_{k}") for k in range(len(terms))]
+    rank = F.lit(0.0) if not held else covers_of(held) if cover and len(held) > 1 else rank_of(held)
+    return rows.select("doc_id", F.round(rank, 9).alias("rank"))
+
+
+def search(postings: DataFrame, query: str, docs: DataFrame | None = None, limit: int = 20, offset: int = 0, created: str | None = None, buckets: int = BUCKETS, cover: bool = False, **filters) -> DataFrame:
+    """The page of documents that match, best first, then by ``created`` (the newest) and doc_id.
+
+    docs: (doc_id, ...) that a filter (column: values, None for all) and the order need; its columns come along.
+    ``limit`` is the page's size, as asked. The page is found from partial pages of the tasks, not by a full sort."""
+    hits = matches(postings, query, buckets, cover)
+    if docs is not None:
+        for name, values in filters.items():
+            if values is not None:
+                docs = docs.where(F.col(name).isin(list(values)))
+        hits = hits.join(docs, "doc_id")
+    order = [F.desc("rank"), *([F.desc(created)] if created else []), F.asc("doc_id")]
+    return hits.orderBy(*order).offset(offset).limit(limit)

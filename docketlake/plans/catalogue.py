@@ -22,7 +22,6 @@ from docketlake.operators import changes as C
 from docketlake.operators import documents as P
 from docketlake.operators import learning as L
 from docketlake.operators import monitoring as M
-from docketlake.operators import search as Q
 from docketlake.operators import sinks as W
 from docketlake.operators import workflow as K
 from docketlake.sources import html as H
@@ -226,13 +225,6 @@ def change_diffs(spark, d):
     return C.changes(read(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "content_hash", "diff")
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM documents),
-    p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ('er', 'ing') GROUP BY ALL) SELECT doc_id, sum(tf)::BIGINT AS rank FROM p GROUP BY doc_id HAVING count(*) = 2 ORDER BY rank DESC, doc_id LIMIT 20""")
-def fulltext_search(spark, d):
-    """Top 20 documents with all terms of a query (the page is the operator's feature)."""
-    return Q.search(Q.index(read(spark, d, "documents"), "doc_id", "text"), "er ing the", limit=20)
-
-
 @query(r"""SELECT page_id, CASE WHEN NOT coalesce(regexp_matches(trim(url), '^https?://[^/?#\s]+'), false) THEN 'invalid url' END AS error,
     lower(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:\s]+)', 1), '')) AS host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\s]+([^?#]*)', 1) AS path,
     nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query FROM pages""")
@@ -610,4 +602,4 @@ def source_actions(spark, d):
 
 
 # more queries register themselves
-from docketlake.plans import operations, scores, stored  # noqa: E402, F401
+from docketlake.plans import operations, scores, searching, stored  # noqa: E402, F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A folder that driver and executors share, for what is stored between steps: spark.checkpoint.dir, or, in local
+    mode alone, a temporary folder."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or os.path.join(tempfile.gettempdir(), "docketlake-checkpoints")
+
+
 def timestamp(c: Column) -> Column:
     """ISO or RFC-822 text (weekday or not) to a timestamp; null where neither fits."""
     bare = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3,9},\s*", "")

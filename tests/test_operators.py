@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docketlake.functions import model
 from docketlake.functions import text as X
-from docketlake.operators import changes, documents, learning, monitoring, search, sinks, workflow
+from docketlake.operators import changes, documents, learning, monitoring, sinks, workflow
 from docketlake.sources import feeds, html, tables
 from docketlake.streaming import messages
 
@@ -107,13 +107,6 @@ def test_changes(spark):
     assert tuple(got["a"]) == (0.8, "medium") and tuple(got["b"]) == (0.5, "unknown")
 
 
-def test_search(spark):
-    docs = spark.createDataFrame([(1, "Food safety act"), (2, "safety safety food"), (3, "food"), (4, None)], "id int, text string")
-    index = search.index(docs, "id", "text")
-    assert [tuple(r) for r in search.search(index, "the Safety food").collect()] == [(2, 3), (1, 2)]
-    assert [tuple(r) for r in search.search(index, "safety food", limit=1, offset=1).collect()] == [(1, 2)] and search.search(index, "the").count() == 0
-
-
 def test_workflow(spark):
     steps = spark.createDataFrame([("w", 1, "completed", []), ("w", 2, "pending", [1]), ("w", 3, "pending", [1]), ("w", 4, "pending", [2, 3]), ("v", 1, "pending", [])], "workflow_id string, step_id int, status string, dependencies array<int>")
     assert values(workflow.ready(steps), "workflow_id", "step_id") == [("v", 1), ("w", 2), ("w", 3)]
