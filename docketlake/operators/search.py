@@ -94,7 +94,10 @@ def rank_of(held: list[Column]) -> Column:
 def covers_of(held: list[Column]) -> Column:
     """Rank by cover density, for several stems: each least stretch that holds all of them adds 0.1 / (1 + words in it
     that are none of them)."""
-    every = F.array_sort(F.flatten(F.array(*[F.transform(p, lambda x, k=k: F.struct(x.alias("at"), F.lit(k).alias("k"))) for k, p in enumerate(held)])))
+    def placed(k: int, p: Column) -> Column:
+        return F.transform(p, lambda x: F.struct(x.alias("at"), F.lit(k).alias("k")))
+
+    every = F.array_sort(F.flatten(F.array(*[placed(k, p) for k, p in enumerate(held)])))
     # a stretch ends at a place; it begins at the earliest of the stems' last places so far
     ends = F.transform(every, lambda e: F.struct(e["at"].alias("at"), F.array_min(F.array(*[F.coalesce(F.array_max(F.filter(p, lambda x: x <= e["at"])), F.lit(0)) for p in held])).alias("begin")))
     least = F.filter(ends, lambda e, i: (e["begin"] > 0) & ((i == 0) | (F.get(ends, i - 1)["begin"] < e["begin"])))
