@@ -1,13 +1,15 @@
 """Phrase collocation mining by hierarchical pair naming.
 
 Texts become blocks: each word of a block is a number in the block's own vocabulary, and -1 stands between pieces. A
-block sends each distinct word once, with its count. Words that are frequent in their language get a name, which goes
-back to the blocks that hold them; there, each position with a named word gives way to the pair of neighbouring names,
-numbered anew within the block. Pairs of named words that are frequent are named in turn, then pairs of these, so that
-the name of k words is a pair of names of k - 1 words (the first ones and the last ones), and nothing else is counted.
+block sends each distinct word once, with its count. Words that are frequent in their language get a name, which is
+joined to the blocks that hold them; there, each position with a named word gives way to the pair of neighbouring
+names, numbered anew within the block. Pairs of named words that are frequent are named in turn, then pairs of these,
+so that the name of k words is a pair of names of k - 1 words (the first ones and the last ones), and nothing else is
+counted. Up to ``BROADCAST_NAMES`` names of a level go to the blocks by broadcast, and are looked up there; more are
+joined by a shuffle of the blocks' vocabularies, whose names then meet the blocks in sorted order, one at a time.
 
 The two names are the parent pointers: a phrase's first and last words of any number, and thus the counts for its cuts,
-come down these pointers, and so does what lies inside it. One block is in memory at a time, in Python as in Arrow.
+come down these pointers, and so does what lies inside it.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ from docketlake.llm.common import map_batches, table, texts, unused, written
 #: Words of a block (and one text more); longest phrase; rare phrases; a longer phrase has so many hundredths.
 BLOCK_WORDS, LONGEST, LEAST, SUBSUMES = 500_000, 4, 30, 80
 FACTOR, TOP = 2_000_000, 2000
+#: Names of a level that a broadcast may carry: 24 bytes each, or a word.
+BROADCAST_NAMES = 2_000_000
+#: Rows that a block sends at a time.
+SENT = 100_000
 #: The best phrases are found within so many deals of a language first.
 DEALS = 64
 NO_LANGUAGE = "und"
@@ -84,25 +91,131 @@ def blocks(docs: DataFrame) -> DataFrame:
     return written(map_batches(rows, cut, "lang string, total bigint, codes binary, words array<string>, n array<int>").withColumn("block", F.monotonically_increasing_id()), "phrases")
 
 
-def named(held: DataFrame, keys: list[str], lists: list[str], least: int) -> DataFrame:
-    """Frequent entries of the blocks' vocabularies: block, local (number there), the keys, f, id, and whether the row
-    is the one that its id (the least row number of the key) is from."""
-    entry = held.select("block", *[k for k in keys if k not in lists], F.posexplode(F.arrays_zip(*lists, "n")).alias("local", "e"))
-    entry = entry.select("block", "local", *[F.col(f"e.{k}").alias(k) if k in lists else F.col(k) for k in keys], F.col("e.n").alias("n"), F.monotonically_increasing_id().alias("row"))
-    same = Window.partitionBy(*keys)
-    entry = entry.withColumns({"f": F.sum("n").over(same), "id": F.min("row").over(same)}).where(F.col("f") >= least)
-    return written(entry.select("block", "local", *keys, "f", "id", (F.col("id") == F.col("row")).alias("first")), "phrases")
+class Words:
+    """Names of words by language, for blocks."""
 
+    def __init__(self, rows: pa.Table):
+        self.known: dict[str, tuple[pa.Array, np.ndarray]] = {}
+        for lang in pc.unique(rows["lang"]).to_pylist():
+            own = rows.filter(pc.equal(rows["lang"], lang))
+            self.known[lang] = own["words"].combine_chunks(), own["id"].to_numpy()
 
-def by_block(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows sorted by block, codes first: each block's codes, and the id of each number in it (-1 without)."""
+    def ids(self, lang: str, words: pa.Array) -> np.ndarray:
+        """The words' names, -1 without."""
+        known, ids = self.known.get(lang, (pa.array([], pa.string()), np.zeros(0, np.int64)))
+        at = pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), -1).to_numpy()
+        return np.append(ids, -1)[at]
+
+
+class Pairs:
+    """Names of pairs of names, for blocks: found by a pair's places among the known left and right names."""
+
+    def __init__(self, rows: pa.Table):
+        left, right, ids = (rows[c].to_numpy() for c in ("left", "right", "id"))
+        self.lefts, li = np.unique(left, return_inverse=True)
+        self.rights, ri = np.unique(right, return_inverse=True)
+        keys = li.astype(np.int64) * len(self.rights) + ri
+        order = np.argsort(keys)
+        self.keys, self.named = keys[order], np.append(ids[order], -1)
+
+    def ids(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(left), -1, np.int64)
+        li, ri = np.searchsorted(self.lefts, left), np.searchsorted(self.rights, right)
+        known = (li < len(self.lefts)) & (ri < len(self.rights))
+        li, ri = np.where(known, li, 0), np.where(known, ri, 0)
+        known &= (self.lefts[li] == left) & (self.rights[ri] == right)
+        keys = li.astype(np.int64) * len(self.rights) + ri
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(known & (self.keys[at] == keys), self.named[at], -1)
+
+
+def paired(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions as numbers of pairs of neighbouring names (-1 where not both have one), the pairs' names, their counts."""
+    known = (codes >= 0) & (np.append(ids, -1)[codes] >= 0)
+    both = np.flatnonzero(known[:-1] & known[1:])
+    pairs, numbers, n = np.unique(codes[both].astype(np.int64) << 32 | codes[both + 1], return_inverse=True, return_counts=True)
+    out = np.full(len(codes), -1, np.int32)
+    out[both] = numbers
+    kept = out >= 0
+    kept[1:] |= kept[:-1]  # of positions without a pair, one after each run with pairs
+    return out[kept], ids[pairs >> 32], ids[pairs & 0xFFFFFFFF], n
+
+
+class Level:
+    """Blocks of one level: stored ``base`` blocks (of words or of pairs of names) and the names that lead on from them."""
+
+    def __init__(self, base: DataFrame, chain: list | None = None):
+        self.base, self.chain = base, chain or []
+        self.of_words = "words" in base.columns
+
+    def blocks(self):
+        """What gives a task, for each of its base rows: block, codes, left and right names and counts of the pairs."""
+        of_words, chain = self.of_words, self.chain
+
+        def each(batches):
+            for b in batches:
+                column = lambda c: b.column(b.schema.get_field_index(c))
+                for i in range(len(b)):
+                    codes = np.frombuffer(column("codes")[i].as_py(), np.int32)
+                    if of_words:
+                        codes, left, right, n = paired(codes, chain[0].ids(column("lang")[i].as_py(), column("words")[i].values))
+                    else:
+                        left, right, n = (column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("left", "right", "n"))
+                    for names in chain[of_words:]:
+                        codes, left, right, n = paired(codes, names.ids(left, right))
+                    yield column("block")[i].as_py(), codes, left, right, n
+
+        return each
+
+    def entries(self) -> DataFrame:
+        """The blocks' distinct words (lang, words) or pairs (left, right), with their counts n."""
+        if self.of_words and not self.chain:
+            return self.base.select("lang", F.explode(F.arrays_zip("words", "n")).alias("e")).select("lang", "e.words", "e.n")
+        each = self.blocks()
+
+        def send(batches):
+            for _, _, left, right, n in each(batches):
+                for at in range(0, len(n), SENT):
+                    yield _row([pa.array(left[at : at + SENT]), pa.array(right[at : at + SENT]), pa.array(n[at : at + SENT].astype(np.int64))], ["left", "right", "n"])
+
+        return map_batches(self.base, send, "left bigint, right bigint, n bigint")
+
+    def named(self, least: int) -> DataFrame:
+        """Names of what is frequent: id, the keys, f."""
+        rows = self.entries()
+        sums = rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        return written(sums.withColumn("id", F.monotonically_increasing_id()), "phrases")
+
+    def next(self, names: DataFrame) -> Level:
+        """The blocks of pairs of these names."""
+        words = self.of_words and not self.chain
+        if names.count() <= BROADCAST_NAMES:
+            return Level(self.base, [*self.chain, Words(names.select("lang", "words", "id").toArrow()) if words else Pairs(names.select("left", "right", "id").toArrow())])
+        return Level(joined_names(self.stored(), names))
+
+    def stored(self) -> DataFrame:
+        """The blocks with all their names applied."""
+        if not self.chain:
+            return self.base
+        each = self.blocks()
+
+        def whole(batches):
+            for block, codes, left, right, n in each(batches):
+                yield _row([pa.array([block]), pa.array([codes.tobytes()], pa.binary()), _list(pa.array(left)), _list(pa.array(right)), _list(pa.array(n.astype(np.int32)))], ["block", "codes", "left", "right", "n"])
+
+        return written(map_batches(self.base, whole, "block bigint, codes binary, left array<bigint>, right array<bigint>, n array<int>"), "phrases")
+
+
+def by_block(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows sorted by block, codes first: each block, its codes, and the id of each number in it (-1 without)."""
     block, codes, parts = None, None, []
 
     def whole():
         local, ids = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
         out = np.full(max(int(codes.max(initial=-1)), int(local.max(initial=-1))) + 1, -1, np.int64)
         out[local] = ids
-        return codes, out
+        return int(block), codes, out
 
     for b in batches:
         at, local, ids = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("block", "local", "id"))
@@ -123,30 +236,22 @@ def by_block(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield whole()
 
 
-def paired(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions as numbers of pairs of neighbouring names (-1 where not both have one), the pairs' names, their counts."""
-    known = (codes >= 0) & (np.append(ids, -1)[codes] >= 0)
-    both = np.flatnonzero(known[:-1] & known[1:])
-    pairs, numbers, n = np.unique(codes[both].astype(np.int64) << 32 | codes[both + 1], return_inverse=True, return_counts=True)
-    out = np.full(len(codes), -1, np.int32)
-    out[both] = numbers
-    kept = out >= 0
-    kept[1:] |= kept[:-1]  # of positions without a pair, one after each run with pairs
-    return out[kept], ids[pairs >> 32], ids[pairs & 0xFFFFFFFF], n
-
-
-def next_blocks(held: DataFrame, names: DataFrame) -> DataFrame:
-    """Blocks of pairs of names: block, codes, left, right, n."""
+def joined_names(held: DataFrame, names: DataFrame) -> DataFrame:
+    """Blocks of pairs of names, where names are too many for a task: block, codes, left, right, n."""
+    lists = ["words"] if "words" in held.columns else ["left", "right"]
+    entry = held.select("block", *(["lang"] if lists == ["words"] else []), F.posexplode(F.arrays_zip(*lists, "n")).alias("local", "e"))
+    entry = entry.select("block", "local", *(["lang"] if lists == ["words"] else []), *[F.col(f"e.{k}").alias(k) for k in lists])
+    back = entry.join(names.hint("merge"), [c for c in entry.columns if c not in ("block", "local")]).select("block", "local", "id")
+    rows = held.select("block", F.lit(-1).alias("local"), F.lit(-1).cast("bigint").alias("id"), "codes").unionByName(back, allowMissingColumns=True)
 
     def pair(batches):
-        for codes, ids in by_block(batches):
+        for block, codes, ids in by_block(batches):
             new, left, right, n = paired(codes, ids)
             if len(n):
-                yield _row([pa.array([new.tobytes()], pa.binary()), _list(pa.array(left)), _list(pa.array(right)), _list(pa.array(n.astype(np.int32)))], ["codes", "left", "right", "n"])
+                yield _row([pa.array([block]), pa.array([new.tobytes()], pa.binary()), _list(pa.array(left)), _list(pa.array(right)), _list(pa.array(n.astype(np.int32)))], ["block", "codes", "left", "right", "n"])
 
-    rows = held.select("block", F.lit(-1).alias("local"), F.lit(-1).cast("bigint").alias("id"), "codes").unionByName(names.select("block", "local", "id"), allowMissingColumns=True)
     rows = rows.repartition("block").sortWithinPartitions("block", "local")
-    return written(map_batches(rows, pair, "codes binary, left array<bigint>, right array<bigint>, n array<int>").withColumn("block", F.monotonically_increasing_id()), "phrases")
+    return written(map_batches(rows, pair, "block bigint, codes binary, left array<bigint>, right array<bigint>, n array<int>"), "phrases")
 
 
 def number(x: Column) -> Column:
@@ -158,7 +263,7 @@ def grown(names: DataFrame, shorter: DataFrame) -> DataFrame:
     """Phrases one word longer: id, lang, phrase, last word, counts of their first and last words (by number), a, the
     names inside (``left``, ``right``), and names two words shorter inside (``inner``)."""
     first, last = shorter.alias("l"), shorter.alias("r")
-    rows = names.where("first").select("id", "left", "right", "f").alias("x").join(first, F.col("x.left") == F.col("l.id")).join(last, F.col("x.right") == F.col("r.id"))
+    rows = names.alias("x").join(first, F.col("x.left") == F.col("l.id")).join(last, F.col("x.right") == F.col("r.id"))
     whole = lambda side: F.concat(F.col(f"{side}.{'heads' if side == 'l' else 'tails'}"), F.array("x.f"))
     return written(rows.select("x.id", "l.lang", F.concat_ws(" ", "l.phrase", "r.last").alias("phrase"), "r.last", whole("l").alias("heads"), whole("r").alias("tails"), F.col("x.f").alias("a"), "x.left", "x.right", F.array("l.left", "l.right", "r.right").alias("inner")), "phrases")
 
@@ -181,15 +286,15 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP) ->
 
     A null language counts as ``und``, a null text as empty; other columns are not read, repeated rows count each.
     Ties go by count, then by the phrase's bytes. ``top`` None gives all. No texts: no rows."""
-    held = blocks(docs)
-    totals = held.groupBy("lang").agg(F.sum("total").alias("n"))
-    names = named(held, ["lang", "words"], ["words"], least)
+    level = Level(blocks(docs))
+    totals = level.base.groupBy("lang").agg(F.sum("total").alias("n"))
+    names = level.named(least)
     none = F.lit(None).cast("bigint")
-    phrases = names.where("first").select("id", "lang", F.col("words").alias("phrase"), F.col("words").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"), F.col("f").alias("a"), none.alias("left"), none.alias("right"))
+    phrases = names.select("id", "lang", F.col("words").alias("phrase"), F.col("words").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"), F.col("f").alias("a"), none.alias("left"), none.alias("right"))
     levels = {}
     for k in range(2, LONGEST + 1):
-        held = next_blocks(held, names)
-        names = named(held, ["left", "right"], ["left", "right"], least)
+        level = level.next(names)
+        names = level.named(least)
         phrases = levels[k] = grown(names, phrases)
     inside = {k: [] for k in levels}  # names of k words with the count of a longer phrase
     for k in range(3, LONGEST + 1):

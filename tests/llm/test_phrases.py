@@ -54,8 +54,11 @@ def made(seed, n=60, words=150):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_against_plain_counts(spark, seed, monkeypatch):
+@pytest.mark.parametrize("most", [0, 15, 10**6])
+def test_against_plain_counts(spark, seed, most, monkeypatch):
+    """However many names of a level a broadcast may carry."""
     monkeypatch.setattr(phrases, "BLOCK_WORDS", [40, 100_000, 700][seed])
+    monkeypatch.setattr(phrases, "BROADCAST_NAMES", most)
     docs = made(seed)
     assert got(spark.createDataFrame(docs, "lang string, text string").repartition(3), least=[5, 30, 2][seed]) == plain(docs, [5, 30, 2][seed])
 
