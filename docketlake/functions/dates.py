@@ -122,5 +122,5 @@ def reply_dates(reply: Column, now: Column) -> Column:
 
 def todays(records: DataFrame, dates: str, on: Column) -> DataFrame:
     """``records`` whose typed dates (column ``dates``) hold a publication or an effect on a day, with both flags."""
-    has: Callable[[str], Column] = lambda kind: F.exists(dates, lambda d: (d["kind"] == kind) & (d["date"] == on))
+    has: Callable[[str], Column] = lambda kind: F.array_contains(F.transform(F.filter(dates, lambda d: d["kind"] == kind), lambda d: d["date"]), on)
     return records.withColumns({"published_today": has("publication"), "effective_today": has("effective")}).where("published_today OR effective_today")

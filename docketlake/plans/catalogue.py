@@ -602,4 +602,4 @@ def source_actions(spark, d):
 
 
 # more queries register themselves
-from docketlake.plans import operations, scores, searching, stored, trees  # noqa: E402, F401
+from docketlake.plans import monitored, operations, scores, searching, stored, streams, trees  # noqa: E402, F401
