@@ -15,53 +15,22 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from docketlake.shipping import ship_package
+from docketlake.sources import log
 from docketlake.streaming.messages import SCHEMA
 
 
-def _hadoop(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _names(files: fs.FileSystem, path: str) -> list[int]:
-    """Numbers of the log's entries, in order."""
-    found = files.get_file_info(fs.FileSelector(f"{path}/log", allow_not_found=True))
-    return sorted(int(f.base_name.split(".")[0]) for f in found if f.base_name.endswith(".json") and f.base_name[0] != "_")
-
-
-def _read(files: fs.FileSystem, path: str) -> dict | None:
-    if files.get_file_info(path).type == fs.FileType.NotFound:
-        return None
-    with files.open_input_stream(path) as f:
-        return json.loads(f.read())
-
-
 def publish(messages: DataFrame, queue: str) -> int:
     """Append messages (of ``messages.SCHEMA``) to the queue; gives the entry's number. Nothing is seen before all is."""
     spark = messages.sparkSession
     data = f"{queue}/data/{uuid.uuid4().hex}"
     messages.select(*(c.split()[0] for c in SCHEMA.split(", "))).write.parquet(data)
-    files, place = fs.FileSystem.from_uri(queue if "://" in queue or queue.startswith("file:") else f"file://{queue}")
-    listed = [f for f in files.get_file_info(fs.FileSelector(f"{place}/data/{data.rsplit('/', 1)[1]}")) if f.base_name.endswith(".parquet")]
-    entry = {"files": [[f.path, pq.read_metadata(f.path, filesystem=files).num_rows] for f in sorted(listed, key=lambda f: f.path)]}
-    while True:
-        number = (_names(files, place) or [0])[-1] + 1
-        out, where = _hadoop(spark, f"{queue}/log/{number:012d}.json")
-        try:
-            stream = out.create(where, False)
-        except Exception as e:  # another publisher was first
-            if not out.exists(where):
-                raise e
-            continue
-        stream.write(bytearray(json.dumps(entry).encode()))
-        stream.close()
-        return number
+    files, place = log.place_of(queue)
+    return log.enter(spark, queue, {"files": log.data_files(files, f"{place}/{data.removeprefix(queue).lstrip('/')}")})
 
 
 class File(InputPartition):
@@ -72,25 +41,25 @@ class File(InputPartition):
 class Reader(DataSourceStreamReader):
     def __init__(self, options):
         self.queue, self.most = options["path"], int(options.get("entriesPerTrigger", 16))
-        self.files, self.place = fs.FileSystem.from_uri(self.queue if "://" in self.queue or self.queue.startswith("file:") else f"file://{self.queue}")
+        self.files, self.place = log.place_of(self.queue)
         self.given: int | None = None
 
     def initialOffset(self) -> dict:
         return {"entry": 0}
 
     def latestOffset(self) -> dict:
-        names = _names(self.files, self.place)
+        names = log.numbers(self.files, self.place)
         begin = self.given if self.given is not None else self.acknowledged()
         ahead = [n for n in names if n > begin][: self.most]
         self.given = ahead[-1] if ahead else begin
         return {"entry": self.given}
 
     def acknowledged(self) -> int:
-        return (_read(self.files, f"{self.place}/acknowledged.json") or {"entry": 0})["entry"]
+        return (log.read_json(self.files, f"{self.place}/acknowledged.json") or {"entry": 0})["entry"]
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.given = max(self.given or 0, end["entry"])
-        entries = (_read(self.files, f"{self.place}/log/{n:012d}.json") for n in _names(self.files, self.place) if start["entry"] < n <= end["entry"])
+        entries = (log.entry(self.files, self.place, n) for n in log.numbers(self.files, self.place) if start["entry"] < n <= end["entry"])
         return [File(path) for e in entries if e for path, rows in e["files"] if rows]
 
     def read(self, partition: File) -> Iterator:
@@ -145,14 +114,14 @@ def size(spark: SparkSession, queue: str) -> int:
     """Messages that no query has acknowledged."""
     reader = Reader({"path": queue})
     done = reader.acknowledged()
-    return sum(rows for n in _names(reader.files, reader.place) if n > done for _, rows in _read(reader.files, f"{reader.place}/log/{n:012d}.json")["files"])
+    return sum(rows for n in log.numbers(reader.files, reader.place) if n > done for _, rows in log.entry(reader.files, reader.place, n)["files"])
 
 
 def clear(spark: SparkSession, queue: str) -> int:
     """Acknowledge all that is there; gives how many messages went."""
     gone = size(spark, queue)
     reader = Reader({"path": queue})
-    reader.commit({"entry": (_names(reader.files, reader.place) or [0])[-1]})
+    reader.commit({"entry": (log.numbers(reader.files, reader.place) or [0])[-1]})
     return gone
 
 
@@ -160,9 +129,9 @@ def pop(spark: SparkSession, queue: str) -> DataFrame:
     """What waits in the queue, as a table with its entry's number, oldest first."""
     reader = Reader({"path": queue})
     done, paths = reader.acknowledged(), []
-    for n in _names(reader.files, reader.place):
+    for n in log.numbers(reader.files, reader.place):
         if n > done:
-            paths += [(n, path) for path, _ in _read(reader.files, f"{reader.place}/log/{n:012d}.json")["files"]]
+            paths += [(n, path) for path, _ in log.entry(reader.files, reader.place, n)["files"]]
     if not paths:
         return spark.createDataFrame([], f"{SCHEMA}, entry long")
     numbers = spark.createDataFrame(paths, "entry long, file string")
