@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlake.functions.scoring import ratio
 from docketlake.functions.text import micros
+from docketlake.operators.ordered import running
 from docketlake.operators.workflow import glob
 
 #: Seconds that entries live, by kind (fixed values).
@@ -63,8 +64,8 @@ def least_recent(entries: DataFrame, by: str) -> DataFrame:
 
 def fitting(entries: DataFrame, by: str, budget: int) -> DataFrame:
     """Entries of each store that stay when the least recently used go until the rest fits."""
-    order = Window.partitionBy(by).orderBy(F.desc(F.coalesce("last_accessed", "created_at")), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("_held", F.sum("size").over(order)).where(F.col("_held") <= budget).drop("_held")
+    used = F.coalesce("last_accessed", "created_at")
+    return running(entries, by, [F.desc(used), F.desc("key")], "_n", _held="size").where(F.col("_held") <= budget).drop("_n", "_held")
 
 
 def signature(*parts: Column, length: int = 64) -> Column:
@@ -90,8 +91,7 @@ def cached_or_run(requests: DataFrame, cached: DataFrame, run) -> DataFrame:
 
 def batches(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
     """Number of the batch of ``size`` that a row of its kind belongs to, from 0."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    return running(rows, by, order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 def flushes(events: DataFrame, by: str, size: int, seconds: int = 5) -> DataFrame:

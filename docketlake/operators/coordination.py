@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.scoring import ratio
+from docketlake.operators.ordered import recent, running
 from docketlake.operators.workflow import available
 
 #: Steps of an extraction: step, role, dependencies, and the option that asks for it (fixed values).
@@ -87,9 +88,20 @@ def agent_metrics(runs: DataFrame, *by: str | Column) -> DataFrame:
 
 def response_metrics(values: DataFrame, by: str, order: list[str], keep: int = 100) -> DataFrame:
     """After each value: mean, least and greatest so far, and the mean of the last ``keep``."""
-    past = Window.partitionBy(by).orderBy(*order)
-    so_far, recent = past.rowsBetween(Window.unboundedPreceding, 0), past.rowsBetween(1 - keep, 0)
-    return values.withColumns({"mean": F.round(F.avg("value").over(so_far), 6), "least": F.min("value").over(so_far), "greatest": F.max("value").over(so_far), "recent_mean": F.round(F.avg("value").over(recent), 6)})
+    rows = running(values, by, order, "_n", _sum="value")
+    rows = rows.withColumn("mean", F.round(F.col("_sum") / F.col("_n"), 6))
+    rows = recent(rows, by, "_n", keep, F.avg("value"), "recent_mean").withColumn("recent_mean", F.round("recent_mean", 6))
+    return extremes(rows, by).drop("_n", "_sum")
+
+
+def extremes(rows: DataFrame, by: str, chunk: int = 10_000) -> DataFrame:
+    """``rows`` (numbered by ``_n``) with the least and the greatest value so far, by chunks of a group."""
+    held = rows.withColumn("_chunk", F.floor((F.col("_n") - 1) / chunk))
+    past = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    before = held.groupBy(by, "_chunk").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")).select(by, "_chunk", F.min("_lo").over(past).alias("_lo"), F.max("_hi").over(past).alias("_hi"))
+    own = Window.partitionBy(by, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    local = held.withColumns({"least": F.min("value").over(own), "greatest": F.max("value").over(own)}).join(before, [by, "_chunk"])
+    return local.withColumns({"least": F.least("least", "_lo"), "greatest": F.greatest("greatest", "_hi")}).drop("_chunk", "_lo", "_hi")
 
 
 def outcome_summary(results: DataFrame, by: str) -> DataFrame:

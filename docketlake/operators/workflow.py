@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketlake import dictionaries as D
 from docketlake.functions.scoring import ratio
 from docketlake.functions.text import micros
+from docketlake.operators.ordered import PLACE, running
 
 
 def progress(steps: DataFrame, workflow: str = "workflow_id") -> DataFrame:
@@ -58,8 +59,8 @@ def route(message_type: Column, recipient: Column, queues: list[str], routes: di
 
 def dispatch(messages: DataFrame, capacity: int) -> DataFrame:
     """Messages (message_id, queue, ts) with ``outcome``: queued while the queue has room, in order; else a dead letter with its reason."""
-    place = F.row_number().over(Window.partitionBy("queue").orderBy("ts", "message_id"))
-    routed = messages.where("queue IS NOT NULL").withColumn("outcome", F.when(place > capacity, "queue_full").otherwise("queued"))
+    placed = running(messages.where("queue IS NOT NULL"), "queue", ["ts", "message_id"])
+    routed = placed.withColumn("outcome", F.when(F.col(PLACE) > capacity, "queue_full").otherwise("queued")).drop(PLACE)
     return routed.unionByName(messages.where("queue IS NULL").withColumn("outcome", F.lit("no_route")))
 
 
