@@ -5,14 +5,19 @@ JSON text of a stored record, which is read back as a store's would be."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketlake import dictionaries as D
+from docketlake.functions import tables as B
+from docketlake.operators import metrics as M
 from docketlake.operators import records as R
 from docketlake.plans.catalogue import query, sql_list
+from docketlake.sources import changelog as L
 from docketlake.sources import stores as T
-from docketlake.sources.tables import read
+from docketlake.sources.tables import read, shared_path
 
 
 def picked(values: list[str], n: Column) -> Column:
@@ -99,3 +104,37 @@ def record_identity(spark, d):
     rows = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", title.alias("title"), content.alias("content"), F.create_map(F.lit("Doc_Number"), n, F.lit("colour"), F.lit("red")).alias("metadata"))
     ids = R.identifiers(F.col("metadata"), F.col("title"))
     return rows.select("o_orderkey", R.title_type(F.col("title"), F.when(F.col("o_orderstatus") == "F", "guidance")).alias("document_type"), ids["primary_id"].alias("primary_id"), R.record_jurisdiction(F.col("content"), F.when(k % 7 == 0, "canada")).alias("jurisdiction"), R.record_status(F.col("content")).alias("status"), ids["Doc_Number"].alias("doc_no"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 7 <> 0")
+def stored_upserts(spark, d):
+    """A store after an append, upserts, a compaction and removals."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    folder = f"{shared_path(spark)}/store_{uuid.uuid4().hex}"
+    schema = "id bigint, segment string"
+    L.append(c, folder, "id")
+    L.append(c.where("id % 3 = 0").withColumn("segment", F.lit("new")), folder, "id")
+    L.compact(spark, folder, "id", schema)
+    L.remove(c.where("id % 7 = 0"), folder, "id")
+    return L.current(spark, folder, "id", schema)
+
+
+@query("""WITH e AS (SELECT user_id, value, event_type = 'error' AS bad FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e)
+    SELECT user_id, count(*) AS n, round(1 - count(*) FILTER (bad)::DOUBLE / count(*), 6) AS success_rate, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest,
+    max(value) FILTER (i = ceil(n * 0.5)) AS median, max(value) FILTER (i = ceil(n * 0.95)) AS p95, count(*) FILTER (bad) AS errors FROM r GROUP BY user_id""")
+def merged_metrics(spark, d):
+    """Metrics of each agent (user) over all days, merged from the rows of its days."""
+    runs = read(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.col("value").alias("seconds"), (F.col("event_type") != "error").alias("success"), F.col("event_type").alias("error"))
+    out = M.report(M.merged(M.daily_metrics(runs, "user_id", "day"), "user_id"))
+    return out.select("user_id", "n", "success_rate", "mean", "least", "greatest", "median", "p95", F.coalesce(F.get("common_errors", 0)["count"], F.lit(0).cast("long")).alias("errors"))
+
+
+@query("""SELECT s_suppkey, substring(md5(s_name || '_https://s' || s_suppkey), 1, 12) AS source_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'rss_feed' ELSE 'daily_listing' END AS source_type, CASE WHEN s_suppkey % 3 = 0 THEN 'weekly' ELSE 'daily' END AS update_frequency,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'https://s' || s_suppkey END AS feed_url, 0.7::DOUBLE AS confidence FROM supplier WHERE s_suppkey % 5 <> 0""")
+def reply_sources(spark, d):
+    """Sources that replies list, through the table function in a lateral join; replies that can't be read give none."""
+    B.register(spark)
+    k = F.col("s_suppkey")
+    source = F.struct(F.col("s_name").alias("source_name"), F.concat(F.lit("https://s"), k.cast("string")).alias("source_url"), F.when(k % 2 == 0, "rss_feed").alias("source_type"), F.when(k % 3 == 0, "weekly").otherwise("sometimes").alias("update_frequency"))
+    reply = F.when(k % 5 == 0, "no list").otherwise(F.concat(F.lit("Found: "), F.to_json(F.array(source)), F.lit(" as asked")))
+    return spark.sql("SELECT s_suppkey, t.source_id, t.name, t.source_type, t.update_frequency, t.feed_url, t.confidence FROM {replies}, LATERAL reply_rows(reply, 'sources') t", replies=read(spark, d, "supplier").select("s_suppkey", reply.alias("reply")))
