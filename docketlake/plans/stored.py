@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketlake import dictionaries as D
+from docketlake.functions import recognised as G
 from docketlake.functions import tables as B
 from docketlake.operators import metrics as M
 from docketlake.operators import records as R
@@ -138,3 +139,23 @@ def reply_sources(spark, d):
     source = F.struct(F.col("s_name").alias("source_name"), F.concat(F.lit("https://s"), k.cast("string")).alias("source_url"), F.when(k % 2 == 0, "rss_feed").alias("source_type"), F.when(k % 3 == 0, "weekly").otherwise("sometimes").alias("update_frequency"))
     reply = F.when(k % 5 == 0, "no list").otherwise(F.concat(F.lit("Found: "), F.to_json(F.array(source)), F.lit(" as asked")))
     return spark.sql("SELECT s_suppkey, t.source_id, t.name, t.source_type, t.update_frequency, t.feed_url, t.confidence FROM {replies}, LATERAL reply_rows(reply, 'sources') t", replies=read(spark, d, "supplier").select("s_suppkey", reply.alias("reply")))
+
+
+@query(r"""SELECT conv_id, count(*) AS pages_processed, length(coalesce(string_agg(CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN chr(10) || '--- Page ' || (turn + 1) || ' ---' || chr(10) || text END, '' ORDER BY turn), '')) AS total_text_length,
+    md5(coalesce(string_agg(CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN chr(10) || '--- Page ' || (turn + 1) || ' ---' || chr(10) || text END, '' ORDER BY turn), '')) AS digest FROM conversations WHERE turn + 1 BETWEEN 2 AND 4 GROUP BY conv_id""")
+def page_ranges(spark, d):
+    """Pages (turns) 2 to 4 of each document, with their markers."""
+    pages = read(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("n"), "text")
+    return G.page_range(pages, "conv_id", "n", "text", 2, 4).select("conv_id", "pages_processed", "total_text_length", F.md5("text_content").alias("digest"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%-d/%-m/%Y') AS document_date, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%B %-d, %Y') END AS effective_date, CASE WHEN contains(o_orderpriority, 'NOT ') THEN 'T' ELSE 'QX-' || (o_orderkey + 1000) END AS document_number, 'Department of ' || o_orderpriority AS issuing_authority,
+    CASE WHEN o_orderstatus = 'F' THEN 'statute' ELSE 'policy' END AS document_type, CASE WHEN o_orderstatus = 'F' THEN 'PUBLIC ACT ' ELSE 'SAFETY POLICY ' END || o_custkey AS document_title, (o_orderkey % 3 = 0)::INT AS n_signatures FROM orders""")
+def recognised_metadata(spark, d):
+    """Dates, number, authority, type and title of recognised texts."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Department of "), F.col("o_orderpriority")), F.concat(F.when(F.col("o_orderstatus") == "F", "PUBLIC ACT ").otherwise("SAFETY POLICY "), F.col("o_custkey").cast("string")), F.concat(F.lit("Ref QX-"), (k + 1000).cast("string")),
+        F.concat(F.lit("of "), F.date_format(day, "d/M/yyyy")), F.when(k % 2 == 0, F.concat(F.lit("from "), F.date_format(day, "MMMM d, yyyy"))), F.when(k % 3 == 0, F.lit("Signed in town")))
+    m = G.document_metadata(text)
+    return read(spark, d, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", "m.document_date", "m.effective_date", "m.document_number", "m.issuing_authority", "m.document_type", "m.document_title", F.size("m.signatures").alias("n_signatures"))
