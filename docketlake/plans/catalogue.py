@@ -252,20 +252,20 @@ def page_technology(spark, d):
 def html_counts(spark, d):
     """From the parsed record; the SQL counts the same tags in the text."""
     p = F.col("page")
-    return H.parsed(read(spark, d, "pages")).select("page_id", H.language(p).alias("lang"), H.tag(p, "a").cast("long").alias("n_anchors"), H.tag(p, "li").cast("long").alias("n_items"), H.tag(p, "h1").cast("long").alias("n_h1"))
+    return H.parsed(read(spark, d, "pages"), fields=["lang", "meta", "tags"]).select("page_id", H.language(p).alias("lang"), H.tag(p, "a").cast("long").alias("n_anchors"), H.tag(p, "li").cast("long").alias("n_items"), H.tag(p, "h1").cast("long").alias("n_h1"))
 
 
 @query()
 def html_records(spark, d):
     p = F.col("page")
     t = p["body_text"]
-    return H.parsed(read(spark, d, "pages")).select("page_id", H.title(p).alias("title"), X.word_count(t).alias("n_words"), F.length(t).alias("n_chars"), H.headings_in_order(p).alias("headings_ok"), F.size(p["links"]).alias("n_links"), F.size(H.document_links(p)).alias("n_document_links"), p["depth"].alias("depth"), F.size(p["meta"]).alias("n_meta"))
+    return H.parsed(read(spark, d, "pages"), fields=["title", "headings", "links", "body_text", "depth", "meta", "tables", "paragraphs"]).select("page_id", H.title(p).alias("title"), X.word_count(t).alias("n_words"), F.length(t).alias("n_chars"), H.headings_in_order(p).alias("headings_ok"), F.size(p["links"]).alias("n_links"), F.size(H.document_links(p, 1 << 30)).alias("n_document_links"), p["depth"].alias("depth"), F.size(p["meta"]).alias("n_meta"))
 
 
 @query()
 def html_links(spark, d):
     link = F.col("l")
-    return H.parsed(read(spark, d, "pages")).select("page_id", "url", F.explode("page.links").alias("l")).select("page_id", U.resolve(F.col("url"), link["href"]).alias("href"), link["text"].alias("text"), U.link_type(link["href"]).alias("type"))
+    return H.parsed(read(spark, d, "pages"), fields=["links"]).select("page_id", "url", F.explode("page.links").alias("l")).select("page_id", U.resolve(F.col("url"), link["href"]).alias("href"), link["text"].alias("text"), U.link_type(link["href"]).alias("type"))
 
 
 SESSIONS = "(SELECT event_id, ts, user_id AS source_id, event_type AS method, event_type <> 'error' AS success, value AS items FROM events)"

@@ -149,7 +149,7 @@ def page_ranges(spark, d):
     return G.page_range(pages, "conv_id", "n", "text", 2, 4).select("conv_id", "pages_processed", "total_text_length", F.md5("text_content").alias("digest"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%-d/%-m/%Y') AS document_date, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%B %-d, %Y') END AS effective_date, CASE WHEN contains(o_orderpriority, 'NOT ') THEN 'T' ELSE 'QX-' || (o_orderkey + 1000) END AS document_number, 'Department of ' || o_orderpriority AS issuing_authority,
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%-d/%-m/%Y') AS document_date, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%B %-d, %Y') END AS effective_date, CASE WHEN contains(o_orderpriority, 'NOT ') THEN 'T' WHEN o_orderkey % 2 = 0 AND month(o_orderdate) = 11 THEN 'vember' ELSE 'QX-' || (o_orderkey + 1000) END AS document_number, 'Department of ' || o_orderpriority AS issuing_authority,
     CASE WHEN o_orderstatus = 'F' THEN 'statute' ELSE 'policy' END AS document_type, CASE WHEN o_orderstatus = 'F' THEN 'PUBLIC ACT ' ELSE 'SAFETY POLICY ' END || o_custkey AS document_title, (o_orderkey % 3 = 0)::INT AS n_signatures FROM orders""")
 def recognised_metadata(spark, d):
     """Dates, number, authority, type and title of recognised texts."""

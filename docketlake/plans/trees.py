@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketlake.functions import text as X
 from docketlake.functions.urls import host
 from docketlake.operators import learning as L
 from docketlake.operators import patterns as P
 from docketlake.plans.catalogue import query
 from docketlake.sources import dom
+from docketlake.sources import html as H
 from docketlake.sources.tables import read
 
 
@@ -70,3 +72,12 @@ def pattern_successes(spark, d):
     none = found.select("source_id", "pattern_id", "pattern_value", F.lit(0).cast("long").alias("success_count"), F.lit(0).cast("long").alias("failure_count")).limit(0)
     uses = P.outcomes(P.tried(pages, P.learned(none, found)))
     return found.join(L.use_totals(uses, "pattern_id"), "pattern_id").select("source_id", "pattern_value", "success_count", "confidence")
+
+
+@query(f"""SELECT page_id, {pieces(part('<h1>(.*?)</h1>'), "' '")} AS title, length({pieces(BODY, "' '")}) AS n_chars, len(regexp_split_to_array({pieces(BODY, "' '")}, '\\s+')) AS n_words, len(regexp_extract_all(html, '<a href=')) AS n_links, len(regexp_extract_all(lower(html), '<a href="[^"]*\\.(pdf|docx?|xml|txt)[^"]*"')) AS n_document_links, len(regexp_extract_all(html, '<meta [^>]*name=')) AS n_meta FROM pages""")
+def page_texts(spark, d):
+    """Titles, sizes of the bodies, and counts of links from the pages' records."""
+    p = F.col("page")
+    t = p["body_text"]
+    rows = H.parsed(read(spark, d, "pages"), fields=["title", "headings", "links", "body_text", "meta"])
+    return rows.select("page_id", H.title(p).alias("title"), F.length(t).cast("long").alias("n_chars"), X.word_count(t).alias("n_words"), F.size(p["links"]).cast("long").alias("n_links"), F.size(H.document_links(p, 1 << 30)).cast("long").alias("n_document_links"), F.size(p["meta"]).cast("long").alias("n_meta"))

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketlake.shipping import ship_package
 
@@ -190,15 +191,17 @@ def parse_page(html: str | None) -> dict:
     return page.record()
 
 
-def parsed(pages: DataFrame, html: str = "html", to: str = "page") -> DataFrame:
-    """``pages`` with the record of each page; Arrow batches, one parse."""
+def parsed(pages: DataFrame, html: str = "html", to: str = "page", fields: list[str] | None = None) -> DataFrame:
+    """``pages`` with the record of each page, or the named fields of it; Arrow batches, one parse."""
     ship_package(pages.sparkSession)
+    every = T.StructType.fromDDL(RECORD.removeprefix("struct<").removesuffix(">"))
+    names = [f.name for f in every.fields if fields is None or f.name in fields]
 
-    @F.pandas_udf(RECORD)
+    @F.pandas_udf(T.StructType([every[n] for n in names]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = list(parse_page(""))
         for s in batches:
-            yield pd.DataFrame([parse_page(x) for x in s], columns=names)
+            records = [parse_page(x) for x in s]
+            yield pd.DataFrame({n: pd.Series([r[n] for r in records], dtype=object) for n in names})
 
     return pages.withColumn(to, run(html))
 
