@@ -117,6 +117,32 @@ def sections(c: Column, markers: list[str]) -> Column:
     return F.transform(F.aggregate(lines, start, step), lambda s: F.struct(s["section_id"], s["content"], word_count(s["content"]).alias("word_count")))
 
 
+def section_sizes(c: Column, markers: list[str]) -> Column:
+    """Number, lines and characters of the sections that lines with a marker open, within the row."""
+    def sized(z: Column) -> Column:
+        lines, starts = z["lines"], z["starts"]
+
+        def one(s: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(starts, k + 1), F.size(lines)) - s
+            return F.struct((k + 1).cast("long").alias("section"), n.cast("long").alias("n_lines"), F.aggregate(F.slice(lines, s + 1, n), F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+        return F.transform(starts, one)
+
+    def opened(lines: Column) -> Column:
+        opens = lambda i: reduce(lambda a, b: a | b, [F.lower(F.get(lines, i)).contains(m) for m in markers])
+        return F.struct(lines.alias("lines"), F.filter(F.sequence(F.lit(0), F.size(lines) - 1), opens).alias("starts"))
+
+    return F.get(F.transform(F.transform(F.array(F.split(c, "\n")), opened), sized), 0)
+
+
+def date_sentences(c: Column, limit: int = 20) -> Column:
+    """Sentences with a year, and the first and last two: one of each, the first ``limit`` by place."""
+    parts = F.split(c, "[.!?]", -1)
+    n = F.size(parts)
+    kept = F.filter(parts, lambda s, i: (F.trim(s) != "") & (s.rlike("[0-9]{4}") | (i < 2) | (i >= n - 2)))
+    return F.slice(F.array_distinct(F.transform(kept, lambda s: F.trim(s))), 1, limit)
+
+
 def micros(c: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone (UTC)."""
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))

@@ -15,6 +15,8 @@ from docketlake.shipping import ship_package
 #: Impacts of a change that are classified, impacts on business that alert, the significance that does (fixed values).
 CLASSIFIED, URGENT, ALERT_ABOVE = ("high", "medium"), ("critical", "high"), 0.7
 NOT_RELEVANT = "not_product_compliance"
+#: What is said of a target that could not be read (fixed values).
+FAILED, EMPTY = "Content extraction failed for ", "No content extracted for "
 
 
 def monitored(targets: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -33,7 +35,7 @@ def daily_run(targets: DataFrame, contents: DataFrame, score: Callable[[Column,
     rows = monitored(targets, ids).select("id", "name", "url", "last_content_hash", "baseline_content").join(contents.select("id", "success", "content", F.col("error").alias("_said")), "id", "left")
     failed = ~F.coalesce(F.col("success"), F.lit(False))
     empty = F.coalesce(F.col("content"), F.lit("")) == ""
-    error = F.when(failed, F.concat(F.lit("Content extraction failed for "), F.col("name"), F.lit(": "), F.coalesce("_said", F.lit("None")))).when(empty, F.concat(F.lit("No content extracted for "), F.col("name")))
+    error = F.when(failed, F.concat(F.lit(FAILED), F.col("name"), F.lit(": "), F.coalesce("_said", F.lit("None")))).when(empty, F.concat(F.lit(EMPTY), F.col("name")))
     now = F.sha2(F.col("content").cast("binary"), 256)
     change = F.when(F.col("error").isNull(), F.when(F.col("last_content_hash").isNull(), "baseline").when(F.col("last_content_hash") == now, "unchanged").otherwise("modified"))
     rows = rows.withColumn("error", error).withColumn("change", change)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlake import dictionaries as D
 from docketlake.functions.text import engine_form
+from docketlake.operators.ordered import running
 
 def targets(spark, entries: list[tuple[str, str, str, str]] = D.COMMON_TARGETS) -> DataFrame:
     """Monitoring targets as they are set up: id, name, url, website_type, monitoring_frequency, not checked yet."""
@@ -193,9 +194,8 @@ def fast_sessions(sessions: DataFrame, by: str, order: list[str], n: int = 5, le
 def manual_sources(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Sources added by hand: id of agency, type and the number of sources before them; full confidence."""
     before = existing.agg(F.count("*")).scalar()
-    place = F.row_number().over(Window.orderBy("name")) - 1  # what is added by hand is little
-    numbered = rows.withColumn("_place", place)
-    return numbered.withColumn("source_id", F.concat_ws("_", F.lower("agency"), "source_type", (before + F.col("_place")).cast("string"))).withColumn("confidence", F.lit(1.0)).drop("_place")
+    numbered = running(rows, [], ["name"], "_place")
+    return numbered.withColumn("source_id", F.concat_ws("_", F.lower("agency"), "source_type", (before + F.col("_place") - 1).cast("string"))).withColumn("confidence", F.lit(1.0)).drop("_place")
 
 
 def validated_source(items: DataFrame, by: str) -> DataFrame:

@@ -41,7 +41,7 @@ def available(agents: DataFrame, tasks: DataFrame) -> DataFrame:
     """For each task the idle agent of its role with the shortest queue, then fewest errors, then id. One agent per role
     is chosen before the join; a task whose role has none is left out."""
     best = agents.where("status = 'idle'").groupBy("role").agg(F.min(F.struct("queue_length", "error_count", "agent_id")).alias("b")).select("role", "b.*")
-    return tasks.join(F.broadcast(best), "role")  # as many rows as there are roles
+    return tasks.join(best, "role")
 
 
 def admitted(jobs: DataFrame, free: int) -> DataFrame:

@@ -181,10 +181,7 @@ def citation_score(spark, d):
     SELECT doc_id, section::BIGINT AS section, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM s WHERE section > 0 GROUP BY doc_id, section""")
 def sections_from_lines(spark, d):
     """Gaps and islands over lines: a line with a marker opens a section."""
-    lines = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    low = F.lower("line")
-    s = lines.withColumn("section", F.sum((low.contains("the ") | low.contains("de ")).cast("long")).over(Window.partitionBy("doc_id").orderBy("i")))
-    return s.where("section > 0").groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    return documents(spark, d).select("doc_id", F.explode(X.section_sizes(F.col("text"), ["the ", "de "])).alias("s")).select("doc_id", "s.section", "s.n_lines", "s.n_chars")
 
 
 @query(r"""WITH s AS (SELECT doc_id, unnest(x) AS sentence, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]') AS x FROM documents)),
@@ -193,11 +190,7 @@ def sections_from_lines(spark, d):
     SELECT doc_id, sentence, n FROM (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM u) WHERE n <= 20""")
 def date_sentences(spark, d):
     """Sentences with a year, and the first and last two: one of each, the first 20 by place (the operator's limit)."""
-    parts = F.split("text", "[.!?]", -1)
-    s = documents(spark, d).select("doc_id", F.size(parts).alias("size"), F.posexplode(parts).alias("i", "sentence"))
-    k = s.where((F.trim("sentence") != "") & (F.col("sentence").rlike("[0-9]{4}") | (F.col("i") < 2) | (F.col("i") >= F.col("size") - 2)))
-    u = k.groupBy("doc_id", F.trim("sentence").alias("sentence")).agg(F.min("i").alias("i"))
-    return u.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).where("n <= 20").select("doc_id", "sentence", "n")
+    return documents(spark, d).select("doc_id", F.posexplode(X.date_sentences(F.col("text"))).alias("i", "sentence")).select("doc_id", "sentence", (F.col("i") + 1).alias("n"))
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, list_distinct(string_split(text, ' ')[1:50]) AS w FROM conversations), p AS (SELECT *, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM t)
@@ -368,8 +361,8 @@ PARTIES = """(SELECT s_suppkey AS source_id, s_name AS name, r_name AS jurisdict
 
 
 def parties(spark, d):
-    places = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = read(spark, d, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
+    places = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = read(spark, d, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     return rows.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name"), F.col("r_name").alias("jurisdiction"), F.col("n_name").alias("agency"), F.when(F.col("s_acctbal") > 5000, "large").otherwise("small").alias("source_type"), (F.col("s_acctbal") > 0).alias("is_active"), (F.col("s_acctbal") / 10000).alias("confidence"), F.lit(None).cast("timestamp").alias("last_checked"))
 
 

@@ -136,4 +136,4 @@ def pop(spark: SparkSession, queue: str) -> DataFrame:
         return spark.createDataFrame([], f"{SCHEMA}, entry long")
     numbers = spark.createDataFrame(paths, "entry long, file string")
     rows = spark.read.schema(SCHEMA).parquet(*(p for _, p in paths)).withColumn("file", F.regexp_replace(F.input_file_name(), "^file:/*", "/"))
-    return rows.join(F.broadcast(numbers), "file").drop("file").orderBy("entry", "timestamp", "id")
+    return rows.join(numbers, "file").drop("file").orderBy("entry", "timestamp", "id")
