@@ -313,31 +313,44 @@ def minima(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
+def band_keys(found: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
     """One number per band from the set's least values under ``ROWS`` hash functions; none for an empty set."""
     if not len(found):
         return np.zeros(0, np.int64)
-    return ((minima(found).reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) ^ BAND_SALT).view(np.int64)
+    return (((minima(found) if least is None else least).reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) ^ BAND_SALT).view(np.int64)
+
+
+def sketch_of(least: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each of a set's least values: the share that two sets have alike tells their similarity."""
+    return (least * MIX[0] >> np.uint64(48)).astype(np.uint16)
+
+
+def least_alike(similarity: float) -> float:
+    """The share of equal numbers below which two sketches are of less similar sets: four standard errors below."""
+    return float(similarity - 4 * np.sqrt(similarity * (1 - similarity) / (ROWS * BANDS)))
 
 
 def set_keys(docs: DataFrame, shingle: int, bands: bool = False) -> DataFrame:
-    """``docs`` with ``_key``, a 64-bit hash of the shingle set; if asked, also ``_size`` of the set and its ``_bands``."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_key long", *(["_size long", "_bands array<long>"] if bands else [])])
+    """``docs`` with ``_key``, a 64-bit hash of the shingle set; if asked, also ``_size`` of the set, its ``_bands`` and
+    its ``_sketch``."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_key long", *(["_size long", "_bands array<long>", "_sketch binary"] if bands else [])])
 
     def run(batches):
         for b in batches:
-            keys, sizes, held = [], [], []
+            keys, sizes, held, sketches = [], [], [], []
             for at in range(0, b.num_rows, 256):
                 for t in texts(b.slice(at, 256)):
                     found = shingle_set(t, shingle)
                     keys.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                     if bands:
+                        least = minima(found)
                         sizes.append(len(found))
-                        held.append(band_keys(found))
+                        held.append(band_keys(found, least))
+                        sketches.append(sketch_of(least).tobytes())
             more = [pa.array(np.array(keys, np.uint64).view(np.int64))]
             if bands:
-                more += [pa.array(sizes, pa.int64()), pa.array(held, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "_key", "_size", "_bands"][: b.num_columns + len(more)])
+                more += [pa.array(sizes, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "_key", "_size", "_bands", "_sketch"][: b.num_columns + len(more)])
 
     return map_batches(docs, run, schema)
 
@@ -378,8 +391,8 @@ def linked(sets: list[np.ndarray], roots: list[int], similarity: float) -> list[
     group = np.array([number[r] for r in roots])
     if len(number) < 2:
         return []
-    sketch = np.stack([(minima(x) * MIX[0] >> np.uint64(48)).astype(np.uint16) for x in sets])
-    least = similarity - 4 * np.sqrt(similarity * (1 - similarity) / sketch.shape[1])
+    sketch = np.stack([sketch_of(minima(x)) for x in sets])
+    least = least_alike(similarity)
     out = []
     for i in range(1, len(sets)):
         other = np.flatnonzero(group[:i] != group[i])
@@ -392,21 +405,72 @@ def linked(sets: list[np.ndarray], roots: list[int], similarity: float) -> list[
     return out
 
 
-#: Bytes of sets that a block of a band's sets holds.
-BLOCK_BYTES = 32_000_000
+#: Bytes of sets, and sets, that a block of a band's sets holds.
+BLOCK_BYTES, BLOCK_SETS = 32_000_000, 10_000
+
+
+def alike_by_sketch(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose sketches don't rule them out. Sketches are short, whatever the texts."""
+    sketches = nodes.select(F.col("_key"), "_sketch")
+    met = pairs.join(sketches.withColumnsRenamed({"_key": "a", "_sketch": "_a"}), "a").join(sketches.withColumnsRenamed({"_key": "b", "_sketch": "_b"}), "b")
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, ROWS * BANDS) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).mean(1) >= least_alike(similarity), pa.bool_()))
+
+    return map_batches(met.select("a", "b", "_a", "_b"), run, "a long, b long")
+
+
+def with_partners(dealt: DataFrame, nodes: DataFrame, keys: tuple[str, ...], similarity: float) -> DataFrame:
+    """The rows of ``dealt`` (``keys``, _key, root) that have, within their ``keys``, a row of another root that the
+    sketches don't rule out."""
+    met = dealt.join(nodes.select("_key", "_sketch"), "_key").select(*keys, "_key", "root", "_sketch").repartition(*keys).sortWithinPartitions(*keys, "_key")
+    names = [*keys, "_key", "root"]
+
+    def compare(batches):
+        last, group = None, []
+
+        def close():
+            rows = []
+            if len(group) > 1:
+                number = {r: k for k, r in enumerate(dict.fromkeys(r[-2] for r in group))}
+                root = np.array([number[r[-2]] for r in group])
+                sketch = np.frombuffer(b"".join(r[-1] for r in group), np.uint16).reshape(len(group), -1)
+                wanted = np.zeros(len(group), bool)
+                for i in range(1, len(group) if len(number) > 1 else 0):
+                    near = np.flatnonzero((root[:i] != root[i]) & ~(wanted[:i] & wanted[i]))
+                    near = near[(sketch[near] == sketch[i]).mean(1) >= least_alike(similarity)]
+                    wanted[near] = True
+                    wanted[i] |= len(near) > 0
+                rows = [r[:-1] for r, w in zip(group, wanted) if w]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if n in ("i", "j") else pa.int64()) for k, n in enumerate(names)], names=names)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[: len(keys)] != last:
+                    yield close()
+                    last, group = row[: len(keys)], []
+                group.append(row)
+        yield close()
+
+    return map_batches(met, compare, "band long, bucket long, i int, j int, _key long, root long")
 
 
 def links_in_bands(placed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) between similar enough sets of different roots that share a band (``placed``: band, _key, _size, root).
 
     Sets of a band meet by size, in steps of which similar ones are at most one apart, and in pairs of blocks of bounded
-    bytes. They are compared in the task, which gives a forest; pairs are no rows."""
+    bytes: first by their sketches, then, of what has a partner there, whole. They are compared in the task, which gives a
+    forest; pairs are no rows."""
     step = np.log(1 / min(similarity, 0.999))
     sized = placed.withColumn("bucket", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.floor(F.log("_size") / F.lit(float(step))).cast("int") + k)))
-    blocks = sized.groupBy("band", "bucket").agg((F.floor(F.sum("_size") * 8 / BLOCK_BYTES) + 1).cast("int").alias("blocks"), F.countDistinct("root").alias("roots")).where("roots > 1").drop("roots")
+    blocks = sized.groupBy("band", "bucket").agg((F.floor(F.greatest(F.sum("_size") * 8 / BLOCK_BYTES, F.count("*") / BLOCK_SETS)) + 1).cast("int").alias("blocks"), F.countDistinct("root").alias("roots")).where("roots > 1").drop("roots")
     own = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")
     dealt = sized.join(blocks, ["band", "bucket"]).withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "bucket", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "_key", "root").checkpoint()
+    keys = ("band", "bucket", "i", "j")
+    dealt = dealt.select("band", F.col("bucket").cast("long").alias("bucket"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "_key", "root")
+    dealt = with_partners(dealt, nodes, keys, similarity).checkpoint()
     wanted = dealt.select("_key").distinct().join(nodes.select("_key", F.col("least").alias("doc_id")), "_key")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -417,7 +481,6 @@ def links_in_bands(placed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found, pa.binary())], names=["_key", "_set"])
 
     sets = map_batches(some, make, "_key long, _set binary").join(wanted.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
-    keys = ("band", "bucket", "i", "j")
     met = dealt.join(sets, "_key").select(*keys, "_key", "root", "_set").repartition(*keys).sortWithinPartitions(*keys, "_key")
 
     def compare(batches):
@@ -450,7 +513,7 @@ def similar_sets(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: fl
     met = dealt.join(hubs, "band").checkpoint()
     fits = F.least("_size", "hub_size") >= similarity * F.greatest("_size", "hub_size") - 1e-9
     to_hub = met.where((F.col("_key") != F.col("hub")) & fits).select(F.col("_key").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = components(confirmed(to_hub, nodes, docs, shingle, similarity))
+    roots = components(confirmed(alike_by_sketch(to_hub, nodes, similarity), nodes, docs, shingle, similarity))
     placed = met.join(roots, met["_key"] == roots["node"], "left").select("band", "_key", "_size", "hub", F.coalesce("root", "_key").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     placed = placed.where("_key != hub").join(mixed, "band").select("band", "_key", "_size", "root").checkpoint()
@@ -464,7 +527,7 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     without a doc_id stay. Columns stay as they are."""
     shared_folder(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    nodes = set_keys(source, shingle, bands=True).drop("text").groupBy("_key").agg(F.min("doc_id").alias("least"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands")).checkpoint()
+    nodes = set_keys(source, shingle, bands=True).drop("text").groupBy("_key").agg(F.min("doc_id").alias("least"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands"), F.first("_sketch").alias("_sketch")).checkpoint()
     roots = similar_sets(nodes, docs, shingle, similarity)
     of = nodes.join(roots, nodes["_key"] == roots["node"], "left").select("least", "_key", F.coalesce("root", "_key").alias("root"))
     kept = of.groupBy("root").agg(F.min(F.struct("least", "_key")).alias("k")).select(F.col("k.least").alias("doc_id"), F.col("k._key").alias("_key"))
