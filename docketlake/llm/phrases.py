@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from docketlake.llm.common import map_batches, table, texts, unused, written
 
 #: Words of a block (and one text more); longest phrase; rare phrases; a longer phrase has so many hundredths.
-BLOCK_WORDS, LONGEST, LEAST, SUBSUMES = 500_000, 4, 30, 80
+BLOCK_WORDS, LONGEST, LEAST, SUBSUMES = 300_000, 4, 30, 80
 FACTOR, TOP = 2_000_000, 2000
 #: Names of a level that a broadcast may carry: 24 bytes each, or a word.
 BROADCAST_NAMES = 2_000_000
@@ -76,8 +76,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         held: dict[str, Block] = {}
-        for b in batches:
-            for lang, text in zip(b.column(b.schema.get_field_index("lang")).to_pylist(), texts(b)):
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            for lang, text in zip(part.column(part.schema.get_field_index("lang")).to_pylist(), texts(part)):
                 if lang not in held:
                     held[lang] = Block()
                 held[lang].add(text)
