@@ -47,7 +47,7 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
     conv = F.col("conv_id").cast("long")
     turns = conversations.where(conv.isNotNull()).select(
         (conv - conv % HOME).alias("home"), conv.alias("conv_id"),
-        F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"), short_digest(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)).alias("digest"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words")).alias("t"),
+        F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").cast("long").alias("turn"), short_digest(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)).alias("digest"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words")).alias("t"),
     )
     each = turns.repartition("home").groupBy("home", "conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     homes = each.groupBy("home").agg(F.collect_list(F.struct("conv_id", "turns")).alias("all"))  # at most 2 * HOME - 1
