@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from docketlake.functions.model import once
 from docketlake.functions.urls import resolve
 from docketlake.shipping import ship_package
+from docketlake.sources.html import only_references
 
 TREE = "struct<tag:array<string>,id:array<string>,classes:array<string>,attributes:array<map<string,string>>,parent:array<int>,last:array<int>,text:array<string>,owner:array<int>>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -71,25 +72,25 @@ class Tree(HTMLParser):
             self.out["owner"].append(self.open[-1])
 
 
-def parse_tree(html: str | None) -> dict[str, list]:
+def parse_tree(html: str | None, references: tuple[str, ...] | None = None) -> dict[str, list]:
     """The tree of a page. An end tag that nothing opened is ignored; text outside all elements is left out."""
     tree = Tree()
-    tree.feed(html or "")
+    tree.feed(only_references(html, references))
     tree.close()
     while tree.open:
         tree._end()
     return tree.out
 
 
-def parsed(pages: DataFrame, html: str = "html", to: str = "tree") -> DataFrame:
-    """``pages`` with the tree of each page."""
+def parsed(pages: DataFrame, html: str = "html", to: str = "tree", references: tuple[str, ...] | None = None) -> DataFrame:
+    """``pages`` with the tree of each page. ``references``: the character references to read (``only_references``)."""
     ship_package(pages.sparkSession)
 
     @F.pandas_udf(TREE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = list(parse_tree(""))
         for s in batches:
-            yield pd.DataFrame([parse_tree(x) for x in s], columns=names)
+            yield pd.DataFrame([parse_tree(x, references) for x in s], columns=names)
 
     return pages.withColumn(to, run(html))
 
