@@ -30,13 +30,13 @@ def first_line(text: Column, lines: int, good) -> Column:
     return F.get(F.filter(top, good), 0)
 
 
-def document_metadata(text: Column) -> Column:
+def document_metadata(text: Column, numbers: list[str] | None = None) -> Column:
     """First and second date (by pattern, then place), number by the first pattern that finds one, authority and title
     among the top lines, type by the first group of words, signatures, and the share of date, authority, type and title
-    that was found."""
+    that was found. ``numbers`` are the patterns of numbers; without them these are ``RECOGNISED_NUMBERS``."""
     t = F.coalesce(text, F.lit(""))
     dates = F.concat(*[F.regexp_extract_all(t, F.lit(engine_form(p)), F.lit(0)) for p in D.RECOGNISED_DATES])
-    number = F.coalesce(*[F.nullif(F.regexp_extract(t, engine_form(p, True), 1), F.lit("")) for p in D.RECOGNISED_NUMBERS])
+    number = F.coalesce(*[F.nullif(F.regexp_extract(t, engine_form(p, True), 1), F.lit("")) for p in numbers or D.RECOGNISED_NUMBERS])
     who = first_line(t, AUTHORITY_LINES, lambda x: holds_any(x, D.AUTHORITY_WORDS) & (F.length(x) > SHORTEST))
     capital = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
     title = first_line(t, TITLE_LINES, lambda x: (F.length(x) > SHORTEST) & (F.length(x) < LONGEST) & (capital(x) | holds_any(x, D.TITLE_WORDS)))

@@ -37,3 +37,18 @@ def test_page_ranges(spark):
     text = "\n--- Page 1 ---\none\n--- Page 3 ---\nthree"
     assert got == {"d": (4, len(text), text, True), "e": (1, 0, "", False)}
     assert recognised.page_range(pages, "doc", "n", "t").where("doc = 'd'").first()["pages_processed"] == 5
+
+
+def test_long_numbers_against_sql(spark, sf_dir, tmp_path):
+    """Keys of seven and more digits, as larger tables have."""
+    import duckdb
+    from test_catalogue import shown
+
+    from docketlake.plans import catalogue
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").limit(40)
+    orders.withColumn("o_orderkey", F.col("o_orderkey") * 99_999).write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    ours, sql = catalogue.QUERIES["recognised_metadata"](spark, str(tmp_path)).toPandas(), c.sql(catalogue.ORACLE_SQL["recognised_metadata"]).df()
+    assert len(ours) == 40 and shown(ours) == shown(sql)
