@@ -55,3 +55,19 @@ def test_todays(spark):
     texts = [(1, "Published 2024-01-02"), (2, "Effective 2024-01-02, published 2023-12-01"), (3, "Expires 2024-01-02"), (4, None)]
     rows = spark.createDataFrame(texts, "id int, t string").withColumn("d", dates.typed_dates(F.col("t"), F.lit("en")))
     assert [(r["id"], r["published_today"], r["effective_today"]) for r in dates.todays(rows, "d", F.lit("2024-01-02").cast("date")).orderBy("id").collect()] == [(1, True, False), (2, False, True)]
+
+
+@pytest.mark.parametrize("name", ["typed_dates", "todays_records"])
+def test_dates_are_read_once(spark, sf_dir, name):
+    """No condition of the plan reads the dates again."""
+    from docketlake.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line[:200] for line in plan if "Filter" in line and "regexp" in line]
+
+
+def test_letters_that_fold(spark):
+    """What (?iu) takes for a small letter is one in cues too."""
+    texts = ["PUBL\u0130SHED 2020-01-02", "EXP\u0131RES 2020-01-02", "\u212aonsultation endet 2020-01-02", "i\u017f\u017fued 2020-01-02"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", dates.typed_dates(F.col("t"), F.lit("en")).alias("d")).orderBy("id").collect()
+    assert [[(x["kind"], x["confidence"]) for x in r["d"]] for r in rows] == [[("publication", 0.9)], [("expiry", 0.9)], [("consultation_end", 0.9)], [("publication", 0.9)]]
