@@ -288,7 +288,7 @@ class Texts:
     these rules don't cover (``odd``) are cut by the pattern itself. At most ``LIMIT`` pre-tokens are kept; a group
     holds less than two pieces of text, which have fewer distinct ones."""
 
-    LIMIT, LONGEST, BITS, PIECE = 1_200_000, 48, 22, 1_000_000
+    LIMIT, LONGEST, BITS, PIECE = 500_000, 48, 20, 1_000_000
 
     def __init__(self, merges: MergeList):
         self.merges = merges

@@ -410,3 +410,10 @@ def test_repeat_words_small():
 
 def test_threshold():
     assert rules.threshold_of({1: 1, 2: 999}, 0.001) == 2 and rules.threshold_of({1: 2, 2: 998}, 0.001) == 1
+
+
+def test_encoder_keeps_little():
+    """What a worker holds on to after its task."""
+    from docketlake.llm import bpe
+
+    assert sum(x.nbytes for x in vars(bpe.encoder()).values() if isinstance(x, np.ndarray)) < 60e6
