@@ -5,8 +5,10 @@ block sends each distinct word once, with its count. Words that are frequent in
 joined to the blocks that hold them; there, each position with a named word gives way to the pair of neighbouring
 names, numbered anew within the block. Pairs of named words that are frequent are named in turn, then pairs of these,
 so that the name of k words is a pair of names of k - 1 words (the first ones and the last ones), and nothing else is
-counted. Up to ``BROADCAST_NAMES`` names of a level go to the blocks by broadcast, and are looked up there; more are
-joined by a shuffle of the blocks' vocabularies, whose names then meet the blocks in sorted order, one at a time.
+counted. A name is the place of its word or pair among the level's frequent ones in order, so that a table of names is
+just their sorted keys, eight bytes each. Up to ``BROADCAST_NAMES`` names of a level go to the blocks by broadcast, and
+are looked up there; more are joined by a shuffle of the blocks' vocabularies, whose names then meet the blocks in
+sorted order, one at a time.
 
 The two names are the parent pointers: a phrase's first and last words of any number, and thus the counts for its cuts,
 come down these pointers, and so does what lies inside it.
@@ -15,6 +17,7 @@ come down these pointers, and so does what lies inside it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,10 @@ from docketlake.llm.common import map_batches, table, texts, unused, written
 #: Words of a block (and one text more); longest phrase; rare phrases; a longer phrase has so many hundredths.
 BLOCK_WORDS, LONGEST, LEAST, SUBSUMES = 300_000, 4, 30, 80
 FACTOR, TOP = 2_000_000, 2000
-#: Names of a level that a broadcast may carry: 24 bytes each, or a word.
-BROADCAST_NAMES = 2_000_000
+#: Names of a level that a broadcast may carry: 8 bytes each, or a word.
+BROADCAST_NAMES = 6_000_000
+#: Rows that a worker is handed at a time: documents, and blocks, which are 2 to 3 MB each.
+HANDED_DOCUMENTS, HANDED_BLOCKS = 1000, 4
 #: Rows that a block sends at a time.
 SENT = 100_000
 #: The best phrases are found within so many deals of a language first.
@@ -88,46 +93,64 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield block.batch(lang)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col("text").cast("string").alias("text"))
-    return written(map_batches(rows, cut, "lang string, total bigint, codes binary, words array<string>, n array<int>").withColumn("block", F.monotonically_increasing_id()), "phrases")
+    with handed(docs.sparkSession, HANDED_DOCUMENTS):
+        return written(map_batches(rows, cut, "lang string, total bigint, codes binary, words array<string>, n array<int>").withColumn("block", F.monotonically_increasing_id()), "phrases")
+
+
+@contextmanager
+def handed(spark: SparkSession, rows: int):
+    """Meanwhile workers are handed so many rows at a time at most: a batch lies in the JVM and in the worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def in_order(sums: DataFrame) -> DataFrame:
+    """``sums`` (keys, f) with ``id``, each row's place (from 0) in the order of the keys."""
+    rows = written(sums, "phrases")
+    rows = written(rows.orderBy(*[c for c in rows.columns if c != "f"]).withColumn("id", F.monotonically_increasing_id()), "phrases")
+    task = F.shiftright("id", 33).cast("int")
+    counts = {r["task"]: r["count"] for r in rows.groupBy(task.alias("task")).count().collect()}
+    before = np.cumsum([0, *(counts.get(k, 0) for k in range(max(counts, default=0)))]).tolist()  # rows of the tasks before
+    return rows.withColumn("id", F.get(F.lit(before), task) + F.col("id").bitwiseAND((1 << 33) - 1))
 
 
 class Words:
     """Names of words by language, for blocks."""
 
     def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("id")
         self.known: dict[str, tuple[pa.Array, np.ndarray]] = {}
         for lang in pc.unique(rows["lang"]).to_pylist():
             own = rows.filter(pc.equal(rows["lang"], lang))
             self.known[lang] = own["words"].combine_chunks(), own["id"].to_numpy()
 
     def ids(self, lang: str, words: pa.Array) -> np.ndarray:
-        """The words' names, -1 without."""
+        """The words' names, -1 without. The known words are looked up among the block's, which are fewer."""
+        out = np.full(len(words), -1, np.int64)
         known, ids = self.known.get(lang, (pa.array([], pa.string()), np.zeros(0, np.int64)))
-        at = pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), -1).to_numpy()
-        return np.append(ids, -1)[at]
+        at = pc.fill_null(pc.index_in(known, value_set=words.cast(known.type)), -1).to_numpy()
+        out[at[at >= 0]] = ids[at >= 0]
+        return out
 
 
 class Pairs:
-    """Names of pairs of names, for blocks: found by a pair's places among the known left and right names."""
+    """Names of pairs of names, for blocks: places among the sorted keys of the pairs, a key being left * width + right
+    where ``width`` is the number of names that pairs are made of."""
 
-    def __init__(self, rows: pa.Table):
-        left, right, ids = (rows[c].to_numpy() for c in ("left", "right", "id"))
-        self.lefts, li = np.unique(left, return_inverse=True)
-        self.rights, ri = np.unique(right, return_inverse=True)
-        keys = li.astype(np.int64) * len(self.rights) + ri
-        order = np.argsort(keys)
-        self.keys, self.named = keys[order], np.append(ids[order], -1)
+    def __init__(self, keys: np.ndarray, width: int):
+        self.keys, self.width = np.sort(keys), width
 
     def ids(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(left), -1, np.int64)
-        li, ri = np.searchsorted(self.lefts, left), np.searchsorted(self.rights, right)
-        known = (li < len(self.lefts)) & (ri < len(self.rights))
-        li, ri = np.where(known, li, 0), np.where(known, ri, 0)
-        known &= (self.lefts[li] == left) & (self.rights[ri] == right)
-        keys = li.astype(np.int64) * len(self.rights) + ri
+        keys = left * self.width + right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(known & (self.keys[at] == keys), self.named[at], -1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 def paired(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,10 +166,11 @@ def paired(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Level:
-    """Blocks of one level: stored ``base`` blocks (of words or of pairs of names) and the names that lead on from them."""
+    """Blocks of one level: stored ``base`` blocks (of words or of pairs of names) and the names that lead on from them,
+    each level's in a broadcast; ``width`` is the number of names that the level's pairs are made of."""
 
-    def __init__(self, base: DataFrame, chain: list | None = None):
-        self.base, self.chain = base, chain or []
+    def __init__(self, base: DataFrame, chain: list | None = None, width: int = 0):
+        self.base, self.chain, self.width = base, chain or [], width
         self.of_words = "words" in base.columns
 
     def blocks(self):
@@ -159,11 +183,11 @@ class Level:
                 for i in range(len(b)):
                     codes = np.frombuffer(column("codes")[i].as_py(), np.int32)
                     if of_words:
-                        codes, left, right, n = paired(codes, chain[0].ids(column("lang")[i].as_py(), column("words")[i].values))
+                        codes, left, right, n = paired(codes, chain[0].value.ids(column("lang")[i].as_py(), column("words")[i].values))
                     else:
                         left, right, n = (column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("left", "right", "n"))
                     for names in chain[of_words:]:
-                        codes, left, right, n = paired(codes, names.ids(left, right))
+                        codes, left, right, n = paired(codes, names.value.ids(left, right))
                     yield column("block")[i].as_py(), codes, left, right, n
 
         return each
@@ -184,15 +208,20 @@ class Level:
     def named(self, least: int) -> DataFrame:
         """Names of what is frequent: id, the keys, f."""
         rows = self.entries()
-        sums = rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        return written(sums.withColumn("id", F.monotonically_increasing_id()), "phrases")
+        with handed(self.base.sparkSession, HANDED_BLOCKS):
+            return in_order(rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
 
     def next(self, names: DataFrame) -> Level:
         """The blocks of pairs of these names."""
-        words = self.of_words and not self.chain
-        if names.count() <= BROADCAST_NAMES:
-            return Level(self.base, [*self.chain, Words(names.select("lang", "words", "id").toArrow()) if words else Pairs(names.select("left", "right", "id").toArrow())])
-        return Level(joined_names(self.stored(), names))
+        n = names.count()
+        if n > BROADCAST_NAMES:
+            return Level(joined_names(self.stored(), names), width=n)
+        if self.of_words and not self.chain:
+            known = Words(names.select("lang", "words", "id").toArrow())
+        else:
+            key = F.col("left") * F.lit(self.width).cast("bigint") + F.col("right")
+            known = Pairs(names.select(key.alias("key")).toArrow()["key"].to_numpy(), self.width)
+        return Level(self.base, [*self.chain, names.sparkSession.sparkContext.broadcast(known)], n)
 
     def stored(self) -> DataFrame:
         """The blocks with all their names applied."""
@@ -204,7 +233,8 @@ class Level:
             for block, codes, left, right, n in each(batches):
                 yield _row([pa.array([block]), pa.array([codes.tobytes()], pa.binary()), _list(pa.array(left)), _list(pa.array(right)), _list(pa.array(n.astype(np.int32)))], ["block", "codes", "left", "right", "n"])
 
-        return written(map_batches(self.base, whole, "block bigint, codes binary, left array<bigint>, right array<bigint>, n array<int>"), "phrases")
+        with handed(self.base.sparkSession, HANDED_BLOCKS):
+            return written(map_batches(self.base, whole, "block bigint, codes binary, left array<bigint>, right array<bigint>, n array<int>"), "phrases")
 
 
 def by_block(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -111,3 +111,20 @@ def test_sql(sf_dir):
     names = [d[0] for d in out.description]
     rows = sorted(tuple(dict(zip(names, r))[n] for n in NAMES) for r in out.fetchall())
     assert rows == plain(con.execute("SELECT lang, text FROM documents").fetchall())
+
+
+def test_names_are_places_in_order(spark):
+    """A broadcast of names is their sorted keys, 8 bytes each; what workers are handed at a time is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    level = phrases.Level(phrases.blocks(spark.createDataFrame(made(5), "lang string, text string").repartition(3)))
+    words = level.named(2)
+    level = level.next(words)
+    pairs = level.named(2)
+    known = level.next(pairs).chain[-1].value
+    rows = pairs.orderBy("left", "right").toArrow()
+    assert [r["id"] for r in words.orderBy("lang", "words").collect()] == list(range(words.count()))
+    assert rows["id"].to_pylist() == list(range(pairs.count())) and len(rows) > 50
+    assert sum(x.nbytes for x in vars(known).values() if isinstance(x, np.ndarray)) == 8 * len(rows)
+    assert known.ids(rows["left"].to_numpy(), rows["right"].to_numpy()).tolist() == rows["id"].to_pylist()
+    assert known.ids(np.array([0]), np.array([10**6])).tolist() == [-1] and spark.conf.get(key) == before
