@@ -57,6 +57,18 @@ def test_todays(spark):
     assert [(r["id"], r["published_today"], r["effective_today"]) for r in dates.todays(rows, "d", F.lit("2024-01-02").cast("date")).orderBy("id").collect()] == [(1, True, False), (2, False, True)]
 
 
+def test_texts_that_may_name_a_day(spark):
+    """No text that dates anything to the day is passed over; most that don't are."""
+    texts = [(lang, t, str(d)) for lang, t, found in CASES if t for _, d in found] + [("en", f"{d} May 2020, {m} 7 2021", "1999-05-07") for d in (7, 17, 27) for m in ("June", "July")]
+    rows = spark.createDataFrame(texts, "lang string, t string, day string").withColumn("on", F.to_date("day"))
+    got = rows.select("t", "day", dates.may_name(F.col("t"), F.col("on")).alias("may")).collect()
+    assert [r["may"] for r in got] == [r["day"] != "1999-05-07" for r in got]
+    # the year 900, days of one and two digits, neighbours of a day's digits
+    odd = [("Published 0900-01-02", "0900-01-02", True), ("Published 2020-01-12", "2020-01-02", False), ("Published 2. 1. 2020", "2020-01-02", True), ("On 22/1/2020", "2020-01-02", False), (None, "2020-01-02", None)]
+    rows = spark.createDataFrame([(i, t, d) for i, (t, d, _) in enumerate(odd)], "i int, t string, d string")
+    assert [r["m"] for r in rows.orderBy("i").select(dates.may_name(F.col("t"), F.to_date("d")).alias("m")).collect()] == [x for *_, x in odd]
+
+
 @pytest.mark.parametrize("name", ["typed_dates", "todays_records"])
 def test_dates_are_read_once(spark, sf_dir, name):
     """No condition of the plan reads the dates again."""
