@@ -7,11 +7,16 @@ trie against itself, all node pairs of one depth together: a pair of subtrees wh
 budget is pruned. Each deal emits a forest (at most one link per node), not its pairs, which keeps components
 exactly. Components over the whole table come from rounds of large-star and small-star over these links, written to
 the checkpoint folder after each round.
+
+Sets of shingles that are less alike (``keep_one_similar``) differ in too many bits for that: they have several
+fingerprints, meet in deals by some of their bits, and are held to a Hamming budget before they are compared exactly.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from functools import cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -130,19 +135,24 @@ def trie_pairs(fps: np.ndarray, budget: int):
         stack.append((*(np.concatenate([o[i] for o in out]) for i in range(5)), depth + 1))
 
 
+def merged(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``root``, the smallest member of each node's component, after the links (x, y)."""
+    while True:
+        x, y = root[x], root[y]
+        far = x != y
+        if not far.any():
+            return root
+        x, y = x[far], y[far]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def forest(n: int, pairs) -> np.ndarray:
     """Smallest member of each node's component; ``pairs`` gives blocks of links."""
     root = np.arange(n)
     for x, y in pairs:
-        while True:
-            x, y = root[x], root[y]
-            far = x != y
-            if not far.any():
-                break
-            x, y = x[far], y[far]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(up := root[root], root):
-                root = up
+        root = merged(root, x, y)
     return root
 
 
@@ -293,11 +303,18 @@ def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
     return together(stay.unionByName(whole.where(F.col("doc_id").isNull())), row, docs.columns)
 
 
-#: Min-hashes of a band, and bands: all bands of a pair of similarity 0.8 differ with a chance of 0.02 %.
-ROWS, BANDS = 5, 22
-_RANDOM = np.random.default_rng(42)
-MASKS, ODD, MIX = (_RANDOM.integers(0, 1 << 64, n, np.uint64) | np.uint64(1) for n in (ROWS * BANDS, ROWS * BANDS, ROWS))
-BAND_SALT = _RANDOM.integers(0, 1 << 64, BANDS, np.uint64)
+#: 64-bit fingerprints of a shingle set: bits enough for the deals, and to tell a pair's similarity by.
+PRINTS = 16
+PRINT_BITS = PRINTS * BITS
+#: Bits that are compared where sets meet: two of the fingerprints.
+NEAR_BITS = 2 * BITS
+#: The chance that a pair of just the similarity meets nowhere, and nodes of a deal: on average at most, and at once.
+MISSED, DEALT, AT_ONCE = 2e-4, 8192, 16_384
+#: Shingles from which a set counts as large: no few hashes decide its bits.
+LARGE_SET = 64
+#: Nodes of all deals that a task gets on average.
+TASK_DEALT = 200_000
+STEPS = np.random.default_rng(42).integers(0, 1 << 64, PRINTS, np.uint64)
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -305,52 +322,89 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle).astype(np.uint64))
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    """The set's least value under each of the hash functions."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 512):
-        np.minimum(least, ((found[at : at + 512, None] ^ MASKS) * ODD).min(0), out=least)
-    return least
+def set_prints(found: np.ndarray) -> np.ndarray:
+    """The set's ``PRINTS`` SimHash fingerprints, each over another mix of its hashes: a bit is 1 if set in over half of
+    the mixed hashes, and in a tie as in one of the first, another for each fingerprint. Those of an empty set are zero."""
+    ones, first = np.zeros(PRINT_BITS, np.int64), 0
+    for at in range(0, len(found), 255):
+        z = found[at : at + 255, None] + STEPS
+        z = (z ^ z >> 30) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> 27) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((z ^ z >> 31).view(np.uint8), axis=1)
+        ones += bits.view(np.uint64).sum(0, dtype=np.uint64).view(np.uint8)  # 8 counters of up to 255 in a number
+        if not at:
+            first = bits.reshape(-1, PRINTS, BITS)[(found[:255, None] ^ STEPS).argmin(0), np.arange(PRINTS)].ravel()
+    return np.packbits(2 * ones + first > len(found)).view(np.uint64)
+
+
+def angle(similarity: float) -> float:
+    """The chance that a bit differs between two large sets of this Jaccard similarity: the angle between them over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+@cache
+def differing(similarity: float) -> float:
+    """The largest chance that a bit of the fingerprints differs between two sets of at least this Jaccard similarity.
+
+    Small sets, where few hashes decide a bit, are counted out."""
+    worst = angle(similarity)
+    for both in range(1, 51):
+        extra = min(50 - both, int(both / similarity - both + 1e-9))
+        for a, b in ((a, b) for a in range(extra + 1) for b in range(a, extra + 1 - a) if b):
+
+            def one(more):
+                """By the bits set among the shared hashes: the chance that the set has a 1."""
+                n = np.arange(more + 1)
+                lead = 2 * (np.arange(both + 1)[:, None] + n) - both - more
+                return ((lead > 0) + 0.5 * (lead == 0)) @ np.array([math.comb(more, k) / 2**more for k in n])
+
+            x, y = one(a), one(b)
+            worst = max(worst, float(np.array([math.comb(both, k) / 2**both for k in range(both + 1)]) @ (x * (1 - y) + y * (1 - x))))
+    return worst
+
+
+def reach(p: float, bits: int, errors: float) -> int:
+    """Bits, of ``bits``, that differ if each does with the chance ``p``, but for ``errors`` standard errors."""
+    return int(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
-def band_keys(found: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
-    """One number per band from the set's least values under ``ROWS`` hash functions; none for an empty set."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    return (((minima(found) if least is None else least).reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) ^ BAND_SALT).view(np.int64)
+def near_reach(similarity: float) -> int:
+    return reach(differing(similarity), NEAR_BITS, 2.5)
 
 
-def sketch_of(least: np.ndarray) -> np.ndarray:
-    """Sixteen bits of each of a set's least values: the share that two sets have alike tells their similarity."""
-    return (least * MIX[0] >> np.uint64(48)).astype(np.uint16)
+def print_reach(similarity: float, large: bool = False) -> int:
+    """The bits that all fingerprints of sets of the similarity differ in at most; ``large``: both have ``LARGE_SET``."""
+    return reach(1.02 * angle(similarity), PRINT_BITS, 5) if large else reach(differing(similarity), PRINT_BITS, 6)
 
 
-def least_alike(similarity: float) -> float:
-    """The share of equal numbers below which two sketches are of less similar sets: four standard errors below."""
-    return float(similarity - 4 * np.sqrt(similarity * (1 - similarity) / (ROWS * BANDS)))
+def apart_by(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Differing bits between rows of fingerprints and those of ``one``."""
+    return np.bitwise_count(prints ^ one).sum(-1, dtype=np.int64)
 
 
-def set_keys(docs: DataFrame, shingle: int, bands: bool = False) -> DataFrame:
-    """``docs`` with ``_key``, a 64-bit hash of the shingle set; if asked, also ``_size`` of the set, its ``_bands`` and
-    its ``_sketch``."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_key long", *(["_size long", "_bands array<long>", "_sketch binary"] if bands else [])])
+def prints_of(column) -> np.ndarray:
+    """A column of fingerprints as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PRINTS)
+
+
+def set_keys(docs: DataFrame, shingle: int, prints: bool = False) -> DataFrame:
+    """``docs`` with ``_key``, a 64-bit hash of the shingle set; if asked, also ``_size`` of the set and its ``_prints``."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_key long", *(["_size long", "_prints binary"] if prints else [])])
 
     def run(batches):
         for b in batches:
-            keys, sizes, held, sketches = [], [], [], []
+            keys, sizes, held = [], [], []
             for at in range(0, b.num_rows, 256):
                 for t in texts(b.slice(at, 256)):
                     found = shingle_set(t, shingle)
                     keys.append(xxhash.xxh3_64_intdigest(found.tobytes()))
-                    if bands:
-                        least = minima(found)
+                    if prints:
                         sizes.append(len(found))
-                        held.append(band_keys(found, least))
-                        sketches.append(sketch_of(least).tobytes())
+                        held.append(set_prints(found).tobytes())
             more = [pa.array(np.array(keys, np.uint64).view(np.int64))]
-            if bands:
-                more += [pa.array(sizes, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "_key", "_size", "_bands", "_sketch"][: b.num_columns + len(more)])
+            if prints:
+                more += [pa.array(sizes, pa.int64()), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "_key", "_size", "_prints"][: b.num_columns + len(more)])
 
     return map_batches(docs, run, schema)
 
@@ -384,21 +438,41 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return map_batches(joined.select("a", "b", "_a", "_b"), run, "a long, b long").checkpoint()
 
 
-def linked(sets: list[np.ndarray], roots: list[int], similarity: float) -> list[tuple[int, int]]:
+def partners(prints: np.ndarray, sizes: np.ndarray, similarity: float, second: np.ndarray | None = None, deal: int = 0, places: np.ndarray | None = None):
+    """A function of a set i and others that leaves those which i is to be compared with: the fingerprints don't rule
+    them out, they were not met in the bucket before (both are ``second`` here), nor in a deal before ``deal``."""
+    most, of_large, near = print_reach(similarity), print_reach(similarity, True), near_reach(similarity)
+    before = np.column_stack([x for _, x in islice(dealt_out(prints, places), deal)]) if deal else None
+    two = np.arange(deal) % (PRINTS // 2)
+
+    def of(i: int, other: np.ndarray) -> np.ndarray:
+        if second is not None:
+            other = other[(second[other] & second[i]) == 0]
+        far = np.bitwise_count(prints[other] ^ prints[i])
+        ok = far.sum(1, dtype=np.int64) <= np.where(np.minimum(sizes[other], sizes[i]) >= LARGE_SET, of_large, most)
+        other, far = other[ok], far[ok]
+        if deal and len(other):
+            close = far.reshape(-1, PRINTS // 2, 2).sum(2, dtype=np.int64) <= near
+            other = other[~((before[other] == before[i]) & close[:, two]).any(1)]
+        return other
+
+    return of
+
+
+def linked(sets: list[np.ndarray], roots: list[int], similarity: float, second: list[int] | None = None, deal: int = 0, places: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) between sets of different roots that are similar enough: a forest that joins what all such links
-    would. Sketches leave out pairs whose share of equal minima lies four standard errors below the similarity."""
+    would, of pairs that are not compared elsewhere (``partners``)."""
     number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
     group = np.array([number[r] for r in roots])
     if len(number) < 2:
         return []
-    sketch = np.stack([sketch_of(minima(x)) for x in sets])
-    least = least_alike(similarity)
+    of = partners(np.stack([set_prints(x) for x in sets]), np.array([len(x) for x in sets]), similarity, None if second is None else np.array(second), deal, places)
     out = []
     for i in range(1, len(sets)):
         other = np.flatnonzero(group[:i] != group[i])
         if not len(other):
             continue
-        for j in other[(sketch[other] == sketch[i]).mean(1) >= least].tolist():
+        for j in of(i, other).tolist():
             if group[j] != group[i] and alike(sets[i], sets[j], similarity):
                 out.append((i, j))
                 group[group == group[i]] = group[j]
@@ -409,42 +483,43 @@ def linked(sets: list[np.ndarray], roots: list[int], similarity: float) -> list[
 BLOCK_BYTES, BLOCK_SETS = 32_000_000, 10_000
 
 
-def alike_by_sketch(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of keys whose sketches don't rule them out. Sketches are short, whatever the texts."""
-    sketches = nodes.select(F.col("_key"), "_sketch")
-    met = pairs.join(sketches.withColumnsRenamed({"_key": "a", "_sketch": "_a"}), "a").join(sketches.withColumnsRenamed({"_key": "b", "_sketch": "_b"}), "b")
+def alike_by_prints(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b, large) of keys whose fingerprints don't rule them out. These are short, whatever the texts."""
+    prints = nodes.select("_key", "_prints")
+    met = pairs.join(prints.withColumnsRenamed({"_key": "a", "_prints": "_a"}), "a").join(prints.withColumnsRenamed({"_key": "b", "_prints": "_b"}), "b")
+    most, of_large = print_reach(similarity), print_reach(similarity, True)
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, ROWS * BANDS) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).mean(1) >= least_alike(similarity), pa.bool_()))
+            x, y = (prints_of(b.column(c)) for c in (2, 3))
+            keep = apart_by(x, y) <= np.where(b.column(4).to_numpy(zero_copy_only=False), of_large, most)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(met.select("a", "b", "_a", "_b"), run, "a long, b long")
+    return map_batches(met.select("a", "b", "_a", "_b", "large"), run, "a long, b long")
 
 
-def with_partners(dealt: DataFrame, nodes: DataFrame, keys: tuple[str, ...], similarity: float) -> DataFrame:
-    """The rows of ``dealt`` (``keys``, _key, root) that have, within their ``keys``, a row of another root that the
-    sketches don't rule out."""
-    met = dealt.join(nodes.select("_key", "_sketch"), "_key").select(*keys, "_key", "root", "_sketch").repartition(*keys).sortWithinPartitions(*keys, "_key")
-    names = [*keys, "_key", "root"]
+def with_partners(dealt: DataFrame, nodes: DataFrame, keys: tuple[str, ...], similarity: float, places: np.ndarray) -> DataFrame:
+    """The rows of ``dealt`` (``keys``, _key, root, second) that have, within their ``keys``, a row of another root that
+    they are to be compared with (``partners``)."""
+    met = dealt.join(nodes.select("_key", "_size", "_prints"), "_key").select(*keys, "_key", "root", "second", "_size", "_prints").repartition(*keys).sortWithinPartitions(*keys, "_key")
+    names = [*keys, "_key", "root", "second"]
 
     def compare(batches):
         last, group = None, []
 
         def close():
             rows = []
-            if len(group) > 1:
-                number = {r: k for k, r in enumerate(dict.fromkeys(r[-2] for r in group))}
-                root = np.array([number[r[-2]] for r in group])
-                sketch = np.frombuffer(b"".join(r[-1] for r in group), np.uint16).reshape(len(group), -1)
+            root = np.unique(np.array([r[-4] for r in group], np.int64), return_inverse=True)[1]
+            if len(group) > 1 and root.any():
+                prints = np.frombuffer(b"".join(r[-1] for r in group), np.uint64).reshape(len(group), -1)
+                of = partners(prints, np.array([r[-2] for r in group]), similarity, np.array([r[-3] for r in group]), last[0] & 0xFFFF, places)
                 wanted = np.zeros(len(group), bool)
-                for i in range(1, len(group) if len(number) > 1 else 0):
-                    near = np.flatnonzero((root[:i] != root[i]) & ~(wanted[:i] & wanted[i]))
-                    near = near[(sketch[near] == sketch[i]).mean(1) >= least_alike(similarity)]
+                for i in range(1, len(group)):
+                    near = of(i, np.flatnonzero((root[:i] != root[i]) & ~(wanted[:i] & wanted[i])))
                     wanted[near] = True
                     wanted[i] |= len(near) > 0
-                rows = [r[:-1] for r, w in zip(group, wanted) if w]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if n in ("i", "j") else pa.int64()) for k, n in enumerate(names)], names=names)
+                rows = [r[:-2] for r, w in zip(group, wanted) if w]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if n in ("i", "j", "second") else pa.int64()) for k, n in enumerate(names)], names=names)
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -454,23 +529,23 @@ def with_partners(dealt: DataFrame, nodes: DataFrame, keys: tuple[str, ...], sim
                 group.append(row)
         yield close()
 
-    return map_batches(met, compare, "band long, bucket long, i int, j int, _key long, root long")
+    return map_batches(met, compare, "band long, bucket long, i int, j int, _key long, root long, second int")
 
 
-def links_in_bands(placed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def links_in_bands(placed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, places: np.ndarray) -> DataFrame:
     """Links (a, b) between similar enough sets of different roots that share a band (``placed``: band, _key, _size, root).
 
     Sets of a band meet by size, in steps of which similar ones are at most one apart, and in pairs of blocks of bounded
-    bytes: first by their sketches, then, of what has a partner there, whole. They are compared in the task, which gives a
-    forest; pairs are no rows."""
+    bytes: first by their fingerprints, then, of what has a partner there, whole. They are compared in the task, which gives a
+    forest; pairs are no rows. A pair that meets in several deals or steps is compared in the first."""
     step = np.log(1 / min(similarity, 0.999))
-    sized = placed.withColumn("bucket", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.floor(F.log("_size") / F.lit(float(step))).cast("int") + k)))
+    sized = placed.withColumn("second", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("bucket", F.floor(F.log("_size") / F.lit(float(step))).cast("int") + F.col("second"))
     blocks = sized.groupBy("band", "bucket").agg((F.floor(F.greatest(F.sum("_size") * 8 / BLOCK_BYTES, F.count("*") / BLOCK_SETS)) + 1).cast("int").alias("blocks"), F.countDistinct("root").alias("roots")).where("roots > 1").drop("roots")
     own = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")
     dealt = sized.join(blocks, ["band", "bucket"]).withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ("band", "bucket", "i", "j")
-    dealt = dealt.select("band", F.col("bucket").cast("long").alias("bucket"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "_key", "root")
-    dealt = with_partners(dealt, nodes, keys, similarity).checkpoint()
+    dealt = dealt.select("band", F.col("bucket").cast("long").alias("bucket"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "_key", "root", "second")
+    dealt = with_partners(dealt, nodes, keys, similarity, places).checkpoint()
     wanted = dealt.select("_key").distinct().join(nodes.select("_key", F.col("least").alias("doc_id")), "_key")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -481,44 +556,206 @@ def links_in_bands(placed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found, pa.binary())], names=["_key", "_set"])
 
     sets = map_batches(some, make, "_key long, _set binary").join(wanted.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
-    met = dealt.join(sets, "_key").select(*keys, "_key", "root", "_set").repartition(*keys).sortWithinPartitions(*keys, "_key")
+    met = dealt.join(sets, "_key").select(*keys, "_key", "root", "second", "_set").repartition(*keys).sortWithinPartitions(*keys, "_key")
 
     def compare(batches):
         last, group = None, []
 
         def close():
-            found = linked([np.frombuffer(x, np.uint64) for *_, x in group], [r for _, r, _ in group], similarity) if len(group) > 1 else []
+            found = []
+            if len(group) > 1:
+                _, roots, second, held = zip(*group)
+                found = linked([np.frombuffer(x, np.uint64) for x in held], list(roots), similarity, list(second), last[0] & 0xFFFF, places)
             return pa.RecordBatch.from_arrays([pa.array([group[i][0] for i, _ in found], pa.int64()), pa.array([group[j][0] for _, j in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for band, bucket, i, j, key, root, held in zip(*(c.to_pylist() for c in b.columns)):
+            for band, bucket, i, j, key, root, second, held in zip(*(c.to_pylist() for c in b.columns)):
                 if (now := (band, bucket, i, j)) != last:
                     yield close()
                     last, group = now, []
-                group.append((key, root, held))
+                group.append((key, root, second, held))
         yield close()
 
     return map_batches(met, compare, "a long, b long").distinct().checkpoint()
 
 
+def print_deals(n_nodes: int, similarity: float) -> np.ndarray:
+    """Per deal the places of the bits by which it tells sets apart: so many that a deal holds ``DEALT`` nodes on average
+    at most, and so many deals that a pair of the similarity meets in none with a chance of ``MISSED``."""
+    p, near = differing(similarity), near_reach(similarity)
+    n_bits = max(0, math.ceil(math.log2(max(1, n_nodes) / DEALT)))
+    within = sum(math.comb(NEAR_BITS, k) * p**k * (1 - p) ** (NEAR_BITS - k) for k in range(near + 1))
+    met = (1 - p) ** n_bits * within
+    n_deals = max(1, math.ceil(math.log(MISSED) / math.log1p(-met)))
+    rounds = -(-n_deals * n_bits // PRINT_BITS)  # every bit is in one deal before any is in two
+    places = [np.random.default_rng(k).permutation(PRINT_BITS) for k in range(max(1, rounds))]
+    return np.concatenate(places)[: n_deals * n_bits].reshape(n_deals, n_bits)
+
+
+def dealt_out(prints: np.ndarray, places: np.ndarray):
+    """Per deal: its number and the nodes' keys within all deals (number and bits in one)."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)
+    for d, at in enumerate(places):
+        yield d, bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64)) + (np.int64(d) << 40)
+
+
+def gathered(batches, size: int):
+    """(keys, fingerprints) of about ``size`` nodes (_key, _prints) each."""
+    keys, prints, held = [], [], 0
+    for b in batches:
+        keys.append(b.column(0).to_numpy())
+        prints.append(prints_of(b.column(1)))
+        held += b.num_rows
+        if held >= size:
+            yield np.concatenate(keys), np.concatenate(prints)
+            keys, prints, held = [], [], 0
+    if held:
+        yield np.concatenate(keys), np.concatenate(prints)
+
+
+def large_deals(nodes: DataFrame, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The deals of more than ``AT_ONCE`` nodes, in order, and in how many blocks each is compared. They are at most
+    a twice ``DEALT``-th of all nodes dealt, and none unless many sets are alike."""
+
+    def run(batches):
+        for _, prints in gathered(batches, 16_384):
+            for _, deal in dealt_out(prints, places):
+                found, n = np.unique(deal, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["deal", "n"])
+
+    sizes = map_batches(nodes.select("_key", "_prints"), run, "deal long, n long").groupBy("deal").agg(F.sum("n").alias("n"))
+    found = sorted((r["deal"], r["n"] // AT_ONCE + 1) for r in sizes.where(F.col("n") > AT_ONCE).collect())
+    return np.array([d for d, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+
+
+def close_sets(dealt: DataFrame, keys: tuple[str, ...], similarity: float) -> DataFrame:
+    """(band, _key): per group of ``keys`` in ``dealt`` (``keys``, held[, root]) what lies together, a band being joined by
+    pairs of different roots within the Hamming budget; its last 16 bits are the deal's number. ``held`` has nodes of 24 bytes: key and two fingerprints.
+
+    All pairs of a group are compared, but for those that are in one band already."""
+    dealt = dealt.sortWithinPartitions(*keys)
+    near = near_reach(similarity)
+
+    def compare(batches):
+        last, group, roots = None, [], []
+
+        def close():
+            rows = np.frombuffer(b"".join(group), np.uint64).reshape(-1, 3)
+            at, n, a, step = np.arange(len(rows)), len(rows), 0, 16
+            root = np.array(roots) if roots else at
+            x, y = np.ascontiguousarray(rows[:, 1]), np.ascontiguousarray(rows[:, 2])
+            while a < n - 1:
+                z = min(n, a + step)
+                met = np.bitwise_count(x[a:z, None] ^ x[a:]) + np.bitwise_count(y[a:z, None] ^ y[a:]) <= near
+                met &= at[a:z, None] != at[a:]
+                if roots:
+                    met &= root[a:z, None] != root[a:]
+                i, j = np.nonzero(met)
+                if len(i):
+                    at = merged(at, i + a, j + a)
+                a, step = z, 256
+            names, number, count = np.unique(at, return_inverse=True, return_counts=True)
+            wanted = np.flatnonzero(count[number] > 1)
+            bands = np.array([xxhash.xxh64_intdigest(repr((*last, k)).encode()) & ~0xFFFF | last[0] >> 40 if c > 1 else 0 for k, c in zip(names.tolist(), count.tolist())], np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(bands[number[wanted]].view(np.int64)), pa.array(rows[wanted, 0].view(np.int64))], names=["band", "_key"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[: len(keys)] != last:
+                    if group:
+                        yield close()
+                    last, group, roots = row[: len(keys)], [], []
+                group.append(row[len(keys)])
+                roots.extend(row[len(keys) + 1 :])
+        if group:
+            yield close()
+
+    return map_batches(dealt, compare, "band long, _key long")
+
+
+def close_in_deals(nodes: DataFrame, places: np.ndarray, large: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(band, _key) of the ``nodes`` that lie within the Hamming budget in a deal, or in one block of a large deal."""
+
+    def run(batches):
+        for key, prints in gathered(batches, 16_384):
+            for d, deal in dealt_out(prints, places):
+                block = np.zeros(len(deal), np.int64)
+                if len(large[0]):
+                    k = np.minimum(np.searchsorted(large[0], deal), len(large[0]) - 1)
+                    block = np.where(large[0][k] == deal, key % large[1][k], 0)
+                order = np.lexsort((block, deal))
+                deal, block = deal[order], block[order]
+                rows = np.column_stack([key.view(np.uint64), prints[:, 2 * d % PRINTS], prints[:, (2 * d + 1) % PRINTS]])[order].tobytes()
+                cuts = np.flatnonzero(np.r_[True, (deal[1:] != deal[:-1]) | (block[1:] != block[:-1])])
+                held = [rows[24 * a : 24 * z] for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(deal)])]
+                yield pa.RecordBatch.from_arrays([pa.array(deal[cuts]), pa.array(block[cuts]), pa.array(held, pa.binary())], names=["deal", "block", "held"])
+
+    dealt = map_batches(nodes.select("_key", "_prints"), run, "deal long, block long, held binary")
+    return close_sets(dealt.repartition(max(1, len(places) * nodes.count() // TASK_DEALT), "deal", "block"), ("deal", "block"), similarity)
+
+
+def close_across(nodes: DataFrame, roots: DataFrame, places: np.ndarray, large: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(band, _key) of the ``nodes`` in large deals that lie within the Hamming budget of one of another root.
+
+    Most nodes of a large deal have one root by now. Blocks of these meet blocks of the others, which meet one another
+    too; so rows grow with the large group, not with its square."""
+
+    def run(batches):
+        for key, prints in gathered(batches, 16_384):
+            for d, deal in dealt_out(prints, places):
+                k = np.flatnonzero(np.isin(deal, large[0]))
+                rows = np.column_stack([key.view(np.uint64), prints[:, 2 * d % PRINTS], prints[:, (2 * d + 1) % PRINTS]])[k].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(deal[k]), pa.array(key[k]), pa.array([rows[24 * a : 24 * a + 24] for a in range(len(k))], pa.binary())], names=["deal", "_key", "held"])
+
+    dealt = map_batches(nodes.select("_key", "_prints"), run, "deal long, _key long, held binary")
+    dealt = dealt.join(roots.withColumnsRenamed({"node": "_key"}), "_key", "left").withColumn("root", F.coalesce("root", "_key")).checkpoint()
+    most = dealt.groupBy("deal", "root").agg(F.count("*").alias("n")).groupBy("deal").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    blocks = lambda n: F.floor(n / AT_ONCE).cast("int") + 1
+    most = most.where("n > m.n").select("deal", F.col("m.root").alias("main"), blocks(F.col("m.n")).alias("of_main"), blocks(F.col("n") - F.col("m.n")).alias("of_rest"))
+    met = dealt.join(most, "deal")
+    own = lambda n: F.pmod(F.xxhash64("_key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    main = met.where("root = main").select("deal", own("of_main").alias("i"), every("of_rest").alias("j"), "held", "root")
+    rest = met.where("root != main").withColumn("own", own("of_rest"))
+    to_main = rest.select("deal", every("of_main").alias("i"), F.col("own").alias("j"), "held", "root")
+    among = rest.withColumn("x", every("of_rest")).select("deal", (-1 - F.least("own", "x")).alias("i"), F.greatest("own", "x").alias("j"), "held", "root")
+    return close_sets(main.unionByName(to_main).unionByName(among).repartition("deal", "i", "j"), ("deal", "i", "j"), similarity)
+
+
 def similar_sets(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of the ``nodes`` (_key, least, _size, _bands) that are linked to others: the components of all
-    pairs that share a band and are similar enough.
-
-    First each node is compared with the least of its band; then, of what shares a band, the sets that this left in
-    different components, in the tasks (``links_in_bands``). So a large group of near copies takes few comparisons, and
-    no pair is left out."""
-    dealt = nodes.select("_key", "_size", F.explode("_bands").alias("band"))
-    hubs = dealt.groupBy("band").agg(F.min(F.struct("_key", "_size")).alias("h"), F.count("*").alias("n")).where("n > 1").select("band", F.col("h._key").alias("hub"), F.col("h._size").alias("hub_size"))
+    """(node, root) of the ``nodes`` (_key, least, _size, _prints) that are linked to others: the components of all
+    pairs that lie in a band and are similar enough.
+
+    Bands come from SimHash: in each of several deals, sets that agree on the deal's bits meet, and those within the
+    Hamming budget of two fingerprints lie in a band. First each node is compared with the least of its band; then, of
+    what shares a band, the sets that this left in different components, in the tasks (``links_in_bands``). So a large
+    group of near copies takes few comparisons, and no pair is left out. Deals of too many nodes are compared in blocks
+    and, once these are linked, across them."""
+    # a set is similar to one that has a shingle more, or to none but its equals
+    able = nodes.where(F.col("_size") * (1 - similarity) >= similarity - 1e-9).where("_size > 0").select("_key", "_prints")
+    places = print_deals(able.count(), similarity)
+    large = large_deals(able, places)
+    sizes = nodes.select("_key", "_size")
+    dealt = close_in_deals(able, places, large, similarity).join(sizes, "_key").checkpoint()
+    hubs = dealt.groupBy("band").agg(F.min(F.struct("_key", "_size")).alias("h")).select("band", F.col("h._key").alias("hub"), F.col("h._size").alias("hub_size"))
     met = dealt.join(hubs, "band").checkpoint()
     fits = F.least("_size", "hub_size") >= similarity * F.greatest("_size", "hub_size") - 1e-9
-    to_hub = met.where((F.col("_key") != F.col("hub")) & fits).select(F.col("_key").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = components(confirmed(alike_by_sketch(to_hub, nodes, similarity), nodes, docs, shingle, similarity))
+    to_hub = met.where((F.col("_key") != F.col("hub")) & fits).select(F.col("_key").alias("a"), F.col("hub").alias("b"), (F.least("_size", "hub_size") >= LARGE_SET).alias("large")).distinct()
+    roots = components(confirmed(alike_by_prints(to_hub, nodes, similarity), nodes, docs, shingle, similarity))
     placed = met.join(roots, met["_key"] == roots["node"], "left").select("band", "_key", "_size", "hub", F.coalesce("root", "_key").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     placed = placed.where("_key != hub").join(mixed, "band").select("band", "_key", "_size", "root").checkpoint()
-    more = links_in_bands(placed, nodes, docs, shingle, similarity)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    def joined(roots: DataFrame, placed: DataFrame) -> DataFrame:
+        more = links_in_bands(placed, nodes, docs, shingle, similarity, places)
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    roots = joined(roots, placed)
+    if len(large[0]):
+        across = close_across(able, roots, places, large, similarity).join(sizes, "_key")
+        placed = across.join(roots, across["_key"] == roots["node"], "left").select("band", "_key", "_size", F.coalesce("root", "_key").alias("root")).checkpoint()
+        roots = joined(roots, placed)
+    return roots
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -527,7 +764,7 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     without a doc_id stay. Columns stay as they are."""
     shared_folder(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    nodes = set_keys(source, shingle, bands=True).drop("text").groupBy("_key").agg(F.min("doc_id").alias("least"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands"), F.first("_sketch").alias("_sketch")).checkpoint()
+    nodes = set_keys(source, shingle, prints=True).drop("text").groupBy("_key").agg(F.min("doc_id").alias("least"), F.first("_size").alias("_size"), F.first("_prints").alias("_prints")).checkpoint()
     roots = similar_sets(nodes, docs, shingle, similarity)
     of = nodes.join(roots, nodes["_key"] == roots["node"], "left").select("least", "_key", F.coalesce("root", "_key").alias("root"))
     kept = of.groupBy("root").agg(F.min(F.struct("least", "_key")).alias("k")).select(F.col("k.least").alias("doc_id"), F.col("k._key").alias("_key"))

@@ -192,6 +192,69 @@ def test_near_duplicate_stage_is_exact(spark, sf_dir):
     assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(roots.values()))
 
 
+def near_copies(n_bases, n_copies, sizes):
+    r, out = random.Random(5), []
+    for _ in range(n_bases):
+        base = [f"w{r.randrange(500)}" for _ in range(r.choice(sizes))]
+        for _ in range(n_copies):
+            copy = list(base)
+            for _ in range(r.randrange(len(base) // 25 + 2)):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(500)}"
+            out.append(" ".join(copy))
+    r.shuffle(out)
+    return dict(enumerate(out))
+
+
+@pytest.mark.parametrize(("dealt", "at_once"), [(20, 10**6), (10**6, 12), (40, 25)])
+def test_near_duplicates_in_deals_and_blocks(spark, sf_dir, monkeypatch, dealt, at_once):
+    """Sets dealt by bits of their fingerprints, and deals compared in blocks and across them, lose no link."""
+    monkeypatch.setattr(simhash, "DEALT", dealt)
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    table = near_copies(12, 5, [8, 60]) | {1000 + i: t for i, t in near_copies(1, 40, [200]).items()}
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(list(table.items()), "doc_id long, text string"), sf_dir)
+    roots = brute.similar_roots(table)
+    assert 10 < len(set(roots.values())) < 90
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(roots.values()))
+
+
+def test_near_duplicates_meet_by_simhash(spark, sf_dir, monkeypatch):
+    """Without room for differing bits no unequal sets meet: there is no other way to a candidate."""
+    monkeypatch.setattr(simhash, "print_deals", lambda n, similarity: np.zeros((2, 0), np.int64))
+    monkeypatch.setattr(simhash, "near_reach", lambda similarity: 0)
+    table = near_copies(3, 4, [60])
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(list(table.items()), "doc_id long, text string"), sf_dir)
+    assert got.count() == len(set(table.values())) > len(set(brute.similar_roots(table).values()))
+
+
+def test_set_prints_are_simhashes():
+    """Each bit is that of most mixed hashes; of sets at the similarity few bits differ, however small the sets are."""
+    r = np.random.default_rng(3)
+    found = np.unique(r.integers(0, 1 << 63, 701, np.uint64))
+    bits = lambda x: np.unpackbits(x.view(np.uint8))
+    one_by_one = sum(bits(simhash.set_prints(x[None])).astype(int) for x in found)
+    assert np.array_equal(bits(simhash.set_prints(found)), 2 * one_by_one > len(found))
+    assert not simhash.set_prints(found[:0]).any()
+    for both, a, b in ((4, 0, 1), (8, 0, 2), (9, 1, 1), (80, 10, 10), (400, 0, 100)):
+        far = []
+        for _ in range(200):
+            z = r.integers(0, 1 << 63, both + a + b, np.uint64)
+            far.append(simhash.apart_by(simhash.set_prints(np.sort(z[: both + a])), simhash.set_prints(np.sort(np.r_[z[:both], z[both + a :]]))))
+        assert np.mean(far) < simhash.PRINT_BITS * simhash.differing(0.8) + 3 and max(far) <= simhash.print_reach(0.8)
+
+
+@pytest.mark.parametrize("n_nodes", [100, 40_000, 13_000_000])
+def test_deals_of_sets_meet_similar_pairs(n_nodes):
+    r, places = np.random.default_rng(4), simhash.print_deals(n_nodes, 0.8)
+    for both, a, b in ((8, 0, 2), (80, 10, 10)):
+        z = r.integers(0, 1 << 63, (600, both + a + b), np.uint64)
+        x, y = (np.array([simhash.set_prints(np.sort(q)) for q in p]) for p in (z[:, : both + a], np.c_[z[:, :both], z[:, both + a :]]))
+        met = np.zeros(len(z), bool)
+        for (d, deal), (_, other) in zip(simhash.dealt_out(x, places), simhash.dealt_out(y, places)):
+            two = [2 * d % simhash.PRINTS, (2 * d + 1) % simhash.PRINTS]
+            met |= (deal == other) & (simhash.apart_by(x[:, two], y[:, two]) <= simhash.near_reach(0.8))
+        assert met.mean() > 0.998
+
+
 @pytest.fixture(scope="module")
 def rows_of(spark, sf_dir):
     held = {}
