@@ -39,12 +39,13 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "docketlake-checkpoints"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder, packed, and read again: lineage ends there, in less room than a checkpoint."""
+def written(df: DataFrame, name: str, page_rows: int = 20_000) -> DataFrame:
+    """``df`` written to the shared folder, packed, and read again: lineage ends there, in less room than a checkpoint.
+    A page, which is packed and read as a whole, has ``page_rows`` rows at most (for rows of megabytes, a few)."""
     spark = df.sparkSession
     shared_folder(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(place)
+    df.write.option("compression", "zstd").option("parquet.page.row.count.limit", page_rows).parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 

@@ -94,25 +94,31 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col("text").cast("string").alias("text"))
     with handed(docs.sparkSession, HANDED_DOCUMENTS):
-        return written(map_batches(rows, cut, "lang string, total bigint, codes binary, words array<string>, n array<int>").withColumn("block", F.monotonically_increasing_id()), "phrases")
+        return written(map_batches(rows, cut, "lang string, total bigint, codes binary, words array<string>, n array<int>").withColumn("block", F.monotonically_increasing_id()), "phrases", HANDED_BLOCKS)
 
 
 @contextmanager
 def handed(spark: SparkSession, rows: int):
-    """Meanwhile workers are handed so many rows at a time at most: a batch lies in the JVM and in the worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    """Meanwhile files are read, and workers handed, so many rows at a time at most: a batch lies in the JVM, as read and
+    as sent, and in the worker at once."""
+    before = {key: spark.conf.get(key) for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    for key, most in before.items():
+        spark.conf.set(key, str(rows if int(most) <= 0 else min(rows, int(most))))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, most in before.items():
+            spark.conf.set(key, most)
 
 
 def in_order(sums: DataFrame) -> DataFrame:
-    """``sums`` (keys, f) with ``id``, each row's place (from 0) in the order of the keys."""
-    rows = written(sums, "phrases")
-    rows = written(rows.orderBy(*[c for c in rows.columns if c != "f"]).withColumn("id", F.monotonically_increasing_id()), "phrases")
+    """``sums`` (keys, f) with ``id``, each row's place (from 0) in the order of the keys.
+
+    The sums are made of what was shuffled twice, for the sample of the order and for the order itself. They come in many
+    tasks and are few rows: written first, each task's file had its own cost, on local disks forks of the executor, which
+    count as its memory twice."""
+    with handed(sums.sparkSession, HANDED_BLOCKS):
+        rows = written(sums.orderBy(*[c for c in sums.columns if c != "f"]).withColumn("id", F.monotonically_increasing_id()), "phrases")
     task = F.shiftright("id", 33).cast("int")
     counts = {r["task"]: r["count"] for r in rows.groupBy(task.alias("task")).count().collect()}
     before = np.cumsum([0, *(counts.get(k, 0) for k in range(max(counts, default=0)))]).tolist()  # rows of the tasks before
@@ -208,8 +214,7 @@ class Level:
     def named(self, least: int) -> DataFrame:
         """Names of what is frequent: id, the keys, f."""
         rows = self.entries()
-        with handed(self.base.sparkSession, HANDED_BLOCKS):
-            return in_order(rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        return in_order(rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
 
     def next(self, names: DataFrame) -> Level:
         """The blocks of pairs of these names."""
@@ -234,7 +239,7 @@ class Level:
                 yield _row([pa.array([block]), pa.array([codes.tobytes()], pa.binary()), _list(pa.array(left)), _list(pa.array(right)), _list(pa.array(n.astype(np.int32)))], ["block", "codes", "left", "right", "n"])
 
         with handed(self.base.sparkSession, HANDED_BLOCKS):
-            return written(map_batches(self.base, whole, "block bigint, codes binary, left array<bigint>, right array<bigint>, n array<int>"), "phrases")
+            return written(map_batches(self.base, whole, "block bigint, codes binary, left array<bigint>, right array<bigint>, n array<int>"), "phrases", HANDED_BLOCKS)
 
 
 def by_block(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -281,7 +286,7 @@ def joined_names(held: DataFrame, names: DataFrame) -> DataFrame:
                 yield _row([pa.array([block]), pa.array([new.tobytes()], pa.binary()), _list(pa.array(left)), _list(pa.array(right)), _list(pa.array(n.astype(np.int32)))], ["block", "codes", "left", "right", "n"])
 
     rows = rows.repartition("block").sortWithinPartitions("block", "local")
-    return written(map_batches(rows, pair, "block bigint, codes binary, left array<bigint>, right array<bigint>, n array<int>"), "phrases")
+    return written(map_batches(rows, pair, "block bigint, codes binary, left array<bigint>, right array<bigint>, n array<int>"), "phrases", HANDED_BLOCKS)
 
 
 def number(x: Column) -> Column:

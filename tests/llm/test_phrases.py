@@ -128,3 +128,21 @@ def test_names_are_places_in_order(spark):
     assert sum(x.nbytes for x in vars(known).values() if isinstance(x, np.ndarray)) == 8 * len(rows)
     assert known.ids(rows["left"].to_numpy(), rows["right"].to_numpy()).tolist() == rows["id"].to_pylist()
     assert known.ids(np.array([0]), np.array([10**6])).tolist() == [-1] and spark.conf.get(key) == before
+
+
+def test_blocks_lie_in_memory_a_few_at_a_time(spark, monkeypatch):
+    """Files of blocks are read as workers are handed them (once 4,096 rows of 2 to 3 MB at a time), in pages of as few
+    rows; sums are written in order at once, not first in a file for each task of theirs."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    seen, before = [], spark.conf.get(key)
+
+    def noted(df, name, *rows):
+        seen.append((df.columns[0], spark.conf.get(key), *rows))
+        return written(df, name, *rows)
+
+    written = phrases.written
+    monkeypatch.setattr(phrases, "written", noted)
+    held = phrases.blocks(spark.createDataFrame([("en", "a b a b a")], "lang string, text string"))
+    names = phrases.Level(held).named(1)
+    assert seen == [("lang", str(min(1000, int(before))), phrases.HANDED_BLOCKS), ("lang", str(phrases.HANDED_BLOCKS))]
+    assert spark.conf.get(key) == before and sorted((r["words"], r["f"], r["id"]) for r in names.collect()) == [("a", 3, 0), ("b", 2, 1)]
